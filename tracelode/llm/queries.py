@@ -27,6 +27,12 @@ def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op5_grammar_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelode.llm.secrets import scan
+
+    return scan(documents(spark, sf_dir))
+
+
 def op8_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelode.llm.media import media_features
 
@@ -39,12 +45,20 @@ def op9_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), limit=1024)
 
 
+def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelode.llm.decontamination import contamination
+
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_records": op2_token_records,
         "op4_best_two_fit": op4_best_two_fit,
+        "op5_grammar_inference": op5_grammar_inference,
         "op8_signature_sniffing": op8_signature_sniffing,
         "op9_merge_counts": op9_merge_counts,
+        "op10_suffix_automaton": op10_suffix_automaton,
     }
 
 
