@@ -15,6 +15,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelode.llm.line_dedup import report
+
+    return report(documents(spark, sf_dir))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelode.llm.token_output import token_records
 
@@ -53,6 +59,7 @@ def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_template_tree": op1_template_tree,
         "op2_token_records": op2_token_records,
         "op4_best_two_fit": op4_best_two_fit,
         "op5_grammar_inference": op5_grammar_inference,
