@@ -39,6 +39,12 @@ def op5_grammar_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
 
+def op7_count_vector_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelode.llm.jaccard_join import linked
+
+    return linked(documents(spark, sf_dir), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelode.llm.media import media_features
 
@@ -63,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_records": op2_token_records,
         "op4_best_two_fit": op4_best_two_fit,
         "op5_grammar_inference": op5_grammar_inference,
+        "op7_count_vector_rtree": op7_count_vector_rtree,
         "op8_signature_sniffing": op8_signature_sniffing,
         "op9_merge_counts": op9_merge_counts,
         "op10_suffix_automaton": op10_suffix_automaton,
