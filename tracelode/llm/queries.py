@@ -27,6 +27,12 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+def op3_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelode.llm.language import judged, learned
+
+    return judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), learned(documents(spark, sf_dir)))
+
+
 def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelode.llm.packing import packed
 
@@ -39,6 +45,13 @@ def op5_grammar_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
 
+def op6_attention_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelode.llm.quality import scored, trained
+
+    docs = documents(spark, sf_dir)
+    return scored(docs, trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_count_vector_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelode.llm.jaccard_join import linked
 
@@ -63,16 +76,25 @@ def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_template_tree": op1_template_tree,
         "op2_token_records": op2_token_records,
+        "op3_evidence_fusion": op3_evidence_fusion,
         "op4_best_two_fit": op4_best_two_fit,
         "op5_grammar_inference": op5_grammar_inference,
+        "op6_attention_bags": op6_attention_bags,
         "op7_count_vector_rtree": op7_count_vector_rtree,
         "op8_signature_sniffing": op8_signature_sniffing,
         "op9_merge_counts": op9_merge_counts,
         "op10_suffix_automaton": op10_suffix_automaton,
+        "pipeline": pipeline,
     }
 
 
