@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import CountVectorizer, NGram
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,20 +105,16 @@ def residuals(rows: DataFrame, y: str, xs: list[str], by: str) -> DataFrame:
     """rows with what is left of y after least squares on xs (and a constant) per group, by normal equations.
 
     The sums of products are one aggregate with partial sums; each group solves a system of len(xs) + 1 unknowns."""
-    import numpy as np
-    import pandas as pd
-
     terms = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
     products = [F.sum(a * b).alias(f"a{i}_{j}") for i, a in enumerate(terms) for j, b in enumerate(terms)] + [F.sum(a * F.col(y)).alias(f"b{i}") for i, a in enumerate(terms)]
     sums = rows.groupBy(by).agg(*products)
     k = len(terms)
 
     @F.pandas_udf("array<double>")
-    def solve(*columns: pd.Series) -> pd.Series:
-        table = np.column_stack([c.to_numpy(float) for c in columns])
-        return pd.Series([np.linalg.lstsq(r[: k * k].reshape(k, k), r[k * k :], rcond=None)[0].tolist() for r in table])
+    def solve(rows_: pd.Series) -> pd.Series:
+        return pd.Series([np.linalg.lstsq(np.array(r[: k * k]).reshape(k, k), np.array(r[k * k :]), rcond=None)[0].tolist() for r in rows_])
 
-    fitted = sums.select(by, solve(*[c for c in sums.columns if c != by]).alias("w"))
+    fitted = sums.select(by, solve(F.array(*[c for c in sums.columns if c != by])).alias("w"))
     predicted = sum((F.col("w")[i] * t for i, t in enumerate(terms)), F.lit(0.0))
     return rows.join(fitted, by).withColumn("residual", F.col(y) - predicted).drop("w")
 
