@@ -60,6 +60,7 @@ def test_components_against_brute_force(spark, monkeypatch, seed, n, percent, ch
     from tracelode.llm import common
 
     monkeypatch.setattr(J, "CHUNK", chunk)
+    monkeypatch.setattr(J, "TILE", 512 if chunk > 100 else 3)
     monkeypatch.setattr(common, "BATCH_CHARS", slices)
     rows = made(seed, 60) + CASES
     rows.append(rows[0])
@@ -83,9 +84,21 @@ def test_one_of_each_keeps_columns(spark):
     assert J.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_forest_and_labels_against_brute_force():
+    rnd = np.random.default_rng(5)
+    base = J.mixed(np.arange(400, dtype=np.uint64))
+    sets = sorted((np.unique(np.concatenate([base[k * 100 : k * 100 + 90], rnd.choice(base, int(rnd.integers(0, 25)))])) for k in rnd.integers(0, 4, 40)), key=len)
+    links = J.forest(np.arange(40), sets, 80)
+    want, got = np.arange(40), np.arange(40)
+    pairs = [(i, j) for i in range(40) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    J.joined(want, *np.array(pairs).T)
+    J.joined(got, *np.array(links).T)
+    assert (want == got).all() and len(links) == 40 - len(set(want.tolist())) and set(links) <= {(max(p), min(p)) for p in pairs} | {(min(p), max(p)) for p in pairs}
+
+
 def test_bound_is_above_the_overlap():
     rnd = np.random.default_rng(3)
     for _ in range(50):
         a, b = (np.unique(rnd.integers(0, 300, rnd.integers(1, 200)).astype(np.uint64)) for _ in range(2))
         a, b = (np.unique(J.mixed(x)) for x in (a, b))
-        assert np.minimum(J.point(a), J.point(b)).sum() >= len(np.intersect1d(a, b))
+        assert J.Points([J.point(a).tobytes(), J.point(b).tobytes()]).bounds(np.array([0]), np.array([1]))[0] >= len(np.intersect1d(a, b))

@@ -45,7 +45,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slim(spark: SparkSession, records: int = 1000) -> None:
+    """Whole texts make wide rows: at most so many of them go to a Python worker at once, in this session."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > records:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slim(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -54,15 +61,16 @@ def texts_of(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """The batches in slices of about BATCH_CHARS bytes of text, with the texts as a list."""
+def in_slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batches in slices of about `chars` (BATCH_CHARS) bytes of text, with the texts as a list."""
+    chars = chars or BATCH_CHARS
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = pa.compute.binary_length(column).to_pylist()
         begin = held = 0
         for i, size in enumerate(sizes):
             held += size or 0
-            if held >= BATCH_CHARS or i + 1 == len(sizes):
+            if held >= chars or i + 1 == len(sizes):
                 part = batch.slice(begin, i + 1 - begin)
                 yield part, [x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]
                 begin, held = i + 1, 0

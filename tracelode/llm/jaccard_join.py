@@ -1,18 +1,21 @@
 """N-gram Jaccard join with count-vector R-trees (operator 7).
 
-A document is its set of distinct word n-grams (64-bit hashes); equal sets are one node. The hashes fall into GROUPS
-groups, and the group counts are the node's point. Of two points, the sum of coordinate minima bounds the overlap of
-the sets from above. Points that can be linked meet in blocks, each block gets a packed R-tree whose inner nodes hold
-coordinate maxima and the least size below, and a search descends only where the bound reaches the overlap that the
-sizes demand. Pairs that survive in the leaves are verified on the sets themselves, exactly.
+A document is its set of distinct word n-grams (64-bit hashes); equal sets are one node. The hashes fall into groups, a
+power of two of them with about eight hashes each, and the group counts are the node's point; a finer point folds
+into a coarser one. Of two points, the sum of coordinate minima bounds the overlap of the sets from above. Points that
+can be linked meet in blocks. A block gets a packed R-tree of the points folded to ROUGH coordinates, whose inner nodes
+hold coordinate maxima and the least size below; a search descends only where the bound reaches the overlap that the
+sizes demand, and what reaches the leaves is bounded once more at the pair's finest common groups. Pairs that survive
+are verified on the sets themselves, exactly.
 
 Blocks: two sets of similarity t share a hash among the first n - ceil(t n) + 1 of each, in any order that is the same
 for all sets. The order here puts frequent hashes last (they are counted over all documents), so that a common passage
 fills no block. Blocks of equal members are one; those of over CHUNK members are tiled by size order.
 
-Links are found in two rounds, so that copies aren't expanded into pairs: first every node is paired with the best of
-its bounds only; after these links are verified and joined to components, all pairs that survive the bound across
-two components. No link between different components is lost, which makes the components exact.
+What survives isn't written as pairs, which copies would multiply: a block joins its nodes to clusters in memory and
+emits one row per node. Clusters of all blocks are connected; each node's set goes to its cluster once, in tiles of
+TILE nodes, where pairs of nodes that aren't yet linked are bounded at about one hash per group and then counted
+exactly. A tile emits the links of a spanning forest. No link between different sets is lost to the components.
 
 Defined cases: null and empty texts have no n-grams and are linked with nothing, not even with each other; a text of
 fewer words than an n-gram is one n-gram; rows with equal texts are linked; rows with equal doc_id and different texts
@@ -27,15 +30,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.llm.common import in_slices, written
 from tracelode.llm.components import components
 
-GROUPS = 64
+ROUGH = 32
+#: Bytes of text that are hashed at once.
+SLICE = 500_000
+#: Hashes whose frequencies are counted together.
+COUNTED = 1_500_000
+#: Sets are picked out of a scan by a table of 2**BITS bits up to so many of them; beyond, by a join.
+BITS, FEW = 27, 1 << 24
 CHUNK = 2048
 FAN = 16
+#: Nodes of a cluster whose sets are compared in one task.
+TILE = 512
 #: Hashes that are put last: those in most documents, at most HEAVY of them. The bound affects speed, not results.
 HEAVY = 100_000
 U = np.uint64
@@ -55,7 +66,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 LETTER = mixed(np.arange(1, 257, dtype=U) * BASE)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """STEP to the powers 0..n-1 and their inverses, modulo 2**64."""
     inverse = U(pow(int(STEP), -1, 2**64))
@@ -68,7 +79,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, with A-Z lower-cased, and how many each text has."""
     raws = [t.encode().lower() for t in texts]
     data = np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)
-    size = 1 << max(16, int(len(data) - 1).bit_length())
+    size = 1 << max(19, int(len(data) - 1).bit_length())
     up, down = powers(size)
     blank = BLANK[data]
     edge = np.flatnonzero(blank[1:] != blank[:-1])
@@ -108,8 +119,35 @@ def name(s: np.ndarray) -> int:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Group counts; the largest number stands for itself and all above."""
-    return np.minimum(np.bincount((s >> U(7)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS), 65535).astype("<u2")
+    """Group counts; the largest number of a byte stands for itself and all above."""
+    groups = max(ROUGH, 1 << int(len(s) // 8).bit_length())
+    return np.minimum(np.bincount((s >> U(7)).astype(np.int64) & (groups - 1), minlength=groups), 255).astype(np.uint8)
+
+
+class Points:
+    """The points of a block's members, folded to each number of groups that some of them have."""
+
+    def __init__(self, raw: list[bytes]):
+        self.groups = np.array([len(r) for r in raw])
+        own = [np.frombuffer(r, np.uint8).astype(np.int32) for r in raw]
+        own = [np.where(x == 255, 1 << 20, x) for x in own]
+        self.rough = np.array([x.reshape(-1, ROUGH).sum(axis=0) for x in own])
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for g in np.unique(self.groups).tolist():
+            some = np.flatnonzero(self.groups >= g)
+            place = np.zeros(len(raw), np.int64)
+            place[some] = np.arange(len(some))
+            self.at[g] = place, np.array([own[i].reshape(-1, g).sum(axis=0) for i in some])
+
+    def bounds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs of members, at their finest common groups."""
+        out = np.zeros(len(a), np.int64)
+        common = np.minimum(self.groups[a], self.groups[b])
+        for g in np.unique(common).tolist():
+            place, table = self.at[g]
+            for some in np.array_split(np.flatnonzero(common == g), max(1, len(a) * g >> 22)):
+                out[some] = np.minimum(table[place[a[some]]], table[place[b[some]]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def least_overlap(sizes, percent: int):
@@ -128,22 +166,28 @@ def rows(columns: list, names: list[str], types: list[pa.DataType]) -> pa.Record
 def surveyed(docs: DataFrame, n: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """In one pass, written once: (doc_id, row, node, n, point) per row, and (token, count) of frequent hashes.
 
-    A hash counts where it is in three documents of one slice of a task; sums over all slices follow."""
+    A hash counts where it is in three of some thousand documents of a task; sums over all of these follow."""
     names = ["doc_id", "row", "node", "n", "point", "token", "count"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in in_slices(batches):
+        held: list[np.ndarray] = []
+        for batch, texts in in_slices(batches, chars=SLICE):
             sets = sets_of(texts, n)
-            k = len(sets)
-            out = [batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), [name(s) for s in sets], [len(s) for s in sets], [point(s).tobytes() for s in sets], [None] * k, [None] * k]
-            tokens, times = np.unique(np.concatenate(sets), return_counts=True)
-            common = times >= 3
-            if m := int(common.sum()):
-                none = [None] * m
-                for column, more in zip(out, [none, none, none, none, none, tokens[common].view(np.int64).tolist(), times[common].tolist()], strict=True):
-                    column.extend(more)
-            yield rows(out, names, types)
+            held.extend(sets)
+            none = [None] * len(sets)
+            yield rows([batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), [name(s) for s in sets], [len(s) for s in sets], [point(s).tobytes() for s in sets], none, none], names, types)
+            if sum(map(len, held)) > COUNTED:
+                yield counts(held)
+                held = []
+        if held:
+            yield counts(held)
+
+    def counts(sets: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, times = np.unique(np.concatenate(sets), return_counts=True)
+        tokens, times = tokens[times >= 3].view(np.int64), times[times >= 3]
+        none = [None] * len(tokens)
+        return rows([none, none, none, none, none, tokens, times], names, types)
 
     table = written(keyed(docs, text).mapInArrow(survey, "doc_id long, row long, node long, n int, point binary, token long, count long"), "survey")
     return table.where("token is null").select("doc_id", "row", "node", "n", "point"), table.where("token is not null").select("token", "count")
@@ -169,7 +213,7 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, n: int, percent: int, text: str
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, texts in in_slices(batches):
+        for _, texts in in_slices(batches, chars=SLICE):
             tokens, nodes, sizes = [], [], []
             for s in sets_of(texts, n):
                 if len(s) and (node := name(s)) not in seen:
@@ -187,7 +231,7 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, n: int, percent: int, text: str
 
 
 def blocks(front: DataFrame, percent: int) -> DataFrame:
-    """(block, node, first): members of blocks; first says that the block counts in the first round.
+    """(block, node): members of blocks.
 
     Hashes stream through sorted, those of a single set go at once. A group of up to CHUNK nodes is a block, named
     after its members; larger ones are cut into chunks by size, and chunks whose sizes can be linked make a tile."""
@@ -212,7 +256,7 @@ def blocks(front: DataFrame, percent: int) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         ends = np.append(starts[1:], len(token))
         several = np.flatnonzero(ends - starts > 1)
-        ids, out, first = [], [], []
+        ids, out = [], []
         known: set[int] = set()
         for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
             if b - a <= CHUNK:
@@ -221,7 +265,6 @@ def blocks(front: DataFrame, percent: int) -> DataFrame:
                     known.add(block)
                     ids.append(np.full(b - a, block))
                     out.append(node[a:b])
-                    first.append(np.ones(b - a, bool))
                 continue
             cuts = [*range(a, b, CHUNK), b]
             for i, (c, d) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -231,11 +274,10 @@ def blocks(front: DataFrame, percent: int) -> DataFrame:
                     tile = node[c:d] if e == c else np.concatenate([node[c:d], node[e:f]])
                     ids.append(np.full(len(tile), name(np.array([token[a], c - a, e - a], np.int64).view(U))))
                     out.append(tile)
-                    first.append(np.full(len(tile), e == c))
         if ids:
-            yield rows([np.concatenate(ids), np.concatenate(out), np.concatenate(first)], ["block", "node", "first"], [pa.int64(), pa.int64(), pa.bool_()])
+            yield rows([np.concatenate(ids), np.concatenate(out)], ["block", "node"], [pa.int64(), pa.int64()])
 
-    return ordered.mapInArrow(group, "block long, node long, first boolean").distinct()
+    return ordered.mapInArrow(group, "block long, node long").distinct()
 
 
 class RTree:
@@ -248,82 +290,142 @@ class RTree:
             cuts = np.arange(0, len(s), FAN)
             self.levels.append((np.maximum.reduceat(p, cuts), np.minimum.reduceat(s, cuts)))
 
-    def search(self, points: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query and entry places whose bound reaches the overlap demanded, and the bounds."""
+    def search(self, points: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Query and entry places whose bound reaches the overlap demanded."""
         top = len(self.levels[-1][1])
         q, e = np.repeat(np.arange(len(sizes)), top), np.tile(np.arange(top), len(sizes))
         for depth in range(len(self.levels) - 1, -1, -1):
             p, s = self.levels[depth]
-            parts = []
+            good = np.zeros(len(q), bool)
             for i in range(0, len(q), 100_000):
                 a, b = q[i : i + 100_000], e[i : i + 100_000]
-                bound = np.minimum(points[a], p[b]).sum(axis=1, dtype=np.int64)
-                bound[((points[a] == 65535) & (p[b] == 65535)).any(axis=1)] = 1 << 40
-                good = bound >= least_overlap(sizes[a] + s[b], percent)
-                parts.append((a[good], b[good], bound[good]))
-            q, e, bound = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (q, e, np.empty(0, np.int64))
+                good[i : i + 100_000] = np.minimum(points[a], p[b]).sum(axis=1, dtype=np.int64) >= least_overlap(sizes[a] + s[b], percent)
+            q, e = q[good], e[good]
             if depth:
                 n = len(self.levels[depth - 1][1])
                 q, e = np.repeat(q, FAN), (e[:, None] * FAN + np.arange(FAN)).ravel()
                 q, e = q[e < n], e[e < n]
-        return q, e, bound
-
-
-def candidates(members: DataFrame, percent: int, best: bool) -> DataFrame:
-    """(a, b, bound) from blocks with points: of each member only the best earlier one, or all pairs across components.
-
-    members: block, node, n, point, root."""
+        return q, e
+
+
+def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Whole groups of equal keys from batches that are sorted by key: tables of rows and where their groups begin."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        fresh = bool(held) and held[-1].column(key)[len(held[-1]) - 1].as_py() != keys[0]
+        if not fresh and not len(cuts):
+            held.append(batch)
+            continue
+        end = 0 if fresh else int(cuts[0])
+        if held or end:
+            yield pa.concat_batches([*held, batch.slice(0, end)]), [0]
+        last = int(cuts[-1]) if len(cuts) else 0
+        if last > end:
+            yield batch.slice(end, last - end), [0, *(c - end for c in cuts.tolist() if end < c < last)]
+        held = [batch.slice(last)]
+    if held:
+        yield pa.concat_batches(held), [0]
+
+
+def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Gives the components that pairs (a, b) of places connect one label."""
+    while len(a):
+        x, y = labels[a], labels[b]
+        differ = x != y
+        if not differ.any():
+            return
+        low, high = np.minimum(x, y)[differ], np.maximum(x, y)[differ]
+        to = np.arange(len(labels))
+        np.minimum.at(to, high, low)
+        while (to[to] != to).any():
+            to = to[to]
+        labels[:] = to[labels]
+
+
+def clustered(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) from blocks with points (block, node, n, point): each node that has a partner which the bound leaves it,
+    with the first node of those that such pairs connect in the block."""
     ordered = members.repartition("block").sortWithinPartitions("block", "n", "node")
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "node", "n", "point", "root")]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            block = now[0]
-            last = int(np.flatnonzero(block != block[-1])[-1]) + 1 if (block != block[-1]).any() else 0
-            held = [x[last:] for x in now]
-            if last:
-                yield from found(*(x[:last] for x in now))
-        if held is not None:
-            yield from found(*held)
-
-    def found(block, node, n, point, root) -> Iterator[pa.RecordBatch]:
-        points = np.frombuffer(b"".join(point), "<u2").reshape(len(block), GROUPS)
-        n = n.astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        out: list[tuple] = []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True):
-            p, s, ids, comp = points[a:b], n[a:b], node[a:b], root[a:b]
-            if not best and (comp == comp[0]).all():
-                continue
-            tree = RTree(p, s)
-            for c in range(0, b - a, 256):
-                q, e, bound = tree.search(p[c : c + 256], s[c : c + 256], percent)
-                q = q + c
-                keep = e < q if best else (e < q) & (comp[q] != comp[e])
-                q, e, bound = q[keep], e[keep], bound[keep]
-                share = bound / np.maximum(s[q] + s[e] - bound, 1)
-                if best and len(q):
-                    order = np.lexsort((ids[e], -share, q))
-                    q, e, share = q[order], e[order], share[order]
-                    one = np.concatenate([[True], q[1:] != q[:-1]])
-                    q, e, share = q[one], e[one], share[one]
-                if len(q):
-                    out.append((ids[q], ids[e], share))
-        if out:
-            yield rows([np.concatenate(x) for x in zip(*out, strict=True)], ["a", "b", "share"], [pa.int64(), pa.int64(), pa.float64()])
-
-    return ordered.mapInArrow(pairs, "a long, b long, share double")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, counted exactly."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    shared = both.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("shared"))
-    return shared.where(F.col("shared") * (100 + percent) >= F.col("sizes") * percent).select("a", "b")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in by_key(batches, "block"):
+            node, n, point = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "point"))
+            n = n.astype(np.int64)
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for a, b in zip(starts, [*starts[1:], len(node)], strict=True):
+                s, ids, points = n[a:b], node[a:b], Points(point[a:b].tolist())
+                tree, labels = RTree(points.rough, s), np.arange(b - a)
+                for c in range(0, b - a, 256):
+                    q, e = tree.search(points.rough[c : c + 256], s[c : c + 256], percent)
+                    q = q + c
+                    keep = (e < q) & (labels[e] != labels[q])
+                    q, e = q[keep], e[keep]
+                    good = points.bounds(q, e) >= least_overlap(s[q] + s[e], percent)
+                    joined(labels, q[good], e[good])
+                several = np.bincount(labels, minlength=b - a)[labels] > 1
+                if several.any():
+                    out.append((ids[several], ids[labels[several]]))
+            if out:
+                yield rows([np.concatenate(x) for x in zip(*out, strict=True)], ["a", "b"], [pa.int64(), pa.int64()])
+
+    return ordered.mapInArrow(search, "a long, b long")
+
+
+def tiles(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(tile, node): a cluster of up to TILE nodes is one tile; of a larger one, every two runs of TILE nodes by size."""
+    counted = clusters.groupBy("root").agg(F.count("*").alias("m"))
+    small = clusters.join(counted.where(F.col("m") <= TILE), "root").select(F.xxhash64("root", F.lit(0), F.lit(0)).alias("tile"), "node")
+    large = clusters.join(counted.where(F.col("m") > TILE), "root").join(sizes, "node")
+    run = F.floor((F.row_number().over(Window.partitionBy("root").orderBy("n", "node")) - 1) / TILE).cast("int")
+    runs = large.withColumn("run", run).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / TILE).cast("int"))))
+    return small.unionByName(runs.select(F.xxhash64("root", F.least("run", "other"), F.greatest("run", "other")).alias("tile"), "node"))
+
+
+def links_of(tiled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the pairs in each tile whose sets are similar enough, counted exactly."""
+    ordered = tiled.join(sets, "node").repartition("tile").sortWithinPartitions("tile", F.size("grams"), "node")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in by_key(batches, "tile"):
+            out: list[tuple[int, int]] = []
+            ids = batch.column("node").to_numpy()
+            grams = batch.column("grams")
+            for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
+                own = ids[a:b]
+                fresh = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))  # rows of equal doc_id and text
+                out += forest(own[fresh], [grams[int(a + i)].values.to_numpy().view(U) for i in fresh], percent)
+            if out:
+                yield rows(list(zip(*out, strict=True)), ["a", "b"], [pa.int64(), pa.int64()])
+
+    return ordered.mapInArrow(verify, "a long, b long")
+
+
+def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links among the sets (ascending by size) that connect all that links connect."""
+    sizes = np.array([len(s) for s in sets])
+    groups = 1 << min(16, max(5, int(sizes.max()).bit_length()))
+    table = np.zeros((len(sets), groups), np.uint8)
+    open_ = np.zeros(len(sets), bool)  # bounded by nothing
+    for i, s in enumerate(sets):
+        counts = np.bincount((s >> U(7)).astype(np.int64) & (groups - 1), minlength=groups)
+        table[i], open_[i] = np.minimum(counts, 255), counts.max() >= 255
+    labels, out = np.arange(len(sets)), []
+    for q in range(1, len(sets)):
+        e = np.flatnonzero((labels[:q] != labels[q]) & (sizes[:q] * 100 >= percent * sizes[q]))
+        if not len(e):
+            continue
+        bound = np.minimum(table[e], table[q]).sum(axis=1, dtype=np.int64)
+        bound[open_[e] | open_[q]] = 1 << 40
+        good = bound >= least_overlap(sizes[e] + sizes[q], percent)
+        for i in e[good][np.argsort(-bound[good], kind="stable")].tolist():
+            if labels[i] != labels[q]:
+                shared = len(np.intersect1d(sets[i], sets[q], assume_unique=True))
+                if shared * (100 + percent) >= percent * int(sizes[i] + sizes[q]):
+                    out.append((int(ids[q]), int(ids[i])))
+                    labels[labels == labels[q]] = labels[i]
+    return out
 
 
 def linked(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -332,20 +434,11 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -
     most = counted.groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(HEAVY)
     heavy = np.array([r.token for r in most.orderBy("count", "token").collect()], np.int64).view(U)  # at most HEAVY
     member = written(blocks(prefixes(docs, heavy, n, percent, text), percent), "blocks")
-    known = people.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "row")).alias("at"), F.first("n").alias("n"), F.first("point").alias("point"))
-    wanted = member.select("node").distinct()
-    nodes = written(known.join(wanted, "node"), "nodes")  # those that a block has
-    sets = written(texts_as_sets(docs, nodes.select("at"), n, text), "sets")
-    points = member.join(nodes.select("node", "n", "point"), "node")
-    tried = candidates(points.where("first").withColumn("root", F.lit(0).cast("long")), percent, best=True)
-    parents = tried.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
-    links = written(verified(parents, sets, percent), "links")
-    roots = components(links)
-    rooted = points.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = verified(candidates(rooted, percent, best=False).select("a", "b").distinct(), sets, percent)
-    more = written(more, "links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    known = people.where("n > 0").groupBy("node").agg(F.min(text_key()).alias("key"), F.first("n").alias("n"), F.first("point").alias("point"))
+    near = written(clustered(member.join(known, "node").select("block", "node", "n", "point"), percent), "near")
+    clusters = written(components(near), "clusters")
+    sets = written(picked_sets(docs, known.join(clusters, "node").select("node", "key"), n, text), "sets")
+    roots = components(written(links_of(tiles(clusters, known.select("node", "n")), sets, percent), "links"))
     roots = written(roots, "roots")
     own = people.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("own"))
     joined = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -356,18 +449,41 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -
     return full.unionByName(empty)
 
 
-def texts_as_sets(docs: DataFrame, at: DataFrame, n: int, text: str = "text") -> DataFrame:
-    """(node, grams) of the documents named by at: struct(doc_id, row)."""
+def text_key():
+    """One number for a row's doc_id and text."""
+    return F.xxhash64(F.coalesce("doc_id", F.lit(-(2**63))), "row")
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in in_slices(batches):
-            sets = sets_of(texts, n)
-            yield rows([[name(s) for s in sets], [s.view(np.int64) for s in sets]], ["node", "grams"], [pa.int64(), pa.list_(pa.int64())])
 
-    keys = at.select(F.coalesce("at.doc_id", F.lit(-(2**63))).alias("doc"), F.col("at.row").alias("row"))
-    rows_ = keyed(docs, text).withColumn("doc", F.coalesce("doc_id", F.lit(-(2**63))))
-    picked = rows_.join(keys, ["doc", "row"], "left_semi").select("text")
-    return picked.mapInArrow(grams, "node long, grams array<long>").dropDuplicates(["node"])
+def picked_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str = "text") -> DataFrame:
+    """(node, grams) of the texts that wanted (node, key) names, and of few others.
+
+    Up to FEW, the keys' places in a table of bits pick them during the scan: the table is gathered as words, at most
+    2**BITS / 64 of them, so the texts aren't shuffled. Beyond, the texts are joined with the keys."""
+    rows_ = keyed(docs, text).withColumn("key", text_key())
+    if wanted.count() > FEW:
+        return rows_.join(wanted.select("key").distinct(), "key", "left_semi").select("text").mapInArrow(grams_of(n, None), "node long, grams array<long>")
+    bits = wanted.select(F.pmod("key", F.lit(1 << BITS)).alias("bit")).selectExpr("cast(bit div 64 as int) as word", "shiftleft(1L, cast(bit % 64 as int)) as one")
+    words = bits.groupBy("word").agg(F.bit_or("one").alias("bits")).toArrow()
+    table = np.zeros((1 << BITS) // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    used = np.flatnonzero(table)
+    return rows_.select("key", "text").mapInArrow(grams_of(n, (used, table[used])), "node long, grams array<long>")
+
+
+def grams_of(n: int, words: tuple[np.ndarray, np.ndarray] | None):
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if words is not None:
+            table = np.zeros((1 << BITS) // 64, np.int64)
+            table[words[0]] = words[1]
+        for batch in batches:
+            if words is not None:
+                bit = batch.column("key").to_numpy() & ((1 << BITS) - 1)
+                batch = batch.filter(pa.array((table[bit >> 6] >> (bit & 63)) & 1 == 1))
+            for _, texts in in_slices([batch], chars=SLICE):
+                sets = sets_of(texts, n)
+                yield rows([[name(s) for s in sets], [s.view(np.int64) for s in sets]], ["node", "grams"], [pa.int64(), pa.list_(pa.int64())])
+
+    return grams
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
