@@ -135,3 +135,42 @@ def recency(found: DataFrame) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("item", F.log1p((F.col("anchor") - F.col("last")) / 1e6).alias("v"))))).alias("recency"),
         ((F.max("last") - F.min("first")) / 1e6).alias("span_s"), (F.min(F.col("anchor") - F.col("last")) / 1e6).alias("last_gap_s"),
     )
+
+
+def without_seeds(stream: DataFrame, kind: str, seeds: DataFrame) -> DataFrame:
+    """The stream without failures at the given times (us), which a generator planted."""
+    own = F.col("event_type") == kind
+    planted = seeds.select("us", F.lit(True).alias("planted")).distinct()
+    return stream.join(planted, "us", "left").where(~(own & F.coalesce("planted", F.lit(False)))).drop("planted")
+
+
+def without_prior_failure(anchors: DataFrame, failures: DataFrame, span: int) -> DataFrame:
+    """Anchors that have no failure in [anchor - span, anchor): an earlier outage would explain what the window holds."""
+    order = Window.partitionBy("entity_id").orderBy("us").rangeBetween(-span, -1)
+    both = anchors.withColumn("us", F.col("anchor")).unionByName(failures.select("entity_id", F.col("anchor").alias("us")).distinct().withColumn("mark", F.lit(1)), allowMissingColumns=True)
+    return both.withColumn("prior", F.count("mark").over(order)).where("anchor is not null and prior = 0").drop("us", "mark", "prior")
+
+
+def event_controls(stream: DataFrame, failures: DataFrame, clean: int, per_entity: int = 40, least: int = 5) -> DataFrame:
+    """Anchors at events themselves: per entity with at least `least` events, the per_entity first by hash that no failure
+    follows within [t, t + clean]."""
+    enough = stream.groupBy("entity_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("entity_id")
+    times = stream.join(enough, "entity_id", "left_semi").select("entity_id", "us").distinct()
+    drawn = times.withColumn("place", F.row_number().over(Window.partitionBy("entity_id").orderBy(draw("entity_id", "us"), "us"))).where(F.col("place") <= per_entity)
+    order = Window.partitionBy("entity_id").orderBy("us").rangeBetween(0, clean)
+    both = drawn.select("entity_id", "us", F.lit(0).alias("mark")).unionByName(failures.select("entity_id", F.col("anchor").alias("us"), F.lit(1).alias("mark")).distinct())
+    return both.withColumn("after", F.sum("mark").over(order)).where("mark = 0 and after = 0").select("entity_id", F.col("us").alias("anchor"), F.lit(False).alias("is_failure"))
+
+
+def developing(rows: DataFrame, anchors: DataFrame, value: str, far: int, near: int, least: int = 20) -> DataFrame:
+    """Per anchor, the median of value and its slope per hour in [anchor - far, anchor - near], from `least` points on."""
+    found = time_slice(rows, anchors, far).where(F.col("us") <= F.col("anchor") - near)
+    hours = (F.col("us") - F.col("anchor")) / 3.6e9
+    out = found.groupBy("entity_id", "anchor").agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("median"), F.regr_slope(F.col(value), hours).alias("slope"))
+    return out.where(F.col("n") >= least)
+
+
+def spans_of(found: DataFrame, minute: int = 60_000_000) -> DataFrame:
+    """How close together the events of a window lie: windows of two or more, the median span in minutes, and the share under one."""
+    span = found.groupBy("entity_id", "anchor").agg(F.count("*").alias("n"), ((F.max("us") - F.min("us")) / minute).alias("m")).where("n >= 2")
+    return span.agg(F.count("*").alias("windows"), F.percentile("m", 0.5).alias("median_min"), F.avg((F.col("m") < 1).cast("double")).alias("under_one"))

@@ -679,6 +679,97 @@ def bootstrap_ci(spark, d):
     return r6(evaluation.bootstrap(rule_scores(spark, d), draws=50), "low", "high")
 
 
+@query("seed_exclusion", f"with {S.EV} select ordinal from ev where not (event_type = 'error' and us in (select us from ev where event_type = 'error' order by us limit 18))")
+def seed_exclusion(spark, d):
+    s = stream(spark, d)
+    seeds = s.where(F.col("event_type") == T.FAILURE).orderBy("us").limit(18).select("us")
+    return windows.without_seeds(s, T.FAILURE, seeds).select("ordinal")
+
+
+@query("terminal_exclusion", f"{BASE} select array_to_string(itemset, '|') as itemset from frequent where len(list_filter(itemset, lambda x: contains(x, 'signup'))) = 0")
+def terminal_exclusion(spark, d):
+    return mining.itemsets(last_windows(spark, d)).where(~F.exists("itemset", lambda x: x.contains("signup"))).select(bars("itemset"))
+
+
+@query("length_match", f"with {S.windows(5)} select window_id from win where n_events = 5")
+def length_match(spark, d):
+    return last_windows(spark, d).where("n_events = 5").select("window_id")
+
+
+@query("intervening_guard", f"with {S.EV}, f as (select distinct entity_id, us as anchor from ev where event_type = 'error') select entity_id, anchor from f a where not exists (select 1 from f b where b.entity_id = a.entity_id and b.anchor >= a.anchor - {DAY} and b.anchor < a.anchor)")
+def intervening_guard(spark, d):
+    fails = windows.failure_anchors(stream(spark, d), T.FAILURE)
+    return windows.without_prior_failure(fails, fails, DAY).select("entity_id", "anchor")
+
+
+@query("event_controls", f"""with {S.EV}, t as (select distinct entity_id, us from ev), drawn as (select *, row_number() over (partition by entity_id order by {S.draw('entity_id', 'us')}, us) as place from t)
+  select entity_id, us as anchor from drawn x where place <= 40 and not exists (select 1 from ev f where f.entity_id = x.entity_id and f.event_type = 'error' and f.us between x.us and x.us + {DAY})""")
+def event_controls(spark, d):
+    s = stream(spark, d)
+    return windows.event_controls(s, windows.failure_anchors(s, T.FAILURE), DAY).select("entity_id", "anchor")
+
+
+@query("developing_window", f"""with {S.EV}, f as (select distinct entity_id, us as anchor from ev where event_type = 'error')
+  select f.entity_id, anchor, count(*) as n, round(quantile_cont(value, 0.5), 6) as median, round(regr_slope(value, (us - anchor) / 3.6e9), 6) as slope from f join ev e on e.entity_id = f.entity_id and e.us between f.anchor - {14 * DAY} and f.anchor - {DAY} group by 1, 2 having count(*) >= 20""")
+def developing_window(spark, d):
+    s = stream(spark, d)
+    return r6(windows.developing(s, windows.failure_anchors(s, T.FAILURE).drop("is_failure"), "value", 14 * DAY, DAY), "median", "slope")
+
+
+@query("colocation_span", f"with {S.windows(5)}, s as (select (max(us) - min(us)) / 6e7 as m from found group by entity_id, anchor having count(*) >= 2) select count(*) as windows, round(quantile_cont(m, 0.5), 6) as median_min, round(avg(case when m < 1 then 1.0 else 0 end), 6) as under_one from s")
+def colocation_span(spark, d):
+    s = stream(spark, d)
+    return r6(windows.spans_of(windows.last_k(history(spark, d), windows.anchors_of(s, T.FAILURE, CLEAN), 5)), "median_min", "under_one")
+
+
+@query("support_sweep", f"{BASE.replace('ceil(0.05 * all_failure)', '1')} select s as min_support, count(*) as n from frequent, (values (0.02), (0.05), (0.1), (0.15)) v(s) where n_failure >= ceil(s * all_failure) group by 1")
+def support_sweep(spark, d):
+    """One mining at the lowest support serves all: a pattern's count doesn't depend on the threshold."""
+    w = last_windows(spark, d)
+    n = w.agg(F.count_if("is_failure").alias("n_f"))
+    sweep = spark.createDataFrame([(x,) for x in ("0.02", "0.05", "0.1", "0.15")], "s string").select(F.col("s").cast("decimal(3,2)").alias("min_support"))
+    found = mining.itemsets(w, 0.02).crossJoin(F.broadcast(n)).crossJoin(F.broadcast(sweep))
+    return found.where(F.col("n_failure") >= F.ceil(F.col("min_support") * F.col("n_f"))).groupBy(F.col("min_support").cast("double").alias("min_support")).agg(F.count("*").alias("n"))
+
+
+@query("fp_survivors")
+def fp_survivors(spark, d):
+    rows = mining.mined_itemsets(last_windows(spark, d))
+    return r6(rows.select(bars("itemset"), "itemset_size", "n_failure", "n_control", "lift_failure", "permuted_ceiling", "survives"), "lift_failure", "permuted_ceiling")
+
+
+@query("ps_survivors")
+def ps_survivors(spark, d):
+    rows = mining.mined_sequences(last_windows(spark, d))
+    return r6(rows.select(bars("sequence"), "sequence_length", "n_failure", "n_control", "lift_failure", "order_gain", "shuffled_ceiling", "survives"), "lift_failure", "order_gain", "shuffled_ceiling")
+
+
+@query("order_value_assay")
+def order_value_assay(spark, d):
+    """What order adds: AUROC of precedence features on real windows less that on shuffled ones, over splits by entity."""
+    w = last_windows(spark, d).withColumn("label", F.col("is_failure").cast("int")).cache()
+    out = None
+    for seed in (0, 1):
+        for kind, rows in (("real", w), ("shuffled", mining.shuffled(w, seed))):
+            split = evaluation.entity_split(features.precedence(rows, words_of(w)[:6]), seed=seed)
+            row = evaluation.auroc(evaluation.logistic(split.where("train"), split.where(~F.col("train")), balanced=True)).select(F.lit(seed).alias("split"), F.lit(kind).alias("kind"), "auroc")
+            out = row if out is None else out.unionByName(row)
+    return r6(out.groupBy("split").pivot("kind", ["real", "shuffled"]).agg(F.first("auroc")).withColumn("order_value", F.col("real") - F.col("shuffled")), "real", "shuffled", "order_value")
+
+
+@query("alarm_leave_one_out")
+def alarm_leave_one_out(spark, d):
+    """Rules learned without a group of entities, replayed on it; alarms and outages of all groups are pooled."""
+    s = stream(spark, d)
+    outages = s.where(F.col("event_type") == T.FAILURE).select("entity_id", "us").distinct()
+    a_all, o_all = None, None
+    for g in range(3):
+        codes = mining.precursors(s.where(F.col("entity_id") % 3 != g), T.FAILURE, DAY, factor=1.0)
+        a, o = alarms.judged(alarms.raised(s.where(F.col("entity_id") % 3 == g), codes, DAY), outages.where(F.col("entity_id") % 3 == g), DAY)
+        a_all, o_all = (a, o) if a_all is None else (a_all.unionByName(a), o_all.unionByName(o))
+    return r6(alarms.metrics(a_all, o_all), "median_lead_min", "precision", "recall")
+
+
 # Joins, set operations, sorts and scans on the business tables.
 
 
