@@ -89,7 +89,7 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, dt
         if docs_here:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([docs_here]), pa.array([tokens])], ["part", "path", "n_docs", "n_tokens"])
 
-    ordered = texts_of(docs, "doc_id", text=text).repartitionByRange("doc_id", text).sortWithinPartitions("doc_id", text)
+    ordered = texts_of(docs, "doc_id", text=text).repartitionByRange("doc_id").sortWithinPartitions("doc_id", text)
     shards = ordered.mapInArrow(write, "part int, path string, n_docs long, n_tokens long").collect()  # a row per shard
     return [r.asDict() for r in sorted(shards, key=lambda r: r.part)]
 
