@@ -29,6 +29,8 @@ from tracelode.llm.jaccard_join import word_hashes
 PASSAGE = 512
 TRAIN_DOCS, TRAIN_PASSAGES = 4000, 32
 CUT = 0.3
+#: Bytes of text that are encoded at once.
+SLICE = 500_000
 
 
 def classes() -> np.ndarray:
@@ -154,7 +156,7 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text") -> Attention
     of = {r.doc_id: r.y for r in some}
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in in_slices(batches, text):
+        for batch, texts in in_slices(batches, text, SLICE):
             x, counts = passages(texts)
             out, at = [], 0
             for c in counts.tolist():
@@ -177,7 +179,7 @@ def scored(docs: DataFrame, model: Attention | float, text: str = "text") -> Dat
     """Per row of docs: doc_id, held_out, score, predicted. No shuffle."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in in_slices(batches, text):
+        for batch, texts in in_slices(batches, text, SLICE):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores(model, texts))], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == 0).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias(text))
@@ -193,7 +195,7 @@ def accepted(docs: DataFrame, model: Attention | float, text: str = "text") -> D
     """The rows of docs that the model doesn't reject, with all their columns."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in in_slices(batches, text):
+        for batch, texts in in_slices(batches, text, SLICE):
             yield batch.filter(pa.array(scores(model, texts) >= CUT))
 
     return docs.mapInArrow(keep, docs.schema)

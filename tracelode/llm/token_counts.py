@@ -59,7 +59,7 @@ def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
 class MergeCounter(Chunks):
     """Counts of whole texts for a byte-level BPE file without a normalizer."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 300_000):
         with open(path, encoding="utf-8") as f:
             stated = json.load(f)
         model, split = stated["model"], stated["pre_tokenizer"]

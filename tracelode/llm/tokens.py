@@ -38,7 +38,7 @@ class Chunks:
     then all are dropped: memory doesn't grow with the corpus.
     """
 
-    def __init__(self, limit: int = 800_000):
+    def __init__(self, limit: int = 300_000):
         self.limit = limit
         self.forget()
 
@@ -99,7 +99,7 @@ class Chunks:
 class WordEncoder(Chunks):
     """Ids of whole texts as the tokenizers library gives them for a file, without added special tokens."""
 
-    def __init__(self, path: str, dtype: str = "<u2", limit: int = 800_000):
+    def __init__(self, path: str, dtype: str = "<u2", limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
