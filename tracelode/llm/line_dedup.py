@@ -1,24 +1,27 @@
 """Line dedup with a log-template tree (operator 1).
 
-A line's tokens (split at white space) lead through a tree of fixed depth: the number of tokens, then the leading
-tokens, with tokens that hold a digit as wildcards. In a leaf, lines join the template that most of their tokens agree
-with, if the share is at least `similarity`; differing tokens become wildcards. A template with lines in two or more
-documents recurs: its lines stay in the first such document (the smallest doc_id) and are dropped from all others.
+A line's tokens (split at white space; letters of scripts written without spaces are tokens each) lead through a tree of
+fixed depth: the number of tokens, then the leading tokens, as far as there are any, with tokens that hold a digit as
+wildcards. In a leaf, lines join the template that most of their tokens agree with, if the share is at least
+`similarity`; differing tokens become wildcards. A template with lines in two or more documents recurs: its lines stay
+in the first such document (the smallest doc_id) and are dropped from all others.
 
 How it scales: the same masked line from many documents is one row before anything is gathered (partial aggregation
 by its hash), and what travels is hashes of lines and 16-bit hashes of tokens, not text. A leaf's lines stream through
 one task sorted, with its templates as the only state; leaves are as many as there are beginnings of lines.
 
-Defined cases: lines of fewer than `least` tokens, null and empty texts stay as they are; rows with one doc_id are one
-document and are all kept; a null doc_id is a document of its own before all others; an empty table gives none; other
-columns stay, whatever their names.
+Defined cases: lines of fewer than `least` tokens (op1 and the pipeline judge all from 1 token on), lines of white space,
+null and empty texts stay as they are; rows with one doc_id are one document and are all kept; a null doc_id is a
+document of its own before all others; an empty table gives none; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,12 @@ from pyspark.sql import functions as F
 from tracelode.llm.common import in_slices
 
 DIGIT = re.compile(r"[0-9]")
+#: Thai to Myanmar, Khmer, Tai scripts, Javanese, kana, bopomofo and Han with their punctuation: written without spaces.
+UNSPACED = "\u0e00-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u3001-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua980-\ua9df\ua9e0-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff61-\uff9f\U00020000-\U0003ffff"
+RUN = re.compile(f"[{UNSPACED}]")
+PARTS = re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
+#: UTF-16 units that may be of such a letter: a text without any is split at white space.
+MAYBE = np.array([RUN.match(chr(c)) is not None or 0xD840 <= c <= 0xDFFF for c in range(65536)])
 WILD = 0
 LINES = "doc long, row long, line int, hash binary, leaf long, tokens binary"
 
@@ -41,33 +50,40 @@ def keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id"), F.lit(no_id())).alias("doc"), F.xxhash64(text).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+def unspaced(text: str) -> bool:
+    """Whether the text may hold letters of scripts written without spaces."""
+    return not text.isascii() and bool(MAYBE[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")].any())
+
+
+def tokens_of(line: str, unspaced: bool = True) -> list[str]:
+    return PARTS.findall(line) if unspaced else line.split()
+
+
 def small(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
 class Masker:
-    """Lines as hashes. Token hashes are kept by token, up to a bound."""
-
-    def __init__(self, depth: int, least: int, kept: int = 200_000):
-        self.depth, self.least, self.kept = depth, least, kept
-        self.of: dict[str, int] = {}
-
-    def token(self, t: str) -> int:
-        if (h := self.of.get(t)) is None:
-            if len(self.of) >= self.kept:
-                self.of.clear()
-            h = self.of[t] = WILD if DIGIT.search(t) else small(t.encode()) % 65535 + 1
-        return h
-
-    def line(self, line: str) -> tuple[bytes, int, np.ndarray] | None:
-        """Hash of the masked line, its leaf and its tokens; None for a line that is too short to judge."""
-        tokens = line.split()
+    """Lines as hashes."""
+
+    def __init__(self, depth: int, least: int):
+        self.depth, self.least = depth, max(least, 1)
+
+    def masked(self, line: str, unspaced: bool) -> bytes | None:
+        """The tokens, NUL for those with a digit; None for an empty line or one that is too short to judge."""
+        tokens = tokens_of(line, unspaced)
         if len(tokens) < self.least:
             return None
-        masked = ["\0" if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens
-        joined = " ".join(masked).encode()
-        leaf = " ".join([str(len(tokens)), *masked[: self.depth]]).encode()
-        return hashlib.blake2b(joined, digest_size=16).digest(), small(leaf), tokens
+        return " ".join(["\0" if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens).encode()
+
+    def hash(self, masked: bytes) -> bytes:
+        return hashlib.blake2b(masked, digest_size=16).digest()
+
+    def leaf(self, masked: bytes) -> tuple[int, bytes]:
+        """Its leaf and its tokens."""
+        tokens = masked.split(b" ")
+        leaf = small(b" ".join([b"%d" % len(tokens), *tokens[: self.depth]]))
+        return leaf, array("H", [WILD if t == b"\0" else crc32(t) % 65535 + 1 for t in tokens]).tobytes()
 
 
 def lines_of(docs: DataFrame, depth: int, least: int, tokens: bool, text: str = "text") -> DataFrame:
@@ -78,10 +94,11 @@ def lines_of(docs: DataFrame, depth: int, least: int, tokens: bool, text: str =
         for batch, texts in in_slices(batches):
             rows: list[tuple] = []
             for doc, row, t in zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), texts, strict=True):
+                whole = unspaced(t)
                 for k, line in enumerate(t.split("\n")):
-                    if (found := masker.line(line)) is not None:
-                        h, leaf, parts = found
-                        rows.append((doc, row, k, h, leaf, np.array([masker.token(x) for x in parts], "<u2").tobytes()) if tokens else (doc, row, k, h))
+                    if (m := masker.masked(line, whole)) is not None:
+                        h = masker.hash(m)
+                        rows.append((doc, row, k, h, *masker.leaf(m)) if tokens else (doc, row, k, h))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 

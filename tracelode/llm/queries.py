@@ -18,7 +18,7 @@ def vocabulary(name: str) -> str:
 def op1_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelode.llm.line_dedup import report
 
-    return report(documents(spark, sf_dir))
+    return report(documents(spark, sf_dir), least=1)
 
 
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
