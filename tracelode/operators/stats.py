@@ -72,6 +72,11 @@ def matched_hazard(strata: DataFrame, by: str = "pattern", steps: int = 25) -> D
     return out.select(by, "strata", "observed", F.exp("beta").alias("hazard_ratio"), F.exp(F.col("beta") - 1.96 * F.col("se")).alias("hr_low"), F.exp(F.col("beta") + 1.96 * F.col("se")).alias("hr_high"), erfc(z / 1.4142135623730951).alias("p"))
 
 
+def alike(hits: DataFrame, pattern: str) -> DataFrame:
+    """(window_id, held): windows that hold the same patterns have the same `held`, so a draw is counted by it first."""
+    return hits.groupBy("window_id").agg(F.array_sort(F.collect_list(pattern)).alias("held"))
+
+
 def within_entity_p(hits: DataFrame, windows: DataFrame, pattern: str, draws: int = 200) -> DataFrame:
     """p of a pattern's lift when labels are permuted within each entity.
 
@@ -82,7 +87,8 @@ def within_entity_p(hits: DataFrame, windows: DataFrame, pattern: str, draws: in
     labels = windows.join(windows.groupBy("entity_id").agg(F.count_if("is_failure").alias("f")), "entity_id").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     labelled = labels.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("f")).select("window_id", "b")
     real = hits.groupBy(pattern).agg(F.count_if("is_failure").alias("case_hits"))
-    null = hits.select(pattern, "window_id").join(labelled, "window_id").groupBy(pattern, "b").agg(F.count("*").alias("drawn"))
+    counts = labelled.join(alike(hits, pattern), "window_id").groupBy("b", "held").agg(F.count("*").alias("n"))
+    null = counts.select("b", "n", F.explode("held").alias(pattern)).groupBy(pattern, "b").agg(F.sum("n").alias("drawn"))
     joined = real.join(null, pattern, "left")
     return joined.groupBy(pattern, "case_hits").agg(((1 + F.count_if(F.col("drawn") >= F.col("case_hits")) + F.when(F.col("case_hits") == 0, draws - F.count("b")).otherwise(0)) / (draws + 1)).alias("p_within"))
 
@@ -112,7 +118,8 @@ def min_p(hits: DataFrame, windows: DataFrame, pattern: str, draws: int = 100) -
     labels = windows.select("window_id").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("place", F.row_number().over(order))
     labels = labels.crossJoin(F.broadcast(sizes)).select("window_id", "b", (F.col("place") <= F.col("all_failure")).alias("is_failure"))
     count = [F.count_if("is_failure").alias("n_failure"), F.count_if(~F.col("is_failure")).alias("n_control")]
-    null = hits.select(pattern, "window_id").join(labels, "window_id").groupBy("b", pattern).agg(*count)
+    counts = labels.join(alike(hits, pattern), "window_id").groupBy("b", "held").agg(*count)
+    null = counts.select("b", "n_failure", "n_control", F.explode("held").alias(pattern)).groupBy("b", pattern).agg(F.sum("n_failure").alias("n_failure"), F.sum("n_control").alias("n_control"))
     least = with_p(null.crossJoin(F.broadcast(sizes))).groupBy("b").agg(F.min("p").alias("least"))
     real = with_p(hits.groupBy(pattern).agg(*count).crossJoin(F.broadcast(sizes)))
     return real.crossJoin(F.broadcast(least)).groupBy(pattern, "p").agg(F.avg((F.col("least") <= F.col("p") + 1e-12).cast("double")).alias("p_adjusted"))
