@@ -120,7 +120,8 @@ def min_p(hits: DataFrame, windows: DataFrame, pattern: str, draws: int = 100) -
     count = [F.count_if("is_failure").alias("n_failure"), F.count_if(~F.col("is_failure")).alias("n_control")]
     counts = labels.join(alike(hits, pattern), "window_id").groupBy("b", "held").agg(*count)
     null = counts.select("b", "n_failure", "n_control", F.explode("held").alias(pattern)).groupBy("b", pattern).agg(F.sum("n_failure").alias("n_failure"), F.sum("n_control").alias("n_control"))
-    least = with_p(null.crossJoin(F.broadcast(sizes))).groupBy("b").agg(F.min("p").alias("least"))
+    tail = with_p(null.select("n_failure", "n_control").distinct().crossJoin(F.broadcast(sizes))).select("n_failure", "n_control", "p")  # once per pair of counts
+    least = null.join(tail, ["n_failure", "n_control"]).groupBy("b").agg(F.min("p").alias("least"))
     real = with_p(hits.groupBy(pattern).agg(*count).crossJoin(F.broadcast(sizes)))
     return real.crossJoin(F.broadcast(least)).groupBy(pattern, "p").agg(F.avg((F.col("least") <= F.col("p") + 1e-12).cast("double")).alias("p_adjusted"))
 

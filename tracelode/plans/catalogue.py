@@ -284,7 +284,7 @@ def subseq_dominance(spark, d):
   select array_to_string(sequence, '|') as sequence, round(real_lift, 6) as real_lift, round(coalesce(s, 0), 6) as shuffled_lift, round(real_lift - coalesce(s, 0), 6) as order_effect from best left join lifts using (sequence)""")
 def count_preserving(spark, d):
     w = last_windows(spark, d)
-    return r6(mining.order_effect(w, sequence_scores(w), shuffles=3, top=20).withColumn("sequence", F.array_join("sequence", "|")), "real_lift", "shuffled_lift", "order_effect")
+    return r6(mining.order_effect(w, sequence_scores(w), shuffles=30, top=30).withColumn("sequence", F.array_join("sequence", "|")), "real_lift", "shuffled_lift", "order_effect")
 
 
 # Statistics.
@@ -384,7 +384,7 @@ def all_hits(w: DataFrame) -> DataFrame:
   select array_to_string(itemset, '|') as itemset, case_hits, round((1 + count(*) filter (where coalesce(n, 0) >= case_hits)) / 21.0, 6) as p_within from every left join null_counts using (itemset, b) group by itemset, case_hits""")
 def within_entity_perm(spark, d):
     w = last_windows(spark, d)
-    return r6(stats.within_entity_p(all_hits(w), w, "itemset", draws=20).withColumn("itemset", F.array_join("itemset", "|")), "p_within")
+    return r6(stats.within_entity_p(all_hits(w), w, "itemset", draws=2000).withColumn("itemset", F.array_join("itemset", "|")), "p_within")
 
 
 @query("loeo", f"""{BASE}, {HITS}, folds as (select p.itemset, e.entity_id from (select distinct itemset from hits) p, (select distinct entity_id from win) e),
@@ -404,7 +404,7 @@ def loeo(spark, d):
   select array_to_string(itemset, '|') as itemset, round(p, 6) as p, round(avg(case when least <= p + 1e-12 then 1.0 else 0 end), 6) as p_adjusted from real, least_p group by itemset, p""")
 def min_p(spark, d):
     w = last_windows(spark, d)
-    return r6(stats.min_p(all_hits(w), w, "itemset", draws=10).withColumn("itemset", F.array_join("itemset", "|")), "p", "p_adjusted")
+    return r6(stats.min_p(all_hits(w), w, "itemset", draws=500).withColumn("itemset", F.array_join("itemset", "|")), "p", "p_adjusted")
 
 
 @query("jaccard_stability", """with s as (select distinct l_shipdate::date - date '1990-01-01' as day, l_suppkey from lineitem), sets as (select distinct day % 30 as k, l_suppkey as m from s),
@@ -677,7 +677,7 @@ def gbt(spark, d):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, d):
-    return r6(evaluation.bootstrap(rule_scores(spark, d), draws=50), "low", "high")
+    return r6(evaluation.bootstrap(rule_scores(spark, d), draws=200), "low", "high")
 
 
 @query("seed_exclusion", f"with {S.EV} select ordinal from ev where not (event_type = 'error' and us in (select us from ev where event_type = 'error' order by us limit 18))")
