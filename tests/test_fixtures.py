@@ -105,8 +105,8 @@ def test_closed_patterns(spark):
 
 
 def test_refractory_times(spark):
-    df = spark.createDataFrame([([0, 3, 5, 8],)], "t array<long>")
-    assert df.select(C.refractory(F.col("t"), 4)).first()[0] == [0, 5]
+    df = spark.createDataFrame([("a", t) for t in (8, 0, 3, 5, 0)] + [("b", 4), (None, 7)], "k string, us long")
+    assert sorted(map(tuple, C.thinned(df, ["k"], 4).collect()), key=repr) == [("a", 0), ("a", 5), ("b", 4), (None, 7)]
 
 
 def test_alarms_cool_down(spark):

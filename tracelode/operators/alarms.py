@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelode.functions.columns import thinned
+
 DAY = 24 * 3_600_000_000
 
 
 def raised(stream: DataFrame, codes: DataFrame, cooldown: int = DAY) -> DataFrame:
-    """(entity_id, us) of alarms: events of the codes at least a cooldown after the last alarm raised.
-
-    Whether an alarm is raised depends on all before it, so an entity's times are folded in order: an ordered array of
-    longs per entity, inside an expression."""
-    fired = stream.join(F.broadcast(codes.select("item")), "item", "left_semi").groupBy("entity_id").agg(F.array_sort(F.collect_set("us")).alias("times"))
-    empty = F.array().cast("array<long>")
-    kept = F.aggregate("times", empty, lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= cooldown), F.concat(kept, F.array(t))).otherwise(kept))
-    return fired.select("entity_id", F.explode(kept).alias("us"))
+    """(entity_id, us) of alarms: events of the codes at least a cooldown after the last alarm raised."""
+    return thinned(stream.join(codes.select("item"), "item", "left_semi"), ["entity_id"], cooldown)
+
+
+def raised_elsewhere(stream: DataFrame, kind: str, horizon: int, cooldown: int = DAY, least: int = 5, factor: float = 3.0) -> DataFrame:
+    """(entity_id, us) of alarms whose codes were learned from all other entities: an item is a code for an entity where
+    it fired `least` times elsewhere and its share followed by a failure within (t, t + horizon] is factor times that of
+    all firings elsewhere. Counts elsewhere are the totals less the entity's own, so there is no scan per entity."""
+    order = Window.partitionBy("entity_id").orderBy("us").rangeBetween(1, horizon)
+    marked = stream.withColumn("hit", F.coalesce(F.max((F.col("event_type") == kind).cast("int")).over(order), F.lit(0))).where(F.col("event_type") != kind)
+    own = marked.groupBy("entity_id", "item").agg(F.count("*").alias("f"), F.sum("hit").alias("h"))
+    items = own.groupBy("item").agg(F.sum("f").alias("tf"), F.sum("h").alias("th"))
+    entities = own.groupBy("entity_id").agg(F.sum("f").alias("ef"), F.sum("h").alias("eh"))
+    every = own.agg(F.sum("f").alias("af"), F.sum("h").alias("ah"))  # one row
+    rate, base = F.try_divide(F.col("th") - F.col("h"), F.col("tf") - F.col("f")), F.try_divide(F.col("ah") - F.col("eh"), F.col("af") - F.col("ef"))
+    codes = own.join(items, "item").join(entities, "entity_id").crossJoin(F.broadcast(every)).where((F.col("tf") - F.col("f") >= least) & (rate >= factor * base))
+    return thinned(stream.join(codes.select("entity_id", "item"), ["entity_id", "item"], "left_semi"), ["entity_id"], cooldown)
 
 
 def judged(alarms: DataFrame, outages: DataFrame, horizon: int = DAY) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.functions.columns import draw
+from tracelode.operators.ordered import ranked, ranked_by_draw, running
 
 
 def temporal_split(windows: DataFrame, share: float = 0.7) -> DataFrame:
@@ -17,27 +18,25 @@ def temporal_split(windows: DataFrame, share: float = 0.7) -> DataFrame:
 def entity_split(windows: DataFrame, share: float = 0.7, seed: int = 0) -> DataFrame:
     """windows with train: by entity, in the order of their draws."""
     entities = windows.select("entity_id").distinct()
-    ranked = entities.withColumn("place", F.row_number().over(Window.orderBy(draw("entity_id", F.lit(seed)), "entity_id")))
-    number = entities.agg(F.floor(F.count("*") * share).alias("k"))
-    return windows.join(ranked.crossJoin(F.broadcast(number)).select("entity_id", (F.col("place") <= F.col("k")).alias("train")), "entity_id")
+    placed = ranked_by_draw(entities, ["entity_id", F.lit(seed)], ["entity_id"])
+    number = entities.agg(F.floor(F.count("*") * share).alias("k"))  # one row
+    return windows.join(placed.crossJoin(F.broadcast(number)).select("entity_id", (F.col("place") <= F.col("k")).alias("train")), "entity_id")
 
 
 def auroc(scored: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
     """The area under the ROC curve of label (0/1) and score, ties counting half, from counts per distinct score.
 
-    Scores are grouped before they are ordered, so that the running sum runs over distinct scores only."""
+    Scores are grouped before they are ordered, and the running sum is made of sums over buckets of scores."""
     w = F.col(weight) if weight else F.lit(1.0)
     steps = scored.groupBy(*by, "score").agg(F.sum(F.col("label") * w).alias("pos"), F.sum((1 - F.col("label")) * w).alias("neg"))
-    order = Window.partitionBy(*by or [F.lit(1)]).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = steps.withColumn("below", F.coalesce(F.sum("neg").over(order), F.lit(0.0)))
+    below = running(steps, list(by), F.col("score"), {"below": F.col("neg")}, inclusive=False)
     return below.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auroc"))
 
 
 def average_precision(scored: DataFrame, *by: str) -> DataFrame:
     """The step sum of precision over the gains in recall, from the highest score down; ties are one step."""
     steps = scored.groupBy(*by, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    order = Window.partitionBy(*by or [F.lit(1)]).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = steps.withColumns({"hits": F.sum("pos").over(order), "seen": F.sum("n").over(order)})
+    run = running(steps, list(by), -F.col("score"), {"hits": F.col("pos"), "seen": F.col("n")})
     return run.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("hits") / F.col("seen")), F.sum("pos")).alias("average_precision"))
 
 
@@ -48,7 +47,9 @@ def lead_time(rows: DataFrame, said: Column) -> DataFrame:
 
 
 def logistic(train: DataFrame, test: DataFrame, features: str = "features", label: str = "label", strength: float = 1.0, balanced: bool = False) -> DataFrame:
-    """test with score: standardised logistic regression with an L2 penalty of 1 / (2 strength) on summed loss."""
+    """test with score: standardised logistic regression with an L2 penalty of 1 / (2 strength) on summed loss.
+
+    The scaler divides by the sample's deviation; the factor that makes it the population's goes into the penalty."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler
@@ -79,9 +80,9 @@ def bootstrap(scored: DataFrame, draws: int = 200) -> DataFrame:
 
     As many picks as entities are made per draw; only (draw, entity, times) is joined to the scores."""
     entities = scored.select("entity_id").distinct()
-    ranked = entities.withColumn("place", F.row_number().over(Window.orderBy("entity_id")))
-    number = entities.agg(F.count("*").alias("n"))
-    picks = ranked.crossJoin(F.broadcast(number)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("place", draw("b", "place") % F.col("n") + 1).groupBy("b", "place").agg(F.count("*").alias("times"))
-    weighted = scored.join(ranked, "entity_id").join(picks, "place")
+    placed = ranked(entities, [F.col("entity_id")])
+    number = entities.agg(F.count("*").alias("n"))  # one row
+    picks = placed.crossJoin(F.broadcast(number)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("place", draw("b", "place") % F.col("n") + 1).groupBy("b", "place").agg(F.count("*").alias("times"))
+    weighted = scored.join(placed, "entity_id").join(picks, "place")
     areas = auroc(weighted, "b", weight="times")
     return areas.agg(F.count("*").alias("draws"), F.percentile("auroc", 0.025).alias("low"), F.percentile("auroc", 0.975).alias("high"))

@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizer, NGram
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.functions.columns import draw
 
 
+#: Items that a vocabulary may have: it becomes columns.
+MOST_WORDS = 100_000
+
+
 def vocabulary(windows: DataFrame, top: int | None = None) -> list[str]:
-    """The items of the training windows, most frequent first, ties by name. Items are a closed vocabulary."""
+    """The items of the training windows, most frequent first, ties by name. Items are a closed vocabulary: a stream
+    with more than MOST_WORDS of them is refused, not cut."""
     counts = windows.select(F.explode("items").alias("item")).groupBy("item").count().orderBy(F.desc("count"), "item")
-    return [r.item for r in (counts.limit(top) if top else counts).collect()]
+    words = [r.item for r in counts.limit(top or MOST_WORDS + 1).collect()]
+    if len(words) > MOST_WORDS:
+        raise ValueError(f"over {MOST_WORDS} items: state how many of them become features")
+    return words
 
 
 def presence(windows: DataFrame, words: list[str]) -> DataFrame:
@@ -25,17 +32,25 @@ def multiset(windows: DataFrame, words: list[str]) -> DataFrame:
     return windows.withColumn("features", F.transform(F.array(*map(F.lit, words)), lambda w: F.size(F.filter("items", lambda x: x == w))))
 
 
-def bigrams(train: DataFrame, windows: DataFrame, top: int = 200) -> DataFrame:
-    """Sparse vectors of adjacent pairs, of the training windows' most frequent."""
-    gram = NGram(n=2, inputCol="items", outputCol="pairs")
-    model = CountVectorizer(inputCol="pairs", outputCol="vector", vocabSize=top, binary=True).fit(gram.transform(train))
-    return model.transform(gram.transform(windows))
+def bigrams(windows: DataFrame, pairs: list[str]) -> DataFrame:
+    """Whether each of the adjacent pairs (a>b) occurs."""
+    own = pairs_of()
+    return windows.withColumn("features", F.transform(F.array(*map(F.lit, pairs)), lambda p: F.array_contains(own, p).cast("int")))
+
+
+def top_bigrams(train: DataFrame, top: int = 200) -> list[str]:
+    """The adjacent pairs that most training windows hold, ties by name."""
+    return [r.pair for r in adjacent_pairs(train).orderBy(F.desc("n"), "pair").limit(top).collect()]
+
+
+def pairs_of() -> Column:
+    """The different adjacent pairs of items."""
+    return F.array_distinct(F.zip_with(F.slice("items", 1, F.greatest(F.size("items") - 1, F.lit(0))), F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0))), lambda a, b: F.concat_ws(">", a, b)))
 
 
 def adjacent_pairs(windows: DataFrame) -> DataFrame:
     """(pair, n) of windows that hold two items side by side."""
-    pairs = F.array_distinct(F.zip_with(F.slice("items", 1, F.greatest(F.size("items") - 1, F.lit(0))), F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0))), lambda a, b: F.concat_ws(">", a, b)))
-    return windows.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    return windows.select(F.explode(pairs_of()).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
 
 def precedence(windows: DataFrame, words: list[str]) -> DataFrame:

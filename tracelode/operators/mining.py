@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.functions.columns import draw, holds_all, holds_in_order
+from tracelode.operators.ordered import ranked_by_draw
+from tracelode.sources.shared import written
 
 #: Patterns up to this many are broadcast to the windows; more are matched by their items (see containment).
 BROADCAST_PATTERNS = 20_000
@@ -21,9 +23,11 @@ def itemsets(windows: DataFrame, min_support: float = 0.05) -> DataFrame:
     return found.select(F.array_sort("items").alias("itemset"), F.col("freq").alias("n_failure"))
 
 
-def sequences(windows: DataFrame, min_support: float = 0.05, longest: int = 20) -> DataFrame:
-    """(sequence, n_failure): gapped subsequences in at least min_support of the failure windows that aren't empty."""
+def sequences(windows: DataFrame, min_support: float = 0.05) -> DataFrame:
+    """(sequence, n_failure): gapped subsequences in at least min_support of the failure windows that aren't empty.
+    Patterns may be as long as the longest window."""
     rows = windows.where("is_failure").where(F.size("items") > 0).select(F.transform("items", lambda x: F.array(x)).alias("sequence"))
+    longest = rows.agg(F.max(F.size("sequence"))).first()[0] or 1
     found = PrefixSpan(minSupport=min_support, maxPatternLength=longest).findFrequentSequentialPatterns(rows)
     return found.select(F.flatten("sequence").alias("sequence"), F.col("freq").alias("n_failure"))
 
@@ -56,10 +60,28 @@ def class_sizes(windows: DataFrame) -> DataFrame:
     return windows.agg(F.count_if("is_failure").alias("all_failure"), F.count_if(~F.col("is_failure")).alias("all_control"))
 
 
+def tallied(windows: DataFrame, seq: str) -> DataFrame:
+    """Windows with equal sets (or sequences) as one row, which stands for n_f failures and n_c controls."""
+    groups = windows.groupBy(seq).agg(F.count_if("is_failure").alias("n_f"), F.count_if(~F.col("is_failure")).alias("n_c"))
+    return groups.withColumn("window_id", F.col(seq))
+
+
+def set_scores(windows: DataFrame, patterns: DataFrame, pattern: str = "itemset") -> DataFrame:
+    """Scores of itemsets; each different set of items is tested once, however many windows have it."""
+    return scored(set_hits(tallied(windows, "item_set"), patterns, pattern), windows, pattern)
+
+
+def sequence_scores(windows: DataFrame, patterns: DataFrame, pattern: str = "sequence") -> DataFrame:
+    """Scores of sequences; each different sequence of items is tested once."""
+    return scored(sequence_hits(tallied(windows, "items").withColumn("item_set", F.array_distinct("items")), patterns, pattern), windows, pattern)
+
+
 def scored(hits: DataFrame, windows: DataFrame, pattern: str) -> DataFrame:
-    """Hits, supports, lift, P(failure | pattern), relative risk and base rate of each pattern. Patterns without hits have no row."""
-    counts = hits.groupBy(pattern).agg(F.count_if("is_failure").alias("n_failure"), F.count_if(~F.col("is_failure")).alias("n_control"))
-    return with_scores(counts.crossJoin(F.broadcast(class_sizes(windows))))
+    """Hits, supports, lift, P(failure | pattern), relative risk and base rate of each pattern. Patterns without hits have no row.
+    hits: rows of windows, or of tallied ones."""
+    own = (F.sum("n_f"), F.sum("n_c")) if "n_f" in hits.columns else (F.count_if("is_failure"), F.count_if(~F.col("is_failure")))
+    counts = hits.groupBy(pattern).agg(own[0].alias("n_failure"), own[1].alias("n_control"))
+    return with_scores(counts.crossJoin(F.broadcast(class_sizes(windows))))  # one row
 
 
 def with_scores(counts: DataFrame) -> DataFrame:
@@ -74,11 +96,12 @@ def with_scores(counts: DataFrame) -> DataFrame:
 
 def relabelled(windows: DataFrame, seed: int, within: str | None = None) -> DataFrame:
     """The same windows with as many failures (per group of `within`) dealt out by hash."""
-    groups = [within] if within else []
-    number = windows.groupBy(*groups).agg(F.count_if("is_failure").alias("n_f"))
-    order = Window.partitionBy(*groups).orderBy(draw("window_id", F.lit(seed)), "window_id") if within else Window.orderBy(draw("window_id", F.lit(seed)), "window_id")
-    ranked = windows.withColumn("place", F.row_number().over(order))
-    joined = ranked.join(F.broadcast(number), groups) if within else ranked.crossJoin(F.broadcast(number))
+    number = windows.groupBy(*([within] if within else [])).agg(F.count_if("is_failure").alias("n_f"))
+    if within:
+        order = Window.partitionBy(within).orderBy(draw("window_id", F.lit(seed)), "window_id")
+        joined = windows.withColumn("place", F.row_number().over(order)).join(number, within)
+    else:
+        joined = ranked_by_draw(windows, ["window_id", F.lit(seed)], ["window_id"]).crossJoin(F.broadcast(number))  # one row
     return joined.withColumn("is_failure", F.col("place") <= F.col("n_f")).drop("place", "n_f")
 
 
@@ -96,28 +119,29 @@ def ceiling(patterns: DataFrame, null: DataFrame, name: str) -> DataFrame:
 
 def mined_itemsets(windows: DataFrame, min_support: float = 0.05, seed: int = 7) -> DataFrame:
     """Itemsets with scores and the permutation ceiling; survivors have a lift above all of randomly labelled windows."""
-    real = scored(set_hits(windows, itemsets(windows, min_support)), windows, "itemset")
-    random = relabelled(windows, seed)
-    null = scored(set_hits(random, itemsets(random, min_support)), random, "itemset")
+    real = set_scores(windows, itemsets(windows, min_support))
+    random = written(relabelled(windows, seed), "relabelled")
+    null = set_scores(random, itemsets(random, min_support))
     return ceiling(real, null, "permuted_ceiling").withColumn("itemset_size", F.size("itemset"))
 
 
 def mined_sequences(windows: DataFrame, min_support: float = 0.05, seed: int = 7) -> DataFrame:
     """Sequences with scores, those of their sets, the gain of order, and the ceiling of shuffled windows."""
     found = sequences(windows, min_support)
-    real = scored(sequence_hits(windows, found), windows, "sequence").withColumn("itemset", F.array_sort(F.array_distinct("sequence")))
-    sets = scored(set_hits(windows, real.select("itemset").distinct()), windows, "itemset").select("itemset", F.col("lift_failure").alias("itemset_lift_failure"))
-    mixed = shuffled(windows, seed)
-    null = scored(sequence_hits(mixed, sequences(mixed, min_support)), mixed, "sequence")
+    real = written(sequence_scores(windows, found).withColumn("itemset", F.array_sort(F.array_distinct("sequence"))), "sequences")
+    sets = set_scores(windows, real.select("itemset").distinct()).select("itemset", F.col("lift_failure").alias("itemset_lift_failure"))
+    mixed = written(shuffled(windows, seed), "shuffled")
+    null = sequence_scores(mixed, sequences(mixed, min_support))
     gained = real.join(sets, "itemset", "left").withColumn("order_gain", F.col("lift_failure") - F.col("itemset_lift_failure"))
     return ceiling(gained, null, "shuffled_ceiling").withColumn("sequence_length", F.size("sequence"))
 
 
 def closed(patterns: DataFrame, pattern: str, count: str = "n_failure", ordered: bool = False) -> DataFrame:
-    """Patterns of which no longer pattern that holds them has the same count. They meet by count, never all with all."""
-    longer = patterns.select(F.col(pattern).alias("longer"), F.col(count).alias("same"))
+    """Patterns of which no longer pattern that holds them has the same count. They meet by count and by their first
+    item, never all with all."""
+    longer = patterns.select(F.col(pattern).alias("longer"), F.col(count).alias("same"), F.explode(F.array_distinct(pattern)).alias("head"))
     holds = holds_in_order(F.col("longer"), F.col(pattern)) if ordered else holds_all(F.col("longer"), F.col(pattern))
-    return patterns.join(longer, (F.col(count) == F.col("same")) & (F.size("longer") > F.size(pattern)) & holds, "left_anti")
+    return patterns.join(longer, (F.col(count) == F.col("same")) & (F.col(pattern)[0] == F.col("head")) & (F.size("longer") > F.size(pattern)) & holds, "left_anti")
 
 
 def collapsed(stream: DataFrame) -> DataFrame:
@@ -157,9 +181,12 @@ def chains(windows: DataFrame, longest: int = 4, shortest: int = 3) -> DataFrame
 def dominance(patterns: DataFrame, top: int = 200, slack: float = 0.05) -> DataFrame:
     """Of the top sequences of several items by lift, whether a proper subsequence reaches their lift less slack."""
     best = patterns.where(F.size("sequence") > 1).orderBy(F.desc("lift_failure"), "sequence").limit(top)
-    parts = patterns.select(F.col("sequence").alias("part"), F.col("lift_failure").alias("part_lift"))
-    pairs = best.join(F.broadcast(parts) if parts.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS else parts, (F.size("part") < F.size("sequence")) & holds_in_order(F.col("sequence"), F.col("part")), "left")
-    return pairs.groupBy("sequence", "lift_failure").agg(F.max("part_lift").alias("best_part_lift")).withColumn("dominated", F.coalesce(F.col("best_part_lift") >= F.col("lift_failure") - slack, F.lit(False)))
+    parts = patterns.select(F.col("sequence").alias("part"), F.col("lift_failure").alias("part_lift"), F.col("sequence")[0].alias("head"))
+    heads = best.select("sequence", F.explode(F.array_distinct("sequence")).alias("head"))
+    held = heads.join(parts, "head").where((F.size("part") < F.size("sequence")) & holds_in_order(F.col("sequence"), F.col("part")))
+    most = held.groupBy("sequence").agg(F.max("part_lift").alias("best_part_lift"))
+    pairs = best.select("sequence", "lift_failure").join(most, "sequence", "left")
+    return pairs.withColumn("dominated", F.coalesce(F.col("best_part_lift") >= F.col("lift_failure") - slack, F.lit(False)))
 
 
 def order_effect(windows: DataFrame, patterns: DataFrame, shuffles: int = 5, top: int = 50) -> DataFrame:

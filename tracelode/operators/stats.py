@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.functions.columns import draw, erfc, hypergeometric_tail
+from tracelode.operators.ordered import ranked_by_draw, running
+from tracelode.sources.shared import written
 
 
 def with_p(patterns: DataFrame) -> DataFrame:
@@ -14,16 +16,19 @@ def with_p(patterns: DataFrame) -> DataFrame:
 
 
 def with_q(patterns: DataFrame, *by: str, p: str = "p", dependent: bool = False, name: str = "q") -> DataFrame:
-    """Benjamini-Hochberg q within the groups of `by`; with dependent, Benjamini-Yekutieli. Ties don't depend on order."""
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    order = group.orderBy(p)
-    m = F.count(F.lit(1)).over(group)
-    rank = F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))  # of the last of its ties
-    factor = F.aggregate(F.sequence(F.lit(1), m.cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / i) if dependent else F.lit(1.0)
-    raw = patterns.withColumns({"__r": rank, "__m": m}).withColumn("__raw", F.col(p) * F.col("__m") / F.col("__r"))
-    raw = raw.withColumn("__f", F.aggregate(F.sequence(F.lit(1), F.col("__m").cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / i) if dependent else factor)
-    least = F.min("__raw").over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    return raw.withColumn(name, F.least(F.lit(1.0), least * F.col("__f"))).drop("__r", "__m", "__raw", "__f")
+    """Benjamini-Hochberg q within the groups of `by`; with dependent, Benjamini-Yekutieli. Ties don't depend on order.
+
+    Distinct p values are ranked, by running sums and minima over buckets of them; none is sorted in one task. The
+    tests are written first, as they are read several times."""
+    patterns, keys = written(patterns, "tested"), [*by, p]
+    steps = patterns.groupBy(*keys).agg(F.count("*").alias("__n"))
+    sizes = steps.groupBy(*by).agg(F.sum("__n").alias("__m"))
+    steps = steps.join(sizes, list(by)) if by else steps.crossJoin(F.broadcast(sizes))  # one row
+    steps = running(steps, list(by), F.col(p), {"__r": F.col("__n")}).withColumn("__raw", F.col(p) * F.col("__m") / F.col("__r"))
+    steps = running(steps, list(by), -F.col(p), {}, {"__least": F.col("__raw")})
+    factor = F.aggregate(F.sequence(F.lit(1), F.col("__m").cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / i) if dependent else F.lit(1.0)
+    found = steps.select(*keys, F.least(F.lit(1.0), F.col("__least") * factor).alias(name))
+    return patterns.join(found, keys)
 
 
 def summary(patterns: DataFrame, *by: str, alpha: float = 0.05) -> DataFrame:
@@ -33,9 +38,9 @@ def summary(patterns: DataFrame, *by: str, alpha: float = 0.05) -> DataFrame:
 def split(windows: DataFrame, seed: int, share: float = 0.5, entity: str = "entity_id") -> DataFrame:
     """windows with discovery: whether their entity is among the share with the smallest draws. Entities are ranked, not windows."""
     entities = windows.select(entity).distinct()
-    ranked = entities.select(entity, F.row_number().over(Window.orderBy(F.md5(F.concat_ws("|", F.col(entity).cast("string"), F.lit(str(seed)))), entity)).alias("place"))
-    number = entities.agg(F.floor(F.count("*") * share).alias("k"))
-    return windows.join(ranked.crossJoin(F.broadcast(number)).select(entity, (F.col("place") <= F.col("k")).alias("discovery")), entity)
+    placed = ranked_by_draw(entities, [entity, F.lit(seed)], [entity])
+    number = entities.agg(F.floor(F.count("*") * share).alias("k"))  # one row
+    return windows.join(placed.crossJoin(F.broadcast(number)).select(entity, (F.col("place") <= F.col("k")).alias("discovery")), entity)
 
 
 def odds(case_in: Column, case_all: Column, control_in: Column, control_all: Column) -> dict[str, Column]:
@@ -77,7 +82,7 @@ def alike(hits: DataFrame, pattern: str) -> DataFrame:
     return hits.groupBy("window_id").agg(F.array_sort(F.collect_list(pattern)).alias("held"))
 
 
-def within_entity_p(hits: DataFrame, windows: DataFrame, pattern: str, draws: int = 200) -> DataFrame:
+def within_entity_p(hits: DataFrame, windows: DataFrame, pattern: str, draws: int = 2000) -> DataFrame:
     """p of a pattern's lift when labels are permuted within each entity.
 
     For a fixed set of hits the lift grows with the number of case hits, and that number is a sum over entities of
@@ -96,32 +101,44 @@ def within_entity_p(hits: DataFrame, windows: DataFrame, pattern: str, draws: in
 def leave_one_out(hits: DataFrame, windows: DataFrame, pattern: str) -> DataFrame:
     """Per pattern, in how many of the folds without one entity it has a case hit, and in how many of those a lift over 1.
 
-    A fold's counts are the totals less the entity's own: nothing is scanned again."""
+    A fold's counts are the totals less the entity's own: nothing is scanned again. Entities without hits of a pattern
+    differ only in how many windows they have, so their folds are judged once per pair of numbers."""
     count = [F.count_if("is_failure").alias("hf"), F.count_if(~F.col("is_failure")).alias("hc")]
     own = hits.groupBy(pattern, "entity_id").agg(*count)
-    total = hits.groupBy(pattern).agg(*[c.alias(n) for c, n in zip(count, ("thf", "thc"), strict=True)])
+    total = own.groupBy(pattern).agg(F.sum("hf").alias("thf"), F.sum("hc").alias("thc"))
     size = windows.groupBy("entity_id").agg(F.count_if("is_failure").alias("nf"), F.count_if(~F.col("is_failure")).alias("nc"))
-    every = windows.agg(F.count_if("is_failure").alias("tnf"), F.count_if(~F.col("is_failure")).alias("tnc"))
-    folds = total.crossJoin(F.broadcast(size.crossJoin(F.broadcast(every)))) if size.limit(100_001).count() <= 100_000 else total.join(size.crossJoin(F.broadcast(every)))
-    folds = folds.join(own, [pattern, "entity_id"], "left")
-    hf, hc = F.col("thf") - F.coalesce("hf", F.lit(0)), F.col("thc") - F.coalesce("hc", F.lit(0))
+    every = size.agg(F.sum("nf").alias("tnf"), F.sum("nc").alias("tnc"))  # one row
+    held = own.join(size, "entity_id").select(pattern, "nf", "nc", "hf", "hc", F.lit(1).alias("entities"))
+    # Of each pair of numbers all entities, less those with hits of their own.
+    alike_ = size.groupBy("nf", "nc").agg(F.count("*").alias("entities"))
+    others = total.select(pattern).join(alike_).select(pattern, "nf", "nc", F.lit(0).alias("hf"), F.lit(0).alias("hc"), "entities")
+    less = held.groupBy(pattern, "nf", "nc").agg((-F.count("*")).alias("entities")).select(pattern, "nf", "nc", F.lit(0).alias("hf"), F.lit(0).alias("hc"), "entities")
+    folds = held.unionByName(others).unionByName(less).join(total, pattern).crossJoin(F.broadcast(every))
+    hf, hc = F.col("thf") - F.col("hf"), F.col("thc") - F.col("hc")
     nf, nc = F.col("tnf") - F.col("nf"), F.col("tnc") - F.col("nc")
     lift = F.try_divide(F.try_divide(hf, nf), F.try_divide(hf + hc, nf + nc))
     usable = (nf > 0) & (hf + hc > 0)
-    return folds.groupBy(pattern).agg(F.count_if(usable).alias("folds"), F.count_if(usable & (hf > 0) & (lift > 1)).alias("consistent"))
-
-
-def min_p(hits: DataFrame, windows: DataFrame, pattern: str, draws: int = 100) -> DataFrame:
-    """Westfall-Young: a pattern's p next to the smallest p of all patterns under permuted labels."""
-    sizes = windows.agg(F.count_if("is_failure").alias("all_failure"), F.count_if(~F.col("is_failure")).alias("all_control"))
-    order = Window.partitionBy("b").orderBy(draw("window_id", "b"), "window_id")
-    labels = windows.select("window_id").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("place", F.row_number().over(order))
-    labels = labels.crossJoin(F.broadcast(sizes)).select("window_id", "b", (F.col("place") <= F.col("all_failure")).alias("is_failure"))
+    number = lambda c: F.sum(F.when(c, F.col("entities")).otherwise(0))
+    return folds.groupBy(pattern).agg(number(usable).alias("folds"), number(usable & (hf > 0) & (lift > 1)).alias("consistent"))
+
+
+def min_p(hits: DataFrame, windows: DataFrame, pattern: str, draws: int = 500) -> DataFrame:
+    """Westfall-Young: a pattern's p next to the smallest p of all patterns under permuted labels.
+
+    A draw fails the windows with the smallest hashes. They are counted by the leading bits of the hash, so that only
+    the bits in which the number is reached are ranked, never a whole draw in one task."""
+    sizes = windows.agg(F.count_if("is_failure").alias("all_failure"), F.count_if(~F.col("is_failure")).alias("all_control"))  # one row
+    labels = windows.select("window_id").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("d", draw("window_id", "b")).withColumn("bits", F.shiftright("d", 22))
+    earlier = Window.partitionBy("b").orderBy("bits").rowsBetween(Window.unboundedPreceding, -1)  # at most 1,024 rows a draw
+    before = labels.groupBy("b", "bits").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    inside = Window.partitionBy("b", "bits").orderBy("d", "window_id")
+    placed = labels.withColumn("i", F.row_number().over(inside)).join(before.select("b", "bits", "before"), ["b", "bits"])
+    labels = placed.crossJoin(F.broadcast(sizes)).select("window_id", "b", (F.col("before") + F.col("i") <= F.col("all_failure")).alias("is_failure"))
     count = [F.count_if("is_failure").alias("n_failure"), F.count_if(~F.col("is_failure")).alias("n_control")]
     counts = labels.join(alike(hits, pattern), "window_id").groupBy("b", "held").agg(*count)
     null = counts.select("b", "n_failure", "n_control", F.explode("held").alias(pattern)).groupBy("b", pattern).agg(F.sum("n_failure").alias("n_failure"), F.sum("n_control").alias("n_control"))
     tail = with_p(null.select("n_failure", "n_control").distinct().crossJoin(F.broadcast(sizes))).select("n_failure", "n_control", "p")  # once per pair of counts
-    least = null.join(tail, ["n_failure", "n_control"]).groupBy("b").agg(F.min("p").alias("least"))
+    least = null.join(tail, ["n_failure", "n_control"]).groupBy("b").agg(F.min("p").alias("least"))  # a row per draw
     real = with_p(hits.groupBy(pattern).agg(*count).crossJoin(F.broadcast(sizes)))
     return real.crossJoin(F.broadcast(least)).groupBy(pattern, "p").agg(F.avg((F.col("least") <= F.col("p") + 1e-12).cast("double")).alias("p_adjusted"))
 

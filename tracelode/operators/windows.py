@@ -4,10 +4,12 @@ Streams have entity_id, us, ordinal and any payload; anchors have entity_id, anc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.functions.columns import draw, item_set
+from tracelode.operators.ordered import ranked as in_order
+from tracelode.operators.ordered import ranked_by_draw
 
 HOUR = 3_600_000_000
 
@@ -22,65 +24,88 @@ def time_slice(stream: DataFrame, anchors: DataFrame, span: int) -> DataFrame:
     return looked.join(dated, ["entity_id", "bucket"]).where((F.col("us") >= F.col("anchor") - span) & (F.col("us") < F.col("anchor"))).drop("bucket")
 
 
+def last_seqs(stream: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
+    """anchors with seq: structs (us, ordinal and the stream's other columns) of the k last events strictly before the
+    anchor, the earliest first.
+
+    Events and anchors are one table, sorted per entity with an anchor before the events of its time; an anchor then
+    takes the k nearest events behind it. One shuffle by entity; no history is paired with its anchors, and no array
+    is made for rows that aren't anchors."""
+    payload = [c for c in stream.columns if c not in ("entity_id", "us", "ordinal")]
+    events = stream.select("entity_id", F.col("us").alias("__us"), F.lit(1).alias("__event"), F.col("ordinal").alias("__ordinal"), F.struct("us", "ordinal", *payload).alias("__e"))
+    marks = anchors.select("*", F.col("anchor").alias("__us"), F.lit(0).alias("__event"))
+    both = marks.unionByName(events, allowMissingColumns=True)
+    lag = "lag(__e, {}) ignore nulls over (partition by entity_id order by __us, __event, __ordinal)"
+    back = both.withColumns({f"__{n}": F.expr(lag.format(n)) for n in range(1, k + 1)}).where("__event = 0")
+    return back.select(*anchors.columns, F.array_compact(F.array(*[f"__{n}" for n in range(k, 0, -1)])).alias("seq"))
+
+
 def last_k(stream: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """(anchor's columns, event's columns, back) of the k last events strictly before the anchor; back is 1 for the last.
-
-    A rank join: events are numbered per entity, an anchor learns how many lie before it from one pass over both,
-    and then asks for its k numbers by equality. Nothing is paired with a whole history."""
-    by = Window.partitionBy("entity_id").orderBy("us", "ordinal")
-    ranked = stream.withColumn("rank", F.row_number().over(by).cast("long"))
-    marks = anchors.select("entity_id", F.col("anchor").alias("us")).distinct().withColumn("mark", F.lit(1))
-    both = stream.select("entity_id", "us", F.lit(0).alias("mark")).unionByName(marks)
-    before = Window.partitionBy("entity_id").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
-    counted = both.withColumn("before", F.coalesce(F.sum(1 - F.col("mark")).over(before), F.lit(0))).where("mark = 1").select("entity_id", F.col("us").alias("anchor"), "before")
-    wanted = counted.where("before > 0").withColumn("rank", F.explode(F.sequence(F.greatest(F.col("before") - k + 1, F.lit(1)), F.col("before"))))
-    found = wanted.join(ranked, ["entity_id", "rank"]).withColumn("back", F.col("before") - F.col("rank") + 1).drop("rank", "before")
-    return anchors.join(found, ["entity_id", "anchor"])
-
-
-def rows_of(anchors: DataFrame, found: DataFrame, horizon: str, start) -> DataFrame:
-    """A window row per anchor: arrays in time order, sets, counts; anchors without events have empty ones."""
-    keys = ["entity_id", "anchor", "is_failure"]
-    seq = F.array_sort(F.collect_list(F.struct("us", "ordinal", "event_type", "event_subtype", "item")))
-    grouped = found.groupBy(*keys).agg(seq.alias("seq"), F.max("us").alias("last_us"), F.count("*").alias("n_events"))
-    full = anchors.select(*keys).join(grouped, keys, "left")
-    empty = F.array().cast("array<string>")
-    seq_of = lambda c: F.coalesce(F.col("seq").getField(c), empty)
-    return full.select(
-        *keys, F.lit(horizon).alias("horizon"), start.alias("window_start"), "last_us", F.coalesce("n_events", F.lit(0)).alias("n_events"),
-        seq_of("event_type").alias("event_type_seq"), seq_of("event_subtype").alias("event_subtype_seq"), seq_of("item").alias("items"), item_set(seq_of("item")).alias("item_set"),
+    """(anchor's columns, event's columns, back) of the k last events strictly before the anchor; back is 1 for the last."""
+    rows = last_seqs(stream, anchors, k).withColumn("n", F.size("seq"))
+    placed = rows.select(*anchors.columns, "n", F.posexplode("seq").alias("at", "e"))
+    return placed.select(*anchors.columns, "e.*", (F.col("n") - F.col("at")).alias("back"))
+
+
+def rows_of(rows: DataFrame, horizon: str, start: Column) -> DataFrame:
+    """A window row per anchor (with seq, in time order): its sequences, their sets and counts; anchors without events have empty ones."""
+    seq_of = lambda c: F.coalesce(F.col("seq").getField(c), F.array().cast("array<string>"))
+    last = F.try_element_at("seq", F.lit(-1))["us"]
+    return rows.select(
+        "entity_id", "anchor", "is_failure", F.lit(horizon).alias("horizon"), start.alias("window_start"), F.col("anchor").alias("window_end"), last.alias("last_us"), F.coalesce(F.size("seq"), F.lit(0)).cast("long").alias("n_events"),
+        seq_of("event_type").alias("event_type_seq"), seq_of("event_subtype").alias("event_subtype_seq"), item_set(seq_of("event_type")).alias("event_type_set"), item_set(seq_of("event_subtype")).alias("event_subtype_set"),
+        seq_of("item").alias("items"), item_set(seq_of("item")).alias("item_set"), *[c for c in rows.columns if c not in ("entity_id", "anchor", "is_failure", "seq")],
     )
 
 
+WINDOW_FIELDS = ("us", "ordinal", "event_type", "event_subtype", "item")
+
+
 def time_windows(stream: DataFrame, anchors: DataFrame, hours: int) -> DataFrame:
-    return rows_of(anchors, time_slice(stream, anchors, hours * HOUR), f"{hours}h", F.col("anchor") - hours * HOUR)
+    keys = ["entity_id", "anchor", "is_failure"]
+    found = time_slice(stream.select("entity_id", *WINDOW_FIELDS), anchors.select(*keys), hours * HOUR)
+    grouped = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*WINDOW_FIELDS))).alias("seq"))
+    return rows_of(anchors.join(grouped, keys, "left"), f"{hours}h", F.col("anchor") - hours * HOUR)
 
 
 def count_windows(stream: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     """The start of an empty window is its anchor."""
-    first = F.coalesce(F.col("seq")[0]["us"], F.col("anchor"))
-    return rows_of(anchors, last_k(stream, anchors, k), f"last{k}", first)
+    first = F.coalesce(F.try_element_at("seq", F.lit(1))["us"], F.col("anchor"))
+    return rows_of(last_seqs(stream.select("entity_id", *WINDOW_FIELDS), anchors, k), f"last{k}", first)
 
 
 def failure_anchors(stream: DataFrame, kind: str) -> DataFrame:
     return stream.where(F.col("event_type") == kind).select("entity_id", F.col("us").alias("anchor"), F.lit(True).alias("is_failure")).distinct()
 
 
-def control_anchors(stream: DataFrame, failures: DataFrame, clean: int, per_failure: int = 3, tries: int = 50) -> DataFrame:
+def control_anchors(stream: DataFrame, failures: DataFrame, clean: int, per_failure: int = 3, tries: int = 50, around: DataFrame | None = None) -> DataFrame:
     """Per entity, per_failure times as many anchors as it has failures, drawn between its first and last event (less
     the clean margin) and farther than it from every failure. The draws are hashes, so that they repeat anywhere.
 
-    A candidate meets only the failures of its own and the neighbouring buckets of the margin's length."""
+    around: what anchors keep away from, where that isn't the failures (episodes keep away from every alert).
+    Twice as many draws as wanted come first; only entities that are still short draw all their tries. As draws count
+    in their order, the anchors are the same as if all were made at once."""
+    near = failures if around is None else around
     spans = stream.groupBy("entity_id").agg((F.min("us") + clean).alias("low"), (F.max("us") - clean).alias("high"))
     wanted = failures.groupBy("entity_id").agg((F.count("*") * per_failure).alias("wanted"))
-    tried = spans.join(wanted, "entity_id").where("high > low").withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("wanted") * tries / per_failure).cast("int") - 1)))
-    placed = tried.withColumn("anchor", F.col("low") + draw("entity_id", "i") * 1_000_000 % (F.col("high") - F.col("low")))
-    near = placed.withColumn("bucket", F.explode(F.array(*[F.floor(F.col("anchor") / clean) + d for d in (-1, 0, 1)])))
-    bad = near.join(failures.select("entity_id", F.col("anchor").alias("failed"), F.floor(F.col("anchor") / clean).alias("bucket")), ["entity_id", "bucket"])
-    bad = bad.where(F.abs(F.col("anchor") - F.col("failed")) <= clean).select("entity_id", "i").distinct()
-    kept = placed.join(bad, ["entity_id", "i"], "left_anti")
+    limit = (F.col("wanted") * tries / per_failure).cast("int")
+    entities = spans.join(wanted, "entity_id").where("high > low").withColumns({"limit": limit, "first": F.least(limit, F.col("wanted") * 2)})
+
+    def drawn(of: DataFrame, begin: Column, end: Column) -> DataFrame:
+        """The draws from begin to end that lie clear of every failure."""
+        placed = of.withColumn("i", F.explode(F.sequence(begin.cast("int"), end.cast("int") - 1)))
+        placed = placed.select("entity_id", "wanted", "limit", "i", (F.col("low") + draw("entity_id", "i") * 1_000_000 % (F.col("high") - F.col("low"))).alias("us"))
+        both = placed.unionByName(near.select("entity_id", F.col("anchor").alias("us")), allowMissingColumns=True)
+        margin = Window.partitionBy("entity_id").orderBy("us").rangeBetween(-clean, clean)
+        return both.withColumn("__near", F.count_if(F.col("i").isNull()).over(margin)).where("i is not null and __near = 0")
+
+    early = drawn(entities, F.lit(0), F.col("first"))
+    enough = early.groupBy("entity_id").agg(F.count("*").alias("n"))
+    short = entities.join(enough, "entity_id", "left").where("coalesce(n, 0) < wanted and first < limit")
+    late = drawn(short, F.col("first"), F.col("limit"))
     nth = Window.partitionBy("entity_id").orderBy("i")
-    return kept.withColumn("n", F.row_number().over(nth)).where("n <= wanted").select("entity_id", "anchor", F.lit(False).alias("is_failure")).distinct()
+    kept = early.unionByName(late).withColumn("n", F.row_number().over(nth)).where("n <= wanted")
+    return kept.select("entity_id", F.col("us").alias("anchor"), F.lit(False).alias("is_failure")).distinct()
 
 
 def anchors_of(stream: DataFrame, kind: str, clean: int, per_failure: int = 3, tries: int = 50) -> DataFrame:
@@ -96,9 +121,9 @@ def first_failure_windows(stream: DataFrame, kind: str, k: int, least: int, per_
     history = stream.join(first, "entity_id").where(F.col("us") < F.col("anchor"))
     failed = history.select("entity_id", "anchor").distinct().withColumn("is_failure", F.lit(True))
     others = stream.join(first, "entity_id", "left_anti").groupBy("entity_id").agg((F.max("us") + 1_000_000).alias("anchor"), F.count("*").alias("n")).where(F.col("n") >= least)
-    drawn = others.withColumn("place", F.row_number().over(Window.orderBy(draw("entity_id"), "entity_id")))
-    number = failed.agg((F.count("*") * per_failure).alias("wanted"))
-    controls = drawn.join(F.broadcast(number), F.col("place") <= F.col("wanted")).select("entity_id", "anchor", F.lit(False).alias("is_failure"))
+    drawn = ranked_by_draw(others, ["entity_id"], ["entity_id"])
+    number = failed.agg((F.count("*") * per_failure).alias("wanted"))  # one row
+    controls = drawn.crossJoin(F.broadcast(number)).where("place <= wanted").select("entity_id", "anchor", F.lit(False).alias("is_failure"))
     return count_windows(stream.where(F.col("event_type") != kind), failed.unionByName(controls), k)
 
 
@@ -116,7 +141,7 @@ def risk_sets(subjects: DataFrame, controls: int = 3) -> DataFrame:
 
     Subjects are ranked by length once; a case draws from the ranks above its own by hash, so that cases and
     candidates are never paired. Draws that repeat or hit the case are drawn again, up to 16 times the number."""
-    ranked = subjects.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("length"), "entity_id")).cast("long"))
+    ranked = in_order(subjects, [-F.col("length"), F.col("entity_id")], "rank")
     at_risk = ranked.groupBy("length").agg(F.max("rank").alias("n_at_risk"))
     cases = ranked.where("failed = 1").join(at_risk.select("length", "n_at_risk"), "length")
     draws = cases.select(F.col("entity_id").alias("match_id"), F.col("length").alias("length_at"), "n_at_risk", F.col("rank").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(16 * controls - 1))).alias("i"))

@@ -9,6 +9,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelode.operators.ordered import ranked
+
 #: The closed vocabulary of event types.
 VOCABULARY = {
     "machines": ["software_error", "maintenance", "component_replacement", "terminal_failure"],
@@ -107,21 +109,22 @@ def markdown(df: DataFrame, top: int) -> str:
     return "\n".join(f"| {x} |" for x in lines)
 
 
-def coded(sequences: DataFrame, seq: str = "items") -> tuple[DataFrame, DataFrame]:
-    """Item sequences as text of ascending codes, -1 after each item and -2 at the end, without empty ones; and the
-    codes (item, code) in order of the items."""
-    vocabulary = sequences.select(F.explode(seq).alias("item")).distinct()
-    codes = vocabulary.select("item", F.row_number().over(_by("item")).alias("code"))
-    table = codes.agg(F.map_from_entries(F.collect_list(F.struct("item", "code"))).alias("codes"))
-    lines = sequences.where(F.size(seq) > 0).crossJoin(F.broadcast(table))
-    text = F.concat(F.array_join(F.transform(F.col(seq), lambda x: F.concat(F.element_at("codes", x).cast("string"), F.lit(" -1"))), " "), F.lit(" -2"))
-    return lines.withColumn("line", text).drop("codes"), codes
-
+def coded(sequences: DataFrame, seq: str = "items", key: str = "window_id") -> tuple[DataFrame, DataFrame]:
+    """Item sequences (one per key) as text of ascending codes, -1 after each item and -2 at the end, without empty
+    ones; and the codes (item, code) in order of the items. Codes meet the items by a join, so no task holds them all."""
+    codes = ranked(sequences.select(F.explode(seq).alias("item")).distinct(), [F.col("item")], "code")
+    places = sequences.select(key, F.posexplode(seq).alias("i", "item")).join(codes, "item")
+    rows = places.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "code"))).alias("s"))
+    text = F.concat(F.array_join(F.transform("s", lambda x: F.concat(x["code"].cast("string"), F.lit(" -1"))), " "), F.lit(" -2"))
+    return rows.select(key, text.alias("line")), codes
 
-def _by(column: str):
-    from pyspark.sql import Window
 
-    return Window.orderBy(column)
+def decoded(lines: DataFrame, codes: DataFrame) -> DataFrame:
+    """Mined patterns of such text (`1 -1 2 -1 #SUP: 7`) as (sequence, support); lines without a support are none."""
+    rows = lines.select("value", F.regexp_extract("value", r"#SUP:\s*(\d+)", 1).alias("support")).where("support <> ''")
+    parts = rows.select("value", F.col("support").cast("long").alias("support"), F.posexplode(F.regexp_extract_all(F.regexp_replace("value", "#SUP:.*", ""), F.lit(r"(\d+)\s+-1"), 1)).alias("i", "code"))
+    named_ = parts.withColumn("code", F.col("code").cast("long")).join(codes, "code")
+    return named_.groupBy("value", "support").agg(F.array_sort(F.collect_list(F.struct("i", "item"))).alias("s")).select(F.col("s.item").alias("sequence"), "support")
 
 
 # Normalisation to canonical events.
