@@ -685,12 +685,17 @@ def lr_head_to_head(spark, d):
     w = evaluation.temporal_split(kept_windows(spark, d)).withColumn("label", F.col("is_failure").cast("int"))
     words = words_of(w.where("train"))
     blocks = {"event_count": w.withColumn("features", F.array("n_events")), "presence": features.presence(w, words), "multiset": features.multiset(w, words), "precedence": features.precedence(w, words[:20])}
-    out = None
+    scored = None
     for name, rows in blocks.items():
-        scored = evaluation.logistic(rows.where("train"), rows.where(~F.col("train")))
-        row = r6(evaluation.auroc(scored).crossJoin(evaluation.average_precision(scored)), "auroc", "average_precision").select(F.lit(name).alias("feature_set"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+        one = judged_by_model(rows, name, feature_set=name)
+        scored = one if scored is None else scored.unionByName(one)
+    return r6(evaluation.auroc(scored, "feature_set").join(evaluation.average_precision(scored, "feature_set"), "feature_set"), "auroc", "average_precision")
+
+
+def judged_by_model(rows: DataFrame, name: str, balanced: bool = False, **names) -> DataFrame:
+    """label and score of the rows that aren't train, with constant columns; written, so that no metric fits or scores again."""
+    scored = evaluation.logistic(rows.where("train"), rows.where(~F.col("train")), balanced=balanced)
+    return written(scored.select("label", "score", *[F.lit(v).alias(k) for k, v in names.items()]), f"scored-{name}")
 
 
 @query("gbt")
@@ -790,14 +795,14 @@ def ps_survivors(spark, d):
 def order_value_assay(spark, d):
     """What order adds: AUROC of precedence features on real windows less that on shuffled ones, over splits by entity."""
     w = kept_windows(spark, d).withColumn("label", F.col("is_failure").cast("int"))
-    words = features.vocabulary(w, 20)
-    out = None
+    words, scored = features.vocabulary(w, 20), None
     for seed in range(8):
-        for kind, rows in (("real", w), ("shuffled", mining.shuffled(w, seed))):
-            split = evaluation.entity_split(features.precedence(rows, words), seed=seed)
-            row = evaluation.auroc(evaluation.logistic(split.where("train"), split.where(~F.col("train")), balanced=True)).select(F.lit(seed).alias("split"), F.lit(kind).alias("kind"), "auroc")
-            out = row if out is None else out.unionByName(row)
-    return r6(out.groupBy("split").pivot("kind", ["real", "shuffled"]).agg(F.first("auroc")).withColumn("order_value", F.col("real") - F.col("shuffled")), "real", "shuffled", "order_value")
+        split = written(evaluation.entity_split(w, seed=seed).select("window_id", "label", "items", "train"), "split")
+        for kind, rows in (("real", split), ("shuffled", mining.shuffled(split, seed))):
+            one = judged_by_model(features.precedence(rows, words), kind, balanced=True, split=seed, kind=kind)
+            scored = one if scored is None else scored.unionByName(one)
+    areas = evaluation.auroc(scored, "split", "kind").groupBy("split").pivot("kind", ["real", "shuffled"]).agg(F.first("auroc"))
+    return r6(areas.withColumn("order_value", F.col("real") - F.col("shuffled")), "real", "shuffled", "order_value")
 
 
 @query("alarm_leave_one_out", f"""with recursive {S.EV}, marked as (select entity_id, item, us, case when exists (select 1 from ev f where f.entity_id = e.entity_id and f.event_type = 'error' and f.us > e.us and f.us <= e.us + {DAY}) then 1 else 0 end as hit from ev e where event_type <> 'error'),
