@@ -31,11 +31,11 @@ def ranked_by_draw(df: DataFrame, parts: list[Column | str], ties: list[str], na
     return numbered(drawn.withColumn("__b", F.shiftright("__d", 20)), [F.col("__d"), *map(F.col, ties)], name).drop("__d")
 
 
-def bucketed(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df with __b, which ascends with the order."""
+def bucketed(df: DataFrame, order: list[Column], bounds_: int = BOUNDS) -> DataFrame:
+    """df with __b (int, from 0 to about bounds_), which ascends with the order."""
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    looked = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(BOUNDS * SPREAD)
-    bounds = looked.agg(F.array_sort(F.collect_list("k")).alias("__bounds")).select(F.filter("__bounds", lambda _, i: i % SPREAD == 0).alias("__bounds"))
+    looked = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(bounds_ * SPREAD)
+    bounds = looked.agg(F.array_sort(F.collect_list("k")).alias("__bounds")).select(F.filter("__bounds", lambda _, i: i % SPREAD == SPREAD - 1).alias("__bounds"))
     return df.withColumn("__k", key).join(F.broadcast(bounds)).withColumn("__b", F.size(F.filter("__bounds", lambda b: b < F.col("__k")))).drop("__bounds", "__k")
 
 
