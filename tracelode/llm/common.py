@@ -1,9 +1,7 @@
-"""What the training-data operators share: the shared folder, lineage cuts and batch iteration."""
+"""What the training-data operators share: the shared folder, batch iteration and joins with hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,42 +9,17 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelode.sources.shared import delete, scratch, shared_dir, written  # noqa: F401  (for the operators)
+
 #: Characters of text that a Python worker handles at once.
 BATCH_CHARS = 4_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tracelode-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder: a lost executor costs no recomputation of what came before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: columns that a later step doesn't need aren't read again."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A key with over 1 / PARTS of all rows is hot, so at most PARTS keys are.
+PARTS = 200
 
 
 def slim(spark: SparkSession, records: int = 1000) -> None:
-    """Whole texts make wide rows: at most so many of them go to a Python worker at once, in this session."""
+    """Whole texts make wide rows: at most so many of them go to a Python worker at once. A session setting, as the
+    results of the operators are lazy and run after they have returned; the README says so."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > records:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
 
@@ -74,3 +47,17 @@ def in_slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int
                 part = batch.slice(begin, i + 1 - begin)
                 yield part, [x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]
                 begin, held = i + 1, 0
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows joined with table, which has one row per key and, in weight, how many of rows have it (the column goes).
+
+    Rows of a hot key are dealt to parts of about 1 / PARTS of all rows, and the key's row is repeated for each part:
+    at most 2 * PARTS rows more. Only the hot keys are broadcast, of which there are at most PARTS."""
+    every = table.agg(F.sum(weight).alias("__all"))  # one row
+    hot = table.crossJoin(F.broadcast(every)).where(F.col(weight) * PARTS > F.col("__all"))
+    hot = F.broadcast(hot.select(*keys, F.ceil(F.col(weight) * PARTS / F.col("__all")).cast("long").alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1))
+    left = rows.join(hot, keys, "left").withColumn("__part", F.pmod(F.monotonically_increasing_id(), parts)).drop("__parts")
+    right = table.join(hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__parts", weight)
+    return left.join(right, [*keys, "__part"]).drop("__part")
