@@ -6,6 +6,8 @@ suffix, and a prior of its host. The prior is hierarchically smoothed: the host'
 these on all pages'. All counts come from grouped aggregation of what the texts alone say; a page's own vote is taken
 out before it is judged. Trigrams are learned from at most TRAIN_DOCS labelled documents (the smallest by hash).
 
+A host, declaration or suffix that very many pages share is dealt to several tasks (spread_join).
+
 Defined cases: null or empty pages have no text evidence and follow the rest; pages without an address have no host
 and take the prior of all pages; an undeclared or unknown language is a declaration of its own; without labelled
 documents the language is null and its probability 0; ties go to the first language by name; repeated rows stay;
@@ -20,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import in_slices, written
+from tracelode.llm.common import in_slices, spread_join, written
 
 TRAIN_DOCS = 3000
 BITS = 15
@@ -88,31 +91,36 @@ def learned(docs: DataFrame) -> Trigrams:
             for lang, a, b in zip(batch.column("lang").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 sums.setdefault(lang, np.zeros(1 << BITS, np.int64))
                 np.add.at(sums[lang], grams[a:b], 1)
-        if sums:
-            langs = sorted(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array([sums[k].astype("<i8").tobytes() for k in langs], pa.binary())], ["lang", "counts"])
+        for lang, n in sorted(sums.items()):
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(n[some])], ["lang", "gram", "n"])
 
+    summed = some.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    table = summed.toArrow()  # at most 2**BITS rows a language of the sample
     total: dict[str, np.ndarray] = {}
-    for r in some.mapInArrow(count, "lang string, counts binary").toLocalIterator():
-        total[r.lang] = total.get(r.lang, 0) + np.frombuffer(r.counts, "<i8")
+    for lang in pa.compute.unique(table.column("lang")).to_pylist():
+        own = table.filter(pa.compute.equal(table.column("lang"), lang))
+        total[lang] = np.zeros(1 << BITS, np.int64)
+        total[lang][own.column("gram").to_numpy()] = own.column("n").to_numpy()
     return Trigrams(total)
 
 
 def address(url: Column) -> dict[str, Column]:
-    """Host, domain (its last two labels), suffix (the last) and the number that its path ends in."""
+    """Host, domain, suffix (the last label) and the number that its path ends in. The domain is the last two labels, or
+    three where the second last is one that countries register under (co.uk)."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     return {
         "host": host,
-        "domain": F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1),
+        "domain": F.regexp_extract(host, r"([^.]+\.(?:(?:ac|co|com|edu|go|gob|gov|ne|net|or|org)\.[a-z]{2}|[^.]+))$", 1),
         "suffix": F.regexp_extract(host, r"([^.]+)$", 1),
         "doc_id": F.nullif(F.regexp_extract(url, r"^[^?#]*/(\d{1,18})(?:\.\w+)?/?(?:[?#].*)?$", 1), F.lit("")).cast("long"),
     }
 
 
 def votes(df: DataFrame, languages: list[str], *by: str) -> DataFrame:
-    """By the columns, an array of how many pages' texts say each language."""
+    """By the columns, an array (n) of how many pages' texts say each language, and their sum (rows)."""
     sums = F.array(*[F.sum((F.col("said") == k).cast("double")) for k in range(len(languages))])
-    return df.groupBy(*by).agg(sums.alias("n"))
+    return df.groupBy(*by).agg(sums.alias("n"), F.count("*").alias("rows"))
 
 
 def judged(pages: DataFrame, model: Trigrams) -> DataFrame:
@@ -135,12 +143,12 @@ def judged(pages: DataFrame, model: Trigrams) -> DataFrame:
 
     every = votes(read_, languages).first()
     total = [float(x or 0) for x in every.n]
-    hosts = votes(read_, languages, "domain", "host").withColumnRenamed("n", "host_n")
-    domains = votes(read_, languages, "domain").withColumnRenamed("n", "domain_n")
+    hosts = written(votes(read_, languages, "domain", "host"), "hosts")
+    domains = hosts.groupBy("domain").agg(F.array(*[F.sum(F.col("n")[k]) for k in range(len(languages))]).alias("domain_n"), F.count("*").alias("hosts"))
+    levels = spread_join(hosts.withColumnRenamed("n", "host_n").withColumnRenamed("rows", "pages"), domains, ["domain"], "hosts")
     marks = votes(read_, languages, "declared").withColumnRenamed("n", "declared_n")
     ends = votes(read_, languages, "suffix").withColumnRenamed("n", "suffix_n")
-    levels = hosts.join(domains, "domain")
-    joined = read_.join(levels, ["domain", "host"]).join(marks, "declared").join(ends, "suffix")
+    joined = spread_join(spread_join(spread_join(read_, levels, ["domain", "host"], "pages"), marks, ["declared"], "rows"), ends, ["suffix"], "rows")
 
     size = len(languages)
     whole = sum(total)
