@@ -1,5 +1,6 @@
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -83,8 +84,61 @@ def test_plan_uses_every_piece_once(counts):
         for k in lengths:
             used[k] = used.get(k, 0) + times
     assert used == counts
-    total = sum(k * n for k, n in counts.items())
-    assert sum(t for _, t in bins) <= max(-(-total // 50) * 1.7 + 1, 1)
+    # What is left when a bin closes doesn't fit into it, so every two bins in a row hold more than one capacity.
+    assert lower_bound(counts, 50) <= sum(t for _, t in bins) <= 2 * sum(k * n for k, n in counts.items()) / 50 + 1
+
+
+def lower_bound(counts, capacity):
+    """Bins that any packing needs: for each k, pieces over capacity - k need one each, those over half too, and what the
+    pieces from k to half need beyond the room left beside the latter (Martello and Toth)."""
+    best = 0
+    for k in range(capacity // 2 + 1):
+        alone = sum(n for s, n in counts.items() if s > capacity - k)
+        half = {s: n for s, n in counts.items() if capacity / 2 < s <= capacity - k}
+        small = sum(s * n for s, n in counts.items() if k <= s <= capacity / 2)
+        room = sum((capacity - s) * n for s, n in half.items())
+        best = max(best, alone + sum(half.values()) + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+def optimum(pieces, capacity):
+    """The fewest bins, by trying all."""
+    best = len(pieces)
+
+    def put(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(pieces):
+            best = len(bins)
+            return
+        for j in range(len(bins)):
+            if bins[j] + pieces[i] <= capacity and bins[j] not in bins[:j]:
+                put(i + 1, [*bins[:j], bins[j] + pieces[i], *bins[j + 1 :]])
+        put(i + 1, [*bins, pieces[i]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=8))
+def test_plan_is_near_the_optimum(pieces):
+    used = sum(t for _, t in packing.plan(dict(Counter(pieces)), 20))
+    best = optimum(sorted(pieces, reverse=True), 20)
+    assert lower_bound(Counter(pieces), 20) <= best <= used <= best + 1
+
+
+def test_plan_of_many_pieces_is_within_one_percent():
+    rnd = np.random.default_rng(4)
+    for spread in (0.5, 1.0, 1.5):
+        counts = Counter(np.clip(rnd.lognormal(6, spread, 20_000).astype(int), 1, 4096).tolist())
+        used, least = sum(t for _, t in packing.plan(dict(counts), 4096)), lower_bound_of_volume(counts, 4096)
+        assert least <= used <= least * 1.01 + 1
+
+
+def lower_bound_of_volume(counts, capacity):
+    return max(-(-sum(s * n for s, n in counts.items()) // capacity), sum(n for s, n in counts.items() if s > capacity / 2))
 
 
 def test_two_replace_the_smallest():

@@ -6,8 +6,10 @@ then its smallest document makes way for two unpacked ones, if a pair fits the g
 filled bin is a pattern, repeated as often as its lengths' counts allow. Pieces then take the places of the patterns
 by their rank among those of the same length.
 
-Defined cases: a null text is an empty one (one piece with the end id); repeated rows are packed each; an empty table
-gives no rows; other columns aren't read. Documents longer than the capacity are cut there, in order.
+Defined cases: a null text is an empty one (one piece with the end id); repeated rows are packed each; a null doc_id is
+kept as null; an empty table gives no rows; other columns aren't read; among pairs that fit equally well the first found
+(one short, one long) is taken, and pieces of one length take places in the order of their tasks. Documents longer than
+the capacity are cut there, in order, however long they are.
 """
 
 from __future__ import annotations
@@ -26,9 +28,6 @@ from pyspark.sql import functions as F
 from tracelode.llm.common import in_slices, texts_of, written
 from tracelode.llm.tokens import encoder
 
-#: Pieces of one task and length whose ranks are counted together.
-BLOCK = 128
-
 
 class Lengths:
     """The counts of unpacked pieces by length, with the lengths that are left in order."""
@@ -136,16 +135,16 @@ TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(),
 def assign(pieces: DataFrame, capacity: int) -> DataFrame:
     """pieces (length, part, nth and any others) with sequence_id and offset.
 
-    Only the histogram reaches the driver: at most `capacity` rows. Ranks are made of the counts by block of
-    BLOCK pieces and summed per length; the pieces themselves are joined by block, never gathered by length.
+    Only the histogram reaches the driver: at most `capacity` rows. A piece's rank among those of its length is its
+    rank in its task and what the tasks before have; these are sums of a row per length and task, so a length that very
+    many pieces share makes no group of pieces.
     """
-    counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
+    table = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    counts = {r.length: r.n for r in table.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     spots = places(plan(counts, capacity))
-    blocked = pieces.withColumn("block", F.floor(F.col("nth") / BLOCK))
-    blocks = blocked.groupBy("length", "part", "block").count()
-    before = Window.partitionBy("length").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("length", "part", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    ranked = blocked.join(blocks, ["length", "part", "block"]).withColumn("nth", F.col("before") + F.col("nth") % BLOCK).drop("part", "block", "before")
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    starts = table.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = pieces.join(starts, ["length", "part"]).withColumn("nth", F.col("before") + F.col("nth")).drop("part", "before")
     names = [c for c in ranked.columns if c != "nth"]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
