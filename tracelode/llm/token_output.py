@@ -8,7 +8,7 @@ rotation by 15 bits plus a constant, as in other record formats; the checksum is
 computes natively (CRC-32C it does not).
 
 Defined cases: a null text is an empty one (only the end id); rows with the same doc_id stay rows of their own,
-in the order of their texts; a null doc_id comes first and is written as the smallest i64; an empty table gives
+in the order of their texts' first HEAD characters, then hashes; a null doc_id comes first and is written as the smallest i64; an empty table gives
 no shards; other columns aren't read. Texts are processed whole.
 """
 
@@ -23,12 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracelode.llm.common import in_slices, scratch, texts_of
 from tracelode.llm.tokens import encoder
+from tracelode.operators.ordered import bucketed
 
 NO_ID = -(2**63)
 MASK_DELTA = 0xA282EAD8
+#: Bytes of text per shard, and the most shards (their bounds are one array); characters that order rows of one doc_id.
+SHARD_BYTES, MOST_SHARDS, HEAD = 128_000_000, 10_000, 64
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8")])
 
 
@@ -66,32 +70,49 @@ def filesystem(uri: str):
 def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, dtype: str = "<u2", text: str = "text") -> list[dict]:
     """Writes docs (doc_id, text) as shards below out; returns a row per shard, in ascending order of doc_id.
 
-    One shuffle, of the texts by range of doc_id; each task writes one shard under a name of its own, so a task
-    that runs again leaves no half-written shard in the list.
+    Texts are encoded where they lie; one shuffle takes the ids, by range of (doc_id, beginning and hash of the text), to
+    a task per shard. There are as many shards as the bytes of all texts ask for, whatever the session's partitions are,
+    and the rows of one doc_id can be in several. Each task writes under a name of its own, so that one that runs again leaves no
+    half-written shard in the list.
     """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    shards = min(MOST_SHARDS, max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES)))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, end = encoder(tokenizer, dtype), np.array([end_id], dtype).tobytes()
+        for batch, _ in in_slices(batches, text):
+            ids = pa.array([row.tobytes() + end for row in enc.encode(batch.column(text))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "head", "tie", "shard")), ids], ["doc_id", "head", "tie", "shard", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        fs, base = filesystem(out)
-        fs.create_dir(base, recursive=True)
-        name = f"{base}/shard-{part:06d}-{uuid.uuid4().hex}"
-        enc, end = encoder(tokenizer, dtype), np.array([end_id], dtype).tobytes()
+        width = np.dtype(dtype).itemsize
         at = tokens = docs_here = 0
-        with fs.open_output_stream(f"{name}.rec") as rec, fs.open_output_stream(f"{name}.idx") as idx:
-            for batch, _ in in_slices(batches, text):
-                ids = batch.column("doc_id").to_pylist()
-                for doc_id, row in zip(ids, enc.encode(batch.column(text)), strict=True):
-                    doc_id = NO_ID if doc_id is None else doc_id
-                    data = frame(struct.pack("<qI", doc_id, len(row) + 1) + row.tobytes() + end)
-                    rec.write(data)
-                    idx.write(struct.pack("<qQ", doc_id, at))
-                    at, tokens, docs_here = at + len(data), tokens + len(row) + 1, docs_here + 1
-        if docs_here:
+        rec = idx = None
+        for batch in batches:
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if rec is None:
+                    fs, base = filesystem(out)
+                    fs.create_dir(base, recursive=True)
+                    name = f"{base}/shard-{part:06d}-{uuid.uuid4().hex}"
+                    rec, idx = fs.open_output_stream(f"{name}.rec"), fs.open_output_stream(f"{name}.idx")
+                doc_id, n = NO_ID if doc_id is None else doc_id, len(raw) // width
+                data = frame(struct.pack("<qI", doc_id, n) + raw)
+                rec.write(data)
+                idx.write(struct.pack("<qQ", doc_id, at))
+                at, tokens, docs_here = at + len(data), tokens + n, docs_here + 1
+        if rec is not None:
+            rec.close()
+            idx.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([docs_here]), pa.array([tokens])], ["part", "path", "n_docs", "n_tokens"])
 
-    ordered = texts_of(docs, "doc_id", text=text).repartitionByRange("doc_id").sortWithinPartitions("doc_id", text)
-    shards = ordered.mapInArrow(write, "part int, path string, n_docs long, n_tokens long").collect()  # a row per shard
-    return [r.asDict() for r in sorted(shards, key=lambda r: r.part)]
+    order = [F.coalesce(F.col("doc_id"), F.lit(NO_ID)), F.col("head"), F.col("tie")]
+    rows = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id"), text=text).withColumns({"head": F.substring(text, 1, HEAD), "tie": F.xxhash64(text)})
+    rows = bucketed(rows, order, shards).withColumn("shard", F.least("__b", F.lit(shards - 1))).drop("__b")
+    ids = rows.mapInArrow(encode, "doc_id long, head string, tie long, shard int, ids binary").repartitionById(shards, "shard").sortWithinPartitions(*order, "ids")
+    written_ = ids.mapInArrow(write, "part int, path string, n_docs long, n_tokens long").collect()  # a row per shard
+    return [r.asDict() for r in sorted(written_, key=lambda r: r.part)]
 
 
 def read_shard(path: str, dtype: str = "<u2") -> Iterator[tuple[int | None, np.ndarray]]:
