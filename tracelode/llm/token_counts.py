@@ -4,7 +4,8 @@ The symbols of a pre-token stand in a linked list; a heap holds its adjacent pai
 lowest is popped and merged again and again; the count is the initial symbols minus the merges. Each distinct
 chunk of text is merged once per worker and its count kept (see tokens.Chunks).
 
-Defined cases: a null text is an empty one with 0 tokens; repeated rows stay; other columns aren't read. Special
+Defined cases: a null text is an empty one with 0 tokens; repeated rows and null doc_ids stay; an empty table gives no
+rows; of two pairs with the same rank the left one is merged first; other columns aren't read. Special
 strings inside a text count one token each, as is the tokenizers library's default.
 """
 
@@ -67,7 +68,11 @@ class MergeCounter(Chunks):
             raise ValueError(f"{path}: not a plain byte-level BPE")
         pairs = (x.split(" ") if isinstance(x, str) else x for x in model["merges"])
         self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
-        special = [x["content"] for x in stated["added_tokens"]]
+        added = stated["added_tokens"]
+        special = [x["content"] for x in added]
+        if any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in added) or any(not c or any(map(str.isspace, c)) for c in special):
+            raise ValueError(f"{path}: added tokens that reach beyond their own characters")
+        self.beginnings = tuple({c[0] for c in special})
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.find = regex.compile(BYTE_LEVEL).findall
         super().__init__(limit)
@@ -76,7 +81,7 @@ class MergeCounter(Chunks):
         self.words: dict[str, int] = {}
 
     def answer(self, chunk: str) -> int:
-        if self.special is None or "<" not in chunk or not (found := self.special.findall(chunk)):
+        if self.special is None or not any(c in chunk for c in self.beginnings) or not (found := self.special.findall(chunk)):
             return self.count(chunk)
         return len(found) + sum(map(self.count, self.special.split(chunk)))
 
