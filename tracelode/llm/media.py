@@ -5,8 +5,10 @@ format's validator walks the structure from there and states the length that the
 A hit that stands where the column's value begins gives its true type; other valid hits are embedded media, which
 are carved as (type, offset, length). Automaton and validators see whole values.
 
-Defined cases: a null value has no type and carves nothing; an empty text is a payload of 576 padding bytes; repeated
-rows and equal texts give equal values; other columns aren't read.
+Defined cases: a null value has no type and carves nothing; an empty or null text is a payload of 576 padding bytes; repeated
+rows and equal texts give equal values; a null doc_id stays null; an empty table gives no rows; of media that begin at
+one place the longest comes first; other columns aren't read. The time grows with the value's length and hits only: marks
+that end a format are found in the same pass and looked up, not searched for from each hit.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,8 +24,11 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tracelode.llm.common import in_slices, texts_of
+from tracelode.llm.common import in_slices
+
+OPAQUE = "application/octet-stream"
 
 #: Magic bytes, by media type, and how far before the magic the format begins.
 MAGIC = {
@@ -42,15 +48,35 @@ MAGIC = {
 }
 
 
+#: Marks that formats end with.
+PDF_END, PDF_START, ZIP_END, JPEG_END = b"%%EOF", b"startxref", b"PK\x05\x06", b"\xff\xd9"
+MARKS = (PDF_END, PDF_START, ZIP_END, JPEG_END)
+
+
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
+    """Of magic bytes, and of the marks that validators look for."""
     found = ahocorasick.Automaton()
     for magic, (kind, back) in MAGIC.items():
-        found.add_word(magic.decode("latin-1"), (kind, back, len(magic)))
+        found.add_word(magic.decode("latin-1"), (kind, back, magic))
+    for mark in MARKS:
+        found.add_word(mark.decode("latin-1"), (None, 0, mark))
     found.make_automaton()
     return found
 
 
+class Value(bytes):
+    """Bytes with the places of all marks, so that no validator searches on from each hit."""
+
+    marks: dict[bytes, list[int]]
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of mark from at on, or -1."""
+        places = self.marks[mark]
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+
 def png_length(b: bytes, at: int) -> int | None:
     i, first = at + 8, True
     while i + 12 <= len(b):
@@ -86,7 +112,7 @@ def gif_length(b: bytes, at: int) -> int | None:
     return None
 
 
-def jpeg_length(b: bytes, at: int) -> int | None:
+def jpeg_length(b: Value, at: int) -> int | None:
     i = at + 2
     while i + 4 <= len(b) and b[i] == 0xFF:
         kind = b[i + 1]
@@ -96,7 +122,7 @@ def jpeg_length(b: bytes, at: int) -> int | None:
             return None
         i += 2 + struct.unpack_from(">H", b, i + 2)[0]
         if kind == 0xDA:
-            end = b.find(b"\xff\xd9", i)
+            end = b.next(JPEG_END, i)
             return end + 2 - at if end >= 0 else None
     return i + 2 - at if b[i : i + 2] == b"\xff\xd9" else None
 
@@ -136,8 +162,8 @@ def flac_length(b: bytes, at: int) -> int | None:
         if first and (kind, n) != (0, 34) or kind == 127 or i + 4 + n > len(b):
             return None
         last, i, first = b[i] & 0x80, i + 4 + n, False
-        if last:
-            return len(b) - at  # its frames have no stated end
+        if last:  # a frame has to follow, but frames state no end: the medium is the rest of the value
+            return len(b) - at if b[i : i + 2] in (b"\xff\xf8", b"\xff\xf9") else None
     return None
 
 
@@ -163,13 +189,13 @@ def mp4_length(b: bytes, at: int) -> int | None:
     return i - at if at >= 0 and i > at else None
 
 
-def pdf_length(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) >= 0 else None
+def pdf_length(b: Value, at: int) -> int | None:
+    end, start = b.next(PDF_END, at), b.next(PDF_START, at)
+    return end + 5 - at if end >= 0 and b[at + 5 : at + 6].isdigit() and 0 <= start <= end - len(PDF_START) else None
 
 
-def zip_length(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
+def zip_length(b: Value, at: int) -> int | None:
+    end = b.next(ZIP_END, at)
     if end < 0 or end + 22 > len(b):
         return None
     size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
@@ -184,11 +210,15 @@ VALID = {
 
 def sniffed(data: bytes) -> list[tuple[str, int, int]]:
     """All valid media in data as (type, offset, length), by offset; nothing is cut or limited."""
-    found = []
-    for end, (kind, back, n) in automaton().iter(data.decode("latin-1")):
-        at = end + 1 - n - back
-        if at >= 0 and (length := VALID[kind](data, at)) is not None:
-            found.append((kind, at, length))
+    value, hits = Value(data), []
+    value.marks = {m: [] for m in MARKS}
+    for end, (kind, back, magic) in automaton().iter(data.decode("latin-1")):
+        at = end + 1 - len(magic) - back
+        if kind is None:
+            value.marks[magic].append(at)
+        elif at >= 0:
+            hits.append((kind, at))
+    found = [(kind, at, length) for kind, at in hits if (length := VALID[kind](value, at)) is not None]
     return sorted(found, key=lambda x: (x[1], -x[2], x[0]))
 
 
@@ -234,13 +264,14 @@ def stored(text: str, unit: int = 576) -> tuple[int, bytes]:
     return len(raw), wav(raw + b"\xff" * (unit - len(raw) % unit if len(raw) % unit or not raw else 0))
 
 
-def media_features(docs: DataFrame, declared: str = "application/octet-stream", text: str = "text") -> DataFrame:
+def media_features(docs: DataFrame, declared: str | None = None, text: str = "text") -> DataFrame:
     """Per row of docs, from the stored form read back: sizes, checksums, and as feature the corrected type with the
-    media that are embedded in it. No shuffle."""
+    media that are embedded in it. declared names a column of declared types; without one, and where it is null, a
+    value is declared to be application/octet-stream. No shuffle."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    def row(doc_id: int | None, text: str) -> tuple:
+    def row(doc_id: int | None, declared: str, text: str) -> tuple:
         n, media = stored(text)
         payload = wav_samples(media)
         inside = carved(media)
@@ -249,10 +280,12 @@ def media_features(docs: DataFrame, declared: str = "application/octet-stream",
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in in_slices(batches, text):
-            rows = [row(*x) for x in zip(batch.column("doc_id").to_pylist(), texts, strict=True)]
+            rows = [row(*x) for x in zip(batch.column("doc_id").to_pylist(), batch.column("declared").to_pylist(), texts, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return texts_of(docs, "doc_id", text=text).mapInArrow(features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    stated = F.coalesce(F.col(declared), F.lit(OPAQUE)) if declared else F.lit(OPAQUE)
+    rows_ = docs.select("doc_id", stated.alias("declared"), F.coalesce(F.col(text), F.lit("")).alias(text))
+    return rows_.mapInArrow(features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def crossings(samples: bytes) -> int:
