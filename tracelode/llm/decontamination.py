@@ -4,12 +4,14 @@ The items' words, lower-cased, make a suffix automaton. Training words are strea
 state and length say the longest stretch, ending there, that some item contains. Where it has `window` words, the last
 `window` of them are hit; items shorter than that hit where they occur whole.
 
-The automaton is built in shards of at most SHARD_CHARS of item text, each a file in the shared folder that workers
-load one at a time: neither the driver nor a worker holds an unbounded benchmark.
+The automaton is built in shards of about SHARD_CHARS of item text, each by a task of its own and a file in the shared
+folder. Workers load one at a time and take a large part of their input through it: the driver never holds the
+benchmark, a worker never more than one shard.
 
 Defined cases: null and empty texts have no words and hit nothing; items without words are none; items that repeat an
-item_id count once; rows that repeat stay; an empty benchmark hits nothing; other columns aren't read by contamination()
-and are kept by cleaned().
+item_id count once, a null item_id counts as ''; rows that repeat and null doc_ids stay; an empty benchmark hits nothing
+and an empty table gives no rows; windows that several items share name them all; other columns aren't read by
+contamination() and are kept by cleaned(). Texts are streamed whole, however long.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +31,8 @@ from tracelode.llm.common import in_slices, scratch, texts_of
 from tracelode.llm.token_output import filesystem
 
 SHARD_CHARS = 4_000_000
+#: Bytes of input that a task takes through one automaton before it loads the next, where there are several.
+ROUND = 64_000_000
 #: A word before A-Z are lower-cased.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: ASCII capitals to small letters, all else in ASCII that isn't a letter or digit to blanks.
@@ -149,17 +154,42 @@ def build(benchmark: DataFrame, window: int, shard_chars: int = SHARD_CHARS) ->
     spark = benchmark.sparkSession
     items = texts_of(benchmark, F.col("item_id").cast("string").alias("item_id"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = -(-size // shard_chars) if size else 0
-    out, paths = scratch(spark, "automata"), []
-    for k in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        rows = sorted((r.item_id or "", words_of(r.text)) for r in part.collect())
-        fs, base = filesystem(out)
-        fs.create_dir(base, recursive=True)
-        with fs.open_output_stream(f"{base}/{k}.pickle") as f:
-            f.write(pickle.dumps(SuffixAutomaton([r for r in rows if r[1]], window)))
-        paths.append(f"{out}/{k}.pickle")
-    return paths
+    shards = max(1, -(-size // shard_chars))
+    out = scratch(spark, "automata")
+
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[str, list[bytes]]]] = {}
+        for batch in batches:
+            for shard, item, text in zip(*[batch.column(c).to_pylist() for c in ("shard", "item_id", "text")], strict=True):
+                if words := words_of(text):
+                    held.setdefault(shard, []).append((item or "", words))
+        for shard, rows in held.items():
+            fs, base = filesystem(out)
+            fs.create_dir(base, recursive=True)
+            name = f"{shard}-{uuid.uuid4().hex}.pickle"  # a task that runs again leaves its first file unused
+            with fs.open_output_stream(f"{base}/{name}") as f:
+                f.write(pickle.dumps(SuffixAutomaton(sorted(rows), window)))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{out}/{name}"])], ["path"])
+
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int")).repartitionById(shards, "shard")
+    return sorted(r.path for r in dealt.mapInArrow(built, "path string").collect())  # a path per shard
+
+
+def grouped(batches: Iterator[pa.RecordBatch], text: str, paths: list[str]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a task's input: with several automata as large as ROUND, since each slice loads them all in turn."""
+    if len(paths) < 2:
+        yield from in_slices(batches, text)
+        return
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= ROUND:
+            yield from in_slices([pa.concat_batches(held)], text, ROUND)
+            held, size = [], 0
+    if held:
+        yield from in_slices([pa.concat_batches(held)], text, ROUND)
 
 
 @lru_cache(maxsize=1)
@@ -192,7 +222,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     paths = build(benchmark, window)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in in_slices(batches, text):
+        for batch, texts in grouped(batches, text, paths):
             found = all_hits(paths, texts)
             hit = [sum(b - a for a, b in s) for _, s, _ in found]
             columns = [
@@ -204,24 +234,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     return texts_of(docs, "doc_id", text=text).mapInArrow(judge, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def without_hits(text: str, paths: list[str], coverage: float) -> str | None:
-    """The text without its hit spans; None if these are more than the share `coverage` of its words.
-    What the removal brings together is looked through again, until nothing is hit."""
-    total = None
-    while True:
-        n, spans, _ = all_hits(paths, [text])[0]
-        if not spans:
-            return text
-        total = n if total is None else total
-        kept = n - sum(b - a for a, b in spans)
-        if kept < (1 - coverage) * total:
-            return None
-        words = [m.span() for m in WORD.finditer(text)]
-        out, at = [], 0
-        for a, b in spans:
-            out.append(text[at : words[a][0]])
-            at = words[b - 1][1]
-        text = "".join([*out, text[at:]])
+def without_hits(texts: list[str], paths: list[str], coverage: float) -> list[str | None]:
+    """The texts without their hit spans; None for those of which these are more than the share `coverage` of the words.
+    What the removal brings together is looked through again, all texts at once, until nothing is hit."""
+    out: list[str | None] = list(texts)
+    total: dict[int, int] = {}
+    open_ = list(range(len(texts)))
+    while open_:
+        still = []
+        for i, (n, spans, _) in zip(open_, all_hits(paths, [out[i] or "" for i in open_]), strict=True):
+            if spans:
+                kept = n - sum(b - a for a, b in spans)
+                if kept < (1 - coverage) * total.setdefault(i, n):
+                    out[i] = None
+                else:
+                    out[i] = cut_out(out[i] or "", spans)
+                    still.append(i)
+        open_ = still
+    return out
+
+
+def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
+    words = [m.span() for m in WORD.finditer(text)]
+    out, at = [], 0
+    for a, b in spans:
+        out.append(text[at : words[a][0]])
+        at = words[b - 1][1]
+    return "".join([*out, text[at:]])
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.5, text: str = "text") -> DataFrame:
@@ -230,16 +269,14 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 10, coverage: f
     schema = docs.schema
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in in_slices(batches, text):
+        for batch, texts in grouped(batches, text, paths):
             at = batch.schema.get_field_index(text)
             found = all_hits(paths, texts)
-            if any(s for _, s, _ in found):
+            if hit := [i for i, (_, spans, _) in enumerate(found) if spans]:
                 new = batch.column(at).to_pylist()
                 keep = [True] * len(new)
-                for i, (_, spans, _) in enumerate(found):
-                    if spans:
-                        new[i] = without_hits(texts[i], paths, coverage)
-                        keep[i] = new[i] is not None
+                for i, t in zip(hit, without_hits([texts[i] for i in hit], paths, coverage), strict=True):
+                    new[i], keep[i] = t, t is not None
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.column(at).type)).filter(pa.array(keep))
             yield batch
 
