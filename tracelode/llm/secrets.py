@@ -2,11 +2,13 @@
 
 Base spans come from three patterns. Their values are the labelled credentials: per kind, a prefix tree of the values
 is generalised by merging states whose outcome frequencies are statistically compatible (Hoeffding's bound, red-blue
-order) into a probabilistic automaton. Every other run of credential characters is then scored with all automata
-against a model of ordinary runs; what a format makes clearly likelier, per character, is added as a `learned` span.
+order) into a probabilistic automaton. Every other run of credential characters, from the length of the shortest
+labelled value on, is then scored with all automata against a model of ordinary runs; what a format makes clearly
+likelier, per character, is added as a `learned` span. Of runs that base spans touch, the parts outside are scored.
 
-Defined cases: null and empty texts have no spans; a corpus without credentials or ordinary runs adds nothing;
-repeated rows stay; other columns aren't read. Texts are scanned whole, offsets are code points, ends are exclusive.
+Defined cases: null and empty texts have no spans; a corpus without credentials or ordinary runs adds nothing; an empty
+table gives no rows; repeated rows and null doc_ids stay; other columns aren't read. Texts are scanned whole in time that
+grows with their length, offsets are code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -18,29 +20,37 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import in_slices, texts_of
+from tracelode.llm.common import in_slices, texts_of, written
 
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: One of these is in any text that ASSIGN matches, lower-cased.
 WORDS = (b"passw", b"secret", b"token", b"api")
+
+
 def marks(chars: str) -> bytes:
     """A table for bytes.translate: x for the ASCII characters of a class, a blank for all else."""
     return bytes(ord("x") if re.match(f"[{chars}]", chr(b), re.A) else ord(" ") for b in range(256))
 
 
 HEX = marks("0-9a-f")
-#: Runs that can be credentials: at least MIN_RUN of these characters.
-RUN = marks("0-9A-Za-z+/_=-")
-MIN_RUN = 16
-#: Bounds of what is learned from: distinct values per kind, and ordinary runs. The smallest by hash are taken.
-TRAIN_VALUES, TRAIN_RUNS = 2000, 4000
-#: A span is learned if a format is likelier than ordinary text by this much (natural logarithm) per character.
+#: Runs that can be credentials: as long as the shortest labelled value, with dots only inside.
+LEAST = 6
+RUN = re.compile(r"[0-9A-Za-z+/_=-]+(?:\.+[0-9A-Za-z+/_=-]+)*", re.A)
+#: Bounds of what is learned from: distinct values per kind, ordinary runs (the smallest by hash), and the symbols of
+#: each kind's values together, so that an automaton's tree has a bounded number of states. Of a value of over LONGEST
+#: characters the first LONGEST are learned from, as those of a value that goes on.
+TRAIN_VALUES, TRAIN_RUNS, TRAIN_SYMBOLS, LONGEST = 2000, 4000, 200_000, 4096
+#: A span is learned if a format is likelier than ordinary text by this much (natural logarithm) per character, beyond
+#: the odds of ordinary runs against labelled values in the corpus.
 MARGIN = 0.35
+#: Scores of distinct runs that a worker keeps.
+KEPT = 300_000
 
 
 def long_runs(raw: bytes, table: bytes, least: int) -> list[tuple[int, int]]:
@@ -69,16 +79,24 @@ def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def free_runs(raw: bytes, spans: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, str]]:
-    """Runs of credential characters, in code points, that no base span touches."""
-    taken = [(s, e) for s, _, e, _ in spans]
-    done_bytes = done_chars = 0
-    for a, b in long_runs(raw, RUN, MIN_RUN):
-        done_chars += len(raw[done_bytes:a].decode())
-        done_bytes = a
-        start, end = done_chars, done_chars + b - a
-        if not any(s < end and start < e for s, e in taken):
-            yield start, end, raw[a:b].decode()
+def free_runs(text: str, spans: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """Runs of credential characters, in code points, and of those that base spans touch the parts outside them.
+    spans are sorted: both lists are walked once."""
+    at, taken = 0, [(s, e) for s, _, e, _ in spans]
+    for m in RUN.finditer(text):
+        start, end = m.span()
+        if end - start < LEAST:
+            continue
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        k = at
+        while k < len(taken) and taken[k][0] < end:
+            if taken[k][0] - start >= LEAST:
+                yield start, taken[k][0], text[start : taken[k][0]]
+            start = max(start, taken[k][1])
+            k += 1
+        if end - start >= LEAST:
+            yield start, end, text[start:end]
 
 
 def symbols(value: str) -> list[str]:
@@ -89,7 +107,7 @@ def symbols(value: str) -> list[str]:
 class Automaton:
     """A probabilistic automaton, merged from the prefix tree of symbol sequences (ALERGIA, red-blue order)."""
 
-    def __init__(self, sequences: Iterable[list[str]], alpha: float = 0.05):
+    def __init__(self, sequences: Iterable[list[str]], alpha: float = 0.05, longest: int | None = None):
         self.next: list[dict[str, int]] = [{}]
         self.seen: list[defaultdict] = [defaultdict(int)]  # how often a symbol follows
         self.ends, self.visits = [0], [0]
@@ -106,7 +124,8 @@ class Automaton:
                     self.visits.append(0)
                 at = self.next[at][x]
                 self.visits[at] += 1
-            self.ends[at] += 1
+            if longest is None or len(s) < longest:  # others go on
+                self.ends[at] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self.merge()
         self.alphabet = len({x for row in self.seen for x in row}) + 1
@@ -193,51 +212,97 @@ class Ordinary:
         return sum(math.log((self.pairs.get((a, b), 0) + 0.1) / (self.ones.get(a, 0) + 8)) for a, b in zip(["^", *s], [*s, "$"], strict=True))
 
 
-def training_values(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All base values by kind, and free runs as kind 'ordinary', each once per slice of a task: kind, value."""
+SIZES = dict.fromkeys(KINDS[:3], TRAIN_VALUES) | {"ordinary": TRAIN_RUNS}
 
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in in_slices(batches, text):
-            found = set()
-            for t in texts:
-                raw = t.encode()
-                spans = base_spans(t, raw)
-                found.update((KINDS[k], v) for _, k, _, v in spans)
-                found.update(("ordinary", v) for _, _, v in free_runs(raw, spans))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*sorted(found), strict=True)], ["kind", "value"])
 
-    return texts_of(docs, text=text).mapInArrow(values, "kind string, value string")
+class Smallest:
+    """The distinct values with the smallest hashes seen so far, by kind, and how often each kind was seen."""
 
+    def __init__(self) -> None:
+        self.values: dict[str, dict[str, int]] = {k: {} for k in SIZES}
+        self.limit = dict.fromkeys(SIZES, 1 << 64)
+        self.count = dict.fromkeys(SIZES, 0)
 
-def learn(docs: DataFrame, text: str = "text") -> tuple[dict[str, Automaton], Ordinary]:
-    """Automata by kind from TRAIN_VALUES values each, and the ordinary model from TRAIN_RUNS runs, all distinct and
-    smallest by hash: the same ones at every partitioning."""
-    order = F.xxhash64("value"), F.col("value")
-    distinct = training_values(docs, text).where(F.length("value") <= 4096).distinct()
-    picked: dict[str, list[str]] = defaultdict(list)
-    sizes = {"ordinary": TRAIN_RUNS} | dict.fromkeys(KINDS[:3], TRAIN_VALUES)
-    parts = [distinct.where(F.col("kind") == k).orderBy(*order).limit(n) for k, n in sizes.items()]
-    for r in parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).collect():
-        picked[r.kind].append(r.value)
-    return {k: Automaton(map(symbols, sorted(v))) for k, v in picked.items() if k != "ordinary"}, Ordinary(map(symbols, sorted(picked["ordinary"])))
+    def add(self, kind: str, value: str) -> None:
+        self.count[kind] += 1
+        known = self.values[kind]
+        if value[:LONGEST] not in known and (h := xxhash.xxh64_intdigest(value)) < self.limit[kind]:
+            known[value[:LONGEST]] = h
+            if len(known) >= 2 * SIZES[kind]:
+                kept = sorted(known.items(), key=lambda x: (x[1], x[0]))[: SIZES[kind]]
+                self.values[kind], self.limit[kind] = dict(kept), kept[-1][1] + 1
 
 
-def score(value: str, automata: dict[str, Automaton], ordinary: Ordinary) -> tuple[float, str]:
-    """By how much, per character, the likeliest format beats ordinary text; and that format."""
-    s = symbols(value)
-    base = ordinary.log_likelihood(s)
-    return max(((a.log_likelihood(s) - base) / len(s), k) for k, a in automata.items()) if automata else (-math.inf, "")
+def training_values(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, value, hash, n): base values by kind and free runs as kind 'ordinary', of each task those with the smallest
+    hashes, which are enough for the smallest of all; and with a null value how many there were."""
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Smallest()
+        for _, texts in in_slices(batches, text):
+            for t in texts:
+                spans = base_spans(t, t.encode())
+                for _, k, _, v in spans:
+                    seen.add(KINDS[k], v)
+                for _, _, v in free_runs(t, spans):
+                    seen.add("ordinary", v)
+        rows = [(k, v, h - (1 << 63), 0) for k, own in seen.values.items() for v, h in own.items()] + [(k, None, 0, n) for k, n in seen.count.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["kind", "value", "hash", "n"])
+
+    return texts_of(docs, text=text).mapInArrow(values, "kind string, value string, hash long, n long")
+
+
+class Formats:
+    """What was learned: automata by kind, the ordinary model, and the logarithm of the odds of ordinary runs."""
+
+    def __init__(self, automata: dict[str, Automaton], ordinary: Ordinary, odds: float):
+        self.automata, self.ordinary, self.odds = automata, ordinary, odds
+        self.known: dict[str, bool] = {}
+
+    def held(self, value: str) -> bool:
+        """Whether a format is clearly likelier; answers for KEPT short values are kept."""
+        answer = self.known.get(value)
+        if answer is None:
+            answer = self.score(value)[0] > MARGIN
+            if len(value) <= 64:
+                if len(self.known) >= KEPT:
+                    self.known.clear()
+                self.known[value] = answer
+        return answer
+
+    def score(self, value: str) -> tuple[float, str]:
+        """By how much, per character, the likeliest format beats ordinary text beyond the odds; and that format. Of
+        formats that are equally likely, the last by name."""
+        s = symbols(value)
+        base = self.ordinary.log_likelihood(s) + self.odds
+        return max(((a.log_likelihood(s) - base) / len(s), k) for k, a in self.automata.items()) if self.automata else (-math.inf, "")
+
+
+def learn(docs: DataFrame, text: str = "text") -> Formats:
+    """From the smallest values by hash: the same ones at every partitioning. One scan of the texts, written once."""
+    table = written(training_values(docs, text), "values")
+    count = {r.kind: r.n for r in table.where("value is null").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    picked: dict[str, list[str]] = {}
+    for kind, n in SIZES.items():
+        rows = table.where(F.col("kind") == kind).groupBy("value").agg(F.min("hash").alias("hash")).where("value is not null").orderBy("hash", "value").limit(n).collect()
+        left, picked[kind] = TRAIN_SYMBOLS, []
+        for r in rows:
+            if len(r.value) <= left:
+                picked[kind].append(r.value)
+                left -= len(r.value)
+    automata = {k: Automaton(map(symbols, sorted(v)), longest=LONGEST) for k, v in picked.items() if k != "ordinary" and v}
+    labelled = sum(count.get(k, 0) for k in KINDS[:3])
+    return Formats(automata, Ordinary(map(symbols, sorted(picked["ordinary"]))), math.log(max(1.0, count.get("ordinary", 0) / max(labelled, 1))))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, the numbers of base spans, base_sha256, all spans, and the number of learned ones."""
-    automata, ordinary = learn(docs, text)
+    formats = learn(docs, text)
 
     def row(doc_id: int | None, t: str) -> tuple:
         raw = t.encode()
         spans = base_spans(t, raw)
-        more = [(s, 3, e, v) for s, e, v in free_runs(raw, spans) if score(v, automata, ordinary)[0] > MARGIN]
+        more = [(s, 3, e, v) for s, e, v in free_runs(t, spans) if formats.held(v)]
         n = [sum(x[1] == k for x in spans) for k in range(3)]
         return doc_id, *n, hashlib.sha256(listed(spans).encode()).hexdigest(), listed(sorted(spans + more)), len(more)
 
