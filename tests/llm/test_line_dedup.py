@@ -24,7 +24,7 @@ def brute(docs, depth=2, least=3, similarity=0.75):
                 lines.setdefault(masked, set()).add(doc)
     leaves = {}
     for masked, ids in lines.items():
-        leaves.setdefault((len(masked), masked[:depth]), []).append((min(ids), masked))
+        leaves.setdefault((len(masked), tuple([t for t in masked if t != "*"][:depth])), []).append((min(ids), masked))
     first = {}
     for rows in leaves.values():
         templates = []

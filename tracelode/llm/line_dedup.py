@@ -1,26 +1,32 @@
 """Line dedup with a log-template tree (operator 1).
 
 A line's tokens (split at white space; letters of scripts written without spaces are tokens each) lead through a tree of
-fixed depth: the number of tokens, then the leading tokens, as far as there are any, with tokens that hold a digit as
-wildcards. In a leaf, lines join the template that most of their tokens agree with, if the share is at least
+fixed depth: the number of tokens, then the leading tokens without a digit, as far as there are any (tokens that hold a
+digit are wildcards, so a date or number at the beginning doesn't lead all such lines to one leaf). In a leaf, lines join the template that most of their tokens agree with, if the share is at least
 `similarity`; differing tokens become wildcards. A template with lines in two or more documents recurs: its lines stay
 in the first such document (the smallest doc_id) and are dropped from all others.
 
 How it scales: the same masked line from many documents is one row before anything is gathered (partial aggregation
-by its hash), and what travels is hashes of lines and 16-bit hashes of tokens, not text. A leaf's lines stream through
-one task sorted, with its templates as the only state; leaves are as many as there are beginnings of lines.
+by its hash), and what travels is hashes of lines and 24-bit hashes of tokens, not text. A leaf's lines stream through
+one task sorted; its state is the templates and 20 bytes per different line. A line isn't compared with all templates:
+these are indexed by (place, token), and as a line has to agree with its template in all but d of n places, the
+template is in one of the lists of any d + 1 places, of which the shortest are looked into.
 
 Defined cases: lines of fewer than `least` tokens (op1 and the pipeline judge all from 1 token on), lines of white space,
 null and empty texts stay as they are; rows with one doc_id are one document and are all kept; a null doc_id is a
-document of its own before all others; an empty table gives none; other columns stay, whatever their names.
+document of its own before all others; an empty table gives none; very long lines are judged whole; a line that agrees
+equally well with two templates joins the older one, and a leaf's lines come in order of their first document, then hash;
+other columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain, islice
 from zlib import crc32
 
 import numpy as np
@@ -37,7 +43,8 @@ RUN = re.compile(f"[{UNSPACED}]")
 PARTS = re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
 #: UTF-16 units that may be of such a letter: a text without any is split at white space.
 MAYBE = np.array([RUN.match(chr(c)) is not None or 0xD840 <= c <= 0xDFFF for c in range(65536)])
-WILD = 0
+#: What stands for a token with a digit or one in which lines differ, and the number of hashes of all others.
+WILD, MOST = 0, 2**24 - 1
 LINES = "doc long, row long, line int, hash binary, leaf long, tokens binary"
 
 
@@ -79,11 +86,25 @@ class Masker:
     def hash(self, masked: bytes) -> bytes:
         return hashlib.blake2b(masked, digest_size=16).digest()
 
-    def leaf(self, masked: bytes) -> tuple[int, bytes]:
+    def leaf(self, masked: bytes) -> tuple[int, list[int]]:
         """Its leaf and its tokens."""
         tokens = masked.split(b" ")
-        leaf = small(b" ".join([b"%d" % len(tokens), *tokens[: self.depth]]))
-        return leaf, array("H", [WILD if t == b"\0" else crc32(t) % 65535 + 1 for t in tokens]).tobytes()
+        leaf = small(b" ".join([b"%d" % len(tokens), *islice((t for t in tokens if t != b"\0"), self.depth)]))
+        return leaf, [WILD if t == b"\0" else crc32(t) % MOST + 1 for t in tokens]
+
+
+def packed(tokens: list[list[int]]) -> pa.Array:
+    """Numbers under 2**24 as three bytes each, a value per list."""
+    flat = np.fromiter(chain.from_iterable(tokens), "<u4")
+    data = flat.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    ends = np.cumsum([0, *(3 * len(t) for t in tokens)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
 
 
 def lines_of(docs: DataFrame, depth: int, least: int, tokens: bool, text: str = "text") -> DataFrame:
@@ -100,7 +121,8 @@ def lines_of(docs: DataFrame, depth: int, least: int, tokens: bool, text: str =
                         h = masker.hash(m)
                         rows.append((doc, row, k, h, *masker.leaf(m)) if tokens else (doc, row, k, h))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns[:5], types, strict=False)), *map(packed, columns[5:])], names)
 
     names = ["doc", "row", "line", "hash", "leaf", "tokens"][: 6 if tokens else 4]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()][: len(names)]
@@ -111,31 +133,53 @@ class Leaf:
     """The templates of one leaf."""
 
     def __init__(self, width: int, similarity: float):
-        self.similarity = similarity
-        self.templates = np.empty((4, width), np.uint16)
-        self.rows: list[list[tuple[bytes, int, int]]] = []
-
-    def add(self, row: tuple[bytes, int, int], tokens: np.ndarray) -> None:
-        n = len(self.rows)
-        if n:
-            same = self.templates[:n] == tokens
-            share = np.count_nonzero(same, axis=1)
-            best = int(share.argmax())
-            if share[best] >= self.similarity * len(tokens):
-                self.templates[best][~same[best]] = WILD
-                self.rows[best].append(row)
-                return
-        if n == len(self.templates):
-            self.templates = np.concatenate([self.templates, np.empty_like(self.templates)])
-        self.templates[n] = tokens
-        self.rows.append([row])
+        self.width = width
+        self.least = math.ceil(similarity * width - 1e-9)  # places that have to agree
+        self.templates = np.empty((4, width), np.uint32)
+        self.low, self.high = array("q"), array("q")
+        self.hashes, self.owner = bytearray(), array("l")
+        self.lists: dict[tuple[int, int], list[int]] = {}
+
+    def add(self, h: bytes, low: int, high: int, tokens: np.ndarray) -> None:
+        keys = list(enumerate(tokens.tolist()))
+        best = self.best(keys, tokens)
+        if best < 0:
+            best = len(self.low)
+            if best == len(self.templates):
+                self.templates = np.concatenate([self.templates, np.empty_like(self.templates)])
+            self.templates[best] = tokens
+            for k in keys:
+                self.lists.setdefault(k, []).append(best)
+            self.low.append(low)
+            self.high.append(high)
+        else:
+            t = self.templates[best]
+            for place in np.flatnonzero((t != tokens) & (t != WILD)).tolist():
+                self.lists[place, int(t[place])].remove(best)
+                self.lists.setdefault((place, WILD), []).append(best)
+                t[place] = WILD
+            self.low[best], self.high[best] = min(self.low[best], low), max(self.high[best], high)
+        self.hashes += h
+        self.owner.append(best)
+
+    def best(self, keys: list[tuple[int, int]], tokens: np.ndarray) -> int:
+        """The oldest of the templates that agree in most places, if these are enough; -1 if there is none."""
+        if not self.least:
+            looked = np.arange(len(self.low))
+        else:
+            lists = sorted((self.lists.get(k, ()) for k in keys), key=len)[: self.width - self.least + 1]
+            looked = np.array(sorted(set(chain.from_iterable(lists))), np.int64)
+        if not len(looked):
+            return -1
+        share = np.count_nonzero(self.templates[looked] == tokens, axis=1)
+        at = int(share.argmax())
+        return int(looked[at]) if share[at] >= self.least else -1
 
     def recurring(self) -> Iterator[tuple[bytes, int]]:
         """(hash, first document) of all lines of templates that recur."""
-        for rows in self.rows:
-            first = min(r[1] for r in rows)
-            if max(r[2] for r in rows) > first:
-                yield from ((h, first) for h, _, _ in rows)
+        for i, t in enumerate(self.owner):
+            if self.high[t] > self.low[t]:
+                yield bytes(self.hashes[16 * i : 16 * i + 16]), self.low[t]
 
 
 def recurring(docs: DataFrame, depth: int = 2, least: int = 3, similarity: float = 0.75, text: str = "text") -> DataFrame:
@@ -145,51 +189,58 @@ def recurring(docs: DataFrame, depth: int = 2, least: int = 3, similarity: float
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf, at = None, None
-        out: list[tuple[bytes, int]] = []
         for batch in batches:
-            leaves, tokens, low, high = (batch.column(c) for c in ("leaf", "tokens", "low", "high"))
-            keys, hashes, lows, highs, token_bytes = leaves.to_pylist(), batch.column("hash").to_pylist(), low.to_pylist(), high.to_pylist(), tokens.to_pylist()
-            for key, h, a, b, t in zip(keys, hashes, lows, highs, token_bytes, strict=True):
+            for key, h, a, b, t in zip(*[batch.column(c).to_pylist() for c in ("leaf", "hash", "low", "high", "tokens")], strict=True):
                 if at != (key, len(t)):
                     if leaf is not None:
-                        out.extend(leaf.recurring())
-                    leaf, at = Leaf(len(t) // 2, similarity), (key, len(t))
-                leaf.add((h, a, b), np.frombuffer(t, "<u2"))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64()), strict=True)], ["hash", "first"])
-                out = []
-        if leaf is not None and (out := list(leaf.recurring())):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64()), strict=True)], ["hash", "first"])
+                        yield from found(leaf)
+                    leaf, at = Leaf(len(t) // 3, similarity), (key, len(t))
+                leaf.add(h, a, b, unpacked(t))
+        if leaf is not None:
+            yield from found(leaf)
+
+    def found(leaf: Leaf) -> Iterator[pa.RecordBatch]:
+        rows = leaf.recurring()
+        while some := list(islice(rows, 50_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.binary(), pa.int64()), strict=True)], ["hash", "first"])
 
     return ordered.mapInArrow(parse, "hash binary, first long")
 
 
-def marked(docs: DataFrame, depth: int = 2, least: int = 3, similarity: float = 0.75, text: str = "text") -> DataFrame:
-    """docs with two more columns: __drop (places of the lines to drop, null if none) and __key. All lines are judged."""
+def own_name(docs: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def marked(docs: DataFrame, depth: int = 2, least: int = 3, similarity: float = 0.75, text: str = "text") -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: places of the lines to drop, null if none. All lines are judged."""
     found = recurring(docs, depth, least, similarity, text)
     lines = lines_of(docs, depth, least, tokens=False, text=text)
-    drops = lines.join(found, "hash").where("doc <> first").groupBy("doc", "row").agg(F.collect_set("line").alias("__drop"))
-    left = docs.withColumn("__key", F.struct(F.coalesce(F.col("doc_id"), F.lit(no_id())).alias("doc"), F.xxhash64(text).alias("row")))
-    return left.join(drops.select(F.struct("doc", "row").alias("__key"), "__drop"), "__key", "left")
+    key, drop = own_name(docs, "__key"), own_name(docs, "__drop")
+    drops = lines.join(found, "hash").where("doc <> first").groupBy("doc", "row").agg(F.collect_set("line").alias(drop))
+    left = docs.withColumn(key, F.struct(F.coalesce(F.col("doc_id"), F.lit(no_id())).alias("doc"), F.xxhash64(text).alias("row")))
+    return left.join(drops.select(F.struct("doc", "row").alias(key), drop), key, "left").drop(key), drop
 
 
-def kept_text(text: str = "text"):
-    """The text without the lines of __drop."""
+def kept_text(drop: str, text: str = "text"):
+    """The text without the lines of the column drop."""
     lines = F.split(F.col(text), "\n", -1)
-    rest = F.filter(lines, lambda x, i: ~F.array_contains("__drop", i))
-    return F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
+    rest = F.filter(lines, lambda x, i: ~F.array_contains(drop, i))
+    return F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", **tree) -> DataFrame:
     """docs without lines that recur; documents that lose every line go, all columns stay."""
-    found = marked(docs, text=text, **tree).withColumn(text, kept_text(text))
-    return found.where(F.col("__drop").isNull() | (F.length(text) > 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found, drop = marked(docs, text=text, **tree)
+    found = found.withColumn(text, kept_text(drop, text))
+    return found.where(F.col(drop).isNull() | (F.length(text) > 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame, text: str = "text", **tree) -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_dropped and the text that is left."""
-    rows = docs.select("doc_id", F.col(text).alias("text"))
-    found = marked(rows, **tree)
-    return found.select(
-        "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"), kept_text().alias("text")
-    )
+    found, drop = marked(docs.select("doc_id", F.col(text).alias("text")), **tree)
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    return found.select("doc_id", n_lines.alias("n_lines"), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"), kept_text(drop).alias("text"))
