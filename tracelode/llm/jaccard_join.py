@@ -75,8 +75,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, with A-Z lower-cased, and how many each text has."""
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, with A-Z lower-cased, how many each text has, and the byte of its text where each begins."""
     raws = [t.encode().lower() for t in texts]
     data = np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)
     size = 1 << max(19, int(len(data) - 1).bit_length())
@@ -87,12 +87,13 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     total = np.cumsum(LETTER[data] * up[: len(data)], dtype=U)
     words = mixed((total[ends - 1] - total[starts - 1]) * down[starts] + (ends - starts).astype(U) * BASE)
     bounds = np.cumsum([0] + [len(r) + 1 for r in raws])
-    return words, np.diff(np.searchsorted(starts, bounds + 1))
+    counts = np.diff(np.searchsorted(starts, bounds + 1))
+    return words, counts, starts - 1 - np.repeat(bounds[:-1], counts)
 
 
 def sets_of(texts: list[str], n: int) -> list[np.ndarray]:
     """The distinct n-gram hashes of each text, ascending."""
-    words, counts = word_hashes(texts)
+    words, counts, _ = word_hashes(texts)
     if len(words) >= n:
         grams = words[: len(words) - n + 1].copy()
         for k in range(1, n):

@@ -5,12 +5,14 @@ of pairs of neighbouring character classes and from how its words repeat; a tanh
 softmax(w . (tanh(V h) * sigmoid(U h))), weighs the embeddings within the document, and a logistic unit scores their
 weighted sum. All weights are learned together from document labels by gradient descent (Adam, fixed seed).
 
-Bounds: TRAIN_DOCS labelled documents are learned from (the smallest by hash of doc_id), at most TRAIN_PASSAGES evenly
-spaced passages of each; scoring encodes every passage of every document. The model is a few thousand numbers.
+Bounds: at most TRAIN_DOCS labelled documents are learned from, the smallest by hash of doc_id, each with all its
+passages; one that would take their sum over TRAIN_PASSAGES is left out whole. Scoring encodes every passage of every
+document. The model is a few thousand numbers.
 
 Defined cases: null and empty texts are one passage without characters and get the score of such; without labels of
 both kinds, the score is the share of 1 among the labels, or 0.5 if there are none; labels of a doc_id that differ
-count as 1 if at least half are; rows that repeat stay; a null doc_id counts as the text ''; other columns aren't
+count as 1 if at least half are; of a doc_id with several texts one is learned from; rows that repeat stay; an empty
+table gives no rows; a null doc_id counts as the text ''; equal texts have equal scores; other columns aren't
 read by scored() and are kept by accepted().
 """
 
@@ -27,7 +29,7 @@ from tracelode.llm.common import in_slices
 from tracelode.llm.jaccard_join import word_hashes
 
 PASSAGE = 512
-TRAIN_DOCS, TRAIN_PASSAGES = 4000, 32
+TRAIN_DOCS, TRAIN_PASSAGES = 4000, 100_000
 CUT = 0.3
 #: Bytes of text that are encoded at once.
 SLICE = 500_000
@@ -69,12 +71,10 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         same = place[1:] == place[:-1]
         pairs = np.bincount((place[1:] * (N * N) + kind[:-1].astype(np.int64) * N + kind[1:])[same], minlength=total * N * N).reshape(total, N * N)
         out[:, : N * N] = pairs / np.maximum(pairs.sum(axis=1, keepdims=True), 1)
-    words, n = word_hashes(texts)
+    words, n, begins = word_hashes(texts)
     if len(words):
-        # The k-th word of a text is taken to lie in the passage that k falls in: word starts aren't kept.
         of = np.repeat(np.arange(len(texts)), n)
-        k = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
-        where = first[of] + k * counts[of] // np.maximum(n[of], 1)
+        where = first[of] + begins // PASSAGE  # a word is in the passage that it begins in
         held = np.maximum(np.bincount(where, minlength=total), 1)
         again = np.concatenate([[False], (words[1:] == words[:-1]) & (of[1:] == of[:-1])])
         spots = np.unique(where * 256 + (words >> np.uint64(56)).astype(np.int64)) // 256
@@ -151,25 +151,28 @@ def fold(doc_id: Column) -> Column:
 def trained(docs: DataFrame, labels: DataFrame, text: str = "text") -> Attention | float:
     """The model learned from labelled documents that aren't held out; a constant where there is nothing to learn."""
     known = labels.where("quality is not null and doc_id is not null").where(fold(F.col("doc_id")) != 0)
-    known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).collect()  # at most TRAIN_DOCS pairs of numbers
-    of = {r.doc_id: r.y for r in some}
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    texts_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias(text)).join(F.broadcast(some), "doc_id")
+    one = F.struct(F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("hash"))
+    of: dict[int, tuple[int, int]] = {}
+    left = TRAIN_PASSAGES
+    for r in texts_.groupBy("doc_id").agg(F.first("y").alias("y"), F.min(one).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most TRAIN_DOCS rows of numbers
+        if (n := max(1, -(-r.text.bytes // PASSAGE))) <= left:
+            of[r.doc_id], left = (r.y, r.text.hash), left - n
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in in_slices(batches, text, SLICE):
             x, counts = passages(texts)
-            out, at = [], 0
-            for c in counts.tolist():
-                pick = np.unique(np.linspace(0, c - 1, min(c, TRAIN_PASSAGES)).astype(int))
-                out.append(x[at : at + c][pick].tobytes())
-                at += c
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out, pa.binary())], ["doc_id", "bag"])
-
-    ids = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in of], "doc_id long"))
-    picked = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias(text)).join(ids, "doc_id", "left_semi")
-    rows = picked.mapInArrow(bags, "doc_id long, bag binary").dropDuplicates(["doc_id"]).collect() if of else []
+            ends = np.cumsum(counts)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[e - c : e].tobytes() for c, e in zip(counts.tolist(), ends.tolist(), strict=True)], pa.binary())], ["doc_id", "bag"])
+
+    # Of a doc_id with several texts, the one with the smallest (length, hash) is learned from.
+    ids = F.broadcast(docs.sparkSession.createDataFrame([(k, h) for k, (_, h) in of.items()], "doc_id long, hash long"))
+    picked = texts_.join(ids, "doc_id").where(F.xxhash64(text) == F.col("hash")).select("doc_id", text)
+    rows = picked.mapInArrow(bags, "doc_id long, bag binary").groupBy("doc_id").agg(F.min("bag").alias("bag")).collect() if of else []
     rows.sort(key=lambda r: r.doc_id)
-    y = np.array([of[r.doc_id] for r in rows], np.float32)
+    y = np.array([of[r.doc_id][0] for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
     return Attention().fit([np.frombuffer(r.bag, np.float32).reshape(-1, FEATURES) for r in rows], y)
