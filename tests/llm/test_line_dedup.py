@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+
 from tracelode.llm import line_dedup as L
 
 DOCS = [
@@ -84,3 +86,43 @@ def test_columns_stay_and_emptied_documents_go(spark):
     assert out.columns == ["doc_id", "text", "hash", "line"]
     assert {r.doc_id for r in out.collect()} == {5, 2, 7, 8, 9, 10, 11, 13, 15, 16, None}
     assert L.deduplicated(frame(spark, [])).count() == 0
+
+
+def test_index_finds_what_comparing_with_all_templates_finds(monkeypatch):
+    rnd = np.random.default_rng(2)
+    base = rnd.integers(0, 30, (40, 12)).astype(np.uint16)
+    lines = [np.where(rnd.random(12) < 0.15, rnd.integers(0, 30, 12), base[k]).astype(np.uint16) for k in rnd.integers(0, 40, 800)]
+    found = []
+    for few in (10**9, 0, 5):
+        monkeypatch.setattr(L, "FEW", few)
+        leaf = L.Leaf(12, 0.75)
+        for i, t in enumerate(lines):
+            leaf.add(i.to_bytes(16, "big"), i, i, t)
+        found.append((list(leaf.owner), leaf.templates[: len(leaf.low)].tolist(), list(leaf.recurring())))
+    assert found[0] == found[1] == found[2] and len(leaf.low) < 800
+
+
+def test_work_in_a_leaf_of_unlike_lines_grows_with_their_number(monkeypatch):
+    compared = []
+    plain = np.count_nonzero
+    monkeypatch.setattr(L.np, "count_nonzero", lambda x, axis=None: compared.append(len(x)) or plain(x, axis=axis))
+    sums = []
+    for n in (1000, 2000):
+        rnd, leaf = np.random.default_rng(3), L.Leaf(12, 0.75)
+        compared.clear()
+        for i in range(n):
+            leaf.add(i.to_bytes(16, "big"), i, i, rnd.integers(1, 60000, 12).astype(np.uint16))
+        sums.append(sum(compared))
+    assert sums[1] <= 2.3 * sums[0]
+
+
+def test_dates_lead_to_no_common_leaf():
+    masker = L.Masker(2, 1)
+    a, b, c = (masker.leaf(masker.masked(x, False))[0] for x in ("2024-01-01 disk is full", "2024-01-02 user has left", "2025-01-02 disk is empty"))
+    assert a != b and a == c
+
+
+def test_clashing_names(spark):
+    rows = [(1, "alpha beta gamma delta", "k", 7), (2, "alpha beta gamma delta\nown words are here", "l", 8)]
+    out = L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, __key string, __drop long"))
+    assert sorted(map(tuple, out.collect())) == [rows[0], (2, "own words are here", "l", 8)]

@@ -7,10 +7,11 @@ digit are wildcards, so a date or number at the beginning doesn't lead all such
 in the first such document (the smallest doc_id) and are dropped from all others.
 
 How it scales: the same masked line from many documents is one row before anything is gathered (partial aggregation
-by its hash), and what travels is hashes of lines and 24-bit hashes of tokens, not text. A leaf's lines stream through
-one task sorted; its state is the templates and 20 bytes per different line. A line isn't compared with all templates:
-these are indexed by (place, token), and as a line has to agree with its template in all but d of n places, the
-template is in one of the lists of any d + 1 places, of which the shortest are looked into.
+by its hash), and what travels is hashes of lines and 16-bit hashes of tokens, not text (two unlike tokens in one place
+agree by chance once in 65,535 times). A leaf's lines stream through one task sorted; its state is the templates and 20
+bytes per different line. Where a leaf has over FEW templates, these are indexed by (place, token): as a line has to
+agree with its template in all but d of n places, the template is in one of the lists of any d + 1 places, of which the
+shortest are looked into. So the work doesn't grow with the square of a leaf; the templates found are the same.
 
 Defined cases: lines of fewer than `least` tokens (op1 and the pipeline judge all from 1 token on), lines of white space,
 null and empty texts stay as they are; rows with one doc_id are one document and are all kept; a null doc_id is a
@@ -43,8 +44,8 @@ RUN = re.compile(f"[{UNSPACED}]")
 PARTS = re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
 #: UTF-16 units that may be of such a letter: a text without any is split at white space.
 MAYBE = np.array([RUN.match(chr(c)) is not None or 0xD840 <= c <= 0xDFFF for c in range(65536)])
-#: What stands for a token with a digit or one in which lines differ, and the number of hashes of all others.
-WILD, MOST = 0, 2**24 - 1
+#: What stands for a token with a digit or one in which lines differ; templates of a leaf that are compared one by one.
+WILD, FEW = 0, 64
 LINES = "doc long, row long, line int, hash binary, leaf long, tokens binary"
 
 
@@ -86,25 +87,12 @@ class Masker:
     def hash(self, masked: bytes) -> bytes:
         return hashlib.blake2b(masked, digest_size=16).digest()
 
-    def leaf(self, masked: bytes) -> tuple[int, list[int]]:
+    def leaf(self, masked: bytes) -> tuple[int, bytes]:
         """Its leaf and its tokens."""
         tokens = masked.split(b" ")
-        leaf = small(b" ".join([b"%d" % len(tokens), *islice((t for t in tokens if t != b"\0"), self.depth)]))
-        return leaf, [WILD if t == b"\0" else crc32(t) % MOST + 1 for t in tokens]
-
-
-def packed(tokens: list[list[int]]) -> pa.Array:
-    """Numbers under 2**24 as three bytes each, a value per list."""
-    flat = np.fromiter(chain.from_iterable(tokens), "<u4")
-    data = flat.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-    ends = np.cumsum([0, *(3 * len(t) for t in tokens)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 3, 4), np.uint8)
-    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
-    return out.view("<u4").ravel()
+        leading = tokens[: self.depth] if b"\0" not in masked else islice((t for t in tokens if t != b"\0"), self.depth)
+        leaf = small(b" ".join([b"%d" % len(tokens), *leading]))
+        return leaf, array("H", [WILD if t == b"\0" else crc32(t) % 65535 + 1 for t in tokens]).tobytes()
 
 
 def lines_of(docs: DataFrame, depth: int, least: int, tokens: bool, text: str = "text") -> DataFrame:
@@ -121,8 +109,7 @@ def lines_of(docs: DataFrame, depth: int, least: int, tokens: bool, text: str =
                         h = masker.hash(m)
                         rows.append((doc, row, k, h, *masker.leaf(m)) if tokens else (doc, row, k, h))
             if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns[:5], types, strict=False)), *map(packed, columns[5:])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     names = ["doc", "row", "line", "hash", "leaf", "tokens"][: 6 if tokens else 4]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()][: len(names)]
@@ -135,40 +122,53 @@ class Leaf:
     def __init__(self, width: int, similarity: float):
         self.width = width
         self.least = math.ceil(similarity * width - 1e-9)  # places that have to agree
-        self.templates = np.empty((4, width), np.uint32)
-        self.low, self.high = array("q"), array("q")
+        self.templates = np.empty((1, width), np.uint16)
+        self.low, self.high = [], []
         self.hashes, self.owner = bytearray(), array("l")
-        self.lists: dict[tuple[int, int], list[int]] = {}
+        self.lists: dict[int, list[int]] | None = None  # by place * 65,536 + token
 
     def add(self, h: bytes, low: int, high: int, tokens: np.ndarray) -> None:
-        keys = list(enumerate(tokens.tolist()))
-        best = self.best(keys, tokens)
+        n = len(self.low)
+        best = self.best(tokens) if n else -1
         if best < 0:
-            best = len(self.low)
-            if best == len(self.templates):
-                self.templates = np.concatenate([self.templates, np.empty_like(self.templates)])
-            self.templates[best] = tokens
-            for k in keys:
-                self.lists.setdefault(k, []).append(best)
+            best = n
+            if n == len(self.templates):
+                self.templates = np.concatenate([self.templates, np.empty((max(n, 3), self.width), np.uint16)])
+            self.templates[n] = tokens
             self.low.append(low)
             self.high.append(high)
+            if self.lists is not None:
+                self.enter(n)
+            elif n == FEW and self.least:
+                self.lists = {}
+                for i in range(n + 1):
+                    self.enter(i)
         else:
             t = self.templates[best]
             for place in np.flatnonzero((t != tokens) & (t != WILD)).tolist():
-                self.lists[place, int(t[place])].remove(best)
-                self.lists.setdefault((place, WILD), []).append(best)
+                if self.lists is not None:
+                    self.lists[place << 16 | int(t[place])].remove(best)
+                    self.lists.setdefault(place << 16 | WILD, []).append(best)
                 t[place] = WILD
             self.low[best], self.high[best] = min(self.low[best], low), max(self.high[best], high)
         self.hashes += h
         self.owner.append(best)
 
-    def best(self, keys: list[tuple[int, int]], tokens: np.ndarray) -> int:
+    def enter(self, i: int) -> None:
+        for key in self.keys(self.templates[i]):
+            self.lists.setdefault(key, []).append(i)
+
+    def keys(self, tokens: np.ndarray) -> list[int]:
+        return (np.arange(self.width, dtype=np.int64) << 16 | tokens).tolist()
+
+    def best(self, tokens: np.ndarray) -> int:
         """The oldest of the templates that agree in most places, if these are enough; -1 if there is none."""
-        if not self.least:
-            looked = np.arange(len(self.low))
-        else:
-            lists = sorted((self.lists.get(k, ()) for k in keys), key=len)[: self.width - self.least + 1]
-            looked = np.array(sorted(set(chain.from_iterable(lists))), np.int64)
+        if self.lists is None:
+            share = np.count_nonzero(self.templates[: len(self.low)] == tokens, axis=1)
+            at = int(share.argmax())
+            return at if share[at] >= self.least else -1
+        lists = sorted((self.lists.get(k, ()) for k in self.keys(tokens)), key=len)[: self.width - self.least + 1]
+        looked = np.array(sorted(set(chain.from_iterable(lists))), np.int64)
         if not len(looked):
             return -1
         share = np.count_nonzero(self.templates[looked] == tokens, axis=1)
@@ -194,8 +194,8 @@ def recurring(docs: DataFrame, depth: int = 2, least: int = 3, similarity: float
                 if at != (key, len(t)):
                     if leaf is not None:
                         yield from found(leaf)
-                    leaf, at = Leaf(len(t) // 3, similarity), (key, len(t))
-                leaf.add(h, a, b, unpacked(t))
+                    leaf, at = Leaf(len(t) // 2, similarity), (key, len(t))
+                leaf.add(h, a, b, np.frombuffer(t, "<u2"))
         if leaf is not None:
             yield from found(leaf)
 
