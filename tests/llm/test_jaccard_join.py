@@ -55,13 +55,12 @@ def made(seed, n):
 CASES = [(5000, None), (5001, ""), (5002, " \n\t"), (5003, "one"), (5004, "ONE"), (5005, "one two three"), (5006, "one\ttwo  three"), (5007, "x " * 30000), (5008, "X " * 200), (5009, "a\x1cb c d e"), (5003, "another text here of five")]
 
 
-@pytest.mark.parametrize(("seed", "n", "percent", "chunk", "slices"), [(1, 4, 85, 2048, 4_000_000), (2, 4, 85, 6, 3000), (3, 5, 80, 10, 4_000_000), (4, 2, 50, 2048, 2000)])
+@pytest.mark.parametrize(("seed", "n", "percent", "chunk", "slices"), [(1, 4, 85, 2048, 4_000_000), (2, 4, 85, 6, 3000), (3, 5, 80, 3, 4_000_000), (4, 2, 50, 2048, 2000)])
 def test_components_against_brute_force(spark, monkeypatch, seed, n, percent, chunk, slices):
-    from tracelode.llm import common
-
     monkeypatch.setattr(J, "CHUNK", chunk)
     monkeypatch.setattr(J, "TILE", 512 if chunk > 100 else 3)
-    monkeypatch.setattr(common, "BATCH_CHARS", slices)
+    monkeypatch.setattr(J, "REPS", 64 if chunk > 100 else 2)
+    monkeypatch.setattr(J, "SLICE", slices)
     rows = made(seed, 60) + CASES
     rows.append(rows[0])
     docs = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, node int, row string")
@@ -102,3 +101,26 @@ def test_bound_is_above_the_overlap():
         a, b = (np.unique(rnd.integers(0, 300, rnd.integers(1, 200)).astype(np.uint64)) for _ in range(2))
         a, b = (np.unique(J.mixed(x)) for x in (a, b))
         assert J.Points([J.point(a).tobytes(), J.point(b).tobytes()]).bounds(np.array([0]), np.array([1]))[0] >= len(np.intersect1d(a, b))
+
+
+def test_near_copies_that_share_an_id_or_have_none(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(7, text, 1, "a"), (7, text + " end", 2, "b"), (None, "x " + text[8:], 3, "c"), (8, "another text of six words here", 4, "d"), (None, "no partner for this one text", 5, "e"), (None, "no partner for this one text at", 6, "f")]
+    out = J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, __row int, __doc string"))
+    kept = sorted(map(tuple, out.collect()), key=lambda r: r[2])
+    assert len(kept) in (4, 5) and len([r for r in kept if r[0] == 7 or r[2] == 3]) == 1 and rows[3] in kept
+    assert all(r in rows for r in kept)
+
+
+def test_a_large_group_of_near_copies_is_compared_in_proportion_to_its_size(spark, monkeypatch):
+    """Rows that tiles hold, for groups of unlike sets that are all near copies of one text."""
+    monkeypatch.setattr(J, "CHUNK", 64)
+    monkeypatch.setattr(J, "TILE", 64)
+    monkeypatch.setattr(J, "REPS", 8)
+    plain, held = J.links_of, []
+    monkeypatch.setattr(J, "links_of", lambda tiled, sets, percent: held.append(tiled.count()) or plain(tiled, sets, percent))
+    base = [f"w{i}" for i in range(120)]
+    for m in (400, 800):
+        docs = spark.createDataFrame([(i, " ".join(base[: i % 60] + [f"own{i}"] + base[i % 60 + 1 :])) for i in range(m)], "doc_id long, text string")
+        assert {r.component_id for r in J.linked(docs, 4, 85).collect()} == {0}
+    assert len(held) <= 4 and sum(held[len(held) // 2 :]) <= 2.6 * sum(held[: len(held) // 2])

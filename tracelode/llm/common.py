@@ -49,6 +49,14 @@ def in_slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int
                 begin, held = i + 1, 0
 
 
+def own_name(docs: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """rows joined with table, which has one row per key and, in weight, how many of rows have it (the column goes).
 

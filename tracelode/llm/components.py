@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import written
+from tracelode.llm.common import delete, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select(F.col("e.u").alias("u"), F.col("e.m").alias("v"))
-        stars = written(small.where("u <> v").distinct(), "edges")
+        before, stars = stars, written(small.where("u <> v").distinct(), "edges")
+        for path in {f.rsplit("/", 1)[0] for f in before.inputFiles()}:
+            delete(before.sparkSession, path)  # nothing reads the last round's edges again
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

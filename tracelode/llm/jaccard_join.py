@@ -10,30 +10,38 @@ are verified on the sets themselves, exactly.
 
 Blocks: two sets of similarity t share a hash among the first n - ceil(t n) + 1 of each, in any order that is the same
 for all sets. The order here puts frequent hashes last (they are counted over all documents), so that a common passage
-fills no block. Blocks of equal members are one; those of over CHUNK members are tiled by size order.
+fills no block. Blocks of equal members are one. The prefixes remove most pairs; the tree searches what is left.
 
 What survives isn't written as pairs, which copies would multiply: a block joins its nodes to clusters in memory and
-emits one row per node. Clusters of all blocks are connected; each node's set goes to its cluster once, in tiles of
-TILE nodes, where pairs of nodes that aren't yet linked are bounded at about one hash per group and then counted
-exactly. A tile emits the links of a spanning forest. No link between different sets is lost to the components.
+emits one row per node. Clusters of all blocks are connected; each node's set goes to its cluster once, where pairs of
+nodes that aren't yet linked are bounded at about one hash per group and then counted exactly, and a spanning forest of
+the links is emitted. No link between different sets is lost to the components.
+
+Large groups (a hash of over CHUNK sets, a cluster of over TILE nodes) are cut by hash into chunks of that size, so no
+task holds one. Each chunk meets about REPS representatives of the whole group; what these connect becomes classes. Only
+the members outside the group's largest class then meet all chunks (see cover), and pairs of one class are skipped. A
+group of copies costs in proportion to its size; a group of unlike members, each chunk against each.
 
 Defined cases: null and empty texts have no n-grams and are linked with nothing, not even with each other; a text of
 fewer words than an n-gram is one n-gram; rows with equal texts are linked; rows with equal doc_id and different texts
-are rows of their own; other columns aren't read by linked() and are kept by one_of_each().
+are rows of their own; a null doc_id is smaller than all others for one_of_each(), and a component_id only where there is
+no other; an empty table gives no rows; very long texts are taken whole; other columns aren't read by linked() and are
+kept by one_of_each(), whatever their names. Sets are named by 64-bit hashes: of 10**10 different ones about three pairs
+would be taken for one.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import in_slices, written
+from tracelode.llm.common import in_slices, own_name, spread_join, written
 from tracelode.llm.components import components
 
 ROUGH = 32
@@ -41,9 +49,10 @@ ROUGH = 32
 SLICE = 500_000
 #: Hashes whose frequencies are counted together.
 COUNTED = 1_500_000
-#: Sets are picked out of a scan by a table of 2**BITS bits up to so many of them; beyond, by a join.
-BITS, FEW = 27, 1 << 24
-CHUNK = 2048
+#: Sets are picked out of a scan by a table of 2**BITS bits, which lets a few others pass; a later join drops those.
+BITS = 27
+#: Members of a block; representatives of a larger group; rows of a frequent hash that one task groups.
+CHUNK, REPS, SALTED = 512, 64, 50_000
 FAN = 16
 #: Nodes of a cluster whose sets are compared in one task.
 TILE = 512
@@ -194,10 +203,11 @@ def surveyed(docs: DataFrame, n: int, text: str = "text") -> tuple[DataFrame, Da
     return table.where("token is null").select("doc_id", "row", "node", "n", "point"), table.where("token is not null").select("token", "count")
 
 
-def prefixes(docs: DataFrame, heavy: np.ndarray, n: int, percent: int, text: str = "text") -> DataFrame:
-    """(token, node, n) of the hashes in front, once per set and task. heavy: hashes to put last, the rarest first."""
+def prefixes(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, n: int, percent: int, text: str = "text") -> DataFrame:
+    """(token, salt, hot, node, n) of the hashes in front, once per set and task. heavy: hashes to put last, the rarest
+    first, with their counts; those in over CHUNK documents are hot, and the more there are, the more salts they have."""
     order = np.argsort(heavy)
-    ranked = heavy[order]
+    ranked, salts = heavy[order], np.where(counts > CHUNK, 1 + counts // SALTED, 0)[order]
 
     def front(s: np.ndarray) -> np.ndarray:
         p = len(s) - -(-percent * len(s) // 100) + 1
@@ -224,32 +234,61 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, n: int, percent: int, text: str
                     nodes.append(np.full(len(f), node, np.int64))
                     sizes.append(np.full(len(f), len(s), np.int32))
             if tokens:
-                yield rows([np.concatenate(tokens).view(np.int64), np.concatenate(nodes), np.concatenate(sizes)], ["token", "node", "n"], [pa.int64(), pa.int64(), pa.int32()])
+                token, node = np.concatenate(tokens), np.concatenate(nodes)
+                many = np.zeros(len(token), np.int64)
+                if len(ranked):
+                    i = np.minimum(np.searchsorted(ranked, token), len(ranked) - 1)
+                    many = np.where(ranked[i] == token, salts[i], 0)
+                salt = (node % np.maximum(many, 1)).astype(np.int32)
+                yield rows([token.view(np.int64), salt, many > 0, node, np.concatenate(sizes)], ["token", "salt", "hot", "node", "n"], [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32()])
             if len(seen) > 1_000_000:
                 seen.clear()
 
-    return keyed(docs, text).mapInArrow(emit, "token long, node long, n int")
+    return keyed(docs, text).mapInArrow(emit, "token long, salt int, hot boolean, node long, n int")
 
 
-def blocks(front: DataFrame, percent: int) -> DataFrame:
-    """(block, node): members of blocks.
+def blocks(front: DataFrame) -> DataFrame:
+    """(block, token, node, n): members of blocks, and with a token instead the members of large groups.
 
-    Hashes stream through sorted, those of a single set go at once. A group of up to CHUNK nodes is a block, named
-    after its members; larger ones are cut into chunks by size, and chunks whose sizes can be linked make a tile."""
-    ordered = front.repartition("token").sortWithinPartitions("token", "n", "node")
+    Hashes stream through sorted, those of a single set go at once. A group of up to CHUNK nodes is a block, named after
+    its members; the rows of a larger one are passed on as they come, so that no task holds it."""
+    ordered = front.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "node")
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] | None = None
+        held: list[tuple[np.ndarray, ...]] = []  # of the last token, which may go on
+        over = False
         for batch in batches:
-            now = tuple(batch.column(c).to_numpy() for c in ("token", "node", "n"))
-            if held is not None:
-                now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-            last = int(np.searchsorted(now[0], now[0][-1]))  # the last token may go on
-            held = tuple(x[last:] for x in now)
-            if last:
-                yield from members(*(x[:last] for x in now))
-        if held is not None:
-            yield from members(*held)
+            hot = batch.column("hot").to_numpy(zero_copy_only=False)
+            every = tuple(batch.column(c).to_numpy() for c in ("token", "node", "n"))
+            if hot.any():
+                yield large(*(x[hot] for x in every))
+                every = tuple(x[~hot] for x in every)
+            token = every[0]
+            if not len(token):
+                continue
+            if held and held[0][0][0] == token[0]:
+                first = int(np.searchsorted(token, token[0], side="right"))
+            else:
+                first = 0
+            if first:
+                held.append(tuple(x[:first] for x in every))
+                over = over or sum(len(h[0]) for h in held) > 2 * CHUNK
+                if over:
+                    yield from (large(*h) for h in held)
+                    held = [tuple(x[:1] for x in held[-1])]  # the token goes on as a large one
+                if first == len(token):
+                    continue
+            if held and not over:
+                yield from members(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            last = int(np.searchsorted(token, token[-1]))
+            if last > first:
+                yield from members(*(x[first:last] for x in every))
+            held, over = [tuple(x[last:] for x in every)], False
+        if held and not over:
+            yield from members(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def large(token: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(token), pa.int64()), pa.array(token), pa.array(node), pa.array(n)], ["block", "token", "node", "n"])
 
     def members(token: np.ndarray, node: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
@@ -260,25 +299,49 @@ def blocks(front: DataFrame, percent: int) -> DataFrame:
         ids, out = [], []
         known: set[int] = set()
         for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
-            if b - a <= CHUNK:
-                block = name(node[a:b].view(U))
-                if block not in known:
-                    known.add(block)
-                    ids.append(np.full(b - a, block))
-                    out.append(node[a:b])
-                continue
-            cuts = [*range(a, b, CHUNK), b]
-            for i, (c, d) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                for e, f in zip(cuts[i:-1], cuts[i + 1 :], strict=True):
-                    if percent * int(n[e]) > 100 * int(n[d - 1]):
-                        break
-                    tile = node[c:d] if e == c else np.concatenate([node[c:d], node[e:f]])
-                    ids.append(np.full(len(tile), name(np.array([token[a], c - a, e - a], np.int64).view(U))))
-                    out.append(tile)
+            if b - a > CHUNK:
+                yield large(token[a:b], node[a:b], n[a:b])
+            elif (block := name(node[a:b].view(U))) not in known:
+                known.add(block)
+                ids.append(np.full(b - a, block))
+                out.append(node[a:b])
         if ids:
-            yield rows([np.concatenate(ids), np.concatenate(out)], ["block", "node"], [pa.int64(), pa.int64()])
-
-    return ordered.mapInArrow(group, "block long, node long").distinct()
+            size = sum(map(len, ids))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.nulls(size, pa.int64()), pa.array(np.concatenate(out)), pa.nulls(size, pa.int32())], ["block", "token", "node", "n"])
+
+    return ordered.mapInArrow(group, "block long, token long, node long, n int").distinct()
+
+
+def cover(members: DataFrame, size: int, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The edges that judge finds in groups (group, node) of any size; of larger ones enough to connect what all edges do.
+
+    judge takes tiles (tile, node, label), compares the nodes of a tile that differ in label, and returns edges (a, b)
+    which connect, with the labels, all that its pairs connect. Groups of up to `size` are one tile. Larger ones are cut
+    by hash, never gathered or numbered: first each chunk with the group's representatives; then, of the classes so
+    found, what isn't in the largest one of its group with all chunks of the group. Two nodes of different classes are
+    in one tile at last, as one of them is outside the largest."""
+    sized = members.groupBy("group").agg(F.count("*").alias("m")).where("m > 1").withColumn("w", F.col("m"))
+    table = written(spread_join(members.select("group", "node"), sized, ["group"], "w"), "groups")
+    big = table.where(F.col("m") > size)
+    chunks = F.ceil(F.col("m") / size).cast("int")
+    own = table.select(F.xxhash64("group", F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("m") > size, chunks).otherwise(1))).alias("tile"), "node")
+    chosen = big.where(F.pmod(F.xxhash64("node", F.lit(2)), F.floor(F.col("m") / REPS) + 1) == 0)
+    reps = chosen.select(F.col("group"), "node", F.explode(F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)).alias("chunk")).select(F.xxhash64("group", "chunk").alias("tile"), "node")
+    first = written(judge(own.unionByName(reps).distinct().withColumn("label", F.col("node"))), "first")
+    if big.isEmpty():
+        return first
+    labelled = written(big.join(components(first), "node", "left").select("group", "node", "m", F.coalesce("root", "node").alias("label")), "classes")
+    classes = labelled.groupBy("group", "label").agg(F.count("*").alias("c"))
+    most = classes.groupBy("group").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("w"))
+    half = max(1, size // 2)
+    rest = F.ceil((F.col("w") - F.col("top.c")) / half).cast("int")
+    most = most.select("group", F.col("top.label").alias("main"), rest.alias("rests"), F.ceil(F.col("w") / half).cast("int").alias("alls"), "w").where("rests > 0")
+    told = spread_join(labelled, most, ["group"], "w")
+    i, j = F.pmod(F.xxhash64("node", F.lit(3)), F.col("rests")).cast("int"), F.pmod(F.xxhash64("node", F.lit(4)), F.col("alls")).cast("int")
+    few = told.where("label <> main").select("group", "node", "label", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"))
+    every = told.select("group", "node", "label", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), j.alias("j"))
+    second = judge(few.unionByName(every).select(F.xxhash64("group", "i", "j").alias("tile"), "node", "label").distinct())
+    return first.unionByName(second)
 
 
 class RTree:
@@ -346,18 +409,18 @@ def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def clustered(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from blocks with points (block, node, n, point): each node that has a partner which the bound leaves it,
-    with the first node of those that such pairs connect in the block."""
-    ordered = members.repartition("block").sortWithinPartitions("block", "n", "node")
+    """(a, b) from tiles with points (tile, node, label, n, point): each node that has a partner which the bound leaves
+    it, with the first node of those that such pairs and equal labels connect in the tile."""
+    ordered = members.repartition("tile").sortWithinPartitions("tile", "n", "node")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, starts in by_key(batches, "block"):
-            node, n, point = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "point"))
+        for batch, starts in by_key(batches, "tile"):
+            node, label, n, point = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "n", "point"))
             n = n.astype(np.int64)
             out: list[tuple[np.ndarray, np.ndarray]] = []
             for a, b in zip(starts, [*starts[1:], len(node)], strict=True):
                 s, ids, points = n[a:b], node[a:b], Points(point[a:b].tolist())
-                tree, labels = RTree(points.rough, s), np.arange(b - a)
+                tree, labels = RTree(points.rough, s), places_of(label[a:b])
                 for c in range(0, b - a, 256):
                     q, e = tree.search(points.rough[c : c + 256], s[c : c + 256], percent)
                     q = q + c
@@ -374,37 +437,34 @@ def clustered(members: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(search, "a long, b long")
 
 
-def tiles(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(tile, node): a cluster of up to TILE nodes is one tile; of a larger one, every two runs of TILE nodes by size."""
-    counted = clusters.groupBy("root").agg(F.count("*").alias("m"))
-    small = clusters.join(counted.where(F.col("m") <= TILE), "root").select(F.xxhash64("root", F.lit(0), F.lit(0)).alias("tile"), "node")
-    large = clusters.join(counted.where(F.col("m") > TILE), "root").join(sizes, "node")
-    run = F.floor((F.row_number().over(Window.partitionBy("root").orderBy("n", "node")) - 1) / TILE).cast("int")
-    runs = large.withColumn("run", run).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / TILE).cast("int"))))
-    return small.unionByName(runs.select(F.xxhash64("root", F.least("run", "other"), F.greatest("run", "other")).alias("tile"), "node"))
+def places_of(labels: np.ndarray) -> np.ndarray:
+    """For each label the first place where it stands."""
+    _, first, which = np.unique(labels, return_index=True, return_inverse=True)
+    return first[which]
 
 
 def links_of(tiled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the pairs in each tile whose sets are similar enough, counted exactly."""
+    """(a, b): links of the pairs in each tile (tile, node, label) whose sets are similar enough, counted exactly; with
+    the labels they connect all that such pairs connect."""
     ordered = tiled.join(sets, "node").repartition("tile").sortWithinPartitions("tile", F.size("grams"), "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in by_key(batches, "tile"):
             out: list[tuple[int, int]] = []
-            ids = batch.column("node").to_numpy()
+            ids, label = batch.column("node").to_numpy(), batch.column("label").to_numpy()
             grams = batch.column("grams")
             for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
                 own = ids[a:b]
                 fresh = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))  # rows of equal doc_id and text
-                out += forest(own[fresh], [grams[int(a + i)].values.to_numpy().view(U) for i in fresh], percent)
+                out += forest(own[fresh], [grams[int(a + i)].values.to_numpy().view(U) for i in fresh], percent, places_of(label[a:b][fresh]))
             if out:
                 yield rows(list(zip(*out, strict=True)), ["a", "b"], [pa.int64(), pa.int64()])
 
     return ordered.mapInArrow(verify, "a long, b long")
 
 
-def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links among the sets (ascending by size) that connect all that links connect."""
+def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links among the sets (ascending by size) that connect, with equal labels, all that links connect."""
     sizes = np.array([len(s) for s in sets])
     groups = 1 << min(16, max(5, int(sizes.max()).bit_length()))
     table = np.zeros((len(sets), groups), np.uint8)
@@ -412,7 +472,7 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
     for i, s in enumerate(sets):
         counts = np.bincount((s >> U(7)).astype(np.int64) & (groups - 1), minlength=groups)
         table[i], open_[i] = np.minimum(counts, 255), counts.max() >= 255
-    labels, out = np.arange(len(sets)), []
+    labels, out = np.arange(len(sets)) if labels is None else labels.copy(), []
     for q in range(1, len(sets)):
         e = np.flatnonzero((labels[:q] != labels[q]) & (sizes[:q] * 100 >= percent * sizes[q]))
         if not len(e):
@@ -430,26 +490,42 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
 
 
 def linked(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, row (a hash of the text), n_shingles, component_id."""
+    """Per row of docs: doc_id, row (a hash of the text), n_shingles, component_id, and which (doc_id, row) stands for
+    the component: the smallest, as (first_doc, first_row)."""
     people, counted = surveyed(docs, n, text)
     most = counted.groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(HEAVY)
-    heavy = np.array([r.token for r in most.orderBy("count", "token").collect()], np.int64).view(U)  # at most HEAVY
-    member = written(blocks(prefixes(docs, heavy, n, percent, text), percent), "blocks")
+    found = most.orderBy("count", "token").collect()  # at most HEAVY
+    heavy, counts = np.array([r.token for r in found], np.int64).view(U), np.array([r["count"] for r in found], np.int64)
+    member = written(blocks(prefixes(docs, heavy, counts, n, percent, text)), "blocks")
     known = people.where("n > 0").groupBy("node").agg(F.min(text_key()).alias("key"), F.first("n").alias("n"), F.first("point").alias("point"))
-    near = written(clustered(member.join(known, "node").select("block", "node", "n", "point"), percent), "near")
-    clusters = written(components(near), "clusters")
+
+    def bounded(tiled: DataFrame) -> DataFrame:
+        return clustered(tiled.join(known, "node").select("tile", "node", "label", "n", "point"), percent)
+
+    near = bounded(member.where("block is not null").select(F.col("block").alias("tile"), "node", F.col("node").alias("label")))
+    large = member.where("token is not null").select(F.col("token").alias("group"), "node")
+    if not large.isEmpty():
+        near = near.unionByName(cover(large, CHUNK, bounded))
+    clusters = written(components(written(near, "near")), "clusters")
     sets = written(picked_sets(docs, known.join(clusters, "node").select("node", "key"), n, text), "sets")
-    roots = components(written(links_of(tiles(clusters, known.select("node", "n")), sets, percent), "links"))
-    roots = written(roots, "roots")
-    own = people.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("own"))
+    links = cover(clusters.select(F.col("root").alias("group"), "node"), TILE, lambda tiled: links_of(tiled, sets, percent))
+    roots = written(components(written(links, "links")), "roots")
+    own = people.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("own"), F.min(first_of()).alias("first"))
     joined = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = joined.groupBy("root").agg(F.min("own").alias("component_id"))
-    label = joined.join(least, "root").select("node", "component_id")
-    full = people.where("n > 0").join(label, "node").select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    empty = people.where("n = 0").select("doc_id", "row", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    least = joined.groupBy("root").agg(F.min("own").alias("component_id"), F.min("first").alias("first"), F.count("*").alias("nodes"))
+    label = spread_join(joined.select("node", "root"), least, ["root"], "nodes").select("node", "component_id", "first")
+    rows_ = people.where("n > 0").groupBy("node").agg(F.count("*").alias("rows"))
+    full = spread_join(people.where("n > 0"), label.join(rows_, "node"), ["node"], "rows")
+    full = full.select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("first.doc").alias("first_doc"), F.col("first.row").alias("first_row"))
+    empty = people.where("n = 0").select("doc_id", "row", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), first_of()["doc"].alias("first_doc"), first_of()["row"].alias("first_row"))
     return full.unionByName(empty)
 
 
+def first_of():
+    """A row's place among those of its component: by doc_id, null before all others, then by its text's hash."""
+    return F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.col("row").alias("row"))
+
+
 def text_key():
     """One number for a row's doc_id and text."""
     return F.xxhash64(F.coalesce("doc_id", F.lit(-(2**63))), "row")
@@ -458,11 +534,9 @@ def text_key():
 def picked_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str = "text") -> DataFrame:
     """(node, grams) of the texts that wanted (node, key) names, and of few others.
 
-    Up to FEW, the keys' places in a table of bits pick them during the scan: the table is gathered as words, at most
-    2**BITS / 64 of them, so the texts aren't shuffled. Beyond, the texts are joined with the keys."""
+    The keys' places in a table of bits pick them during the scan: the table is gathered as words, at most 2**BITS / 64
+    of them, so the texts aren't shuffled."""
     rows_ = keyed(docs, text).withColumn("key", text_key())
-    if wanted.count() > FEW:
-        return rows_.join(wanted.select("key").distinct(), "key", "left_semi").select("text").mapInArrow(grams_of(n, None), "node long, grams array<long>")
     bits = wanted.select(F.pmod("key", F.lit(1 << BITS)).alias("bit")).selectExpr("cast(bit div 64 as int) as word", "shiftleft(1L, cast(bit % 64 as int)) as one")
     words = bits.groupBy("word").agg(F.bit_or("one").alias("bits")).toArrow()
     table = np.zeros((1 << BITS) // 64, np.int64)
@@ -471,15 +545,13 @@ def picked_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str = "text")
     return rows_.select("key", "text").mapInArrow(grams_of(n, (used, table[used])), "node long, grams array<long>")
 
 
-def grams_of(n: int, words: tuple[np.ndarray, np.ndarray] | None):
+def grams_of(n: int, words: tuple[np.ndarray, np.ndarray]):
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if words is not None:
-            table = np.zeros((1 << BITS) // 64, np.int64)
-            table[words[0]] = words[1]
+        table = np.zeros((1 << BITS) // 64, np.int64)
+        table[words[0]] = words[1]
         for batch in batches:
-            if words is not None:
-                bit = batch.column("key").to_numpy() & ((1 << BITS) - 1)
-                batch = batch.filter(pa.array((table[bit >> 6] >> (bit & 63)) & 1 == 1))
+            bit = batch.column("key").to_numpy() & ((1 << BITS) - 1)
+            batch = batch.filter(pa.array((table[bit >> 6] >> (bit & 63)) & 1 == 1))
             for _, texts in in_slices([batch], chars=SLICE):
                 sets = sets_of(texts, n)
                 yield rows([[name(s) for s in sets], [s.view(np.int64) for s in sets]], ["node", "grams"], [pa.int64(), pa.list_(pa.int64())])
@@ -488,11 +560,13 @@ def grams_of(n: int, words: tuple[np.ndarray, np.ndarray] | None):
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; all columns stay."""
+    """docs with one row of each component, that of the smallest doc_id and then the smallest hash of the text, and all
+    rows without n-grams; all columns stay. Of rows that repeat doc_id and text, one stays."""
     found = linked(docs, n, percent, text)
-    keep = found.where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__doc"), F.col("row").alias("__row")).groupBy("__doc", "__row").count()
-    keyed_docs = docs.withColumns({"__doc": F.coalesce("doc_id", F.lit(-(2**63))), "__row": F.xxhash64(text)})
-    kept = keyed_docs.join(keep, ["__doc", "__row"], "left_semi")
+    doc, row = own_name(docs, "__doc"), own_name(docs, "__row")
+    keep = found.where((F.coalesce("doc_id", F.lit(-(2**63))) == F.col("first_doc")) & (F.col("row") == F.col("first_row")))
+    keep = written(keep.groupBy(F.col("first_doc").alias(doc), F.col("first_row").alias(row)).agg(F.count("*").alias("count")), "kept")
+    kept = docs.withColumns({doc: F.coalesce("doc_id", F.lit(-(2**63))), row: F.xxhash64(text)}).join(keep.select(doc, row), [doc, row], "left_semi")
     if not keep.where("count > 1").isEmpty():  # rows that repeat
-        kept = kept.dropDuplicates(["__doc", "__row"])
+        kept = kept.dropDuplicates([doc, row])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

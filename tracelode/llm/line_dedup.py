@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import in_slices
+from tracelode.llm.common import in_slices, own_name
 
 DIGIT = re.compile(r"[0-9]")
 #: Thai to Myanmar, Khmer, Tai scripts, Javanese, kana, bopomofo and Han with their punctuation: written without spaces.
@@ -207,14 +207,6 @@ def recurring(docs: DataFrame, depth: int = 2, least: int = 3, similarity: float
     return ordered.mapInArrow(parse, "hash binary, first long")
 
 
-def own_name(docs: DataFrame, name: str) -> str:
-    """name, or a longer one that no column of docs has."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def marked(docs: DataFrame, depth: int = 2, least: int = 3, similarity: float = 0.75, text: str = "text") -> tuple[DataFrame, str]:
     """docs with one more column, and its name: places of the lines to drop, null if none. All lines are judged."""
     found = recurring(docs, depth, least, similarity, text)
