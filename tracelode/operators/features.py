@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelode.functions.columns import draw
+from tracelode.functions.columns import draw, holds_all, holds_in_order
 
 
 #: Items that a vocabulary may have: it becomes columns.
@@ -60,6 +60,18 @@ def precedence(windows: DataFrame, words: list[str]) -> DataFrame:
     return windows.withColumn("features", F.array(*[((at(a) > 0) & (at(b) > 0) & (at(a) < at(b))).cast("int") for a, b in pairs]))
 
 
+def held_sets(windows: DataFrame, patterns: list[list[str]]) -> DataFrame:
+    """Whether each window holds each of the itemsets."""
+    tests = F.array(*[F.array(*map(F.lit, p)) for p in patterns])
+    return windows.withColumn("features", F.transform(tests, lambda p: holds_all(F.col("item_set"), p).cast("int")))
+
+
+def held_sequences(windows: DataFrame, patterns: list[list[str]]) -> DataFrame:
+    """Whether each window holds each of the sequences in order."""
+    tests = F.array(*[F.array(*map(F.lit, p)) for p in patterns])
+    return windows.withColumn("features", F.transform(tests, lambda p: holds_in_order(F.col("items"), p).cast("int")))
+
+
 def pattern_counts(windows: DataFrame, hits: DataFrame, pattern: str) -> DataFrame:
     """How many patterns each window holds; windows without one have 0."""
     return windows.join(hits.groupBy("window_id").agg(F.count(pattern).alias("n_held")), "window_id", "left").withColumn("n_held", F.coalesce("n_held", F.lit(0)))

@@ -78,11 +78,12 @@ def failure_anchors(stream: DataFrame, kind: str) -> DataFrame:
     return stream.where(F.col("event_type") == kind).select("entity_id", F.col("us").alias("anchor"), F.lit(True).alias("is_failure")).distinct()
 
 
-def control_anchors(stream: DataFrame, failures: DataFrame, clean: int, per_failure: int = 3, tries: int = 50, around: DataFrame | None = None) -> DataFrame:
+def control_anchors(stream: DataFrame, failures: DataFrame, clean: int, per_failure: int = 3, tries: int = 50, around: DataFrame | None = None, salt: str | None = None) -> DataFrame:
     """Per entity, per_failure times as many anchors as it has failures, drawn between its first and last event (less
     the clean margin) and farther than it from every failure. The draws are hashes, so that they repeat anywhere.
 
-    around: what anchors keep away from, where that isn't the failures (episodes keep away from every alert).
+    around: what anchors keep away from, where that isn't the failures (episodes keep away from every alert); salt: draws
+    with another one are other draws.
     Twice as many draws as wanted come first; only entities that are still short draw all their tries. As draws count
     in their order, the anchors are the same as if all were made at once."""
     near = failures if around is None else around
@@ -94,7 +95,7 @@ def control_anchors(stream: DataFrame, failures: DataFrame, clean: int, per_fail
     def drawn(of: DataFrame, begin: Column, end: Column) -> DataFrame:
         """The draws from begin to end that lie clear of every failure."""
         placed = of.withColumn("i", F.explode(F.sequence(begin.cast("int"), end.cast("int") - 1)))
-        placed = placed.select("entity_id", "wanted", "limit", "i", (F.col("low") + draw("entity_id", "i") * 1_000_000 % (F.col("high") - F.col("low"))).alias("us"))
+        placed = placed.select("entity_id", "wanted", "limit", "i", (F.col("low") + draw("entity_id", "i", *([F.lit(salt)] if salt else [])) * 1_000_000 % (F.col("high") - F.col("low"))).alias("us"))
         both = placed.unionByName(near.select("entity_id", F.col("anchor").alias("us")), allowMissingColumns=True)
         margin = Window.partitionBy("entity_id").orderBy("us").rangeBetween(-clean, clean)
         return both.withColumn("__near", F.count_if(F.col("i").isNull()).over(margin)).where("i is not null and __near = 0")
@@ -114,13 +115,14 @@ def anchors_of(stream: DataFrame, kind: str, clean: int, per_failure: int = 3, t
     return failures.unionByName(control_anchors(stream, failures, clean, per_failure, tries))
 
 
-def first_failure_windows(stream: DataFrame, kind: str, k: int, least: int, per_failure: int = 3) -> DataFrame:
-    """Anchors of whole entities: the first failure of those that fail, and a second after the last event of others
-    with at least `least` events, per_failure of them for each failing entity with history; drawn by hash."""
+def first_failure_windows(stream: DataFrame, kind: str, k: int, least: int, per_failure: int = 3, after: int = 1_000_000, least_failing: int = 1) -> DataFrame:
+    """Anchors of whole entities: the first failure of those that fail and have least_failing events before it, and a
+    while (`after`) behind the last event of others with at least `least` events, per_failure of them for each failing
+    entity; drawn by hash."""
     first = stream.where(F.col("event_type") == kind).groupBy("entity_id").agg(F.min("us").alias("anchor"))
     history = stream.join(first, "entity_id").where(F.col("us") < F.col("anchor"))
-    failed = history.select("entity_id", "anchor").distinct().withColumn("is_failure", F.lit(True))
-    others = stream.join(first, "entity_id", "left_anti").groupBy("entity_id").agg((F.max("us") + 1_000_000).alias("anchor"), F.count("*").alias("n")).where(F.col("n") >= least)
+    failed = history.groupBy("entity_id", "anchor").agg(F.count("*").alias("n")).where(F.col("n") >= least_failing).select("entity_id", "anchor", F.lit(True).alias("is_failure"))
+    others = stream.join(first, "entity_id", "left_anti").groupBy("entity_id").agg((F.max("us") + after).alias("anchor"), F.count("*").alias("n")).where(F.col("n") >= least)
     drawn = ranked_by_draw(others, ["entity_id"], ["entity_id"])
     number = failed.agg((F.count("*") * per_failure).alias("wanted"))  # one row
     controls = drawn.crossJoin(F.broadcast(number)).where("place <= wanted").select("entity_id", "anchor", F.lit(False).alias("is_failure"))

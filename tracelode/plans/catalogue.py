@@ -427,16 +427,28 @@ def jaccard_stability(spark, d):
     return r6(stats.jaccard(sets, "k", "m"), "jaccard")
 
 
-@query("baseline_rules", f"""with {S.windows(5)}, top as (select items[-1] as last from win where is_failure and n_events > 0 group by 1 order by count(*) desc, last limit 3),
-  said as (select is_failure, coalesce(items[-1] in (select last from top), false) as said from win),
-  c as (select count(*) filter (where is_failure and said) as tp, count(*) filter (where not is_failure and said) as fp, count(*) filter (where is_failure and not said) as fn, count(*) filter (where not is_failure and not said) as tn from said),
+@query("baseline_rules", f"""with {S.windows(5)}, {SPLIT}, discovery as (select * from win join halves using (entity_id) where discovery), other as (select * from win join halves using (entity_id) where not discovery),
+  top as (select items[-1] as last from discovery where is_failure and n_events > 0 group by 1 order by count(*) desc, last limit 5), {S.ITEMSETS.replace('from win', 'from discovery')}, {P_ROWS}, {bh(factor=YEK)}, sig as (select itemset from q where q < 0.05),
+  said as (select 'last_code' as rule, is_failure, coalesce(items[-1] in (select last from top), false) as said from other union all select 'significant_itemset', is_failure, exists (select 1 from sig where list_has_all(item_set, itemset)) from other
+    union all select 'many_events', is_failure, n_events > (select quantile_cont(n_events, 0.5) from discovery where is_failure) from other),
+  c as (select rule, count(*) filter (where is_failure and said) as tp, count(*) filter (where not is_failure and said) as fp, count(*) filter (where is_failure and not said) as fn, count(*) filter (where not is_failure and not said) as tn from said group by 1),
   m as (select *, coalesce(tp / nullif(tp + fp, 0), 0) as precision, coalesce(tp / nullif(tp + fn, 0), 0) as recall, coalesce(fp / nullif(fp + tn, 0), 0) as fpr from c)
-  select tp, fp, fn, tn, round(precision, 6) as precision, round(recall, 6) as recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) as f1, round(coalesce(0.01 * recall / nullif(0.01 * recall + 0.99 * fpr, 0), 0), 6) as ppv from m""")
+  select rule, tp, fp, fn, tn, round(precision, 6) as precision, round(recall, 6) as recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) as f1, round(coalesce(0.01 * recall / nullif(0.01 * recall + 0.99 * fpr, 0), 0), 6) as ppv from m""")
 def baseline_rules(spark, d):
-    w = last_windows(spark, d).withColumn("last", F.try_element_at("items", F.lit(-1)))
-    top = w.where("is_failure and last is not null").groupBy("last").count().orderBy(F.desc("count"), "last").limit(3).select("last", F.lit(True).alias("said"))
-    said = w.join(F.broadcast(top), "last", "left").select("is_failure", F.coalesce("said", F.lit(False)).alias("said"))
-    return r6(stats.confusion(said, F.col("is_failure"), F.col("said")), "precision", "recall", "f1", "ppv")
+    """Three rules learned on one half of the entities and judged on the other: the last item is among the five most
+    frequent last ones of failures; any significant itemset is held; more events than the median failure has."""
+    w = written(stats.split(kept_windows(spark, d), 11).withColumn("last", F.try_element_at("items", F.lit(-1))), "halves")
+    found, other = w.where("discovery"), w.where(~F.col("discovery"))
+    top = found.where("is_failure and last is not null").groupBy("last").count().orderBy(F.desc("count"), "last").limit(5).select("last", F.lit(True).alias("said"))
+    tested = stats.with_q(stats.with_p(mining.set_scores(found, mining.itemsets(found))), dependent=True).where("q < 0.05")
+    held = mining.set_hits(mining.tallied(other, "item_set"), tested.select("itemset")).select("item_set").distinct().withColumn("said", F.lit(True))
+    median = found.where("is_failure").agg(F.percentile("n_events", 0.5).alias("median"))  # one row
+    rules = {"last_code": other.join(F.broadcast(top), "last", "left"), "significant_itemset": other.join(held, "item_set", "left"), "many_events": other.crossJoin(F.broadcast(median)).withColumn("said", F.col("n_events") > F.col("median"))}
+    out = None
+    for name, rows in rules.items():
+        one = stats.confusion(rows.select("is_failure", F.coalesce("said", F.lit(False)).alias("said")), F.col("is_failure"), F.col("said")).select(F.lit(name).alias("rule"), "*")
+        out = one if out is None else out.unionByName(one)
+    return r6(out, "precision", "recall", "f1", "ppv")
 
 
 RISKSET = ORACLES["win_riskset"]
@@ -679,12 +691,20 @@ def entity_split_70(spark, d):
     return evaluation.entity_split(kept_windows(spark, d)).select("window_id", "train")
 
 
+#: Mined patterns that become features: the most frequent ones of the training windows.
+PATTERNS = 500
+
+
 @query("lr_head_to_head")
 def lr_head_to_head(spark, d):
     """AUROC of logistic regression on counts alone, presence, multisets and order, trained up to the cut."""
     w = evaluation.temporal_split(kept_windows(spark, d)).withColumn("label", F.col("is_failure").cast("int"))
     words = words_of(w.where("train"))
-    blocks = {"event_count": w.withColumn("features", F.array("n_events")), "presence": features.presence(w, words), "multiset": features.multiset(w, words), "precedence": features.precedence(w, words[:20])}
+    train = w.where("train")
+    sets = [r.itemset for r in mining.itemsets(train).orderBy(F.desc("n_failure"), "itemset").limit(PATTERNS).collect()]
+    runs = [r.sequence for r in mining.sequences(train).orderBy(F.desc("n_failure"), "sequence").limit(PATTERNS).collect()]
+    both = features.held_sequences(features.held_sets(w, sets).withColumnRenamed("features", "f1"), runs).withColumn("features", F.concat(F.array("n_events"), "f1", "features")).drop("f1")
+    blocks = {"itemsets": features.held_sets(w, sets), "sequences": features.held_sequences(w, runs), "combined": both, "event_count": w.withColumn("features", F.array("n_events")), "presence": features.presence(w, words), "multiset": features.multiset(w, words), "precedence": features.precedence(w, words[:20])}
     scored = None
     for name, rows in blocks.items():
         one = judged_by_model(rows, name, feature_set=name)
@@ -948,3 +968,6 @@ def signatures_last5(spark, d):
     """From the stream to ranked failure signatures: windows, itemsets, scores, exact tests and their correction."""
     rows = stats.with_q(stats.with_p(itemset_scores(kept_windows(spark, d))))
     return r6(rows.select(bars("itemset"), "n_failure", "n_control", "lift_failure", "p", "q"), "lift_failure", "p", "q").orderBy(F.desc("lift_failure"), "itemset")
+
+
+from tracelode.plans import studies  # noqa: E402, F401  (adds its queries)

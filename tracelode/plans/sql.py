@@ -16,13 +16,13 @@ def draw(*parts: str) -> str:
     return f"cast('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) as bigint)"
 
 
-def anchors(clean: int, per_failure: int = 3, tries: int = 50) -> str:
+def anchors(clean: int, per_failure: int = 3, tries: int = 50, salt: str | None = None) -> str:
     """Failures and controls; needs ev."""
     return f"""fails as (select distinct entity_id, us as anchor, true as is_failure from ev where event_type = 'error'),
 spans as (select entity_id, min(us) + {clean} as low, max(us) - {clean} as high from ev group by 1),
 wanted as (select entity_id, count(*) * {per_failure} as wanted from fails group by 1),
 tried as (select entity_id, low, high, wanted, unnest(range(0, cast(wanted * {tries} / {per_failure} as bigint))) as i from spans join wanted using (entity_id) where high > low),
-spots as (select entity_id, wanted, i, low + {draw('entity_id', 'i')} * 1000000 % (high - low) as anchor from tried),
+spots as (select entity_id, wanted, i, low + {draw('entity_id', 'i', *([repr(salt)] if salt else []))} * 1000000 % (high - low) as anchor from tried),
 clean as (select * from spots p where not exists (select 1 from fails f where f.entity_id = p.entity_id and abs(f.anchor - p.anchor) <= {clean})),
 controls as (select entity_id, anchor from (select *, row_number() over (partition by entity_id order by i) as n from clean) where n <= wanted),
 anchors as (select * from fails union all select distinct entity_id, anchor, false from controls)"""
