@@ -114,7 +114,7 @@ def matched_split(rows: DataFrame, min_support: float = 0.05, top: int = 200, se
     sizes = other.groupBy("match_id").agg(F.count("*").alias("n"))
     held = mining.set_hits(other, best).groupBy("itemset", "match_id").agg(F.count("*").alias("t"), F.max(F.col("is_failure").cast("int")).alias("x"))
     strata = held.join(sizes, "match_id").withColumn("pattern", F.array_join("itemset", "|"))
-    tested = written(stats.matched_hazard(strata).where("p is not null"), "hazards")
+    tested = written(stats.matched_hazard(strata), "hazards").where("p is not null")
     return stats.with_q(stats.with_q(tested), dependent=True, name="q_by")
 
 

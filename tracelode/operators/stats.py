@@ -72,7 +72,8 @@ def matched_hazard(strata: DataFrame, by: str = "pattern", steps: int = 25) -> D
 
     fitted = packed.withColumn("beta", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, newton))
     information = F.aggregate("cells", zero, lambda s, c: s + c["k"] * prob(c, F.col("beta")) * (1 - prob(c, F.col("beta"))))
-    out = fitted.withColumn("se", F.try_divide(F.lit(1.0), F.sqrt(information)))
+    # Written, so that the long series of the p value is made of two columns and not of what they come from.
+    out = written(fitted.withColumn("se", F.try_divide(F.lit(1.0), F.sqrt(information))).select(by, "strata", "observed", "beta", "se"), "fitted")
     z = F.abs(F.col("beta") / F.col("se"))
     return out.select(by, "strata", "observed", F.exp("beta").alias("hazard_ratio"), F.exp(F.col("beta") - 1.96 * F.col("se")).alias("hr_low"), F.exp(F.col("beta") + 1.96 * F.col("se")).alias("hr_high"), erfc(z / 1.4142135623730951).alias("p"))
 

@@ -61,9 +61,9 @@ def win_repair(spark, d):
 
 #: Match sets of customers; an order's place in time is the end of its key, so that lengths and times are of one size.
 RISK = f"""members as ({ORACLES["win_riskset"]}), steps as (select o_custkey as entity_id, o_orderkey % 10000 as us, o_orderkey as ordinal, o_orderpriority as item from orders),
-  seen as (select m.match_id, m.entity_id, m.is_case, s.item, s.us, s.ordinal, row_number() over (partition by m.match_id, m.entity_id, m.is_case order by s.us desc, s.ordinal desc) as back from members m join steps s on s.entity_id = m.entity_id and s.us < m.length_at),
+  lately as (select m.match_id, m.entity_id, m.is_case, s.item, s.us, s.ordinal, row_number() over (partition by m.match_id, m.entity_id, m.is_case order by s.us desc, s.ordinal desc) as back from members m join steps s on s.entity_id = m.entity_id and s.us < m.length_at),
   win as (select m.match_id, m.entity_id, m.match_id || '/' || m.entity_id as window_id, m.is_case = 1 as is_failure, count(s.us) as n_events, coalesce(list(s.item order by s.us, s.ordinal) filter (where s.us is not null), []) as items,
-    coalesce(list_sort(list_distinct(list(s.item) filter (where s.us is not null))), []) as item_set from members m left join (select * from seen where back <= 20) s using (match_id, entity_id, is_case) group by 1, 2, 3, 4 having m.is_case = 1 or count(s.us) > 0)""".replace("group by 1, 2, 3, 4 having m.is_case = 1 or", "group by m.match_id, m.entity_id, m.is_case having m.is_case = 1 or")
+    coalesce(list_sort(list_distinct(list(s.item) filter (where s.us is not null))), []) as item_set from members m left join (select * from lately where back <= 20) s using (match_id, entity_id, is_case) group by 1, 2, 3, 4 having m.is_case = 1 or count(s.us) > 0)""".replace("group by 1, 2, 3, 4 having m.is_case = 1 or", "group by m.match_id, m.entity_id, m.is_case having m.is_case = 1 or")
 
 
 def risk_windows(spark, d):
@@ -93,7 +93,7 @@ def riskset_signatures(spark, d):
 
 
 @query("matched_hazard_split", f"""with recursive {RISK}, halves as (select match_id, row_number() over (order by {S.draw('match_id', '11')}, match_id) <= floor(0.5 * count(*) over ()) as discovery from (select distinct match_id from win)),
-  {S.ITEMSETS.replace('from win', 'from (select * from win join halves using (match_id) where discovery)')}, best as (select itemset from frequent order by n_failure + n_control desc, itemset limit 200), other as (select * from win join halves using (match_id) where not discovery),
+  {S.ITEMSETS.replace('from win', 'from (select * from win join halves using (match_id) where discovery)')}, best as (select itemset from frequent order by n_failure desc, itemset limit 200), other as (select * from win join halves using (match_id) where not discovery),
   total as (select match_id, count(*) as n from other group by 1), strata as (select array_to_string(itemset, '|') as pattern, match_id, n, count(*) as t, max(cast(is_failure as int)) as x from best join other on list_has_all(item_set, itemset) join total using (match_id) group by 1, 2, 3), {NEWTON}
   select pattern, strata, cast(observed as bigint) as observed, round(exp(beta), 5) as hazard_ratio from fitted join seen using (pattern) where se is not null""")
 def matched_hazard_split(spark, d):
