@@ -60,8 +60,8 @@ def win_repair(spark, d):
 
 
 #: Match sets of customers; an order's place in time is the end of its key, so that lengths and times are of one size.
-RISK = f"""members as ({ORACLES["win_riskset"]}), steps as (select o_custkey as entity_id, o_orderkey % 10000 as us, o_orderkey as ordinal, o_orderpriority as item from orders),
-  lately as (select m.match_id, m.entity_id, m.is_case, s.item, s.us, s.ordinal, row_number() over (partition by m.match_id, m.entity_id, m.is_case order by s.us desc, s.ordinal desc) as back from members m join steps s on s.entity_id = m.entity_id and s.us < m.length_at),
+RISK = f"""members as ({ORACLES["win_riskset"]}), placed as (select o_custkey as entity_id, o_orderkey % 10000 as us, o_orderkey as ordinal, o_orderpriority as item from orders),
+  lately as (select m.match_id, m.entity_id, m.is_case, s.item, s.us, s.ordinal, row_number() over (partition by m.match_id, m.entity_id, m.is_case order by s.us desc, s.ordinal desc) as back from members m join placed s on s.entity_id = m.entity_id and s.us < m.length_at),
   win as (select m.match_id, m.entity_id, m.match_id || '/' || m.entity_id as window_id, m.is_case = 1 as is_failure, count(s.us) as n_events, coalesce(list(s.item order by s.us, s.ordinal) filter (where s.us is not null), []) as items,
     coalesce(list_sort(list_distinct(list(s.item) filter (where s.us is not null))), []) as item_set from members m left join (select * from lately where back <= 20) s using (match_id, entity_id, is_case) group by 1, 2, 3, 4 having m.is_case = 1 or count(s.us) > 0)""".replace("group by 1, 2, 3, 4 having m.is_case = 1 or", "group by m.match_id, m.entity_id, m.is_case having m.is_case = 1 or")
 
