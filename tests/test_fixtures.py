@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelode.functions import columns as C
-from tracelode.operators import alarms, evaluation, features, mining, stats, windows
+from tracelode.operators import alarms, chains, evaluation, features, mining, stats, windows
 from tracelode.sources import formats
 
 H, M = 3_600_000_000, 60_000_000
@@ -255,3 +255,30 @@ def test_streams(spark, tmp_path):
         q.awaitTermination()
     assert sorted((r.entity_id, r.n) for r in spark.table("s").collect())[:3] == [(1, 1), (1, 1), (1, 2)]
     assert sorted((r.entity_id, r.time) for r in spark.table("a").collect()) == [(1, t), (1, t + dt.timedelta(days=2)), (2, t + dt.timedelta(days=3))]
+
+
+def test_readouts_end_in_a_repair(spark, tmp_path):
+    steps = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 30]
+    (tmp_path / "r.csv").write_text("vehicle_id,time_step,a.b,c\n" + "".join(f"1,{i}.5,{v},\n" for i, v in enumerate(steps)) + "2,0.0,1,1\n3,4.0,,\n")
+    (tmp_path / "s.csv").write_text("vehicle_id,length_of_study_time_step,in_study_repair\n1,12,1\n2,3,0\n4,1,1\n")
+    rows = formats.counter_events(formats.counter_tables(spark, str(tmp_path / "r.csv"), str(tmp_path / "s.csv"))).collect()
+    day = dt.datetime(2019, 1, 12, 12)
+    assert sorted(map(tuple, rows)) == [(1, day, "counter_surprise", "a.b"), (1, day, "terminal_repair", "repair")]
+
+
+def seqs(spark, rows):
+    """(is_failure, [(minute, item)]) with the anchor at minute 100"""
+    return spark.createDataFrame([(str(i), 100 * M, f, [(t * M, x) for t, x in seq]) for i, (f, seq) in enumerate(rows)], "window_id string, anchor long, is_failure boolean, seq array<struct<us: long, item: string>>")
+
+
+def test_chains_are_scored_against_their_last_item(spark):
+    case = (True, [(10, "a"), (20, "a"), (30, "b"), (40, "x"), (60, "c"), (90, "c")])
+    rows = chains.merged(seqs(spark, [case] * 4 + [(True, [(1, "c")]), (True, []), (False, [(5, "c"), (6, "b"), (7, "a")]), (False, [(5, "a"), (6, "b")])] + [(False, [(50, "x")])] * 4))
+    assert rows.count() == 11
+    picked = {tuple(r.chain) for r in chains.candidates(rows).collect()}
+    assert {("a", "b", "c"), ("a", "b", "x", "c")} <= picked and ("c", "b", "a") not in picked
+    scored = chains.scores(rows, chains.candidates(rows))
+    (r,) = scored.where("chain = array('a', 'b', 'c')").collect()
+    assert (r.n_failure, r.n_control, r.median_span_min, r.median_lead_min, r.last_controls, r.last_lead_min, r.incremental) == (4, 0, 50.0, 40.0, 1, 40.0, True)
+    assert [r.chain for r in chains.best(scored, alpha=1.1).collect()] == [["a", "b", "x", "c"]]
+    assert chains.scores(rows, chains.candidates(rows).where("false")).count() == 0

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelode.operators import alarms, features, mining, samplers, stats
+from tracelode.operators import alarms, chains, features, mining, samplers, stats, windows
 from tracelode.plans import sql as S
 from tracelode.plans.catalogue import (
     BASE, CLEAN, DAY, HOUR, LIFT, NEWTON, ORACLES, REPLAYED, YEK, bars, bh, ceiling_sql, history, kept_windows, order_stream, query, r6, relabel_sql, stream, subjects,
 )
+from tracelode.sources import formats
 from tracelode.sources import tables as T
 from tracelode.sources.shared import written
 
@@ -152,6 +153,44 @@ def transfer_metrics(spark, d):
     return r6(alarms.metrics(*alarms.judged(alarms.raised(there, codes, DAY), outages)), "median_lead_min", "precision", "recall")
 
 
+CHAIN_HALVES = f"halves as (select entity_id, row_number() over (order by {S.draw('entity_id', '11')}, entity_id) <= floor(0.5 * count(*) over ()) as discovery from (select distinct entity_id from short))"
+
+
+@query("degradation_chains", f"""with {S.windows(5)}, placed as (select *, lag(item) over (partition by entity_id, anchor, is_failure order by us, ordinal) as before from found),
+  short as (select entity_id, anchor, is_failure, list(item order by us, ordinal) as items, list(us order by us, ordinal) as times from placed where before is null or before <> item group by 1, 2, 3), {CHAIN_HALVES},
+  w as (select row_number() over () as id, * from short join halves using (entity_id)), masks as (select *, unnest(range(1, cast(1 << len(items) as bigint))) as mask from w),
+  laid as (select *, list_filter(range(1, len(items) + 1), lambda i: (mask >> (i - 1)) & 1 = 1) as spot from masks), named as (select *, list_transform(spot, lambda i: items[i]) as chain from laid where len(spot) between 3 and 4),
+  held as (select id, anchor, is_failure, discovery, chain, any_value(times) as times, min(spot) as spot from named where len(list_distinct(chain)) = len(chain) group by 1, 2, 3, 4, 5),
+  sizes as (select discovery, count(*) filter (where is_failure) as all_failure, count(*) filter (where not is_failure) as all_control from w group by 1),
+  picked as (select chain from held join sizes using (discovery) where discovery group by chain, all_failure, all_control having count(*) filter (where is_failure) > 0 and count(*) filter (where is_failure) >= 5e-3 * all_failure and count(*) filter (where not is_failure) <= 5e-2 * all_control),
+  per as (select chain, chain[len(chain)] as last_item, count(*) filter (where is_failure) as n_failure, count(*) filter (where not is_failure) as n_control, quantile_cont((times[spot[len(spot)]] - times[spot[1]]) / 6e7, 0.5) filter (where is_failure) as span, quantile_cont((anchor - times[spot[len(spot)]]) / 6e7, 0.5) filter (where is_failure) as lead_ from held join picked using (chain) where not discovery group by 1, 2),
+  alone as (select id, anchor, is_failure, item, max(us) as us from (select id, anchor, is_failure, unnest(items) as item, unnest(times) as us from w where not discovery) group by 1, 2, 3, 4),
+  ends as (select item as last_item, count(*) filter (where not is_failure) as last_controls, quantile_cont((anchor - us) / 6e7, 0.5) filter (where is_failure) as last_lead from alone group by 1),
+  tested as (select *, {S.tail()} as p from per join ends using (last_item), (select all_failure, all_control from sizes where not discovery) where n_failure > 0), {bh()}, both_ as (select *, least(1.0, {YEK} * min(p * m / k) over (order by p range between current row and unbounded following)) as q_by from q)
+  select array_to_string(chain, '|') as chain, n_failure, n_control, round({LIFT}, 6) as lift, round(span, 3) as median_span_min, round(lead_, 3) as median_lead_min, last_controls, round(last_lead, 3) as last_lead_min, n_control < last_controls or lead_ > last_lead + 5 as incremental, round(p, 6) as p, round(q, 6) as q, round(q_by, 6) as q_by from both_""")
+def degradation_chains(spark, d):
+    """Chains found on one half of the entities, scored on the other. The test tables hold no such signal: shares of 0.005
+    of the failures and 0.05 of the controls stand for the operator's 0.05 and 0.02."""
+    s = stream(spark, d)
+    rows = windows.last_seqs(history(spark, d).select("entity_id", "us", "ordinal", "item"), windows.anchors_of(s, T.FAILURE, CLEAN), 5)
+    rows = rows.withColumn("window_id", F.concat_ws("/", F.col("entity_id").cast("string"), F.col("anchor").cast("string"), F.col("is_failure").cast("int").cast("string")))
+    halves = written(stats.split(written(chains.merged(rows), "chains"), 11), "halves")
+    picked = written(chains.candidates(halves.where("discovery"), 0.005, 0.05), "picked")
+    scored = chains.scores(halves.where("not discovery"), picked)
+    out = scored.select(F.array_join("chain", "|").alias("chain"), "n_failure", "n_control", "lift", F.round("median_span_min", 3).alias("median_span_min"), F.round("median_lead_min", 3).alias("median_lead_min"), "last_controls", F.round("last_lead_min", 3).alias("last_lead_min"), "incremental", "p", "q", "q_by")
+    return r6(out, "lift", "p", "q", "q_by")
+
+
+@query("readout_events", """with s as (select o_custkey as entity_id, o_orderkey as time_step, abs(o_totalprice - lag(o_totalprice) over (partition by o_custkey order by o_orderkey)) as step from orders), q as (select entity_id, quantile_cont(step, 0.9) as q from s where step is not null group by 1)
+  select entity_id, time_step, 'counter_surprise' as event_type, 'price' as event_subtype from s join q using (entity_id) where step > q
+  union all select o_custkey, max(o_orderkey), 'terminal_repair', 'repair' from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'MACHINERY') group by 1""")
+def readout_events(spark, d):
+    """Orders as readouts of their customers' one counter, customers of one segment as those repaired."""
+    readouts = T.table(spark, d, "orders").select(F.col("o_custkey").alias("vehicle_id"), F.col("o_orderkey").alias("time_step"), F.col("o_totalprice").alias("price"))
+    survival = T.table(spark, d, "customer").select(F.col("c_custkey").alias("vehicle_id"), (F.col("c_mktsegment") == "MACHINERY").cast("int").alias("in_study_repair"))
+    return formats.counter_steps(readouts, survival)
+
+
 @query("feature_itemsets", f"{BASE}, ranked as (select itemset, row_number() over (order by n_failure desc, array_to_string(itemset, '|')) as k from frequent) select window_id, string_agg(case when list_has_all(item_set, itemset) then '1' else '0' end, '' order by k) as features from win, ranked group by 1")
 def feature_itemsets(spark, d):
     """A presence matrix of mined itemsets, the most frequent first."""

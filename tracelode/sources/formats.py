@@ -9,6 +9,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelode.operators.features import surprises
 from tracelode.operators.ordered import ranked
 
 #: The closed vocabulary of event types.
@@ -93,6 +94,16 @@ def scada(spark: SparkSession, path: str, columns: list[str], time: str = "# Dat
     return rows.select(F.to_timestamp(F.col(f"`{time}`")).alias("timestamp"), *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).orderBy("timestamp")
 
 
+def counter_tables(spark: SparkSession, readouts: str, survival: str) -> dict[str, DataFrame]:
+    """Two CSV files with headers: readouts (vehicle_id, time_step and the counters, which only the header names) and
+    survival (vehicle_id, length_of_study_time_step, in_study_repair)."""
+    named_ = spark.read.option("header", True).csv(readouts).columns
+    kinds = {"vehicle_id": "long"}
+    schema = ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in named_)
+    reader = spark.read.option("header", True)
+    return {"readouts": reader.schema(schema).csv(readouts), "survival": reader.schema("vehicle_id long, length_of_study_time_step double, in_study_repair int").csv(survival)}
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
@@ -209,3 +220,21 @@ def threshold_events(hours: DataFrame, rules: list[tuple[str, str, float]] | Non
     events = hours.select("patient", patient_time().alias("time"), F.explode(F.array_compact(F.array(*held))).alias("e")).select("patient", "time", "e.event_type", "e.event_subtype")
     first = hours.where("label = 1").groupBy("patient").agg(F.min("hour").alias("hour")).select("patient", patient_time().alias("time"), F.lit("terminal_failure").alias("event_type"), F.lit("sepsis").alias("event_subtype"))
     return canonical(events.unionByName(first), "patient", "time")
+
+
+def counter_steps(readouts: DataFrame, survival: DataFrame) -> DataFrame:
+    """(entity_id, time_step, event_type, event_subtype): a surprise where a counter's step is above the vehicle's own 0.9
+    quantile, and a repair at the last readout of each vehicle that survival says was repaired."""
+    counters = [f"`{c}`" for c in readouts.columns if c not in ("vehicle_id", "time_step")]
+    rows = readouts.select(F.col("vehicle_id").alias("entity_id"), F.col("time_step").alias("us"), F.lit(0).alias("ordinal"), *[F.col(c).cast("double").alias(c.strip("`")) for c in counters])
+    found = surprises(rows, counters).select("entity_id", F.col("us").alias("time_step"), F.lit("counter_surprise").alias("event_type"), F.col("channel").alias("event_subtype"))
+    repaired = survival.where("in_study_repair = 1").select(F.col("vehicle_id").alias("entity_id")).distinct()
+    last = readouts.groupBy(F.col("vehicle_id").alias("entity_id")).agg(F.max("time_step").alias("time_step"))
+    ends = last.join(repaired, "entity_id", "left_semi").select("entity_id", "time_step", F.lit("terminal_repair").alias("event_type"), F.lit("repair").alias("event_subtype"))
+    return found.unionByName(ends)
+
+
+def counter_events(tables: dict[str, DataFrame], epoch: str = "2019-01-01") -> DataFrame:
+    """counter_steps as canonical events; a time step is a day."""
+    seconds = F.unix_timestamp(F.lit(epoch), "yyyy-MM-dd") + F.col("time_step") * 86_400
+    return canonical(counter_steps(**tables).withColumn("timestamp", F.timestamp_seconds(seconds)), "entity_id", "timestamp")
