@@ -465,7 +465,7 @@ ERFC = "(list_sum(list_transform(range(0, 4001), lambda i: (case when i = 0 or i
 
 @query("cond_logit", f"""with recursive rich as (select o_custkey as entity_id, case when avg(o_totalprice) > 250000 then 1 else 0 end as x from orders group by 1), sets as (select match_id, is_case, coalesce(x, 0) as x from ({RISKSET}) left join rich using (entity_id)),
   strata as (select 'large_orders' as pattern, match_id, count(*) as n, sum(x) as t, max(is_case * x) as x from sets group by match_id), {NEWTON}
-  select pattern, strata, cast(observed as bigint) as observed, round(exp(beta), 6) as hazard_ratio, round(exp(beta - 1.96 * se), 6) as hr_low, round(exp(beta + 1.96 * se), 6) as hr_high, round({ERFC.format('(abs(beta / se) / 1.4142135623730951)')}, 6) as p from fitted join seen using (pattern)""")
+  select pattern, cast(strata as bigint) as strata, cast(observed as bigint) as observed, round(exp(beta), 6) as hazard_ratio, round(exp(beta - 1.96 * se), 6) as hr_low, round(exp(beta + 1.96 * se), 6) as hr_high, round({ERFC.format('(abs(beta / se) / 1.4142135623730951)')}, 6) as p from fitted join seen using (pattern)""")
 def cond_logit(spark, d):
     """Matched sets of customers; the covariate is a large balance of orders."""
     rich = T.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("entity_id")).agg((F.avg("o_totalprice") > 250_000).cast("int").alias("x"))

@@ -96,7 +96,7 @@ def riskset_signatures(spark, d):
 @query("matched_hazard_split", f"""with recursive {RISK}, halves as (select match_id, row_number() over (order by {S.draw('match_id', '11')}, match_id) <= floor(0.5 * count(*) over ()) as discovery from (select distinct match_id from win)),
   {S.ITEMSETS.replace('from win', 'from (select * from win join halves using (match_id) where discovery)')}, best as (select itemset from frequent order by n_failure desc, itemset limit 200), other as (select * from win join halves using (match_id) where not discovery),
   total as (select match_id, count(*) as n from other group by 1), strata as (select array_to_string(itemset, '|') as pattern, match_id, n, count(*) as t, max(cast(is_failure as int)) as x from best join other on list_has_all(item_set, itemset) join total using (match_id) group by 1, 2, 3), {NEWTON}
-  select pattern, strata, cast(observed as bigint) as observed, round(exp(beta), 5) as hazard_ratio from fitted join seen using (pattern) where se is not null""")
+  select pattern, cast(strata as bigint) as strata, cast(observed as bigint) as observed, round(exp(beta), 5) as hazard_ratio from fitted join seen using (pattern) where se is not null""")
 def matched_hazard_split(spark, d):
     return samplers.matched_split(risk_windows(spark, d)).select("pattern", "strata", "observed", F.round("hazard_ratio", 5).alias("hazard_ratio"))
 
