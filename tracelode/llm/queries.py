@@ -76,6 +76,12 @@ def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
 
 
+def op11_merkle_butterfly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelode.llm.manifest import manifest
+
+    return manifest(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,9 +100,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_signature_sniffing": op8_signature_sniffing,
         "op9_merge_counts": op9_merge_counts,
         "op10_suffix_automaton": op10_suffix_automaton,
+        "op11_merkle_butterfly": op11_merkle_butterfly,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tracelode.llm import oracles
+
+    return {"op11_merkle_butterfly": oracles.manifest()}
