@@ -82,6 +82,18 @@ def op11_merkle_butterfly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(documents(spark, sf_dir))
 
 
+def op12_diagonal_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelode.llm.licenses import scanned
+
+    return scanned(documents(spark, sf_dir))
+
+
+def op13_rollup_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelode.llm.collocations import mined
+
+    return mined(documents(spark, sf_dir), least=30, top=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,6 +113,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_merge_counts": op9_merge_counts,
         "op10_suffix_automaton": op10_suffix_automaton,
         "op11_merkle_butterfly": op11_merkle_butterfly,
+        "op12_diagonal_votes": op12_diagonal_votes,
+        "op13_rollup_phrases": op13_rollup_phrases,
         "pipeline": pipeline,
     }
 
@@ -108,4 +122,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from tracelode.llm import oracles
 
-    return {"op11_merkle_butterfly": oracles.manifest()}
+    return {
+        "op11_merkle_butterfly": oracles.manifest(),
+        "op12_diagonal_votes": oracles.licenses(),
+        "op13_rollup_phrases": oracles.collocations(),
+    }
