@@ -55,8 +55,7 @@ def rows():
 
 @pytest.mark.parametrize(("flush", "kept", "bits"), [(1 << 21, 1 << 19, 1 << 26), (50, 5, 1 << 15)])
 def test_brute_force(spark, rows, monkeypatch, flush, kept, bits):
-    """Constants of a module reach the workers through its functions' closures only, so sizes are given to the parts
-    here, too."""
+    """BITS reaches the workers with the function that reads it; small parts are met in the next test."""
     for name, value in (("FLUSH", flush), ("KEPT", kept), ("BITS", bits)):
         monkeypatch.setattr(collocations, name, value)
     assert got(spark, rows, least=12, top=40) == brute(rows, 12, 40)
