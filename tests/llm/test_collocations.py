@@ -53,7 +53,7 @@ def rows():
     return [*rows, ("en", None), (None, ""), ("fr", " .\n"), ("en", "the of " * 40_000), ("de", "once only")] + [("en", "exact copy of this very text")] * 30
 
 
-@pytest.mark.parametrize(("flush", "kept", "bits"), [(1 << 21, 1 << 19, 1 << 26), (50, 5, 1 << 15)])
+@pytest.mark.parametrize(("flush", "kept", "bits"), [(1 << 19, 1 << 18, 1 << 26), (50, 5, 1 << 15)])
 def test_brute_force(spark, rows, monkeypatch, flush, kept, bits):
     """BITS reaches the workers with the function that reads it; small parts are met in the next test."""
     for name, value in (("FLUSH", flush), ("KEPT", kept), ("BITS", bits)):
@@ -70,7 +70,8 @@ def test_parts_and_meeting_hashes(monkeypatch):
     texts = ["a b c d e. f", "b c d e", "", "a\tb"]
     batch = pa.record_batch({"lang": ["en"] * 4, "text": texts})
     total = Counter()
-    monkeypatch.setattr(collocations, "FLUSH", 1)
+    monkeypatch.setattr(collocations, "FLUSH", 3)
+    monkeypatch.setattr(collocations, "SLICE", 4)
     for lexicon, codes in collocations.sequences(iter([batch])):
         for b in collocations.tallied(lexicon, collocations.leads(codes)):
             for r in b.to_pylist():

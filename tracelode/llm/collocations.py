@@ -36,25 +36,27 @@ from tracelode.llm.common import in_slices, written
 ORDER = 4
 NAMES = [f"w{i + 1}" for i in range(ORDER)]
 #: What ends a piece, and what stands between words.
-ENDS, BLANKS = ".,;:!?\n\x0b\x0c\r", "\t"
-SPREAD = str.maketrans({c: c.lower() for c in string.ascii_uppercase} | dict.fromkeys(ENDS, " \n ") | dict.fromkeys(BLANKS, " "))
+ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b"\t "
+FLAT = bytes.maketrans(string.ascii_uppercase.encode() + ENDS + BLANKS, string.ascii_lowercase.encode() + b"\n" * len(ENDS) + b" " * len(BLANKS))
 #: Words counted at once by a task, distinct words it keeps, bits of the bitmap, buckets of a language's ranks.
-FLUSH, KEPT, BITS, BUCKETS = 1 << 21, 1 << 19, 1 << 26, 64
+FLUSH, KEPT, BITS, BUCKETS = 1 << 19, 1 << 18, 1 << 26, 64
+#: Bytes of text that become words at once.
+SLICE = 1 << 20
 GAP, NOTHING = 0, -1
 
 
 class Codes(dict):
-    """Numbers of a language's words, from a list shared by all languages of a task."""
+    """Numbers of a language's words (as UTF-8), from a list shared by all languages of a task."""
 
     def __init__(self, lang: str, words: list, langs: list, hashes: list):
-        super().__init__({"": NOTHING, "\n": GAP})
-        self.lang, self.words, self.langs, self.hashes = lang, words, langs, hashes
+        super().__init__({b"": NOTHING, b"\n": GAP})
+        self.lang, self.head, self.words, self.langs, self.hashes = lang, f"{lang}\n".encode(), words, langs, hashes
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         code = self[word] = len(self.words)
         self.words.append(word)
         self.langs.append(self.lang)
-        self.hashes.append(xxhash.xxh64_intdigest(f"{self.lang}\n{word}".encode()))
+        self.hashes.append(xxhash.xxh64_intdigest(self.head + word))
         return code
 
 
@@ -67,15 +69,27 @@ class Lexicon:
     def codes(self, lang: str, texts: list[str]) -> np.ndarray:
         """The texts' words as numbers, with gaps between pieces and at the end."""
         by = self.by.setdefault(lang, Codes(lang, self.words, self.langs, self.hashes))
-        tokens = "\n".join(texts).translate(SPREAD).split(" ")
-        codes = np.fromiter(map(by.__getitem__, tokens), np.int64, len(tokens))
-        return np.append(codes[codes != NOTHING], [GAP] * ORDER)
+        data, parts, begin = "\n".join(texts).encode().translate(FLAT).replace(b"\n", b" \n "), [], 0
+        while begin >= 0:
+            end = data.find(b" ", begin + SLICE)  # a long text's words, some at a time
+            tokens = data[begin : None if end < 0 else end].split(b" ")
+            codes = np.fromiter(map(by.__getitem__, tokens), np.int64, len(tokens))
+            parts.append(codes[codes != NOTHING])
+            begin = end
+        return np.concatenate([*parts, [GAP] * ORDER])
 
 
 def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Lexicon, np.ndarray]]:
-    """Numbers of about FLUSH words at a time, with the lexicon that they refer to."""
+    """Numbers of the words of about FLUSH places at a time, with the lexicon that they refer to. What is yielded ends
+    with the ORDER - 1 words that lead its last place, or with gaps."""
     lexicon, held, size = Lexicon(), [], 0
-    for part, texts in in_slices(batches):
+
+    def parts() -> Iterator[tuple[Lexicon, np.ndarray]]:
+        whole = np.concatenate(held)
+        for i in range(0, len(whole) - ORDER + 1, FLUSH):
+            yield lexicon, whole[i : i + FLUSH + ORDER - 1]
+
+    for part, texts in in_slices(batches, chars=SLICE):
         by_lang: dict[str, list[str]] = {}
         for lang, text in zip(part.column(part.schema.get_field_index("lang")).to_pylist(), texts, strict=True):
             by_lang.setdefault(lang, []).append(text)
@@ -83,12 +97,12 @@ def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Lexicon, np.n
             held.append(lexicon.codes(lang, some))
             size += len(held[-1])
         if size >= FLUSH:
-            yield lexicon, np.concatenate(held)
+            yield from parts()
             held, size = [], 0
             if len(lexicon.words) > KEPT:
                 lexicon = Lexicon()
     if held:
-        yield lexicon, np.concatenate(held)
+        yield from parts()
 
 
 def leads(codes: np.ndarray) -> list[np.ndarray]:
@@ -129,17 +143,17 @@ def frequent_pairs(texts: DataFrame, least: int) -> bytes:
 
 
 def tallied(lexicon: Lexicon, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The different windows with their counts. Numbers are below 2 ** 21, so two of them and the number of a pair fit
-    into 64 bits."""
-    shift = np.int64(21)
-    heads, pair = np.unique(columns[0] << shift | columns[1], return_inverse=True)
-    keys, n = np.unique(pair.astype(np.uint64) << np.uint64(42) | (columns[2] << shift | columns[3]).astype(np.uint64), return_counts=True)
-    head, tail, mask = heads[(keys >> np.uint64(42)).astype(np.int64)], (keys & np.uint64((1 << 42) - 1)).astype(np.int64), (1 << 21) - 1
-    words, langs = pa.array(lexicon.words, pa.string()), pa.array(lexicon.langs, pa.string())
+    """The different windows with their counts: pairs of words are numbered, then pairs of those."""
+    shift, mask = np.int64(31), (1 << 31) - 1
+    heads, first = np.unique(columns[0] << shift | columns[1], return_inverse=True)
+    tails, then = np.unique(columns[2] << shift | columns[3], return_inverse=True)
+    keys, n = np.unique(first << shift | then, return_counts=True)
+    words, langs = pa.array(lexicon.words, pa.binary()), pa.array(lexicon.langs, pa.string())
     for i in range(0, len(keys), 50_000):
-        h, t = head[i : i + 50_000], tail[i : i + 50_000]
+        own = keys[i : i + 50_000]
+        h, t = heads[own >> shift], tails[own & mask]
         codes = [h >> shift, h & mask, t >> shift, t & mask]
-        yield pa.record_batch({"lang": langs.take(pa.array(codes[0])), **{w: words.take(pa.array(c)) for w, c in zip(NAMES, codes, strict=True)}, "n": n[i : i + 50_000].astype(np.int64)})
+        yield pa.record_batch({"lang": langs.take(pa.array(codes[0])), **{w: words.take(pa.array(c)).cast(pa.string()) for w, c in zip(NAMES, codes, strict=True)}, "n": n[i : i + 50_000].astype(np.int64)})
 
 
 def windows(texts: DataFrame, least: int) -> DataFrame:
