@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.functions.columns import draw
@@ -23,6 +27,19 @@ def entity_split(windows: DataFrame, share: float = 0.7, seed: int = 0) -> DataF
     return windows.join(placed.crossJoin(F.broadcast(number)).select("entity_id", (F.col("place") <= F.col("k")).alias("train")), "entity_id")
 
 
+def entity_splits(rows: DataFrame, seeds: int, share: float = 0.7) -> DataFrame:
+    """(entity_id, seed, train) of several splits by entity at once, each in the order of its own draws.
+
+    Places come from counts per leading bits of the draw, so that no split is sorted in one task."""
+    each = rows.select("entity_id").distinct().withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    placed = each.withColumn("d", draw("entity_id", "seed")).withColumn("b", F.shiftright("d", 20))
+    sizes = placed.groupBy("seed", "b").agg(F.count("*").alias("n"))
+    before = running(sizes, ["seed"], F.col("b"), {"before": F.col("n")}, inclusive=False).join(sizes.groupBy("seed").agg(F.floor(F.sum("n") * share).alias("k")), "seed")
+    inside = Window.partitionBy("seed", "b").orderBy("d", "entity_id")
+    halves = placed.withColumn("i", F.row_number().over(inside)).join(before.select("seed", "b", "before", "k"), ["seed", "b"])
+    return halves.select("entity_id", "seed", (F.col("before") + F.col("i") <= F.col("k")).alias("train"))
+
+
 def auroc(scored: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
     """The area under the ROC curve of label (0/1) and score, ties counting half, from counts per distinct score.
 
@@ -86,3 +103,76 @@ def bootstrap(scored: DataFrame, draws: int = 200) -> DataFrame:
     weighted = scored.join(placed, "entity_id").join(picks, "place")
     areas = auroc(weighted, "b", weight="times")
     return areas.agg(F.count("*").alias("draws"), F.percentile("auroc", 0.025).alias("low"), F.percentile("auroc", 0.975).alias("high"))
+
+
+def picks(entities: DataFrame, draws: int) -> DataFrame:
+    """entity_id and times: how often each of the draws picks the entity, when it picks as many as there are."""
+    placed = ranked(entities.select("entity_id").distinct(), [F.col("entity_id")])
+    number = placed.agg(F.count("*").alias("n"))  # one row
+    drawn = placed.crossJoin(F.broadcast(number)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("place", draw("b", "place") % F.col("n") + 1)
+    times = drawn.groupBy("place", "b").agg(F.count("*").alias("t")).groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("b", "t"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0).cast("long")))
+    return placed.join(times, "place").select("entity_id", dense.alias("times"))
+
+
+def drawn_areas(scored: DataFrame, draws: int) -> DataFrame:
+    """(model, b, auroc): the area of every model in each bootstrap draw over entities; b is 0 for the scores as they are.
+
+    scored: model, entity_id, label, score. Scores are counted per entity and score, weighed by the entity's picks in all
+    draws at once (an array), and sorted once for all draws. A run of ascending scores is a state of three numbers per
+    draw: positives, negatives, and the area so far; runs of range partitions are joined in their order. Draws without
+    both classes give null. All models see the same picks, so their differences are paired."""
+    counted = scored.groupBy("model", "entity_id", "score").agg(F.sum("label").cast("double").alias("pos"), F.sum(1 - F.col("label")).cast("double").alias("neg"))
+    weighted = counted.join(picks(scored, draws), "entity_id", "left").select("model", "score", "pos", "neg", F.coalesce("times", F.array_repeat(F.lit(0).cast("long"), draws)).alias("times"))
+    ordered = weighted.repartitionByRange("model", "score").sortWithinPartitions("model", "score").withColumn("part", F.spark_partition_id())
+    state = "model string, part int, pos array<double>, neg array<double>, area array<double>"
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, key, tie, part = {}, None, None, 0
+        for batch in batches:
+            part = batch.column("part")[0].as_py()
+            times = np.column_stack([np.ones(batch.num_rows), batch.column("times").flatten().to_numpy().reshape(batch.num_rows, draws)])
+            pos, neg = times * batch.column("pos").to_numpy()[:, None], times * batch.column("neg").to_numpy()[:, None]
+            for i, own in enumerate(zip(batch.column("model").to_pylist(), batch.column("score").to_pylist(), strict=True)):
+                if own != key:
+                    if key is not None:
+                        totals[key[0]] = run_of(totals.get(key[0]), tied(tie))
+                    key, tie = own, [pos[i], neg[i]]
+                else:
+                    tie = [tie[0] + pos[i], tie[1] + neg[i]]
+        if key is not None:
+            totals[key[0]] = run_of(totals.get(key[0]), tied(tie))
+        for model, (p, n, a) in totals.items():
+            yield pa.record_batch({"model": [model], "part": pa.array([part], pa.int32()), "pos": [p.tolist()], "neg": [n.tolist()], "area": [a.tolist()]})
+
+    def joined(t: pa.Table) -> pa.Table:  # a row per range partition
+        whole = None
+        for r in t.sort_by("part").to_pylist():
+            whole = run_of(whole, tuple(np.array(r[k]) for k in ("pos", "neg", "area")))
+        p, n, a = whole
+        both = p * n
+        areas = [x / y if y > 0 else None for x, y in zip(a.tolist(), both.tolist(), strict=True)]
+        return pa.table({"model": pa.array([t["model"][0].as_py()] * (draws + 1), pa.string()), "b": pa.array(range(draws + 1), pa.int32()), "auroc": pa.array(areas, pa.float64())})
+
+    return ordered.mapInArrow(runs, state).groupBy("model").applyInArrow(joined, "model string, b int, auroc double")
+
+
+def tied(tie: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The state of rows with one score: ties count half."""
+    return tie[0], tie[1], tie[0] * tie[1] / 2
+
+
+def run_of(low: tuple | None, high: tuple) -> tuple:
+    """Two states of ascending runs as one."""
+    return high if low is None else (low[0] + high[0], low[1] + high[1], low[2] + high[2] + low[1] * high[0])
+
+
+def paired_intervals(areas: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
+    """name, value, low, high and draws of (name, model, other) in pairs: the area of a model, less that of the other in
+    the same draw where there is one ('' for none), with the percentiles 2.5 and 97.5 over draws that have both classes."""
+    wanted = areas.sparkSession.createDataFrame(pairs, "name string, model string, other string")
+    one = F.broadcast(wanted).join(areas, "model")
+    less = areas.select(F.col("model").alias("other"), "b", F.col("auroc").alias("base"))
+    both = one.join(less, ["other", "b"], "left").withColumn("v", F.when(F.col("other") == "", F.col("auroc")).otherwise(F.col("auroc") - F.col("base")))
+    own = F.when(F.col("b") > 0, F.col("v"))
+    return both.groupBy("name").agg(F.max(F.when(F.col("b") == 0, F.col("v"))).alias("value"), F.percentile(own, 0.025).alias("low"), F.percentile(own, 0.975).alias("high"), F.count(own).alias("draws"))

@@ -198,7 +198,7 @@ def order_effect(windows: DataFrame, patterns: DataFrame, shuffles: int = 5, top
     hits = mixed.join(F.broadcast(best), holds_in_order(F.col("items"), F.col("sequence")))
     counts = hits.groupBy("copy", "sequence").agg(F.count_if("is_failure").alias("n_failure"), F.count_if(~F.col("is_failure")).alias("n_control"))
     lifts = with_scores(counts.crossJoin(F.broadcast(class_sizes(windows)))).groupBy("sequence").agg((F.sum("lift_failure") / shuffles).alias("shuffled_lift"))
-    return best.join(lifts, "sequence", "left").select("sequence", "real_lift", F.coalesce("shuffled_lift", F.lit(0.0)).alias("shuffled_lift"), (F.col("real_lift") - F.coalesce("shuffled_lift", F.lit(0.0))).alias("order_effect"))
+    return best.join(lifts, "sequence", "left").select("sequence", "real_lift", F.coalesce("shuffled_lift", F.lit(0.0)).alias("shuffled_lift"), F.nullif(F.col("real_lift") - F.coalesce("shuffled_lift", F.lit(0.0)), F.lit(0.0)).alias("order_effect")).fillna(0.0, ["order_effect"])
 
 
 def precursors(stream: DataFrame, kind: str, horizon: int, least: int = 5, factor: float = 3.0, items: Column | None = None) -> DataFrame:

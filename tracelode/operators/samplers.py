@@ -7,9 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelode.functions.columns import draw, item_set
-from tracelode.operators import mining, stats, windows
-from tracelode.operators.ordered import running
+from tracelode.functions.columns import item_set
+from tracelode.operators import evaluation, mining, stats, windows
 from tracelode.sources.shared import written
 
 HOUR = windows.HOUR
@@ -124,13 +123,7 @@ def split_tests(rows: DataFrame, seeds: int = 20, min_support: float = 0.05) ->
 
     One mining serves all splits: what is frequent in a half is frequent enough in all windows. Windows are counted by
     (seed, half, set of items) before any pattern is looked at."""
-    each = rows.select("entity_id").distinct().withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    placed = each.withColumn("d", draw("entity_id", "seed")).withColumn("b", F.shiftright("d", 20))
-    sizes = placed.groupBy("seed", "b").agg(F.count("*").alias("n"))
-    before = running(sizes, ["seed"], F.col("b"), {"before": F.col("n")}, inclusive=False).join(sizes.groupBy("seed").agg(F.floor(F.sum("n") * 0.5).alias("k")), "seed")
-    inside = Window.partitionBy("seed", "b").orderBy("d", "entity_id")
-    halves = placed.withColumn("i", F.row_number().over(inside)).join(before.select("seed", "b", "before", "k"), ["seed", "b"])
-    halves = halves.select("entity_id", "seed", (F.col("before") + F.col("i") <= F.col("k")).alias("discovery"))
+    halves = evaluation.entity_splits(rows, seeds, 0.5).withColumnRenamed("train", "discovery")
     counts = rows.groupBy("entity_id", "item_set").agg(F.count_if("is_failure").alias("f"), F.count_if(~F.col("is_failure")).alias("c")).join(halves, "entity_id")
     counts = written(counts.groupBy("seed", "discovery", "item_set").agg(F.sum("f").alias("f"), F.sum("c").alias("c")), "halves")
     size = written(counts.groupBy("seed", "discovery").agg(F.sum("f").alias("all_failure"), F.sum("c").alias("all_control")), "sizes")

@@ -290,7 +290,7 @@ def subseq_dominance(spark, d):
   held as (select distinct copy, window_id, is_failure, list_transform(list_filter(range(1, len(items) + 1), lambda i: (mask >> (i - 1)) & 1 = 1), lambda i: items[i]) as sequence from parts),
   hits as (select copy, sequence, count(*) filter (where is_failure) as n_failure, count(*) filter (where not is_failure) as n_control from held join (select sequence from best) using (sequence) group by 1, 2),
   lifts as (select sequence, sum({LIFT}) / 30 as s from hits, sizes group by 1)
-  select array_to_string(sequence, '|') as sequence, round(real_lift, 6) as real_lift, round(coalesce(s, 0), 6) as shuffled_lift, round(real_lift - coalesce(s, 0), 6) as order_effect from best left join lifts using (sequence)""")
+  select array_to_string(sequence, '|') as sequence, round(real_lift, 6) as real_lift, round(coalesce(s, 0), 6) as shuffled_lift, round(case when real_lift = coalesce(s, 0) then 0 else real_lift - coalesce(s, 0) end, 6) as order_effect from best left join lifts using (sequence)""")
 def count_preserving(spark, d):
     w = kept_windows(spark, d)
     return r6(mining.order_effect(w, sequence_scores(w), shuffles=30, top=30).withColumn("sequence", F.array_join("sequence", "|")), "real_lift", "shuffled_lift", "order_effect")
@@ -811,20 +811,6 @@ def ps_survivors(spark, d):
     return r6(rows.select(bars("sequence"), "sequence_length", "n_failure", "n_control", "lift_failure", "order_gain", "shuffled_ceiling", "survives"), "lift_failure", "order_gain", "shuffled_ceiling")
 
 
-@query("order_value_assay")
-def order_value_assay(spark, d):
-    """What order adds: AUROC of precedence features on real windows less that on shuffled ones, over splits by entity."""
-    w = kept_windows(spark, d).withColumn("label", F.col("is_failure").cast("int"))
-    words, scored = features.vocabulary(w, 20), None
-    for seed in range(8):
-        split = written(evaluation.entity_split(w, seed=seed).select("window_id", "label", "items", "train"), "split")
-        for kind, rows in (("real", split), ("shuffled", mining.shuffled(split, seed))):
-            one = judged_by_model(features.precedence(rows, words), kind, balanced=True, split=seed, kind=kind)
-            scored = one if scored is None else scored.unionByName(one)
-    areas = evaluation.auroc(scored, "split", "kind").groupBy("split").pivot("kind", ["real", "shuffled"]).agg(F.first("auroc"))
-    return r6(areas.withColumn("order_value", F.col("real") - F.col("shuffled")), "real", "shuffled", "order_value")
-
-
 @query("alarm_leave_one_out", f"""with recursive {S.EV}, marked as (select entity_id, item, us, case when exists (select 1 from ev f where f.entity_id = e.entity_id and f.event_type = 'error' and f.us > e.us and f.us <= e.us + {DAY}) then 1 else 0 end as hit from ev e where event_type <> 'error'),
   own as (select entity_id, item, count(*) as f, sum(hit) as h from marked group by 1, 2), items as (select item, sum(f) as tf, sum(h) as th from own group by 1), ents as (select entity_id, sum(f) as ef, sum(h) as eh from own group by 1), every as (select sum(f) as af, sum(h) as ah from own),
   codes as (select entity_id, item from own join items using (item) join ents using (entity_id), every where tf - f >= 5 and (th - h) / (tf - f) >= (ah - eh) / (af - ef)),
@@ -970,4 +956,4 @@ def signatures_last5(spark, d):
     return r6(rows.select(bars("itemset"), "n_failure", "n_control", "lift_failure", "p", "q"), "lift_failure", "p", "q").orderBy(F.desc("lift_failure"), "itemset")
 
 
-from tracelode.plans import studies  # noqa: E402, F401  (adds its queries)
+from tracelode.plans import assays, studies  # noqa: E402, F401  (add their queries)
