@@ -1,4 +1,4 @@
-"""Phrases against plain loops, with small parts and a bitmap so small that hashes meet."""
+"""Phrases against plain loops, with hot pairs and small parts."""
 
 import random
 import re
@@ -53,17 +53,17 @@ def rows():
     return [*rows, ("en", None), (None, ""), ("fr", " .\n"), ("en", "the of " * 40_000), ("de", "once only")] + [("en", "exact copy of this very text")] * 30
 
 
-@pytest.mark.parametrize(("flush", "kept", "bits"), [(1 << 19, 1 << 18, 1 << 26), (50, 5, 1 << 15)])
-def test_brute_force(spark, rows, monkeypatch, flush, kept, bits):
-    """BITS reaches the workers with the function that reads it; small parts are met in the next test."""
-    for name, value in (("FLUSH", flush), ("KEPT", kept), ("BITS", bits)):
-        monkeypatch.setattr(collocations, name, value)
+@pytest.mark.parametrize(("hot", "salts"), [(256, 256), (10**9, 3), (1, 1)])
+def test_brute_force(spark, rows, monkeypatch, hot, salts):
+    """With all frequent pairs hot, and with none."""
+    monkeypatch.setattr(collocations, "HOT", hot)
+    monkeypatch.setattr(collocations, "SALTS", salts)
     assert got(spark, rows, least=12, top=40) == brute(rows, 12, 40)
     assert got(spark, rows, least=30, top=5) == brute(rows, 30, 5)
 
 
-def test_parts_and_meeting_hashes(monkeypatch):
-    """In one process: windows of small parts and a nearly full bitmap count as those of one part and an exact one."""
+def test_parts(monkeypatch):
+    """In one process: windows of small parts count as those of one part."""
     import numpy as np
     import pyarrow as pa
 
