@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,39 @@ def entity_splits(rows: DataFrame, seeds: int, share: float = 0.7) -> DataFrame:
     return halves.select("entity_id", "seed", (F.col("before") + F.col("i") <= F.col("k")).alias("train"))
 
 
+def unranked(index: int, n: int, k: int) -> list[bool]:
+    """Which of n places the combination of k of them has that stands at `index` (from 0) in the order of combinations."""
+    total, out = comb(n, k), []
+    for left in range(n, 0, -1):
+        with_ = total * k // left  # combinations that have this place
+        taken = index < with_
+        out.append(taken)
+        index, total, k = (index, with_, k - 1) if taken else (index - with_, total - with_, k)
+    return out
+
+
+def balanced_partitions(rows: DataFrame, most: int = 30, seed: int = 0) -> DataFrame:
+    """(entity_id, seed, discovery): all ways to take half of the entities (rounded down), or `most` different ones drawn
+    by hash where there are more. A way is one number; the driver holds `most` of them, and a task writes out a way's
+    places from its number."""
+    entities = ranked(rows.select("entity_id").distinct(), [F.col("entity_id")])
+    n = entities.count()
+    ways, chosen, i = comb(n, n // 2), {}, 0
+    while len(chosen) < min(most, ways):
+        number = i if ways <= most else int(md5(f"{i}|{seed}".encode()).hexdigest() * (1 + ways.bit_length() // 128), 16) % ways
+        chosen.setdefault(number, len(chosen))
+        i += 1
+    numbers = rows.sparkSession.createDataFrame([(place, str(number)) for number, place in chosen.items()], "seed int, number string")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, number in zip(batch.column("seed").to_pylist(), batch.column("number").to_pylist(), strict=True):
+                yield pa.record_batch({"seed": pa.array([place] * n, pa.int32()), "place": pa.array(range(1, n + 1), pa.int64()), "discovery": unranked(int(number), n, n // 2)})
+
+    spread = numbers.repartition(len(chosen) or 1, "seed").mapInArrow(places, "seed int, place long, discovery boolean")
+    return spread.join(entities, "place").select("entity_id", "seed", "discovery")
+
+
 def auroc(scored: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
     """The area under the ROC curve of label (0/1) and score, ties counting half, from counts per distinct score.
 

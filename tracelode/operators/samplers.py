@@ -117,13 +117,13 @@ def matched_split(rows: DataFrame, min_support: float = 0.05, top: int = 200, se
     return stats.with_q(stats.with_q(tested), dependent=True, name="q_by")
 
 
-def split_tests(rows: DataFrame, seeds: int = 20, min_support: float = 0.05) -> DataFrame:
+def split_tests(rows: DataFrame, seeds: int = 20, min_support: float = 0.05, halves: DataFrame | None = None) -> DataFrame:
     """(seed, itemset, n_failure, n_control, p, q) of the patterns that are frequent in the discovery half of each split
     by entity, tested on the other half with Benjamini-Yekutieli.
 
     One mining serves all splits: what is frequent in a half is frequent enough in all windows. Windows are counted by
-    (seed, half, set of items) before any pattern is looked at."""
-    halves = evaluation.entity_splits(rows, seeds, 0.5).withColumnRenamed("train", "discovery")
+    (seed, half, set of items) before any pattern is looked at. halves: entity_id, seed, discovery in place of drawn ones."""
+    halves = halves if halves is not None else evaluation.entity_splits(rows, seeds, 0.5).withColumnRenamed("train", "discovery")
     counts = rows.groupBy("entity_id", "item_set").agg(F.count_if("is_failure").alias("f"), F.count_if(~F.col("is_failure")).alias("c")).join(halves, "entity_id")
     counts = written(counts.groupBy("seed", "discovery", "item_set").agg(F.sum("f").alias("f"), F.sum("c").alias("c")), "halves")
     size = written(counts.groupBy("seed", "discovery").agg(F.sum("f").alias("all_failure"), F.sum("c").alias("all_control")), "sizes")
@@ -145,3 +145,19 @@ def stability(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
 def selection(tests: DataFrame, seeds: int = 20, alpha: float = 0.05) -> DataFrame:
     """Per pattern, in how many of the splits it was tested and the share of all in which it is significant."""
     return tests.groupBy("itemset").agg(F.count("*").alias("n_tested"), (F.count_if(F.col("q") < alpha) / seeds).alias("selection_frequency"))
+
+
+def partition_summary(tests: DataFrame, partitions: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Over the partitions (seed) in which a pattern was tested: how many there are, median and quartiles of the share of
+    significant patterns, and the mean Jaccard similarity of every two partitions' significant sets (1 for two empty ones).
+
+    Two sets meet through the patterns that both have; a pattern is in as many sets as there are partitions at most."""
+    shares = tests.groupBy("seed").agg(F.avg((F.col("q") < alpha).cast("double")).alias("share"), F.count_if(F.col("q") < alpha).alias("size"))
+    shares = written(shares.join(partitions.select("seed").distinct(), "seed", "left_semi"), "partition-shares")
+    found = tests.where(F.col("q") < alpha).select("seed", "itemset")
+    both = found.join(found.withColumnRenamed("seed", "other"), "itemset").where("seed < other").groupBy("seed", "other").agg(F.count("*").alias("shared"))
+    pairs = shares.select("seed", "size").join(shares.select(F.col("seed").alias("other"), F.col("size").alias("other_size")), F.col("seed") < F.col("other"))  # of some partitions
+    union = F.col("size") + F.col("other_size") - F.coalesce("shared", F.lit(0))
+    alike = pairs.join(both, ["seed", "other"], "left").agg(F.avg(F.when(union == 0, 1.0).otherwise(F.coalesce("shared", F.lit(0)) / union)).alias("mean_jaccard"))
+    quartiles = shares.agg(F.count("*").alias("n_splits"), F.percentile("share", [0.25, 0.5, 0.75]).alias("p"))
+    return quartiles.select("n_splits", F.col("p")[1].alias("median"), F.col("p")[0].alias("p25"), F.col("p")[2].alias("p75")).crossJoin(alike)  # one row each

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelode.operators import alarms, chains, features, mining, samplers, stats, windows
+from tracelode.operators import alarms, chains, closed, evaluation, features, mining, samplers, stats, windows
 from tracelode.plans import sql as S
 from tracelode.plans.catalogue import (
     BASE, CLEAN, DAY, HOUR, LIFT, NEWTON, ORACLES, REPLAYED, YEK, bars, bh, ceiling_sql, history, kept_windows, order_stream, query, r6, relabel_sql, stream, subjects,
@@ -141,6 +141,44 @@ def selection_frequency(spark, d):
     return r6(samplers.selection(samplers.split_tests(kept_windows(spark, d))).withColumn("itemset", F.array_join("itemset", "|")), "selection_frequency")
 
 
+#: Six groups of entities in place of six machines: all twenty ways to take three of them.
+MACHINES = SPLITS.replace(
+    f"ents as (select entity_id, unnest(range(0, 20)) as seed from (select distinct entity_id from win)),\n  halves as (select entity_id, seed, row_number() over (partition by seed order by {S.draw('entity_id', 'seed')}, entity_id) <= floor(0.5 * count(*) over (partition by seed)) as discovery from ents)",
+    "ways as (select m, row_number() over (order by m desc) - 1 as seed from range(0, 64) t(m) where bit_count(m) = 3), halves as (select entity_id, seed, (m >> (5 - entity_id % 6)) & 1 = 1 as discovery from (select distinct entity_id from win), ways)",
+)
+
+
+@query("partition_stability", f"""with {MACHINES}, per as (select seed, avg(case when q < 0.05 then 1.0 else 0 end) as share, count(*) filter (where q < 0.05) as size from q group by 1), sig as (select seed, itemset from q where q < 0.05),
+  shared as (select a.seed, b.seed as other, count(*) as shared from sig a join sig b on a.itemset = b.itemset and a.seed < b.seed group by 1, 2),
+  pairs as (select case when a.size + b.size = 0 then 1.0 else coalesce(shared, 0) / (a.size + b.size - coalesce(shared, 0)) end as j from per a join per b on a.seed < b.seed left join shared s on s.seed = a.seed and s.other = b.seed)
+  select (select count(*) from per) as n_splits, round((select quantile_cont(share, 0.5) from per), 6) as median, round((select quantile_cont(share, 0.25) from per), 6) as p25, round((select quantile_cont(share, 0.75) from per), 6) as p75, round((select avg(j) from pairs), 6) as mean_jaccard""")
+def partition_stability(spark, d):
+    """Significant shares and sets over all balanced partitions of six groups of entities."""
+    rows = kept_windows(spark, d).withColumn("entity_id", F.col("entity_id") % 6)
+    halves = written(evaluation.balanced_partitions(rows), "partitions")
+    return r6(samplers.partition_summary(samplers.split_tests(rows, halves=halves), halves), "median", "p25", "p75", "mean_jaccard")
+
+
+@query("closed_sequences_grown", ORACLES["closed_sequences"])
+def closed_sequences_grown(spark, d):
+    return closed.sequences(kept_windows(spark, d)).select(bars("sequence"), "n_failure")
+
+
+@query("closed_itemsets_last20", f"with {S.windows(20)}, {S.ITEMSETS.replace('0.05', '0.02')}, {CLOSED} select array_to_string(itemset, '|') as itemset, n_failure from closed")
+def closed_itemsets_last20(spark, d):
+    return closed.itemsets(kept_windows(spark, d, 20), 0.02).select(bars("itemset"), "n_failure")
+
+
+@query("closed_compression", f"select 'sequences' as kind, (select count(*) from ({ORACLES['ps_sequences']})) as n_all, (select count(*) from ({ORACLES['closed_sequences']})) as n_closed union all select 'itemsets', (select count(*) from ({ORACLES['fp_itemsets']})), (select count(*) from ({ORACLES['closed_itemsets']}))")
+def closed_compression(spark, d):
+    """How many frequent patterns there are, and how many of them are closed."""
+    w, out = kept_windows(spark, d), None
+    for kind, every, some in (("sequences", mining.sequences(w), closed.sequences(w)), ("itemsets", mining.itemsets(w), closed.itemsets(w))):
+        one = every.agg(F.count("*").alias("n_all")).crossJoin(some.agg(F.count("*").alias("n_closed"))).select(F.lit(kind).alias("kind"), "*")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("transfer_metrics", f"""with recursive {S.EV.replace('ev as (', 'whole as (', 1)}, farm as (select * from whole where entity_id % 2 = 0), ev as (select * from whole where entity_id % 2 = 1),
   marked as (select item, case when exists (select 1 from farm f where f.entity_id = e.entity_id and f.event_type = 'error' and f.us > e.us and f.us <= e.us + {DAY}) then 1 else 0 end as hit from farm e where event_type <> 'error'),
   codes as (select item from marked group by item having sum(hit) / count(*) >= (select avg(hit) from marked)), fired as (select distinct entity_id, us from ev where item in (select item from codes)),
