@@ -4,14 +4,16 @@ Every word opens one window: itself and the words that lead it, ORDER at most, p
 windows are counted; ROLLUP over their words then sums successively shorter prefixes, which are the counts of all
 shorter phrases, of words and of the language. Phrases of two, three and four words aren't exploded.
 
-Windows are dealt out by their first two words, so that a task has all windows of a pair and of a triple. Before the
-prefixes are summed, a window is cut where its prefix is rarer than `least`: no phrase from there on can be a candidate,
-and every part of a candidate is at least as frequent as the candidate. Only cut windows travel again.
+Before that, one pass counts adjacent pairs and triples by a 32-bit hash: a window is padded from its first pair or
+triple on that occurs less than `least` times, as no phrase across it can be a candidate. What passes is a bitmap of
+BITS bits, the only thing broadcast; where hashes meet, windows stay longer than they need to be, and the counts are the
+same. So what is shuffled grows with the words, and only windows that begin frequently travel whole. Windows of fewer
+than `least` occurrences lose their last word before the prefixes are summed, and prefixes below `least` are dropped, as
+every part of a candidate is at least as frequent as the candidate.
 
-Tasks count what they have read in parts of at most FLUSH words before anything is shuffled. A pair with over 1 / HOT of
-all places is dealt out by its next two words as well, and its windows aren't cut before the fourth word (it is known to
-be frequent). Such pairs, HOT at most, are looked for in some SAMPLE documents (by the hash of their text); this decides
-only which task counts what. Ranks come from a table of at most `top` rows of each of BUCKETS buckets of a language.
+Tasks count what they have read in parts of at most FLUSH words before anything is shuffled, so a pair or word with a
+third of all places is one row per part and task. Ranks come from a table of at most `top` rows of each of BUCKETS
+buckets of a language.
 
 Cases: a null text is empty, a null language `und` (with a language of that name); an empty table, texts without words
 or fewer than `least` places give no rows; repeated rows count each; phrases of the same score and count ascend
@@ -26,20 +28,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.llm.common import in_slices, written
 
-ORDER = 4
+ORDER, RUNS = 4, (2, 3)
 NAMES = [f"w{i + 1}" for i in range(ORDER)]
 #: What ends a piece, and what stands between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b"\t "
 FLAT = bytes.maketrans(string.ascii_uppercase.encode() + ENDS + BLANKS, string.ascii_lowercase.encode() + b"\n" * len(ENDS) + b" " * len(BLANKS))
-#: Words counted at once by a task, distinct words it keeps, buckets of a language's ranks.
-FLUSH, KEPT, BUCKETS = 1 << 19, 1 << 18, 64
-#: Shares that make a pair hot, documents looked at for them, and tasks that a hot pair is dealt to.
-HOT, SAMPLE, SALTS = 256, 2000, 256
+#: Words counted at once by a task, distinct words it keeps, bits of the bitmap, buckets of a language's ranks.
+FLUSH, KEPT, BITS, BUCKETS = 1 << 19, 1 << 18, 1 << 26, 64
 #: Bytes of text that become words at once.
 SLICE = 1 << 20
 GAP, NOTHING = 0, -1
@@ -48,14 +49,15 @@ GAP, NOTHING = 0, -1
 class Codes(dict):
     """Numbers of a language's words (as UTF-8), from a list shared by all languages of a task."""
 
-    def __init__(self, lang: str, words: list, langs: list):
+    def __init__(self, lang: str, words: list, langs: list, hashes: list):
         super().__init__({b"": NOTHING, b"\n": GAP})
-        self.lang, self.words, self.langs = lang, words, langs
+        self.lang, self.head, self.words, self.langs, self.hashes = lang, f"{lang}\n".encode(), words, langs, hashes
 
     def __missing__(self, word: bytes) -> int:
         code = self[word] = len(self.words)
         self.words.append(word)
         self.langs.append(self.lang)
+        self.hashes.append(xxhash.xxh64_intdigest(self.head + word))
         return code
 
 
@@ -63,11 +65,11 @@ class Lexicon:
     """The words of a task so far; code 0 is a gap."""
 
     def __init__(self):
-        self.words, self.langs, self.by = [None], [None], {}
+        self.words, self.langs, self.hashes, self.by = [None], [None], [0], {}
 
     def codes(self, lang: str, texts: list[str]) -> np.ndarray:
         """The texts' words as numbers, with gaps between pieces and at the end."""
-        by = self.by.setdefault(lang, Codes(lang, self.words, self.langs))
+        by = self.by.setdefault(lang, Codes(lang, self.words, self.langs, self.hashes))
         data, parts, begin = "\n".join(texts).encode().translate(FLAT).replace(b"\n", b" \n "), [], 0
         while begin >= 0:
             end = data.find(b" ", begin + SLICE)  # a long text's words, some at a time
@@ -115,6 +117,37 @@ def leads(codes: np.ndarray) -> list[np.ndarray]:
     return columns
 
 
+def run_hashes(lexicon: Lexicon, columns: list[np.ndarray]) -> np.ndarray:
+    """32-bit hashes of runs of words, one after the other; the language is in each word's hash."""
+    hashes = np.array(lexicon.hashes, np.uint64)
+    mixed = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        mixed = (mixed ^ hashes[c]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.int64)
+
+
+def frequent_runs(texts: DataFrame, least: int) -> bytes:
+    """A bit for the hash (modulo BITS) of each pair and triple that has at least so many places."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lexicon, codes in sequences(batches):
+            columns = leads(codes)
+            for k in RUNS:
+                there = columns[k - 1] != GAP
+                found, n = np.unique(run_hashes(lexicon, [c[there] for c in columns[:k]]), return_counts=True)
+                yield pa.record_batch({"run": found, "n": n.astype(np.int64)})
+
+    runs = texts.mapInArrow(counted, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    bit = F.pmod("run", F.lit(BITS)) + 1
+    rows = runs.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # BITS / 8 bytes
+    out = bytearray(BITS // 8)
+    for r in rows:
+        begin = (r["bucket"] - 1) * len(r["bits"])
+        out[begin : begin + len(r["bits"])] = r["bits"]
+    return bytes(out)
+
+
 def tallied(lexicon: Lexicon, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """The different windows with their counts: pairs of words are numbered, then pairs of those."""
     shift, mask = np.int64(31), (1 << 31) - 1
@@ -129,40 +162,32 @@ def tallied(lexicon: Lexicon, columns: list[np.ndarray]) -> Iterator[pa.RecordBa
         yield pa.record_batch({"lang": langs.take(pa.array(codes[0])), **{w: words.take(pa.array(c)).cast(pa.string()) for w, c in zip(NAMES, codes, strict=True)}, "n": n[i : i + 50_000].astype(np.int64)})
 
 
-def windows(texts: DataFrame) -> DataFrame:
-    """lang, w1 to w4 (null from the end of the piece on), n: per part of a task."""
+def windows(texts: DataFrame, least: int) -> DataFrame:
+    """lang, w1 to w4 (null from the end of the piece, or from a run that is too rare), n: per part of a task."""
+    bits = texts.sparkSession.sparkContext.broadcast(frequent_runs(texts, least))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(bits.value, np.uint8)
         for lexicon, codes in sequences(batches):
-            yield from tallied(lexicon, leads(codes))
+            columns = [c.copy() for c in leads(codes)]
+            for k in RUNS:
+                for i in range(k - 1, ORDER):  # the run that ends with word i
+                    there = np.flatnonzero(columns[i] != GAP)
+                    bit = run_hashes(lexicon, [c[there] for c in columns[i - k + 1 : i + 1]]) % BITS
+                    rare = there[(known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 0]
+                    for later in columns[i:]:
+                        later[rare] = GAP
+            yield from tallied(lexicon, columns)
 
     return texts.mapInArrow(counted, f"lang string, {', '.join(f'{w} string' for w in NAMES)}, n long")
 
 
-def hot_pairs(texts: DataFrame, least: int) -> DataFrame:
-    """lang, w1, w2 of at most HOT pairs, each of `least` places at least."""
-    every = texts.count()
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < -(-SAMPLE * 1_000_000 // max(every, 1)))
-    pairs = windows(some).groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n"))
-    pairs = written(pairs.where("w2 is not null"), "pairs-sample")
-    total = pairs.agg(F.sum("n").alias("total"))  # one row
-    return pairs.crossJoin(F.broadcast(total)).where((F.col("n") >= least) & (F.col("n") * HOT > F.col("total"))).select("lang", "w1", "w2", F.lit(True).alias("hot"))
-
-
 def counts(docs: DataFrame, least: int) -> DataFrame:
     """lang, size (words of the phrase, 0 for all words of the language), phrase and f, of at least `least` places."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    hot = F.broadcast(written(hot_pairs(texts, least), "pairs-hot"))  # at most HOT rows
-    salt = F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("w3", "w4"), F.lit(SALTS))).otherwise(0).cast("int")
-    dealt = windows(texts).join(hot, ["lang", "w1", "w2"], "left").withColumn("salt", salt).repartition("lang", "w1", "w2", "salt")
-    whole = dealt.groupBy("lang", "w1", "w2", "salt", "w3", "w4").agg(F.sum("n").alias("n"))
-    pair = ["lang", "w1", "w2", "salt"]
-    sums = whole.withColumn("__triple", F.sum("n").over(Window.partitionBy(*pair, "w3"))).withColumn("__pair", F.sum("n").over(Window.partitionBy(*pair)))
-    often = {"w2": F.col("__pair") >= least, "w3": F.col("__triple") >= least}
-    cut2 = F.when((F.col("salt") > 0) | often["w2"], F.col("w2"))
-    cut3 = F.when((F.col("salt") > 0) | often["w3"], F.col("w3"))
-    cut_ = sums.select("lang", "w1", cut2.alias("w2"), cut3.alias("w3"), F.when(F.col("n") >= least, F.col("w4")).alias("w4"), "n")
-    summed = cut_.rollup("lang", *NAMES).agg(F.sum("n").alias("f"), F.grouping_id().alias("__gid"))
+    whole = windows(texts, least).groupBy("lang", *NAMES).agg(F.sum("n").alias("n"))
+    whole = whole.withColumn(NAMES[-1], F.when(F.col("n") >= least, F.col(NAMES[-1])))
+    summed = whole.rollup("lang", *NAMES).agg(F.sum("n").alias("f"), F.grouping_id().alias("__gid"))
     size = reduce(lambda out, k: out.when(F.col("__gid") == (1 << (ORDER - k)) - 1, F.lit(k)), range(ORDER + 1), F.when(F.lit(False), 0))
     last = reduce(lambda out, k: out.when(F.col("size") == k, F.col(NAMES[k - 1])), range(1, ORDER + 1), F.when(F.lit(False), ""))
     sized = summed.withColumn("size", size).where("size is not null").where((F.col("size") == 0) | (last.isNotNull() & (F.col("f") >= least)))
