@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracelode.functions.columns import draw, erfc, hypergeometric_tail
 from tracelode.operators.ordered import ranked_by_draw, running
@@ -160,3 +166,102 @@ def confusion(rows: DataFrame, label: Column, said: Column, prevalence: float =
     precision, recall = zero(F.try_divide("tp", F.col("tp") + F.col("fp"))), zero(F.try_divide("tp", F.col("tp") + F.col("fn")))
     false_rate = zero(F.try_divide("fp", F.col("fp") + F.col("tn")))
     return counts.select("*", precision.alias("precision"), recall.alias("recall"), zero(F.try_divide(2 * precision * recall, precision + recall)).alias("f1"), zero(F.try_divide(prevalence * recall, prevalence * recall + (1 - prevalence) * false_rate)).alias("ppv"))
+
+
+# Permutation tests from counts.
+
+
+def hit_classes(hits: DataFrame, windows: DataFrame, pattern: str) -> DataFrame:
+    """windows (window_id, entity_id, is_failure) with held: the patterns that a window holds, sorted (none: empty)."""
+    none = F.array().cast(f"array<{dict(hits.dtypes)[pattern]}>")
+    return windows.select("window_id", "entity_id", "is_failure").join(alike(hits, pattern), "window_id", "left").withColumn("held", F.coalesce("held", none))
+
+
+def dealt_counts(groups: DataFrame, draws: int, held: str) -> DataFrame:
+    """(held, drawn): of each class, how many of its windows fail in each draw, summed over groups.
+
+    groups: key, classes (structs of held and n) and wanted (failures per draw, an array). A draw deals a group's failures
+    among its classes without replacement: the counts are hypergeometric, class by class, seeded by the md5 of the key.
+    No window is looked at, and a group's work grows with its classes and draws only."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, tuple[object, np.ndarray]] = {}
+        for batch in batches:
+            for key, classes, wanted in zip(*[batch.column(c).to_pylist() for c in ("key", "classes", "wanted")], strict=True):
+                rng = np.random.Generator(np.random.PCG64(int(md5(key.encode()).hexdigest(), 16)))
+                rest, left = sum(c["n"] for c in classes), np.array(wanted, np.int64)
+                for c in classes:
+                    own = rng.hypergeometric(c["n"], rest - c["n"], left) if rest else np.zeros(draws, np.int64)
+                    rest, left = rest - c["n"], left - own
+                    name = str(c["held"])
+                    total[name] = (c["held"], total[name][1] + own if name in total else own)
+            if len(total) > 10_000:
+                yield packed(total)
+                total = {}
+        if total:
+            yield packed(total)
+
+    def packed(total: dict) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([h for h, _ in total.values()], to_arrow_type(kind)), pa.array([x.astype("<i8").tobytes() for _, x in total.values()], pa.binary())], names=["held", "drawn"])
+
+    kind = next(f.dataType for f in groups.select(F.col("classes")[0]["held"].alias("held")).schema)
+    return groups.mapInArrow(dealt, f"held {held}, drawn binary")
+
+
+def drawn_hits(dealt: DataFrame, pattern: str, kind: str, draws: int) -> DataFrame:
+    """(pattern, drawn): sums of the classes that hold the pattern, as one array of all draws."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, tuple[object, np.ndarray]] = {}
+        for batch in batches:
+            for p, own in zip(batch.column("pattern").to_pylist(), batch.column("drawn").to_pylist(), strict=True):
+                own = np.frombuffer(own, "<i8")
+                total[str(p)] = (p, total[str(p)][1] + own if str(p) in total else own)
+        for p, own in total.values():
+            yield pa.record_batch([pa.array([p], arrow), pa.array([own.tolist()], pa.list_(pa.int64()))], names=["pattern", "drawn"])
+
+    each = dealt.select(F.explode("held").alias("pattern"), "drawn")
+    arrow = to_arrow_type(each.schema["pattern"].dataType)
+    return each.repartition("pattern").mapInArrow(summed, f"pattern {kind}, drawn array<long>").withColumnRenamed("pattern", pattern)
+
+
+def within_entity_counts(hits: DataFrame, windows: DataFrame, pattern: str, draws: int = 2000) -> DataFrame:
+    """As within_entity_p, from counts: each entity deals its failures among its classes of windows that hold the same
+    patterns. Rows are classes of entities, whatever the number of windows and draws."""
+    kind = dict(hits.dtypes)[pattern]
+    rows = hit_classes(hits, windows, pattern)
+    classes = rows.groupBy("entity_id", "held").agg(F.count("*").alias("n"), F.count_if("is_failure").alias("f"))
+    groups = classes.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("held", "n"))).alias("classes"), F.sum("f").alias("f"))
+    dealt = dealt_counts(groups.select(F.col("entity_id").cast("string").alias("key"), "classes", F.array_repeat("f", draws).alias("wanted")), draws, f"array<{kind}>")
+    null = drawn_hits(dealt, pattern, kind, draws)
+    real = hits.groupBy(pattern).agg(F.count_if("is_failure").alias("case_hits"))
+    return real.join(null, pattern).select(pattern, "case_hits", ((1 + F.size(F.filter("drawn", lambda x: x >= F.col("case_hits")))) / (draws + 1)).alias("p_within"))
+
+
+#: Groups that a whole table's classes are dealt to.
+DEALT = 64
+
+
+def min_p_counts(hits: DataFrame, windows: DataFrame, pattern: str, draws: int = 500) -> DataFrame:
+    """As min_p, from counts: all failures are dealt among DEALT groups of classes first (one small row), then each group
+    deals its share among its classes in a task of its own."""
+    kind = dict(hits.dtypes)[pattern]
+    sizes = windows.agg(F.count_if("is_failure").alias("all_failure"), F.count_if(~F.col("is_failure")).alias("all_control"))  # one row
+    rows = hit_classes(hits, windows, pattern)
+    classes = rows.groupBy("held").agg(F.count("*").alias("n")).withColumn("g", F.pmod(F.xxhash64("held"), F.lit(DEALT)).cast("int"))
+    groups = written(classes.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("held", "n"))).alias("classes"), F.sum("n").alias("n")), "class-groups")
+    number = windows.agg(F.count_if("is_failure")).first()[0] or 0
+    totals = [(r.g, r.n) for r in groups.select("g", "n").orderBy("g").collect()]  # DEALT rows
+    rng, rest, left, shares = np.random.Generator(np.random.PCG64(11)), sum(n for _, n in totals), np.full(draws, number), []
+    for g, n in totals:
+        own = rng.hypergeometric(n, rest - n, left)
+        shares.append((g, own.tolist()))
+        rest, left = rest - n, left - own
+    wanted = windows.sparkSession.createDataFrame(shares, "g int, wanted array<long>")
+    dealt = dealt_counts(groups.join(F.broadcast(wanted), "g").select(F.col("g").cast("string").alias("key"), "classes", "wanted"), draws, f"array<{kind}>")
+    own = hits.groupBy(pattern).agg(F.count("*").alias("hits"))
+    null = drawn_hits(dealt, pattern, kind, draws).join(own, pattern).select(pattern, "hits", F.posexplode("drawn").alias("b", "n_failure")).withColumn("n_control", F.col("hits") - F.col("n_failure"))
+    tail = with_p(null.select("n_failure", "n_control").distinct().crossJoin(F.broadcast(sizes))).select("n_failure", "n_control", "p")  # once per pair of counts
+    least = null.join(tail, ["n_failure", "n_control"]).groupBy("b").agg(F.min("p").alias("least"))  # a row per draw
+    real = with_p(hits.groupBy(pattern).agg(F.count_if("is_failure").alias("n_failure"), F.count_if(~F.col("is_failure")).alias("n_control")).crossJoin(F.broadcast(sizes)))
+    return real.crossJoin(F.broadcast(least)).groupBy(pattern, "p").agg(F.avg((F.col("least") <= F.col("p") + 1e-12).cast("double")).alias("p_adjusted"))

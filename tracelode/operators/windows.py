@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelode.functions.columns import draw, item_set
 from tracelode.operators.ordered import ranked as in_order
 from tracelode.operators.ordered import ranked_by_draw
+from tracelode.sources.shared import written
 
 HOUR = 3_600_000_000
 
@@ -40,6 +41,47 @@ def last_seqs(stream: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     return back.select(*anchors.columns, F.array_compact(F.array(*[f"__{n}" for n in range(k, 0, -1)])).alias("seq"))
 
 
+def segments(stream: DataFrame, anchors: DataFrame, most: int) -> DataFrame | None:
+    """entity_id and bounds: times that cut the entities with over `most` events into ranges of about that many or
+    fewer; None where no entity has so many. The bounds are written, so that every reader sees the same ones."""
+    hot = written(stream.groupBy("entity_id").agg(F.count("*").alias("n")).where(F.col("n") > most), "hot-entities")
+    largest = hot.agg(F.max("n")).first()[0]
+    if largest is None:
+        return None
+    parts = -(-largest // most)
+    shares = [i / parts for i in range(1, parts)]
+    cuts = stream.join(hot, "entity_id", "left_semi").groupBy("entity_id").agg(F.percentile_approx("us", shares, 10_000).alias("bounds"))
+    return written(cuts.withColumn("bounds", F.array_distinct("bounds")), "segment-bounds")
+
+
+def last_seqs_in_segments(stream: DataFrame, anchors: DataFrame, k: int, most: int = 1_000_000) -> DataFrame:
+    """As last_seqs, but an entity with over `most` events is several ranges of time, each a partition of its own.
+
+    A range also gets the k last events of the ranges before it: these are taken from the k last events of each range,
+    of which an entity has as many as ranges, so that no event is looked for through an entity's whole history. Events
+    of one time stay together: a range is larger only where so many have the same time."""
+    cuts = segments(stream, anchors, most)
+    if cuts is None:
+        return last_seqs(stream, anchors, k)
+    payload = [c for c in stream.columns if c not in ("entity_id", "us", "ordinal")]
+    placed = lambda df, us: df.join(cuts, "entity_id", "left").withColumn("__s", F.coalesce(F.size(F.filter("bounds", lambda b: b < F.col(us))), F.lit(0)))
+    events = placed(stream, "us").select("entity_id", "__s", F.col("bounds").isNotNull().alias("__hot"), F.col("us").alias("__us"), F.lit(1).alias("__event"), F.col("ordinal").alias("__ordinal"), F.struct("us", "ordinal", *payload).alias("__e"))
+    marks = placed(anchors, "anchor").select(*anchors.columns, "__s", F.col("anchor").alias("__us"), F.lit(0).alias("__event"))
+    late = Window.partitionBy("entity_id", "__s").orderBy(F.desc("__us"), F.desc("__ordinal"))
+    tails = events.where("__hot").withColumn("__r", F.row_number().over(late)).where(F.col("__r") <= k).groupBy("entity_id", "__s").agg(F.array_sort(F.collect_list("__e")).alias("__tail"))
+    reached = marks.select("entity_id", "__s").distinct().join(cuts.select("entity_id"), "entity_id", "left_semi").join(tails, ["entity_id", "__s"], "left")
+    every = tails.unionByName(reached.where("__tail is null"))
+    earlier = Window.partitionBy("entity_id").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    kept = F.collect_list("__tail").over(earlier)
+    known = F.flatten(F.slice(kept, F.greatest(F.size(kept) - k + 1, F.lit(1)), F.lit(k)))
+    halo = every.withColumn("__known", known).select("entity_id", "__s", F.explode(F.slice("__known", F.greatest(F.size("__known") - k + 1, F.lit(1)), F.lit(k))).alias("__e"))
+    halo = halo.select("entity_id", "__s", F.col("__e.us").alias("__us"), F.lit(1).alias("__event"), F.col("__e.ordinal").alias("__ordinal"), "__e")
+    both = marks.unionByName(events.drop("__hot"), allowMissingColumns=True).unionByName(halo, allowMissingColumns=True)
+    lag = "lag(__e, {}) ignore nulls over (partition by entity_id, __s order by __us, __event, __ordinal)"
+    back = both.withColumns({f"__{n}": F.expr(lag.format(n)) for n in range(1, k + 1)}).where("__event = 0")
+    return back.select(*anchors.columns, F.array_compact(F.array(*[f"__{n}" for n in range(k, 0, -1)])).alias("seq"))
+
+
 def last_k(stream: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     """(anchor's columns, event's columns, back) of the k last events strictly before the anchor; back is 1 for the last."""
     rows = last_seqs(stream, anchors, k).withColumn("n", F.size("seq"))
@@ -68,10 +110,11 @@ def time_windows(stream: DataFrame, anchors: DataFrame, hours: int) -> DataFrame
     return rows_of(anchors.join(grouped, keys, "left"), f"{hours}h", F.col("anchor") - hours * HOUR)
 
 
-def count_windows(stream: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """The start of an empty window is its anchor."""
+def count_windows(stream: DataFrame, anchors: DataFrame, k: int, most: int | None = None) -> DataFrame:
+    """The start of an empty window is its anchor. most: events of an entity beyond which it is cut into ranges of time."""
     first = F.coalesce(F.try_element_at("seq", F.lit(1))["us"], F.col("anchor"))
-    return rows_of(last_seqs(stream.select("entity_id", *WINDOW_FIELDS), anchors, k), f"last{k}", first)
+    own = stream.select("entity_id", *WINDOW_FIELDS)
+    return rows_of(last_seqs(own, anchors, k) if most is None else last_seqs_in_segments(own, anchors, k, most), f"last{k}", first)
 
 
 def failure_anchors(stream: DataFrame, kind: str) -> DataFrame:
@@ -201,3 +244,19 @@ def spans_of(found: DataFrame, minute: int = 60_000_000) -> DataFrame:
     """How close together the events of a window lie: windows of two or more, the median span in minutes, and the share under one."""
     span = found.groupBy("entity_id", "anchor").agg(F.count("*").alias("n"), ((F.max("us") - F.min("us")) / minute).alias("m")).where("n >= 2")
     return span.agg(F.count("*").alias("windows"), F.percentile("m", 0.5).alias("median_min"), F.avg((F.col("m") < 1).cast("double")).alias("under_one"))
+
+
+def landmarks(stream: DataFrame, kind: str, step: int, horizon: int) -> DataFrame:
+    """entity_id, anchor, is_failure: each entity at every multiple of `step` after its first event, as long as it is
+    still seen and has had no failure before; is_failure tells whether its first failure comes within the horizon.
+
+    One grouping gives an entity's first and last event and first failure, from which its landmarks are made."""
+    spans = stream.groupBy("entity_id").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.min(F.when(F.col("event_type") == kind, F.col("us"))).alias("failed"))
+    begin, end = F.expr(f"(first div {step} + 1) * {step}"), F.least("last", "failed")
+    at = spans.where(begin <= end).select("entity_id", "failed", F.explode(F.sequence(begin, end, F.lit(step).cast("long"))).alias("anchor"))
+    return at.select("entity_id", "anchor", F.coalesce(F.col("failed") < F.col("anchor") + horizon, F.lit(False)).alias("is_failure"))
+
+
+def landmark_windows(stream: DataFrame, kind: str, k: int, step: int, horizon: int) -> DataFrame:
+    """Windows of the k last events before each landmark (failures are no history)."""
+    return count_windows(stream.where(F.col("event_type") != kind), landmarks(stream, kind, step, horizon), k)

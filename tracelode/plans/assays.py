@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tracelode.operators import assays, evaluation, features, models, windows
+from tracelode.operators import assays, evaluation, features, mining, models, stats, windows
 from tracelode.plans import sql as S
-from tracelode.plans.catalogue import CLEAN, SCORE, history, kept_windows, query, r6, stream
+from tracelode.plans.catalogue import CLEAN, DAY, SCORE, WINDOW_ROWS, all_hits, history, kept_windows, query, r6, stream, window_rows
 from tracelode.sources import tables as T
 from tracelode.sources.shared import written
 
@@ -130,3 +130,92 @@ def decomposition_ci(spark, d):
     named = written(scored.withColumn("model", F.element_at(F.array(*map(F.lit, BLOCKS)), F.col("model") + 1)), "block-scores")
     pairs = [*[(b, b, "") for b in BLOCKS], *[(f"{b} less {a}", b, a) for a, b in zip(BLOCKS, BLOCKS[1:], strict=False)]]
     return r6(evaluation.paired_intervals(evaluation.drawn_areas(named, 200), pairs), "value", "low", "high")
+
+
+# Hot entities, landmarks, and permutations from counts.
+
+HOT = S.EV.replace("select user_id as entity_id", "select case when user_id % 10 < 9 then 0 else user_id end as entity_id")
+
+
+@query("win_last10_hot", f"with {HOT}, anchors as (select distinct entity_id, us as anchor, true as is_failure from ev where event_type = 'error'), {S.HIST}, {S.last_k(10)} {WINDOW_ROWS}")
+def win_last10_hot(spark, d):
+    """Windows of a stream of which one entity has nine tenths, cut into ranges of 500 events."""
+    s = stream(spark, d).withColumn("entity_id", F.when(F.col("entity_id") % 10 < 9, 0).otherwise(F.col("entity_id")))
+    return window_rows(windows.count_windows(s.where(F.col("event_type") != T.FAILURE), windows.failure_anchors(s, T.FAILURE), 10, most=500))
+
+
+LANDMARKS = f"""{S.EV}, spans as (select entity_id, min(us) as first, max(us) as last, min(us) filter (where event_type = 'error') as failed from ev group by 1),
+  marks as (select entity_id, failed, last, unnest(range((first // {DAY} + 1) * {DAY}, least(last, coalesce(failed, last)) + 1, {DAY})) as anchor from spans), anchors as (select entity_id, anchor, coalesce(failed < anchor + {DAY}, false) as is_failure from marks), {S.HIST}, {S.last_k(20)}"""
+
+
+@query("landmark_windows", f"with {LANDMARKS} select entity_id, anchor, cast(is_failure as int) as is_failure, cast(n_events as bigint) as n_events, array_to_string(items, '|') as items from win")
+def landmark_windows(spark, d):
+    """Each day every entity that is seen and hasn't failed yet: its last 20 events, and whether it fails within a day."""
+    return landmarked(spark, d).select("entity_id", "anchor", F.col("is_failure").cast("int").alias("is_failure"), "n_events", F.array_join("items", "|").alias("items"))
+
+
+def landmarked(spark, d):
+    return windows.landmark_windows(stream(spark, d), T.FAILURE, 20, DAY, DAY)
+
+
+@query("landmark_split", f"""with {LANDMARKS}, e as (select entity_id, row_number() over (order by {S.draw('entity_id', '0')}, entity_id) <= floor(0.5 * count(*) over ()) as train from (select distinct entity_id from win)),
+  scored as (select train, cast(is_failure as int) as label, n_events as score from win join e using (entity_id)), steps as (select train, score, sum(label) as pos, sum(1 - label) as neg from scored group by 1, 2),
+  below as (select *, coalesce(sum(neg) over (partition by train order by score rows between unbounded preceding and 1 preceding), 0) as low from steps)
+  select train, sum(pos + neg)::bigint as windows, sum(pos)::bigint as failures, round(sum(pos * (low + neg / 2)) / nullif(sum(pos) * sum(neg), 0), 6) as auroc from below group by 1""")
+def landmark_split(spark, d):
+    """Landmark windows in two halves of the entities: sizes, failures, and the AUROC of the number of events."""
+    rows = evaluation.entity_split(landmarked(spark, d), 0.5).select("train", F.col("is_failure").cast("int").alias("label"), F.col("n_events").cast("double").alias("score"))
+    rows = written(rows, "landmark-split")
+    sizes = rows.groupBy("train").agg(F.count("*").alias("windows"), F.sum("label").alias("failures"))
+    return r6(sizes.join(evaluation.auroc(rows, "train"), "train"), "auroc")
+
+
+@query("landmark_auroc")
+def landmark_auroc(spark, d):
+    """AUROC on the entities held out of models of landmark windows: numbers of events and of different items, counts of
+    items, and which of the itemsets in 0.05 of the training failures are held."""
+    w = evaluation.entity_split(landmarked(spark, d), 0.5).withColumn("label", F.col("is_failure").cast("int"))
+    w = written(w.select(F.monotonically_increasing_id().alias("window_id"), "entity_id", "is_failure", "label", "train", "items", "item_set"), "landmarks")
+    train = w.where("train")
+    found = [tuple(r.itemset) for r in mining.itemsets(train).orderBy(F.desc("n_failure"), "itemset").limit(features.MOST_WORDS + 1).collect()]
+    if len(found) > features.MOST_WORDS:
+        raise ValueError(f"over {features.MOST_WORDS} itemsets: state a higher support")
+    words = features.vocabulary(train)
+    design = landmark_design(words, found)
+    scored = written(models.scored(w, design, models.fitted(w, design)), "landmark-scores")
+    names = F.array(*map(F.lit, ("counts", "token_counts", "patterns")))
+    return r6(evaluation.auroc(scored, "model").select(F.element_at(names, F.col("model") + 1).alias("features"), "auroc"), "auroc")
+
+
+def landmark_design(words: list[str], patterns: list[tuple[str, ...]]) -> models.Design:
+    index, sets = {w: j for j, w in enumerate(words)}, [frozenset(p) for p in patterns]
+
+    def design(batch):
+        items = models.column(batch, "items").to_pylist()
+        at, counts, held = np.arange(len(items)), np.zeros((len(items), len(words))), np.zeros((len(items), len(sets)))
+        for i, own in enumerate(items):
+            for x in own:
+                if x in index:
+                    counts[i, index[x]] += 1
+            seen = set(own)
+            held[i] = [p <= seen for p in sets]
+        yield 0, np.array([[len(own), len(set(own))] for own in items], float).reshape(-1, 2), at
+        yield 1, counts, at
+        if sets:
+            yield 2, held, at
+
+    return design
+
+
+@query("within_entity_counts")
+def within_entity_counts(spark, d):
+    """p of permutations within entities, as within_entity_perm, drawn as counts."""
+    w = kept_windows(spark, d)
+    return r6(stats.within_entity_counts(all_hits(w), w, "itemset").withColumn("itemset", F.array_join("itemset", "|")), "p_within")
+
+
+@query("min_p_counts")
+def min_p_counts(spark, d):
+    """Adjusted p by the smallest p of all itemsets, as min_p, drawn as counts."""
+    w = kept_windows(spark, d)
+    return r6(stats.min_p_counts(all_hits(w), w, "itemset").withColumn("itemset", F.array_join("itemset", "|")), "p", "p_adjusted")

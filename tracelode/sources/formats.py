@@ -52,26 +52,58 @@ def system_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("*", seconds.alias("seconds"), rack.alias("rack"), bad.alias("malformed"))
 
 
-def turbine_status(spark: SparkSession, glob: str) -> DataFrame:
-    """Status CSV files, each with lines of preamble before its header; the turbine's number is in the file name.
+def headed(spark: SparkSession, path: str, required: list[str], wanted: list[str], sep: str = ",", strict: bool = True) -> DataFrame:
+    """file and the wanted columns (as text) of delimited files of which each has its own header, in any order and behind
+    any preamble: the first line that names all required columns. Columns that a file doesn't have are null in its rows.
+
+    Files are read by line, so that large ones are split. A line is data where it comes behind its file's header; it is
+    cut by a reader of text columns, of which each file's header tells the places. A file without header is an error
+    that names it; where not strict it is left out, and `headless` lists it."""
+    lines, heads = header_lines(spark, path, required, sep)
+    if strict and (bad := [r.file for r in headless(spark, path, required, sep).orderBy("file").limit(5).collect()]):
+        raise ValueError(f"no header with {', '.join(required)} in {', '.join(bad)}")
+    width = heads.agg(F.max(F.size("names"))).first()[0] or 1
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    behind = (F.col("block") > F.col("head.block")) | ((F.col("block") == F.col("head.block")) & (F.col("at") > F.col("head.at")))
+    rows = lines.join(heads, "file").where(behind & (F.trim("value") != ""))
+    cells = rows.select("file", "names", F.from_csv("value", schema, {"sep": sep}).alias("r")).select("file", "names", F.array(*[f"r.c{i}" for i in range(width)]).alias("r"))
+    return cells.select("file", *[F.get("r", F.nullif(F.array_position("names", c), F.lit(0).cast("long")).cast("int") - 1).alias(c) for c in wanted])
+
+
+def header_lines(spark: SparkSession, path: str, required: list[str], sep: str) -> tuple[DataFrame, DataFrame]:
+    """All lines with their place in their file, and each file's header: its place (head) and names."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    names = F.transform(F.split(F.regexp_replace("value", "^\ufeff", ""), rf"\Q{sep}\E"), lambda x: F.trim(F.trim(F.trim(x), F.lit('"'))))
+    named = lines.withColumn("names", names).where(F.size(F.array_except(F.array(*map(F.lit, required)), "names")) == 0)
+    return lines, named.groupBy("file").agg(F.min(F.struct("block", "at")).alias("head"), F.min_by("names", F.struct("block", "at")).alias("names"))
+
 
-    Files are read as text by line, which keeps large ones splittable: preamble and header don't begin with a time."""
-    lines = spark.read.text(glob).select("value", F.col("_metadata.file_name").alias("file"))
-    header = lines.where(F.col("value").startswith("Timestamp start,")).first()
-    if header is None:
-        raise ValueError(f"{glob}: no header")
-    schema = ", ".join(f"`{c.strip()}` string" for c in header.value.split(","))
-    rows = lines.where(F.col("value").rlike(r"^\d{4}-\d\d-\d\d")).select("file", F.from_csv("value", schema).alias("r"))
-    number = F.coalesce(F.nullif(F.regexp_extract("file", r"Status_[A-Za-z]+_(\d+)_", 1), F.lit("")).cast("int"), F.lit(-1))
-    named_ = {"timestamp": F.to_timestamp("r.Timestamp start"), "status": F.col("r.Status"), "code": F.col("r.Code"), "message": F.col("r.Message"), "category": F.col("r.IEC category")}
-    return rows.select(number.alias("turbine"), *[v.alias(k) for k, v in named_.items()])
+def headless(spark: SparkSession, path: str, required: list[str], sep: str = ",") -> DataFrame:
+    """file of the files that have no line with all required names. Spark's listing leaves out files of no bytes."""
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("file"))
+    heads = header_lines(spark, path, required, sep)[1].select(F.regexp_replace("file", "^file:/+", "file:///").alias("file"))
+    return files.join(heads, "file", "left_anti")
+
+
+def number_in(file: Column, pattern: str) -> Column:
+    """The number that the pattern's group finds in the file's name, or -1."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.element_at(F.split(file, "/"), -1), pattern, 1), F.lit("")).cast("int"), F.lit(-1))
+
+
+def turbine_status(spark: SparkSession, glob: str) -> DataFrame:
+    """Status CSV files, each with lines of preamble before its own header; the turbine's number is in the file name."""
+    rows = headed(spark, glob, ["Timestamp start", "Status", "Code"], ["Timestamp start", "Status", "Code", "Message", "IEC category"])
+    named_ = {"timestamp": F.try_to_timestamp("Timestamp start"), "status": F.col("Status"), "code": F.col("Code"), "message": F.col("Message"), "category": F.col("IEC category")}
+    return rows.select(number_in(F.col("file"), r"Status_[A-Za-z]+_(\d+)_").alias("turbine"), *[v.alias(k) for k, v in named_.items()]).where("timestamp is not null")
 
 
 def patient_hours(spark: SparkSession, glob: str, channels: list[str], limit: int | None = None) -> DataFrame:
-    """Pipe-separated files, one per patient, whose header names the channels; the patient's number is in the name."""
-    rows = spark.read.option("header", True).option("sep", "|").option("nullValue", "NaN").option("mode", "PERMISSIVE").csv(glob)
-    patient = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).cast("long")
-    out = rows.select(patient.alias("patient"), F.col("ICULOS").cast("int").alias("hour"), F.col("SepsisLabel").cast("int").alias("label"), *[F.col(c).cast("double").alias(c) for c in channels])
+    """Pipe-separated files, one per patient, whose own headers name the channels; the patient's number is in the name.
+    Files without header are left out (see headless), channels that a file doesn't have are null."""
+    rows = headed(spark, glob, ["ICULOS"], ["ICULOS", "SepsisLabel", *channels], "|", strict=False)
+    known = lambda c, kind: F.nullif(F.col(c), F.lit("NaN")).try_cast(kind).alias(c)
+    patient = number_in(F.col("file"), r"(\d+)").cast("long")
+    out = rows.select(patient.alias("patient"), known("ICULOS", "int").alias("hour"), known("SepsisLabel", "int").alias("label"), *[known(c, "double") for c in channels])
     if limit is not None:
         first = out.select("patient").distinct().orderBy("patient").limit(limit)
         out = out.join(F.broadcast(first), "patient", "left_semi") if limit <= 100_000 else out.join(first, "patient", "left_semi")
@@ -81,7 +113,10 @@ def patient_hours(spark: SparkSession, glob: str, channels: list[str], limit: in
 def labelled_cross_section(spark: SparkSession, path: str, preamble: int = 20) -> DataFrame:
     """A CSV with lines of preamble, na as null, then nulls as 0; label is 1 for pos."""
     rows = spark.read.text(path)
-    header = rows.where(F.col("value").startswith("class,")).first()[0].split(",")
+    found = rows.where(F.col("value").startswith("class,")).first()
+    if found is None:
+        raise ValueError(f"no header with class in {path}")
+    header = found[0].split(",")
     body = rows.where(F.col("value").rlike(r"^(pos|neg),"))
     schema = "class string, " + ", ".join(f"`{c}` double" for c in header[1:])
     parsed = body.select(F.from_csv("value", schema, {"nullValue": "na"}).alias("r")).select("r.*")
