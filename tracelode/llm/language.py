@@ -33,18 +33,60 @@ BITS = 15
 #: Trigrams whose worth of evidence a text has at most; weight of the level above in a smoothed prior.
 WORTH, LEAN = 60.0, 8.0
 
-HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>")
+#: What hides all up to its closing mark, and the marks.
+HIDES = re.compile(r"(?i)<(?:(script|style|noscript|template)\b|!--|!doctype)")
+CLOSES = {k: re.compile(rf"(?i)</{k}\s*>") for k in ("script", "style", "noscript", "template")} | {"<!--": re.compile("-->"), "<!doctype": re.compile(">")}
 TAG = re.compile(r"(?s)<[^>]*>")
-DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})|<meta\b[^>]*?content-language["'][^>]*?content\s*=\s*["']?([a-z]{2,3})""")
+DECLARES = re.compile(r"(?i)<(html|meta)\b")
+LANG = re.compile(r"""(?i)\blang\s*=\s*["']?([a-z]{2,3})""")
+NAMED = re.compile(r"""(?i)content-language["']""")
+CONTENT = re.compile(r"""(?i)content\s*=\s*["']?([a-z]{2,3})""")
+
+
+def shown(page: str) -> str:
+    """The page with a blank for each script, style, comment and doctype. An opening without its closing mark hides
+    nothing, and once a mark isn't found it isn't looked for again: each character is passed once per kind of mark."""
+    out, at, missing = [], 0, set()
+    place = 0
+    while m := HIDES.search(page, place):
+        kind = m[1].lower() if m[1] else m[0].lower()
+        end = None if kind in missing else CLOSES[kind].search(page, m.end())
+        if end is None:
+            missing.add(kind)
+            place = m.end()
+            continue
+        out.append(page[at : m.start()])
+        at = place = end.end()
+    return " ".join([*out, page[at:]])
 
 
 def visible(page: str) -> str:
-    return markup.unescape(TAG.sub(" ", HIDDEN.sub(" ", page)))
+    text = shown(page)
+    last = text.rfind(">") + 1  # no tag begins behind it
+    return markup.unescape(TAG.sub(" ", text[:last]) + text[last:])
 
 
 def declared(page: str) -> str:
-    m = DECLARED.search(page)
-    return (m[1] or m[2]).lower() if m else ""
+    """The language that the first html or meta element with one declares. Of openings without a `>` between them only
+    the first of a kind is looked at: a later one would find less of the same."""
+    looked = {"html": -1, "meta": -1}
+    end = -1
+    for m in DECLARES.finditer(page):
+        kind = m[1].lower()
+        if m.start() >= end:
+            end = page.find(">", m.end())
+            end = len(page) if end < 0 else end
+        if looked[kind] == end:
+            continue
+        looked[kind] = end
+        if kind == "html":
+            found = LANG.search(page, m.end(), end)
+        else:
+            named = NAMED.search(page, m.end(), end)
+            found = CONTENT.search(page, named.end(), end) if named else None
+        if found:
+            return found[1].lower()
+    return ""
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
