@@ -43,8 +43,8 @@ HEX = marks("0-9a-f")
 LEAST = 6
 RUN = re.compile(r"[0-9A-Za-z+/_=-]+(?:\.+[0-9A-Za-z+/_=-]+)*", re.A)
 #: Bounds of what is learned from: distinct values per kind, ordinary runs (the smallest by hash), and the symbols of
-#: each kind's values together, so that an automaton's tree has a bounded number of states. Of a value of over LONGEST
-#: characters the first LONGEST are learned from, as those of a value that goes on.
+#: each kind's values together, so that an automaton's tree has a bounded number of states. A value of over LONGEST
+#: characters isn't learned from; it is found and scored as any other.
 TRAIN_VALUES, TRAIN_RUNS, TRAIN_SYMBOLS, LONGEST = 2000, 4000, 200_000, 4096
 #: A span is learned if a format is likelier than ordinary text by this much (natural logarithm) per character, beyond
 #: the odds of ordinary runs against labelled values in the corpus.
@@ -73,9 +73,11 @@ def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int, str]]:
         found += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if b"AKIA" in raw:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
+    at = start = 0
     for a, b in long_runs(raw, HEX, 24):
-        start = len(raw[:a].decode())
+        start += len(raw[at:a].decode())  # code points from the last run on, so that each byte is read once
         found.append((start, 2, start + b - a, raw[a:b].decode()))
+        start, at = start + b - a, b
     return sorted(found)
 
 
@@ -107,7 +109,7 @@ def symbols(value: str) -> list[str]:
 class Automaton:
     """A probabilistic automaton, merged from the prefix tree of symbol sequences (ALERGIA, red-blue order)."""
 
-    def __init__(self, sequences: Iterable[list[str]], alpha: float = 0.05, longest: int | None = None):
+    def __init__(self, sequences: Iterable[list[str]], alpha: float = 0.05):
         self.next: list[dict[str, int]] = [{}]
         self.seen: list[defaultdict] = [defaultdict(int)]  # how often a symbol follows
         self.ends, self.visits = [0], [0]
@@ -124,8 +126,7 @@ class Automaton:
                     self.visits.append(0)
                 at = self.next[at][x]
                 self.visits[at] += 1
-            if longest is None or len(s) < longest:  # others go on
-                self.ends[at] += 1
+            self.ends[at] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self.merge()
         self.alphabet = len({x for row in self.seen for x in row}) + 1
@@ -226,8 +227,8 @@ class Smallest:
     def add(self, kind: str, value: str) -> None:
         self.count[kind] += 1
         known = self.values[kind]
-        if value[:LONGEST] not in known and (h := xxhash.xxh64_intdigest(value)) < self.limit[kind]:
-            known[value[:LONGEST]] = h
+        if len(value) <= LONGEST and value not in known and (h := xxhash.xxh64_intdigest(value)) < self.limit[kind]:
+            known[value] = h
             if len(known) >= 2 * SIZES[kind]:
                 kept = sorted(known.items(), key=lambda x: (x[1], x[0]))[: SIZES[kind]]
                 self.values[kind], self.limit[kind] = dict(kept), kept[-1][1] + 1
@@ -290,7 +291,7 @@ def learn(docs: DataFrame, text: str = "text") -> Formats:
             if len(r.value) <= left:
                 picked[kind].append(r.value)
                 left -= len(r.value)
-    automata = {k: Automaton(map(symbols, sorted(v)), longest=LONGEST) for k, v in picked.items() if k != "ordinary" and v}
+    automata = {k: Automaton(map(symbols, sorted(v))) for k, v in picked.items() if k != "ordinary" and v}
     labelled = sum(count.get(k, 0) for k in KINDS[:3])
     return Formats(automata, Ordinary(map(symbols, sorted(picked["ordinary"]))), math.log(max(1.0, count.get("ordinary", 0) / max(labelled, 1))))
 
