@@ -17,7 +17,7 @@ import hashlib
 import struct
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -66,9 +66,26 @@ def automaton() -> ahocorasick.Automaton:
 
 
 class Value(bytes):
-    """Bytes with the places of all marks, so that no validator searches on from each hit."""
+    """Bytes with the places of all marks, so that no validator searches on from each hit, and with where walks end."""
 
     marks: dict[bytes, list[int]]
+    ends: dict[str, dict[int, int | None]]
+
+    def walked(self, kind: str, i: int, step: Callable[[int], tuple[int | None, int | None]]) -> int | None:
+        """Where the steps from i on end, None if nowhere. step gives the next place, or None and the end. What a step
+        does depends on its place alone, so each place is passed once for all hits of the value."""
+        known, path = self.ends.setdefault(kind, {}), []
+        while i not in known:
+            path.append(i)
+            after, end = step(i)
+            if after is None:
+                known[i] = end
+            else:
+                i = after
+        end = known[i]
+        for p in path:
+            known[p] = end
+        return end
 
     def next(self, mark: bytes, at: int) -> int:
         """The first place of mark from at on, or -1."""
@@ -89,27 +106,25 @@ def png_length(b: bytes, at: int) -> int | None:
     return None
 
 
-def gif_length(b: bytes, at: int) -> int | None:
+def gif_length(b: Value, at: int) -> int | None:
     if at + 13 > len(b):
         return None
+
+    def block(i: int) -> tuple[int | None, int | None]:
+        return (i + b[i] + 1, None) if i < len(b) and b[i] else (None, i + 1)
+
+    def part(i: int) -> tuple[int | None, int | None]:
+        if i < len(b) and b[i] == 0x3B:
+            return None, i + 1
+        if i < len(b) and b[i] == 0x21:
+            return b.walked("gif-blocks", i + 2, block), None
+        if i + 10 <= len(b) and b[i] == 0x2C:
+            return b.walked("gif-blocks", i + 11 + (3 << ((b[i + 9] & 7) + 1) if b[i + 9] & 0x80 else 0), block), None
+        return None, None
+
     flags = b[at + 10]
-    i = at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
-
-    def blocks(i: int) -> int:
-        while i < len(b) and b[i]:
-            i += b[i] + 1
-        return i + 1
-
-    while i < len(b):
-        if b[i] == 0x3B:
-            return i + 1 - at
-        if b[i] == 0x21:
-            i = blocks(i + 2)
-        elif b[i] == 0x2C and i + 10 <= len(b):
-            i = blocks(i + 11 + (3 << ((b[i + 9] & 7) + 1) if b[i + 9] & 0x80 else 0))
-        else:
-            return None
-    return None
+    end = b.walked("gif", at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0), part)
+    return None if end is None else end - at
 
 
 def jpeg_length(b: Value, at: int) -> int | None:
@@ -167,26 +182,25 @@ def flac_length(b: bytes, at: int) -> int | None:
     return None
 
 
-def ogg_length(b: bytes, at: int) -> int | None:
-    i = at
-    while b[i : i + 5] == b"OggS\0" and i + 27 <= len(b):
+def ogg_length(b: Value, at: int) -> int | None:
+    def page(i: int) -> tuple[int | None, int | None]:
+        if b[i : i + 5] != b"OggS\0" or i + 27 > len(b):
+            return None, i
         n = 27 + b[i + 26] + sum(b[i + 27 : i + 27 + b[i + 26]])
         if i + n > len(b):
-            return None
-        last, i = b[i + 5] & 4, i + n
-        if last:
-            break
-    return i - at or None
+            return None, None
+        return (None, i + n) if b[i + 5] & 4 else (i + n, None)
+
+    end = b.walked("ogg", at, page)
+    return None if end is None else end - at or None
+
 
+def mp4_length(b: Value, at: int) -> int | None:
+    def box(i: int) -> tuple[int | None, int | None]:
+        n = struct.unpack_from(">I", b, i)[0] if i + 8 <= len(b) else 0
+        return (None, i) if n < 8 or i + n > len(b) or not b[i + 4 : i + 8].isalnum() else (i + n, None)
 
-def mp4_length(b: bytes, at: int) -> int | None:
-    i = at
-    while at >= 0 and i + 8 <= len(b):
-        n = struct.unpack_from(">I", b, i)[0]
-        if n < 8 or i + n > len(b) or not b[i + 4 : i + 8].isalnum():
-            break
-        i += n
-    return i - at if at >= 0 and i > at else None
+    return (b.walked("mp4", at, box) - at or None) if at >= 0 else None
 
 
 def pdf_length(b: Value, at: int) -> int | None:
@@ -211,7 +225,7 @@ VALID = {
 def sniffed(data: bytes) -> list[tuple[str, int, int]]:
     """All valid media in data as (type, offset, length), by offset; nothing is cut or limited."""
     value, hits = Value(data), []
-    value.marks = {m: [] for m in MARKS}
+    value.marks, value.ends = {m: [] for m in MARKS}, {}
     for end, (kind, back, magic) in automaton().iter(data.decode("latin-1")):
         at = end + 1 - len(magic) - back
         if kind is None:
@@ -222,21 +236,22 @@ def sniffed(data: bytes) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], -x[2], x[0]))
 
 
-def carved(data: bytes) -> list[tuple[str, int, bytes]]:
-    """The embedded media of data with their bytes: those that no other found medium contains, but not data itself."""
+def carved(data: bytes, found: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, bytes]]:
+    """The embedded media of data with their bytes: those that no other found medium contains, but not data itself.
+    found: what sniffed(data) gives, where that is known."""
     out, end = [], 0
-    for kind, at, n in sniffed(data):
+    for kind, at, n in sniffed(data) if found is None else found:
         if at >= end and (at or n < len(data)):
             out.append((kind, at, data[at : at + n]))
             end = at + n
     return out
 
 
-def true_type(data: bytes | None, declared: str | None) -> str | None:
+def true_type(data: bytes | None, declared: str | None, found: list[tuple[str, int, int]] | None = None) -> str | None:
     """The sniffed type where the value begins with a valid medium, else the declared one (null values: None)."""
     if data is None:
         return None
-    return next((kind for kind, at, _ in sniffed(data) if at == 0), declared)
+    return next((kind for kind, at, _ in (sniffed(data) if found is None else found) if at == 0), declared)
 
 
 def wav(samples: bytes, rate: int = 8000) -> bytes:
@@ -274,8 +289,9 @@ def media_features(docs: DataFrame, declared: str | None = None, text: str = "te
     def row(doc_id: int | None, declared: str, text: str) -> tuple:
         n, media = stored(text)
         payload = wav_samples(media)
-        inside = carved(media)
-        feature = f"{true_type(media, declared)};embedded={','.join(f'{k}@{at}+{len(b)}' for k, at, b in inside)};mean={np.frombuffer(payload, np.uint8).mean():.4f};zero_crossings={crossings(payload)}"
+        found = sniffed(media)
+        inside = carved(media, found)
+        feature = f"{true_type(media, declared, found)};embedded={','.join(f'{k}@{at}+{len(b)}' for k, at, b in inside)};mean={np.frombuffer(payload, np.uint8).mean():.4f};zero_crossings={crossings(payload)}"
         return doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
