@@ -50,3 +50,15 @@ def metrics(alarms: DataFrame, outages: DataFrame) -> DataFrame:
     a = alarms.agg(F.count("*").alias("alarms"), F.count("lead").alias("true_alarms"), F.percentile(F.col("lead") / 6e7, 0.5).alias("median_lead_min"))
     o = outages.agg(F.count("*").alias("outages"), F.count_if("detected").alias("detected"))
     return a.crossJoin(o).select("*", F.try_divide("true_alarms", "alarms").alias("precision"), F.try_divide("detected", "outages").alias("recall"))
+
+
+def burden(alarms: DataFrame, outages: DataFrame, stream: DataFrame) -> DataFrame:
+    """What alarms cost and give: false ones per entity and month of 30 days, alarms per outage, quartiles of the lead in
+    minutes, and the shares of leads of at least ten minutes, an hour, six hours and a day (nulls without leads)."""
+    lead = F.col("lead") / 6e7
+    long = {"lead_10min": 10, "lead_1h": 60, "lead_6h": 360, "lead_24h": 1440}
+    a = alarms.agg(F.count("*").alias("alarms"), F.count_if(F.col("lead").isNull()).alias("false_alarms"), F.percentile(lead, [0.25, 0.5, 0.75]).alias("q"), *[F.avg(F.when(F.col("lead").isNotNull(), (lead >= m).cast("double"))).alias(k) for k, m in long.items()])
+    o = outages.agg(F.count("*").alias("outages"))
+    months = stream.groupBy("entity_id").agg(((F.max("us") - F.min("us")) / DAY / 30).alias("m")).agg(F.sum("m").alias("months"))
+    rates = {"false_per_month": F.try_divide("false_alarms", "months"), "alarms_per_outage": F.try_divide("alarms", "outages"), **{f"lead_p{p}": F.get("q", i) for i, p in enumerate((25, 50, 75))}}
+    return a.crossJoin(o).crossJoin(months).select("alarms", "false_alarms", "outages", *[v.alias(k) for k, v in rates.items()], *long)  # one row each

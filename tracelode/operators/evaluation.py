@@ -117,6 +117,27 @@ def logistic(train: DataFrame, test: DataFrame, features: str = "features", labe
     return model.transform(as_vector(test)).withColumn("score", vector_to_array("probability")[1]).drop("x", "z", "rawPrediction", "probability")
 
 
+def logistic_on_names(rows: DataFrame, names: list[str], held: str = "held", number: str | None = None, label: str = "label", strength: float = 1.0) -> DataFrame:
+    """The rows that aren't train, with score: as logistic, on which of the names each row holds (sparse vectors, so
+    their number isn't bounded by a row's width) and on a number. Features are scaled, not centred: that changes the
+    constant alone, which has no penalty."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel, StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    blocks, stages = [number] if number else [], []
+    if names:
+        stages.append(CountVectorizerModel.from_vocabulary(names, inputCol=held, outputCol="__held").setBinary(True).setMinTF(0))
+        blocks.append("__held")
+    n = rows.where("train").count()
+    model = Pipeline(stages=[
+        *stages, VectorAssembler(inputCols=blocks, outputCol="__x"), StandardScaler(inputCol="__x", outputCol="__z", withMean=False),
+        LogisticRegression(featuresCol="__z", labelCol=label, regParam=1.0 / (strength * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8),
+    ]).fit(rows.where("train"))
+    return model.transform(rows.where("not train")).withColumn("score", F.round(vector_to_array("probability")[1], 9)).select(*rows.columns, "score")
+
+
 def boosted(train: DataFrame, test: DataFrame, features: str = "features", label: str = "label") -> tuple[DataFrame, list[float]]:
     """test with score by gradient-boosted trees, and the features' importances."""
     from pyspark.ml.classification import GBTClassifier

@@ -72,6 +72,12 @@ def held_sequences(windows: DataFrame, patterns: list[list[str]]) -> DataFrame:
     return windows.withColumn("features", F.transform(tests, lambda p: holds_in_order(F.col("items"), p).cast("int")))
 
 
+def held_names(windows: DataFrame, hits: DataFrame, pattern: str) -> DataFrame:
+    """windows with held: the names of the patterns that each holds, joined from their hits, however many there are."""
+    named = hits.groupBy("window_id").agg(F.collect_list(F.array_join(pattern, "|")).alias("held"))
+    return windows.join(named, "window_id", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
+
+
 def pattern_counts(windows: DataFrame, hits: DataFrame, pattern: str) -> DataFrame:
     """How many patterns each window holds; windows without one have 0."""
     return windows.join(hits.groupBy("window_id").agg(F.count(pattern).alias("n_held")), "window_id", "left").withColumn("n_held", F.coalesce("n_held", F.lit(0)))
@@ -120,6 +126,25 @@ def tail_mass(bins: Column, share: float = 0.25) -> Column:
     return F.aggregate(F.filter(normalised(bins), lambda x, i: i >= from_bin), F.lit(0.0), lambda s, x: s + x)
 
 
+def own_baseline(rows: DataFrame, bins: int, share: float = 0.3) -> DataFrame:
+    """rows (entity_id, place, h: histograms of `bins` bins): how each entity's later histograms differ from its own
+    baseline, which is the sum of its first share of rows: distance (last, largest, slope), shifts of centroid and tail
+    (last, slope) and of entropy (last). Histograms without mass are left out, entities without baseline or later rows too.
+
+    The tail is the upper half of the bins; slopes are per histogram kept."""
+    order = Window.partitionBy("entity_id").orderBy("place")
+    placed = rows.withColumns({"__i": F.row_number().over(order), "__n": F.count("*").over(Window.partitionBy("entity_id"))})
+    early = F.col("__i") <= F.ceil(F.col("__n") * share)
+    base = placed.where(early).groupBy("entity_id").agg(F.array(*[F.sum(F.get("h", F.lit(i))) for i in range(bins)]).alias("h0"))
+    mass = lambda h: F.aggregate(h, F.lit(0.0), lambda s, x: s + x)
+    later = placed.where(~early & (mass(F.col("h")) > 0)).join(base.where(mass(F.col("h0")) > 0), "entity_id").withColumn("__k", F.row_number().over(order))
+    upper = lambda h: F.aggregate(F.filter(normalised(h), lambda _, i: i >= bins // 2), F.lit(0.0), lambda s, x: s + x)
+    h, h0 = F.col("h"), F.col("h0")
+    told = later.select("entity_id", "__k", wasserstein(h, h0).alias("distance"), (centroid(h) - centroid(h0)).alias("centroid"), (entropy(h) - entropy(h0)).alias("entropy"), (upper(h) - upper(h0)).alias("tail"))
+    last, slope = lambda c: F.max_by(c, "__k").alias(f"{c}_last"), lambda c: F.coalesce(F.regr_slope(F.col(c), F.col("__k")), F.lit(0.0)).alias(f"{c}_slope")
+    return told.groupBy("entity_id").agg(last("distance"), F.max("distance").alias("distance_max"), slope("distance"), last("centroid"), slope("centroid"), last("entropy"), last("tail"), slope("tail"))
+
+
 def counter_features(readouts: DataFrame, value: str, share: float = 0.3) -> DataFrame:
     """Per entity, in time order: last value, mean step, mean step over the first share (baseline), their difference, slope."""
     order = Window.partitionBy("entity_id").orderBy("us", "ordinal")

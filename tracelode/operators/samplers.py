@@ -66,8 +66,9 @@ def riskset_windows(stream: DataFrame, subjects: DataFrame, k: int = 20, control
     return rows.withColumn("window_id", F.concat_ws("/", F.col("match_id").cast("string"), F.col("entity_id").cast("string")))
 
 
-def mined_horizons(rows: DataFrame, horizons: list[str], min_support: float = 0.05, seed: int = 7) -> DataFrame:
-    """Per horizon with failures: windows, itemsets, the largest real and permuted lift, and how many patterns survive."""
+def mined_horizons(rows: DataFrame, horizons: list[str], min_support: float = 0.05, seed: int = 7, demand: bool = False) -> DataFrame:
+    """Per horizon with failures: windows, itemsets, the largest real and permuted lift, and how many patterns survive.
+    demand: raise where a horizon has no signal (see demanded)."""
     out = None
     for h in horizons:
         own = written(rows.where(F.col("horizon") == h).select("window_id", "is_failure", "item_set"), "horizon")
@@ -79,7 +80,11 @@ def mined_horizons(rows: DataFrame, horizons: list[str], min_support: float = 0.
         out = row if out is None else out.unionByName(row)
     if out is None:
         raise ValueError("no horizon has failures with events")
-    return out.withColumn("clear", F.col("top_lift") >= 1.5 * F.col("permuted_top"))
+    out = out.withColumn("clear", F.col("top_lift") >= 1.5 * F.col("permuted_top"))
+    if demand:
+        out = written(out, "mined-horizons")
+        demanded(out)
+    return out
 
 
 def demanded(stats_: DataFrame) -> None:
@@ -89,6 +94,25 @@ def demanded(stats_: DataFrame) -> None:
         raise ValueError(f"no signal above the permuted windows: {', '.join(sorted(bad))}")
 
 
+def sequence_invariants(rows: DataFrame, short: list[str], min_support: float = 0.05, seed: int = 7, slack: float = 0.05) -> DataFrame:
+    """Per horizon, mean of the ten highest lifts in real and in shuffled windows, and whether that is as it has to be: in
+    short horizons the two differ by less than `slack` of the shuffled one, in the others the real one is higher."""
+    out = None
+    for h in [r.horizon for r in rows.select("horizon").distinct().orderBy("horizon").collect()]:  # some horizons
+        own = written(rows.where(F.col("horizon") == h).select("window_id", "is_failure", "items", "item_set"), "horizon")
+        one = shuffle_contrast(own, min_support, seed).select(F.lit(h).alias("horizon"), "*")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no horizon has windows")
+    return out.withColumn("holds", F.coalesce(F.when(F.col("horizon").isin(short), F.abs("gain") < slack).otherwise(F.col("real") > F.col("shuffled")), F.lit(False)))
+
+
+def held_up(invariants: DataFrame) -> None:
+    """Raises where an invariant of sequences doesn't hold."""
+    if bad := [r.horizon for r in invariants.where("not holds").select("horizon").collect()]:
+        raise ValueError(f"order is lost or planted: {', '.join(sorted(bad))}")
+
+
 def shuffle_contrast(rows: DataFrame, min_support: float = 0.05, seed: int = 7, top: int = 10) -> DataFrame:
     """Mean of the highest lifts of sequences in real and in shuffled windows, and by how much the real ones are higher."""
     mixed = written(mining.shuffled(rows, seed), "shuffled")

@@ -691,27 +691,6 @@ def entity_split_70(spark, d):
     return evaluation.entity_split(kept_windows(spark, d)).select("window_id", "train")
 
 
-#: Mined patterns that become features: the most frequent ones of the training windows.
-PATTERNS = 500
-
-
-@query("lr_head_to_head")
-def lr_head_to_head(spark, d):
-    """AUROC of logistic regression on counts alone, presence, multisets and order, trained up to the cut."""
-    w = evaluation.temporal_split(kept_windows(spark, d)).withColumn("label", F.col("is_failure").cast("int"))
-    words = words_of(w.where("train"))
-    train = w.where("train")
-    sets = [r.itemset for r in mining.itemsets(train).orderBy(F.desc("n_failure"), "itemset").limit(PATTERNS).collect()]
-    runs = [r.sequence for r in mining.sequences(train).orderBy(F.desc("n_failure"), "sequence").limit(PATTERNS).collect()]
-    both = features.held_sequences(features.held_sets(w, sets).withColumnRenamed("features", "f1"), runs).withColumn("features", F.concat(F.array("n_events"), "f1", "features")).drop("f1")
-    blocks = {"itemsets": features.held_sets(w, sets), "sequences": features.held_sequences(w, runs), "combined": both, "event_count": w.withColumn("features", F.array("n_events")), "presence": features.presence(w, words), "multiset": features.multiset(w, words), "precedence": features.precedence(w, words[:20])}
-    scored = None
-    for name, rows in blocks.items():
-        one = judged_by_model(rows, name, feature_set=name)
-        scored = one if scored is None else scored.unionByName(one)
-    return r6(evaluation.auroc(scored, "feature_set").join(evaluation.average_precision(scored, "feature_set"), "feature_set"), "auroc", "average_precision")
-
-
 def judged_by_model(rows: DataFrame, name: str, balanced: bool = False, **names) -> DataFrame:
     """label and score of the rows that aren't train, with constant columns; written, so that no metric fits or scores again."""
     scored = evaluation.logistic(rows.where("train"), rows.where(~F.col("train")), balanced=balanced)
@@ -956,4 +935,4 @@ def signatures_last5(spark, d):
     return r6(rows.select(bars("itemset"), "n_failure", "n_control", "lift_failure", "p", "q"), "lift_failure", "p", "q").orderBy(F.desc("lift_failure"), "itemset")
 
 
-from tracelode.plans import assays, studies  # noqa: E402, F401  (add their queries)
+from tracelode.plans import assays, complements, studies  # noqa: E402, F401  (add their queries)

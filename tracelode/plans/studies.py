@@ -233,7 +233,9 @@ def readout_events(spark, d):
 def feature_itemsets(spark, d):
     """A presence matrix of mined itemsets, the most frequent first."""
     w = kept_windows(spark, d)
-    patterns = [r.itemset for r in mining.itemsets(w).orderBy(F.desc("n_failure"), F.array_join("itemset", "|")).limit(features.MOST_WORDS).collect()]
+    patterns = [r.itemset for r in mining.itemsets(w).orderBy(F.desc("n_failure"), F.array_join("itemset", "|")).limit(features.MOST_WORDS + 1).collect()]
+    if len(patterns) > features.MOST_WORDS:
+        raise ValueError(f"over {features.MOST_WORDS} itemsets: state a higher support")
     return features.held_sets(w, patterns).select("window_id", F.array_join("features", "").alias("features"))
 
 

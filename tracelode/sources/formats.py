@@ -22,6 +22,11 @@ VOCABULARY = {
 }
 
 
+def strangers(events: DataFrame, source: str) -> DataFrame:
+    """The event types of normalised events, with their counts, that the source's closed vocabulary doesn't have."""
+    return events.groupBy("event_type").agg(F.count("*").alias("n")).where(F.col("event_type").isNull() | ~F.col("event_type").isin(VOCABULARY[source]))
+
+
 def machine_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Five CSV files with headers: telemetry, errors, maintenance, failures, machines. A missing one raises."""
     schemas = {
@@ -139,6 +144,15 @@ def counter_tables(spark: SparkSession, readouts: str, survival: str) -> dict[st
     return {"readouts": reader.schema(schema).csv(readouts), "survival": reader.schema("vehicle_id long, length_of_study_time_step double, in_study_repair int").csv(survival)}
 
 
+def join_rate(failures: DataFrame, records: DataFrame, keys: list[str], seed: Column | None = None) -> DataFrame:
+    """How many failures have a record with the same keys: failures, matched, rate, and those without one that `seed`
+    doesn't explain (planted by the generator). Records are met once per key."""
+    known = records.select(*keys).distinct().withColumn("__there", F.lit(True))
+    rows = failures.withColumn("__seed", F.coalesce(seed, F.lit(False)) if seed is not None else F.lit(False)).join(known, keys, "left")
+    there = F.coalesce("__there", F.lit(False))
+    return rows.agg(F.count("*").alias("failures"), F.count_if(there).alias("matched"), F.avg(there.cast("double")).alias("rate"), F.count_if(~there & ~F.col("__seed")).alias("unexplained"))
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
