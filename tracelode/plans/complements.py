@@ -75,7 +75,7 @@ def alarm_burden(spark, d):
 P = "list_transform({0}, lambda x: x / list_sum({0}))"
 
 
-@query("own_baseline", f"""with h as (select o_custkey as entity_id, o_orderkey as place, [{", ".join(f"count(*) filter (where least(4, (l_quantity - 1) // 10) = {i})::double" for i in range(5))}] as h from orders join lineitem on l_orderkey = o_orderkey group by 1, 2),
+@query("own_baseline", f"""with h as (select o_custkey as entity_id, o_orderkey as place, [{", ".join(f"count(*) filter (where least(4, floor((l_quantity - 1) / 10)) = {i})::double" for i in range(5))}] as h from orders join lineitem on l_orderkey = o_orderkey group by 1, 2),
   n as (select *, row_number() over (partition by entity_id order by place) as i, count(*) over (partition by entity_id) as n from h), base as (select entity_id, [{", ".join(f"sum(h[{i + 1}])" for i in range(5))}] as h0 from n where i <= ceil(n * 0.3) group by 1),
   later as (select entity_id, row_number() over (partition by entity_id order by place) as k, {P.format('h')} as p, {P.format('h0')} as q from n join base using (entity_id) where i > ceil(n * 0.3) and list_sum(h) > 0 and list_sum(h0) > 0),
   told as (select entity_id, k, list_sum(list_transform(range(1, 6), lambda i: abs(list_sum(p[1:i]) - list_sum(q[1:i])))) as distance, list_sum(list_transform(range(1, 6), lambda i: (i - 1) * (p[i] - q[i]))) as centroid,
