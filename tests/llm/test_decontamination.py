@@ -62,3 +62,29 @@ def test_cleaning_leaves_no_window_and_other_columns(spark):
     assert set(got) == {1, 3, 4, 5} and got[3].text is None and got[4].text == many and got[1].lang == "en"
     assert got[1].text == f"{many} . {many}"
     assert all(brute(r.text, ITEMS, 10)[4] is False for r in got.values()) and "short" not in got[5].text
+
+
+def test_memory_of_an_automaton(tmp_path):
+    """A tenth of a shard takes under 20 MB while it is built and loaded, and never two are held."""
+    import pickle
+    import random
+    import tracemalloc
+
+    rng = random.Random(1)
+    vocabulary = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
+    items = [(f"i{i}", d.words_of(" ".join(rng.choice(vocabulary) for _ in range(60)))) for i in range(1000)]
+    assert sum(len(w) + 1 for _, words in items for w in words) > 400_000
+    tracemalloc.start()
+    automaton = d.SuffixAutomaton(items, 10)
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    for name in "ab":
+        (tmp_path / name).write_bytes(pickle.dumps(automaton))
+    del automaton
+    before, peaks = tracemalloc.get_traced_memory()[0], []
+    for name in "aba":
+        tracemalloc.reset_peak()
+        assert d.load(f"file://{tmp_path}/{name}").hits(items[7][1]) == ([(0, 60)], {"i7"})
+        peaks.append(tracemalloc.get_traced_memory()[1] - before)
+        assert len(d.LOADED) == 1
+    tracemalloc.stop()
+    assert max(peaks) < 20e6 and peaks[2] < 1.2 * peaks[0]

@@ -5,8 +5,8 @@ state and length say the longest stretch, ending there, that some item contains.
 `window` of them are hit; items shorter than that hit where they occur whole.
 
 The automaton is built in shards of about SHARD_CHARS of item text, each by a task of its own and a file in the shared
-folder. Workers load one at a time and take a large part of their input through it: the driver never holds the
-benchmark, a worker never more than one shard.
+folder. Workers load one at a time (the one before goes first) and take a large part of their input through it: the
+driver never holds the benchmark, a worker never more than one shard, which takes about 100 MB.
 
 Defined cases: null and empty texts have no words and hit nothing; items without words are none; items that repeat an
 item_id count once, a null item_id counts as ''; rows that repeat and null doc_ids stay; an empty benchmark hits nothing
@@ -20,9 +20,10 @@ import hashlib
 import pickle
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,68 +45,103 @@ def words_of(text: str) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Of several word sequences. States are list entries: next (by word id), link and length of the longest stretch."""
+    """Of several word sequences, in arrays: a state's first transition (word and target), its link and the length of its
+    longest stretch; only states with several transitions, few of all, have a dictionary of the others. About 30 bytes a
+    state, of which there are at most two per word."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
         self.ids: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        ends: list[list[int]] = []
+        self.word, self.to, self.more = array("i", [-1]), array("i", [-1]), {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        ends = []
         for _, words in items:
-            last, states = 0, []
+            last, states = 0, array("i")
             for w in words:
                 last = self.extend(last, self.ids.setdefault(w, len(self.ids)))
                 states.append(last)
             ends.append(states)
-        self.name(items, ends)
+        self.name([n for n, _ in items], ends)
+
+    def step(self, p: int, c: int) -> int:
+        """The state after word c, or -1."""
+        if self.word[p] == c:
+            return self.to[p]
+        others = self.more.get(p)
+        return others.get(c, -1) if others else -1
+
+    def lead(self, p: int, c: int, q: int) -> None:
+        if self.word[p] in (-1, c):
+            self.word[p], self.to[p] = c, q
+        else:
+            self.more.setdefault(p, {})[c] = q
 
     def extend(self, last: int, c: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if c in nxt[last]:
-            q = nxt[last][c]
+        link, length = self.link, self.length
+        if (q := self.step(last, c)) >= 0:
             return q if length[q] == length[last] + 1 else self.clone(last, c, q)
-        cur = self.state({}, 0, length[last] + 1)
+        cur = self.state(-1, -1, 0, length[last] + 1)
         p = last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = cur
+        while p >= 0 and (q := self.step(p, c)) < 0:
+            self.lead(p, c, cur)
             p = link[p]
         if p >= 0:
-            q = nxt[p][c]
             link[cur] = q if length[q] == length[p] + 1 else self.clone(p, c, q)
         return cur
 
     def clone(self, p: int, c: int, q: int) -> int:
-        new = self.state(dict(self.next[q]), self.link[q], self.length[p] + 1)
+        new = self.state(self.word[q], self.to[q], self.link[q], self.length[p] + 1)
+        if q in self.more:
+            self.more[new] = dict(self.more[q])
         self.link[q] = new
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = new
+        while p >= 0 and self.step(p, c) == q:
+            self.lead(p, c, new)
             p = self.link[p]
         return new
 
-    def state(self, nxt: dict[int, int], link: int, length: int) -> int:
-        self.next.append(nxt)
+    def state(self, word: int, to: int, link: int, length: int) -> int:
+        self.word.append(word)
+        self.to.append(to)
         self.link.append(link)
         self.length.append(length)
-        return len(self.next) - 1
-
-    def name(self, items: list[tuple[str, list[bytes]]], ends: list[list[int]]) -> None:
-        """Which items' windows end in a state: those of `window` words, and whole shorter items by their length."""
-        self.windows: list[tuple[str, ...] | None] = [None] * len(self.next)
-        self.short: list[tuple[tuple[int, str], ...] | None] = [None] * len(self.next)
-        windows: dict[int, set[str]] = {}
-        short: dict[int, set[tuple[int, str]]] = {}
-        for (name, words), states in zip(items, ends, strict=True):
-            if 0 < len(words) < self.window:
-                short.setdefault(self.holder(states[-1], len(words)), set()).add((len(words), name))
-            for s in states[self.window - 1 :]:
-                windows.setdefault(self.holder(s, self.window), set()).add(name)
-        for s, names in windows.items():
-            self.windows[s] = tuple(sorted(names))
-        for s in sorted(range(len(self.next)), key=self.length.__getitem__):  # links lead to shorter ones
-            up = self.short[self.link[s]] if s else None
-            own = short.get(s)
-            self.short[s] = (*(up or ()), *sorted(own)) if own else up
+        return len(self.link) - 1
+
+    def name(self, names: list[str], ends: list[array]) -> None:
+        """Which items' windows end in a state: those of `window` words, and whole shorter items by their length. States
+        hold the numbers of different sets of names, -1 for none."""
+        number = {n: i for i, n in enumerate(dict.fromkeys(names))}
+        states, owners, short = array("i"), array("i"), {}
+        for name, own in zip(names, ends, strict=True):
+            if 0 < len(own) < self.window:
+                short.setdefault(self.holder(own[-1], len(own)), set()).add((len(own), name))
+            for s in own[self.window - 1 :]:
+                states.append(self.holder(s, self.window))
+                owners.append(number[name])
+        self.sets, known = [(n,) for n in number], {}
+        self.windows = array("i", [-1]) * len(self.link)
+        pairs = np.unique(np.frombuffer(states, np.int32).astype(np.int64) << 32 | np.frombuffer(owners, np.int32)) if states else np.empty(0, np.int64)
+        begins = np.append(np.flatnonzero(np.diff(pairs >> 32, prepend=-1)), len(pairs)).tolist()
+        for a, b in zip(begins[:-1], begins[1:], strict=True):
+            own = (pairs[a:b] & 0xFFFFFFFF).tolist()
+            if len(own) > 1:
+                key = tuple(own)
+                if key not in known:
+                    known[key] = len(self.sets)
+                    self.sets.append(tuple(sorted(self.sets[i][0] for i in own)))
+                own = [known[key]]
+            self.windows[int(pairs[a] >> 32)] = own[0]
+        self.short, self.shorts = array("i", [-1]) * len(self.link), []
+        if short:
+            combined: dict[tuple[int, tuple], int] = {}
+            for s in np.argsort(np.frombuffer(self.length, np.int32), kind="stable").tolist():  # links lead to shorter ones
+                up = self.short[self.link[s]] if s else -1
+                if s in short:
+                    key = up, tuple(sorted(short[s]))
+                    if key not in combined:
+                        combined[key] = len(self.shorts)
+                        self.shorts.append((*(self.shorts[up] if up >= 0 else ()), *key[1]))
+                    up = combined[key]
+                self.short[s] = up
 
     def holder(self, state: int, n: int) -> int:
         """The state of the last n words of a stretch that ends in state."""
@@ -115,7 +151,7 @@ class SuffixAutomaton:
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans of word places that are hit, joined where they touch, and the items hit."""
-        nxt, link, length, window, short = self.next, self.link, self.length, self.window, self.short
+        first, to, more, link, length, window, short = self.word, self.to, self.more, self.link, self.length, self.window, self.short
         spans: list[tuple[int, int]] = []
         names: set[str] = set()
         state = n = 0
@@ -123,20 +159,25 @@ class SuffixAutomaton:
             if w is None:
                 state = n = 0
                 continue
-            to = nxt[state].get(w)
-            while to is None and state:
+            while True:
+                if first[state] == w:
+                    after = to[state]
+                    break
+                others = more.get(state)
+                after = others.get(w, -1) if others else -1
+                if after >= 0 or not state:
+                    break
                 state = link[state]
                 n = length[state]
-                to = nxt[state].get(w)
-            if to is None:
+            if after < 0:
                 continue
-            state = to
+            state = after
             n += 1
             if n >= window:
                 add(spans, i + 1 - window, i + 1)
-                names.update(self.windows[self.holder(state, window)] or ())
-            if short[state] is not None:
-                for m, name in short[state]:
+                names.update(self.sets[self.windows[self.holder(state, window)]])
+            if short[state] >= 0:
+                for m, name in self.shorts[short[state]]:
                     if m <= n:
                         add(spans, i + 1 - m, i + 1)
                         names.add(name)
@@ -192,11 +233,18 @@ def grouped(batches: Iterator[pa.RecordBatch], text: str, paths: list[str]) -> I
         yield from in_slices([pa.concat_batches(held)], text, ROUND)
 
 
-@lru_cache(maxsize=1)
+#: The one automaton that a worker holds.
+LOADED: dict[str, SuffixAutomaton] = {}
+
+
 def load(path: str) -> SuffixAutomaton:
-    fs, base = filesystem(path)
-    with fs.open_input_stream(base) as f:
-        return pickle.loads(f.read())
+    """The automaton of a file; the one before it goes first."""
+    if path not in LOADED:
+        LOADED.clear()
+        fs, base = filesystem(path)
+        with fs.open_input_stream(base) as f:
+            LOADED[path] = pickle.loads(f.read())
+    return LOADED[path]
 
 
 def all_hits(paths: list[str], texts: list[str]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
