@@ -15,25 +15,33 @@ DOCS = [
 ]
 
 
+def masked_by_hand(line):
+    """Wildcards for tokens with a digit; a line of such tokens alone stays as it is."""
+    tokens = line.split()
+    masked = tuple("*" if re.search("[0-9]", t) else t for t in tokens)
+    return masked if set(masked) != {"*"} else ("alone", *tokens)
+
+
 def brute(docs, depth=2, least=3, similarity=0.75):
     """Leaf by leaf in plain Python; returns the kept text per row."""
     lines = {}
     for doc, text in docs:
         doc = L.no_id() if doc is None else doc
         for line in (text or "").split("\n"):
-            masked = tuple("*" if re.search("[0-9]", t) else t for t in line.split())
-            if len(masked) >= least:
+            masked = masked_by_hand(line)
+            if len(line.split()) >= least:
                 lines.setdefault(masked, set()).add(doc)
     leaves = {}
     for masked, ids in lines.items():
-        leaves.setdefault((len(masked), tuple([t for t in masked if t != "*"][:depth])), []).append((min(ids), masked))
+        leaves.setdefault(masked if masked[:1] == ("alone",) else (len(masked), tuple([t for t in masked if t != "*"][:depth])), []).append((min(ids), masked))
     first = {}
     for rows in leaves.values():
         templates = []
         for _, masked in sorted(rows, key=lambda r: (r[0], L.hashlib.blake2b(" ".join("\0" if t == "*" else t for t in r[1]).encode(), digest_size=16).digest())):
             shares = [sum(a == b for a, b in zip(t, masked, strict=True)) for t, _ in templates]
-            if shares and max(shares) >= similarity * len(masked):
-                t, members = templates[shares.index(max(shares))]
+            best = templates[shares.index(max(shares))] if shares else ([], [])
+            if shares and max(shares) >= similarity * len(masked) and any(a == b != "*" for a, b in zip(best[0], masked, strict=True)):
+                t, members = best
                 t[:] = [a if a == b else "*" for a, b in zip(t, masked, strict=True)]
                 members.append(masked)
             else:
@@ -48,7 +56,7 @@ def brute(docs, depth=2, least=3, similarity=0.75):
         if text is None:
             out.append((doc, None))
             continue
-        rest = [x for x in text.split("\n") if first.get(tuple("*" if re.search("[0-9]", t) else t for t in x.split()), me) == me]
+        rest = [x for x in text.split("\n") if first.get(masked_by_hand(x), me) == me]
         out.append((doc, "\n".join(rest)))
     return out
 
@@ -97,7 +105,7 @@ def test_index_finds_what_comparing_with_all_templates_finds(monkeypatch):
         monkeypatch.setattr(L, "FEW", few)
         leaf = L.Leaf(12, 0.75)
         for i, t in enumerate(lines):
-            leaf.add(i.to_bytes(16, "big"), i, i, t)
+            leaf.add(i.to_bytes(16, "big"), i, i, 1, t)
         found.append((list(leaf.owner), leaf.templates[: len(leaf.low)].tolist(), list(leaf.recurring())))
     assert found[0] == found[1] == found[2] and len(leaf.low) < 800
 
@@ -111,7 +119,7 @@ def test_work_in_a_leaf_of_unlike_lines_grows_with_their_number(monkeypatch):
         rnd, leaf = np.random.default_rng(3), L.Leaf(12, 0.75)
         compared.clear()
         for i in range(n):
-            leaf.add(i.to_bytes(16, "big"), i, i, rnd.integers(1, 60000, 12).astype(np.uint16))
+            leaf.add(i.to_bytes(16, "big"), i, i, 1, rnd.integers(1, 60000, 12).astype(np.uint16))
         sums.append(sum(compared))
     assert sums[1] <= 2.3 * sums[0]
 
@@ -126,3 +134,18 @@ def test_clashing_names(spark):
     rows = [(1, "alpha beta gamma delta", "k", 7), (2, "alpha beta gamma delta\nown words are here", "l", 8)]
     out = L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, __key string, __drop long"))
     assert sorted(map(tuple, out.collect())) == [rows[0], (2, "own words are here", "l", 8)]
+
+
+def test_lines_of_numbers(spark):
+    """Numbers alone are no template: only equal lines recur. A template that would lose its last constant isn't one."""
+    rows = [(1, "42\n12 34 56\np53 2024-01-02 BRCA1 q7\n7\nx 1 2 3 4 5 6 7"), (2, "1999\n9 8 7\na1 b2 c3 d4\n7\n1 x 2 3 4 5 6 7"), (3, "42\ntotal 5"), (4, "total 9")]
+    got = {r.doc_id: r.text for r in L.report(frame(spark, rows), least=1).collect()}
+    assert got == {1: rows[0][1], 2: "1999\n9 8 7\na1 b2 c3 d4\n1 x 2 3 4 5 6 7", 3: "total 5", 4: ""}
+    assert sorted(brute(rows, least=1)) == sorted(got.items())
+
+
+def test_hot_lines(spark):
+    """One line of all documents is dealt to several tasks."""
+    rows = [(i, f"the same line\nown{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}") for i in range(1000)]
+    got = {r.doc_id: r.text for r in L.report(frame(spark, rows), least=1).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == rows[i][1].split("\n")[1] for i in range(1, 1000))

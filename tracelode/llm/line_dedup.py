@@ -4,10 +4,12 @@ A line's tokens (split at white space; letters of scripts written without spaces
 fixed depth: the number of tokens, then the leading tokens without a digit, as far as there are any (tokens that hold a
 digit are wildcards, so a date or number at the beginning doesn't lead all such lines to one leaf). In a leaf, lines join the template that most of their tokens agree with, if the share is at least
 `similarity`; differing tokens become wildcards. A template with lines in two or more documents recurs: its lines stay
-in the first such document (the smallest doc_id) and are dropped from all others.
+in the first such document (the smallest doc_id) and are dropped from all others. A template keeps at least one token that
+isn't a wildcard; a line of which every token holds a digit (rows of a table of numbers) recurs only where an equal line does.
 
 How it scales: the same masked line from many documents is one row before anything is gathered (partial aggregation
-by its hash), and what travels is hashes of lines and 16-bit hashes of tokens, not text (two unlike tokens in one place
+by its hash), lines of a hash that a great share of all lines have are dealt to several tasks when they meet their
+template's first document, and what travels is hashes of lines and 16-bit hashes of tokens, not text (two unlike tokens in one place
 agree by chance once in 65,535 times). A leaf's lines stream through one task sorted; its state is the templates and 20
 bytes per different line. Where a leaf has over FEW templates, these are indexed by (place, token): as a line has to
 agree with its template in all but d of n places, the template is in one of the lists of any d + 1 places, of which the
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import in_slices, own_name
+from tracelode.llm.common import in_slices, own_name, spread_join, written
 
 DIGIT = re.compile(r"[0-9]")
 #: Thai to Myanmar, Khmer, Tai scripts, Javanese, kana, bopomofo and Han with their punctuation: written without spaces.
@@ -46,6 +48,8 @@ PARTS = re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
 MAYBE = np.array([RUN.match(chr(c)) is not None or 0xD840 <= c <= 0xDFFF for c in range(65536)])
 #: What stands for a token with a digit or one in which lines differ; templates of a leaf that are compared one by one.
 WILD, FEW = 0, 64
+#: Begins a line that has no token without a digit: it is a leaf of its own.
+ALONE = "\0\0"
 LINES = "doc long, row long, line int, hash binary, leaf long, tokens binary"
 
 
@@ -78,11 +82,15 @@ class Masker:
         self.depth, self.least = depth, max(least, 1)
 
     def masked(self, line: str, unspaced: bool) -> bytes | None:
-        """The tokens, NUL for those with a digit; None for an empty line or one that is too short to judge."""
+        """The tokens, NUL for those with a digit; where all have one, the line as it is behind two NULs, as only equal
+        lines recur then. None for an empty line or one that is too short to judge."""
         tokens = tokens_of(line, unspaced)
         if len(tokens) < self.least:
             return None
-        return " ".join(["\0" if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens).encode()
+        if not DIGIT.search(line):
+            return " ".join(tokens).encode()
+        masked = ["\0" if DIGIT.search(t) else t for t in tokens]
+        return (" ".join(masked) if masked.count("\0") < len(masked) else ALONE + " ".join(tokens)).encode()
 
     def hash(self, masked: bytes) -> bytes:
         return hashlib.blake2b(masked, digest_size=16).digest()
@@ -90,6 +98,8 @@ class Masker:
     def leaf(self, masked: bytes) -> tuple[int, bytes]:
         """Its leaf and its tokens."""
         tokens = masked.split(b" ")
+        if masked.startswith(ALONE.encode()):
+            return small(masked), array("H", [crc32(t) % 65535 + 1 for t in tokens]).tobytes()
         leading = tokens[: self.depth] if b"\0" not in masked else islice((t for t in tokens if t != b"\0"), self.depth)
         leaf = small(b" ".join([b"%d" % len(tokens), *leading]))
         return leaf, array("H", [WILD if t == b"\0" else crc32(t) % 65535 + 1 for t in tokens]).tobytes()
@@ -124,12 +134,14 @@ class Leaf:
         self.least = math.ceil(similarity * width - 1e-9)  # places that have to agree
         self.templates = np.empty((1, width), np.uint16)
         self.low, self.high = [], []
-        self.hashes, self.owner = bytearray(), array("l")
+        self.hashes, self.owner, self.lines = bytearray(), array("l"), array("q")
         self.lists: dict[int, list[int]] | None = None  # by place * 65,536 + token
 
-    def add(self, h: bytes, low: int, high: int, tokens: np.ndarray) -> None:
+    def add(self, h: bytes, low: int, high: int, lines: int, tokens: np.ndarray) -> None:
         n = len(self.low)
         best = self.best(tokens) if n else -1
+        if best >= 0 and not ((self.templates[best] == tokens) & (tokens != WILD)).any():
+            best = -1  # a template has to keep a token that isn't a wildcard
         if best < 0:
             best = n
             if n == len(self.templates):
@@ -153,6 +165,7 @@ class Leaf:
             self.low[best], self.high[best] = min(self.low[best], low), max(self.high[best], high)
         self.hashes += h
         self.owner.append(best)
+        self.lines.append(lines)
 
     def enter(self, i: int) -> None:
         for key in self.keys(self.templates[i]):
@@ -175,44 +188,44 @@ class Leaf:
         at = int(share.argmax())
         return int(looked[at]) if share[at] >= self.least else -1
 
-    def recurring(self) -> Iterator[tuple[bytes, int]]:
-        """(hash, first document) of all lines of templates that recur."""
+    def recurring(self) -> Iterator[tuple[bytes, int, int]]:
+        """(hash, first document, number) of all lines of templates that recur."""
         for i, t in enumerate(self.owner):
             if self.high[t] > self.low[t]:
-                yield bytes(self.hashes[16 * i : 16 * i + 16]), self.low[t]
+                yield bytes(self.hashes[16 * i : 16 * i + 16]), self.low[t], self.lines[i]
 
 
 def recurring(docs: DataFrame, depth: int = 2, least: int = 3, similarity: float = 0.75, text: str = "text") -> DataFrame:
-    """(hash, first) of the masked lines whose template recurs: each hash once."""
-    distinct = lines_of(docs, depth, least, tokens=True, text=text).groupBy("leaf", "hash", "tokens").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    """(hash, first, n) of the masked lines whose template recurs: each hash once, with how many lines have it."""
+    distinct = lines_of(docs, depth, least, tokens=True, text=text).groupBy("leaf", "hash", "tokens").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
     ordered = distinct.repartition("leaf").sortWithinPartitions("leaf", F.length("tokens"), "low", "hash")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf, at = None, None
         for batch in batches:
-            for key, h, a, b, t in zip(*[batch.column(c).to_pylist() for c in ("leaf", "hash", "low", "high", "tokens")], strict=True):
+            for key, h, a, b, n, t in zip(*[batch.column(c).to_pylist() for c in ("leaf", "hash", "low", "high", "n", "tokens")], strict=True):
                 if at != (key, len(t)):
                     if leaf is not None:
                         yield from found(leaf)
                     leaf, at = Leaf(len(t) // 2, similarity), (key, len(t))
-                leaf.add(h, a, b, np.frombuffer(t, "<u2"))
+                leaf.add(h, a, b, n, np.frombuffer(t, "<u2"))
         if leaf is not None:
             yield from found(leaf)
 
     def found(leaf: Leaf) -> Iterator[pa.RecordBatch]:
         rows = leaf.recurring()
         while some := list(islice(rows, 50_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.binary(), pa.int64()), strict=True)], ["hash", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["hash", "first", "n"])
 
-    return ordered.mapInArrow(parse, "hash binary, first long")
+    return ordered.mapInArrow(parse, "hash binary, first long, n long")
 
 
 def marked(docs: DataFrame, depth: int = 2, least: int = 3, similarity: float = 0.75, text: str = "text") -> tuple[DataFrame, str]:
     """docs with one more column, and its name: places of the lines to drop, null if none. All lines are judged."""
-    found = recurring(docs, depth, least, similarity, text)
+    found = written(recurring(docs, depth, least, similarity, text), "recurring-lines")
     lines = lines_of(docs, depth, least, tokens=False, text=text)
     key, drop = own_name(docs, "__key"), own_name(docs, "__drop")
-    drops = lines.join(found, "hash").where("doc <> first").groupBy("doc", "row").agg(F.collect_set("line").alias(drop))
+    drops = spread_join(lines, found, ["hash"], "n").where("doc <> first").groupBy("doc", "row").agg(F.collect_set("line").alias(drop))
     left = docs.withColumn(key, F.struct(F.coalesce(F.col("doc_id"), F.lit(no_id())).alias("doc"), F.xxhash64(text).alias("row")))
     return left.join(drops.select(F.struct("doc", "row").alias(key), drop), key, "left").drop(key), drop
 
