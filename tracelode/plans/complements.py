@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tracelode.operators import alarms, evaluation, features, mining, outages, samplers, windows
 from tracelode.plans import sql as S
-from tracelode.plans.catalogue import DAY, HOUR, LIFT, RAISED, SHUFFLED, history, judged_by_model, kept_windows, query, r6, raised_alarms, stream
+from tracelode.plans.catalogue import DAY, HOUR, RAISED, history, judged_by_model, kept_windows, query, r6, raised_alarms, stream
+from tracelode.plans.studies import contrast_sql
 from tracelode.sources import formats
 from tracelode.sources import tables as T
 from tracelode.sources.shared import written
@@ -163,12 +164,6 @@ def support_head_to_head(spark, d):
     return r6(evaluation.auroc(out, *by).join(evaluation.average_precision(out, *by), [*by]), "auroc", "average_precision")
 
 
-def contrast_sql(k: int) -> str:
-    """Mean of the ten highest lifts of sequences, real and shuffled."""
-    top = lambda win: f"(select avg(lift) from (select {LIFT} as lift from (with {S.SEQUENCES.replace('from win', f'from {win}')} select * from frequent) order by lift desc limit 10))"
-    return f"select 'last{k}' as horizon, * from (with {S.windows(k)}, {SHUFFLED} select {top('win')} as real, {top('mixed')} as shuffled)"
-
-
 @query("sequence_invariants", f"select horizon, round(real, 6) as real, round(shuffled, 6) as shuffled, round((real - shuffled) / shuffled, 6) as gain, coalesce(case when horizon = 'last2' then abs((real - shuffled) / shuffled) < 0.05 else real > shuffled end, false) as holds from ({contrast_sql(2)} union all {contrast_sql(5)})")
 def sequence_invariants(spark, d):
     """Windows of two events hardly have an order to lose, those of five have."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracelode.operators import alarms, chains, closed, evaluation, features, mining, samplers, stats, windows
 from tracelode.plans import sql as S
 from tracelode.plans.catalogue import (
-    BASE, CLEAN, DAY, HOUR, LIFT, NEWTON, ORACLES, REPLAYED, YEK, bars, bh, ceiling_sql, history, kept_windows, order_stream, query, r6, relabel_sql, stream, subjects,
+    BASE, CLEAN, DAY, ERFC, HOUR, LIFT, NEWTON, ORACLES, REPLAYED, SHUFFLED, YEK, bars, bh, ceiling_sql, history, kept_windows, order_stream, query, r6, relabel_sql, stream, subjects,
 )
 from tracelode.sources import formats
 from tracelode.sources import tables as T
@@ -93,18 +93,23 @@ def riskset_signatures(spark, d):
     return r6(rows.select(bars("itemset"), "n_failure", "n_control", odds.alias("odds_ratio"), "p", "q", "q_by"), "odds_ratio", "p", "q", "q_by")
 
 
-@query("matched_hazard_split", f"""with recursive {RISK}, halves as (select match_id, row_number() over (order by {S.draw('match_id', '11')}, match_id) <= floor(0.5 * count(*) over ()) as discovery from (select distinct match_id from win)),
+MATCHED = f"""with recursive {RISK}, halves as (select match_id, row_number() over (order by {S.draw('match_id', '11')}, match_id) <= floor(0.5 * count(*) over ()) as discovery from (select distinct match_id from win)),
   {S.ITEMSETS.replace('from win', 'from (select * from win join halves using (match_id) where discovery)')}, best as (select itemset from frequent order by n_failure desc, itemset limit 200), other as (select * from win join halves using (match_id) where not discovery),
-  total as (select match_id, count(*) as n from other group by 1), strata as (select array_to_string(itemset, '|') as pattern, match_id, n, count(*) as t, max(cast(is_failure as int)) as x from best join other on list_has_all(item_set, itemset) join total using (match_id) group by 1, 2, 3), {NEWTON}
+  total as (select match_id, count(*) as n from other group by 1), strata as (select array_to_string(itemset, '|') as pattern, match_id, n, count(*) as t, max(cast(is_failure as int)) as x from best join other on list_has_all(item_set, itemset) join total using (match_id) group by 1, 2, 3), {NEWTON}"""
+
+
+@query("matched_hazard_split", f"""{MATCHED}
   select pattern, cast(strata as bigint) as strata, cast(observed as bigint) as observed, round(exp(beta), 5) as hazard_ratio from fitted join seen using (pattern) where se is not null""")
 def matched_hazard_split(spark, d):
     return samplers.matched_split(risk_windows(spark, d)).select("pattern", "strata", "observed", F.round("hazard_ratio", 5).alias("hazard_ratio"))
 
 
-@query("matched_hazard_fdr")
+@query("matched_hazard_fdr", f"""{MATCHED}, tested as (select pattern, beta, se, {ERFC.format('(abs(beta / se) / 1.4142135623730951)')} as p from fitted where se is not null), {bh()}, both_ as (select *, least(1.0, {YEK} * min(p * m / k) over (order by p range between current row and unbounded following)) as q_by from q)
+  select pattern, round(exp(beta), 4) as hazard_ratio, round(exp(beta - 1.96 * se), 4) as hr_low, round(exp(beta + 1.96 * se), 4) as hr_high, round(p, 4) as p, round(q, 4) as q, round(q_by, 4) as q_by from both_""")
 def matched_hazard_fdr(spark, d):
-    """The same with p and both corrections, which SQL would have to integrate for each pattern."""
-    return r6(samplers.matched_split(risk_windows(spark, d)).select("pattern", "hazard_ratio", "hr_low", "hr_high", "p", "q", "q_by"), "hazard_ratio", "hr_low", "hr_high", "p", "q", "q_by")
+    """The same with intervals, p and both corrections."""
+    rows = samplers.matched_split(risk_windows(spark, d))
+    return rows.select("pattern", *[F.round(c, 4).alias(c) for c in ("hazard_ratio", "hr_low", "hr_high", "p", "q", "q_by")])
 
 
 def mined_sql(k: int) -> str:
@@ -118,7 +123,13 @@ def mine_all_horizons(spark, d):
     return r6(samplers.mined_horizons(rows, ["last5", "last10"]), "top_lift", "permuted_top")
 
 
-@query("shuffle_contrast")
+def contrast_sql(k: int) -> str:
+    """Mean of the ten highest lifts of sequences, real and shuffled."""
+    top = lambda win: f"(select avg(lift) from (select {LIFT} as lift from (with {S.SEQUENCES.replace('from win', f'from {win}')} select * from frequent) order by lift desc limit 10))"
+    return f"select 'last{k}' as horizon, * from (with {S.windows(k)}, {SHUFFLED} select {top('win')} as real, {top('mixed')} as shuffled)"
+
+
+@query("shuffle_contrast", f"select round(real, 6) as real, round(shuffled, 6) as shuffled, round((real - shuffled) / shuffled, 6) as gain from ({contrast_sql(5)})")
 def shuffle_contrast(spark, d):
     return r6(samplers.shuffle_contrast(kept_windows(spark, d)), "real", "shuffled", "gain")
 
