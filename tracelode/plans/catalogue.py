@@ -554,12 +554,12 @@ def surprise_binning(spark, d):
     return r6(features.surprises(stream(spark, d), ["value"]).select("entity_id", "ordinal", "step"), "step")
 
 
-HOURLY = f"{S.EV}, rows_ as (select entity_id, event_type as channel, us // {HOUR} as hour, avg(value) as v from ev group by 1, 2, 3), scale as (select channel, case when quantile_cont(v, 0.75) - quantile_cont(v, 0.25) > 0 then quantile_cont(v, 0.75) - quantile_cont(v, 0.25) else 1.0 end as scale from rows_ where entity_id in (select distinct entity_id from rows_ order by 1 limit 40) group by 1)"
+HOURLY = f"{S.EV}, rows_ as (select entity_id, event_type as channel, us // {HOUR} as hour, avg(value) as v from ev group by 1, 2, 3), scale as (select channel, case when quantile_cont(v, 0.75) - quantile_cont(v, 0.25) > 0 then quantile_cont(v, 0.75) - quantile_cont(v, 0.25) else 1.0 end as scale from rows_ where entity_id in (select distinct entity_id from rows_ order by 1 limit 400) group by 1)"
 
 
 def hourly(spark: SparkSession, d: str) -> DataFrame:
     rows = stream(spark, d).groupBy("entity_id", F.col("event_type").alias("channel"), F.floor(F.col("us") / HOUR).alias("hour")).agg(F.avg("value").alias("v"))
-    return rows.join(F.broadcast(features.iqr_scale(rows, 40)), "channel")
+    return rows.join(F.broadcast(features.iqr_scale(rows)), "channel")
 
 
 @query("iqr_scale", f"with {HOURLY} select channel, round(scale, 6) as scale from scale")
