@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 from hashlib import md5
 from math import comb
 
@@ -21,11 +22,16 @@ def temporal_split(windows: DataFrame, share: float = 0.7) -> DataFrame:
     return windows.crossJoin(F.broadcast(cut)).withColumn("train", F.col("anchor") <= F.col("cut")).drop("cut")
 
 
+def part_of(number: Column, share: float) -> Column:
+    """The whole part of a share of a number, in decimals: as doubles, 0.7 of 90,000 is under 63,000."""
+    return F.floor(number * F.lit(Decimal(str(share)))).cast("long")
+
+
 def entity_split(windows: DataFrame, share: float = 0.7, seed: int = 0) -> DataFrame:
     """windows with train: by entity, in the order of their draws."""
     entities = windows.select("entity_id").distinct()
     placed = ranked_by_draw(entities, ["entity_id", F.lit(seed)], ["entity_id"])
-    number = entities.agg(F.floor(F.count("*") * share).alias("k"))  # one row
+    number = entities.agg(part_of(F.count("*"), share).alias("k"))  # one row
     return windows.join(placed.crossJoin(F.broadcast(number)).select("entity_id", (F.col("place") <= F.col("k")).alias("train")), "entity_id")
 
 
@@ -36,7 +42,7 @@ def entity_splits(rows: DataFrame, seeds: int, share: float = 0.7) -> DataFrame:
     each = rows.select("entity_id").distinct().withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     placed = each.withColumn("d", draw("entity_id", "seed")).withColumn("b", F.shiftright("d", 20))
     sizes = placed.groupBy("seed", "b").agg(F.count("*").alias("n"))
-    before = running(sizes, ["seed"], F.col("b"), {"before": F.col("n")}, inclusive=False).join(sizes.groupBy("seed").agg(F.floor(F.sum("n") * share).alias("k")), "seed")
+    before = running(sizes, ["seed"], F.col("b"), {"before": F.col("n")}, inclusive=False).join(sizes.groupBy("seed").agg(part_of(F.sum("n"), share).alias("k")), "seed")
     inside = Window.partitionBy("seed", "b").orderBy("d", "entity_id")
     halves = placed.withColumn("i", F.row_number().over(inside)).join(before.select("seed", "b", "before", "k"), ["seed", "b"])
     return halves.select("entity_id", "seed", (F.col("before") + F.col("i") <= F.col("k")).alias("train"))

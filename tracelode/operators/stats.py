@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tracelode.functions.columns import draw, erfc, hypergeometric_tail
+from tracelode.operators.evaluation import part_of
 from tracelode.operators.ordered import ranked_by_draw, running
 from tracelode.sources.shared import written
 
@@ -45,7 +46,7 @@ def split(windows: DataFrame, seed: int, share: float = 0.5, entity: str = "enti
     """windows with discovery: whether their entity is among the share with the smallest draws. Entities are ranked, not windows."""
     entities = windows.select(entity).distinct()
     placed = ranked_by_draw(entities, [entity, F.lit(seed)], [entity])
-    number = entities.agg(F.floor(F.count("*") * share).alias("k"))  # one row
+    number = entities.agg(part_of(F.count("*"), share).alias("k"))  # one row
     return windows.join(placed.crossJoin(F.broadcast(number)).select(entity, (F.col("place") <= F.col("k")).alias("discovery")), entity)
 
 
