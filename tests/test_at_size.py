@@ -11,3 +11,21 @@ def test_share_of_entities_is_exact(spark):
     assert evaluation.entity_split(rows).where("train").count() == 63
     assert {r["count"] for r in evaluation.entity_splits(rows, 3).where("train").groupBy("seed").count().collect()} == {63}
     assert stats.split(rows, 1, share=0.7).where("discovery").count() == 63
+
+
+def test_recency_map_rounds_exactly(spark, tmp_path):
+    """Spans of half a millisecond, which no double has exactly, are rounded upwards by query and SQL."""
+    import duckdb
+
+    from tracelode.plans import catalogue
+
+    start, users = 1_704_067_200_000_000, []
+    con = duckdb.connect()
+    con.execute("create table e (event_id bigint, us bigint, user_id bigint, event_type varchar, value double, props varchar)")
+    for u, span in enumerate([133_530_153_500, 265_418_645_500, 66_533_481_500, 1_000_500, 2_500_000, 35_500_000]):
+        users += [(3 * u, start, u, "view", 1.0, "{1}"), (3 * u + 1, start + span, u, "view", 1.0, "{1}"), (3 * u + 2, start + span + 500_000, u, "error", 1.0, "{1}")]
+    con.executemany("insert into e values (?, ?, ?, ?, ?, ?)", users)
+    con.execute(f"copy (select * exclude us, make_timestamp(us) as ts from e) to '{tmp_path}/events.parquet'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got = sorted(map(tuple, catalogue.queries()["recency_map"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(catalogue.oracle_sql()["recency_map"]).fetchall()) and 133530.154 in {r[3] for r in got}
