@@ -29,3 +29,11 @@ def test_recency_map_rounds_exactly(spark, tmp_path):
     con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
     got = sorted(map(tuple, catalogue.queries()["recency_map"](spark, str(tmp_path)).collect()))
     assert got == sorted(con.execute(catalogue.oracle_sql()["recency_map"]).fetchall()) and 133530.154 in {r[3] for r in got}
+
+
+def test_equal_steps_are_no_surprise(spark):
+    """Steps of 0.1, which as doubles differ in the last bit: none is above the quantile."""
+    from tracelode.operators import features
+
+    rows = [(1, i, i, round(i / 10, 1)) for i in range(40)]
+    assert not features.surprises(spark.createDataFrame(rows, "entity_id int, us long, ordinal long, value double"), ["value"]).collect()

@@ -171,12 +171,15 @@ def residuals(rows: DataFrame, y: str, xs: list[str], by: str) -> DataFrame:
     return rows.join(fitted, by).withColumn("residual", F.col(y) - predicted).drop("w")
 
 
-def surprises(readouts: DataFrame, values: list[str], share: float = 0.9) -> DataFrame:
-    """Per entity and channel, the readouts whose absolute step is above the entity's own quantile of that channel."""
+def surprises(readouts: DataFrame, values: list[str], share: float = 0.9, places: int = 9) -> DataFrame:
+    """Per entity and channel, the readouts whose absolute step is above the entity's own quantile of that channel.
+
+    Steps and quantiles are rounded to `places`: equal steps of decimals differ in the last bit as doubles, and an
+    interpolation between them may give either."""
     long = readouts.unpivot(["entity_id", "us", "ordinal"], values, "channel", "v")
     order = Window.partitionBy("entity_id", "channel").orderBy("us", "ordinal")
-    steps = long.withColumn("step", F.abs(F.col("v") - F.lag("v").over(order))).where("step is not null")
-    limit = steps.groupBy("entity_id", "channel").agg(F.percentile("step", share).alias("q"))
+    steps = long.withColumn("step", F.round(F.abs(F.col("v") - F.lag("v").over(order)), places)).where("step is not null")
+    limit = steps.groupBy("entity_id", "channel").agg(F.round(F.percentile("step", share), places).alias("q"))
     return steps.join(limit, ["entity_id", "channel"]).where("step > q").select("entity_id", "us", "ordinal", "channel", "step")
 
 
