@@ -37,3 +37,15 @@ def test_equal_steps_are_no_surprise(spark):
 
     rows = [(1, i, i, round(i / 10, 1)) for i in range(40)]
     assert not features.surprises(spark.createDataFrame(rows, "entity_id int, us long, ordinal long, value double"), ["value"]).collect()
+
+
+def test_permutations_of_tallied_hits(spark):
+    """Hits of different sets give what the hits of every window give, and no window's patterns are listed."""
+    from tracelode.operators import mining
+
+    rows = [(f"{i % 7}/{i}", i % 7, i % 3 == 0, sorted({"ab"[i % 2], "cde"[i * i % 3]})) for i in range(200)]
+    w = spark.createDataFrame(rows, "window_id string, entity_id int, is_failure boolean, item_set array<string>")
+    sets = spark.createDataFrame([(["a"],), (["c"],), (["a", "d"],)], "itemset array<string>")
+    every, tallied = mining.set_hits(w, sets), mining.set_hits(mining.tallied(w, "item_set"), sets)
+    for test in (stats.within_entity_p, stats.min_p):
+        assert sorted(map(tuple, test(tallied, w, "itemset", 20).collect())) == sorted(map(tuple, test(every, w, "itemset", 20).collect()))

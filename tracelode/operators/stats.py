@@ -93,17 +93,47 @@ def alike(hits: DataFrame, pattern: str) -> DataFrame:
 def within_entity_p(hits: DataFrame, windows: DataFrame, pattern: str, draws: int = 2000) -> DataFrame:
     """p of a pattern's lift when labels are permuted within each entity.
 
-    For a fixed set of hits the lift grows with the number of case hits, and that number is a sum over entities of
-    hypergeometric draws; so only counts per entity are used: of `h` hits among `n` windows with `f` failures, the
-    draw takes the failures' places by hash."""
-    order = Window.partitionBy("entity_id", "b").orderBy(draw("window_id", "b"), "window_id")
-    labels = windows.join(windows.groupBy("entity_id").agg(F.count_if("is_failure").alias("f")), "entity_id").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    labelled = labels.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("f")).select("window_id", "b")
-    real = hits.groupBy(pattern).agg(F.count_if("is_failure").alias("case_hits"))
-    counts = labelled.join(alike(hits, pattern), "window_id").groupBy("b", "held").agg(F.count("*").alias("n"))
-    null = counts.select("b", "n", F.explode("held").alias(pattern)).groupBy(pattern, "b").agg(F.sum("n").alias("drawn"))
-    joined = real.join(null, pattern, "left")
-    return joined.groupBy(pattern, "case_hits").agg(((1 + F.count_if(F.col("drawn") >= F.col("case_hits")) + F.when(F.col("case_hits") == 0, draws - F.count("b")).otherwise(0)) / (draws + 1)).alias("p_within"))
+    For a fixed set of hits the lift grows with the number of case hits, so only these are counted. A draw fails an
+    entity's windows with the smallest hashes; windows that hold the same patterns are one class, and a task sends one
+    array of draws per class it has seen: no row is made of a window and a draw. An entity's windows meet in one task."""
+    rows, held = hit_classes(hits, windows, pattern)
+    parts = parts_of(rows.count() * draws, rows)
+    suffixes = [f"|{b}".encode() for b in range(1, draws + 1)]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        entity, own = None, []
+        for batch in batches:
+            for e, *row in zip(*[batch.column(c).to_pylist() for c in ("entity_id", "window_id", "is_failure", "c")], strict=True):
+                if e != entity:
+                    deal(own, total)
+                    entity, own = e, []
+                    if len(total) > MOST_CLASSES:
+                        yield class_sums(total)
+                        total.clear()
+                own.append(row)
+        deal(own, total)
+        if total:
+            yield class_sums(total)
+
+    def deal(own: list, total: dict) -> None:
+        n, fails = len(own), sum(y for _, y, _ in own)
+        if not fails:
+            return
+        names, code = np.unique([c for *_, c in own], return_inverse=True)
+        member = np.zeros((n, len(names)), np.float32)
+        member[np.arange(n), code] = 1
+        prefixes, step = [w.encode() for w, *_ in own], max(1, 500_000 // n)
+        for at in range(0, draws, step):
+            some = suffixes[at : at + step]
+            key = hashes([p + s for s in some for p in prefixes]).reshape(len(some), n) * n + np.arange(n)  # ties by window_id
+            drawn = (key <= np.partition(key, fails - 1, axis=1)[:, fails - 1 :][:, :1]).astype(np.float32) @ member
+            for k, name in enumerate(names.tolist()):
+                total.setdefault(name, np.zeros(draws, np.int64))[at : at + step] += drawn[:, k].astype(np.int64)
+
+    entities = rows.repartition(parts, "entity_id").sortWithinPartitions("entity_id", "window_id")
+    null = drawn_hits(entities.mapInArrow(dealt, "c string, drawn binary"), held, pattern, draws)
+    return within_p(hits, null, pattern, draws)
 
 
 def leave_one_out(hits: DataFrame, windows: DataFrame, pattern: str) -> DataFrame:
@@ -133,22 +163,58 @@ def leave_one_out(hits: DataFrame, windows: DataFrame, pattern: str) -> DataFram
 def min_p(hits: DataFrame, windows: DataFrame, pattern: str, draws: int = 500) -> DataFrame:
     """Westfall-Young: a pattern's p next to the smallest p of all patterns under permuted labels.
 
-    A draw fails the windows with the smallest hashes. They are counted by the leading bits of the hash, so that only
-    the bits in which the number is reached are ranked, never a whole draw in one task."""
+    A draw fails the windows with the smallest hashes. The largest of these lies close to the failures' share of all
+    hashes: windows well below are counted by class (those that hold the same patterns), an array of draws for each, and
+    only those near it become rows (about 8 times the root of the windows per draw), which are ranked. Where what was
+    counted shows that a draw's bound isn't near, all windows become rows."""
     sizes = windows.agg(F.count_if("is_failure").alias("all_failure"), F.count_if(~F.col("is_failure")).alias("all_control"))  # one row
-    labels = windows.select("window_id").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("d", draw("window_id", "b")).withColumn("bits", F.shiftright("d", 22))
-    earlier = Window.partitionBy("b").orderBy("bits").rowsBetween(Window.unboundedPreceding, -1)  # at most 1,024 rows a draw
-    before = labels.groupBy("b", "bits").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    inside = Window.partitionBy("b", "bits").orderBy("d", "window_id")
-    placed = labels.withColumn("i", F.row_number().over(inside)).join(before.select("b", "bits", "before"), ["b", "bits"])
-    labels = placed.crossJoin(F.broadcast(sizes)).select("window_id", "b", (F.col("before") + F.col("i") <= F.col("all_failure")).alias("is_failure"))
-    count = [F.count_if("is_failure").alias("n_failure"), F.count_if(~F.col("is_failure")).alias("n_control")]
-    counts = labels.join(alike(hits, pattern), "window_id").groupBy("b", "held").agg(*count)
-    null = counts.select("b", "n_failure", "n_control", F.explode("held").alias(pattern)).groupBy("b", pattern).agg(F.sum("n_failure").alias("n_failure"), F.sum("n_control").alias("n_control"))
-    tail = with_p(null.select("n_failure", "n_control").distinct().crossJoin(F.broadcast(sizes))).select("n_failure", "n_control", "p")  # once per pair of counts
-    least = null.join(tail, ["n_failure", "n_control"]).groupBy("b").agg(F.min("p").alias("least"))  # a row per draw
-    real = with_p(hits.groupBy(pattern).agg(*count).crossJoin(F.broadcast(sizes)))
-    return real.crossJoin(F.broadcast(least)).groupBy(pattern, "p").agg(F.avg((F.col("least") <= F.col("p") + 1e-12).cast("double")).alias("p_adjusted"))
+    rows, held = hit_classes(hits, windows, pattern)
+    rows = written(rows.select("window_id", "c"), "classes")
+    fails, rest = sizes.first()
+    n, share = fails + rest, fails / max(fails + rest, 1)
+    suffixes = [f"|{b}".encode() for b in range(1, draws + 1)]
+
+    def counted(low: int, high: int) -> DataFrame:
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[str, np.ndarray] = {}
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    some = batch.slice(at, 1000)
+                    ids, names = some.column("window_id"), some.column("c").to_numpy(zero_copy_only=False)
+                    d = hashes([p + s for p in (w.encode() for w in ids.to_pylist()) for s in suffixes]).reshape(len(ids), draws)
+                    for name in np.unique(names).tolist():
+                        own = (d[names == name] < low).sum(0)
+                        total[name] = total[name] + own if name in total else own
+                    i, b = np.nonzero((d >= low) & (d < high))
+                    if len(i):
+                        yield pa.record_batch([some.column("c").take(pa.array(i)), pa.nulls(len(i), pa.binary()), pa.array(b + 1, pa.int32()), pa.array(d[i, b]), ids.take(pa.array(i))], names=["c", "drawn", "b", "d", "window_id"])
+                if len(total) > MOST_CLASSES:
+                    yield sums(total)
+                    total = {}
+            if total:
+                yield sums(total)
+
+        def sums(total: dict) -> pa.RecordBatch:
+            one, k = class_sums(total), len(total)
+            return pa.record_batch([*one.columns, pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string())], names=["c", "drawn", "b", "d", "window_id"])
+
+        spread = rows.repartition(parts_of(n * draws, rows), "window_id")
+        return written(spread.mapInArrow(dealt, "c string, drawn binary, b int, d long, window_id string"), "dealt")
+
+    near = 8 * (share * (1 - share) / max(n, 1)) ** 0.5 + 16 / max(n, 1)
+    for low, high in ((max(0, int((share - near) * 2**32)), min(2**32, int((share + near) * 2**32))), (0, 2**32)):
+        dealt = counted(low, high)
+        below = total_drawn(dealt.where("drawn is not null"), draws)  # a number per draw
+        there = {r.b: r["count"] for r in dealt.where("b is not null").groupBy("b").count().collect()}  # a row per draw
+        if all(0 <= fails - x <= there.get(b, 0) for b, x in enumerate(below, 1)):
+            break
+    wanted = windows.sparkSession.createDataFrame([(b, fails - x) for b, x in enumerate(below, 1)], "b int, wanted long")
+    place = F.row_number().over(Window.partitionBy("b").orderBy("d", "window_id"))
+    late = dealt.where("b is not null").withColumn("i", place).join(F.broadcast(wanted), "b").where("i <= wanted").groupBy("b", "c").agg(F.count("*").alias("n"))
+    late = late.join(held, "c").groupBy(pattern, "b").agg(F.sum("n").alias("late"))
+    early = drawn_hits(dealt.where("drawn is not null").select("c", "drawn"), held, pattern, draws).select(pattern, F.posexplode("drawn").alias("at", "early")).withColumn("b", F.col("at") + 1)
+    null = early.join(late, [pattern, "b"], "left").select(pattern, "b", (F.col("early") + F.coalesce("late", F.lit(0))).alias("n_failure"))
+    return smallest_p(hits, null, sizes, pattern)
 
 
 def jaccard(sets: DataFrame, by: str, member: str) -> DataFrame:
@@ -169,74 +235,139 @@ def confusion(rows: DataFrame, label: Column, said: Column, prevalence: float =
     return counts.select("*", precision.alias("precision"), recall.alias("recall"), zero(F.try_divide(2 * precision * recall, precision + recall)).alias("f1"), zero(F.try_divide(prevalence * recall, prevalence * recall + (1 - prevalence) * false_rate)).alias("ppv"))
 
 
-# Permutation tests from counts.
+# Permutation tests, by copies of labels and from counts.
+
+#: Classes whose sums a task holds before it sends them, draws of windows that a task makes.
+MOST_CLASSES, DRAWS_OF_TASK = 10_000, 50_000_000
+
+
+def parts_of(work: int, rows: DataFrame) -> int:
+    """Tasks for so many draws. They are stated, as rows are few bytes and would be put together into few tasks."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-work // DRAWS_OF_TASK))
+
+
+def hashes(texts: list[bytes]) -> np.ndarray:
+    """The draws (see columns.draw) of texts."""
+    return np.frombuffer(b"".join([md5(x).digest() for x in texts]), ">u4")[::4].astype(np.int64)
+
+
+def hit_counts(hits: DataFrame, pattern: str) -> DataFrame:
+    """(pattern, n_failure, n_control) of hits: rows of windows, or of tallied ones."""
+    own = (F.sum("n_f"), F.sum("n_c")) if "n_f" in hits.columns else (F.count_if("is_failure"), F.count_if(~F.col("is_failure")))
+    return hits.groupBy(pattern).agg(own[0].alias("n_failure"), own[1].alias("n_control"))
+
+
+def hit_classes(hits: DataFrame, windows: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """windows (window_id, entity_id, is_failure, c) and held (c, pattern): windows of one class c hold the same patterns.
+
+    A class is a set of items where hits are those of tallied sets, so that no window's patterns are listed; else it is
+    named by the sha256 of the patterns held."""
+    keys = ["window_id", "entity_id", "is_failure"]
+    if "n_f" in hits.columns:
+        name = F.to_json("item_set").alias("c")
+        return windows.select(*keys, name), hits.select(name, pattern)
+    own = alike(hits, pattern).withColumn("c", F.sha2(F.to_json("held"), 256))
+    return windows.select(*keys).join(own.select("window_id", "c"), "window_id", "left").fillna("", ["c"]), own.select("c", F.explode("held").alias(pattern)).distinct()
 
 
-def hit_classes(hits: DataFrame, windows: DataFrame, pattern: str) -> DataFrame:
-    """windows (window_id, entity_id, is_failure) with held: the patterns that a window holds, sorted (none: empty)."""
-    none = F.array().cast(f"array<{dict(hits.dtypes)[pattern]}>")
-    return windows.select("window_id", "entity_id", "is_failure").join(alike(hits, pattern), "window_id", "left").withColumn("held", F.coalesce("held", none))
+def class_sums(total: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(list(total), pa.string()), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], names=["c", "drawn"])
 
 
-def dealt_counts(groups: DataFrame, draws: int, held: str) -> DataFrame:
-    """(held, drawn): of each class, how many of its windows fail in each draw, summed over groups.
+def dealt_counts(groups: DataFrame, draws: int, parts: int) -> DataFrame:
+    """(c, drawn): of each class, how many of its windows fail in each draw, summed over the groups of a task.
 
-    groups: key, classes (structs of held and n) and wanted (failures per draw, an array). A draw deals a group's failures
-    among its classes without replacement: the counts are hypergeometric, class by class, seeded by the md5 of the key.
-    No window is looked at, and a group's work grows with its classes and draws only."""
+    groups: key, classes (structs of c and n) and wanted (failures per draw, an array; one number stands for all draws).
+    A draw deals a group's failures among its classes without replacement: the counts are hypergeometric, seeded by the
+    md5 of the key. No window is looked at, and a group's work grows with its classes and draws only."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, tuple[object, np.ndarray]] = {}
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
             for key, classes, wanted in zip(*[batch.column(c).to_pylist() for c in ("key", "classes", "wanted")], strict=True):
                 rng = np.random.Generator(np.random.PCG64(int(md5(key.encode()).hexdigest(), 16)))
-                rest, left = sum(c["n"] for c in classes), np.array(wanted, np.int64)
-                for c in classes:
-                    own = rng.hypergeometric(c["n"], rest - c["n"], left) if rest else np.zeros(draws, np.int64)
-                    rest, left = rest - c["n"], left - own
-                    name = str(c["held"])
-                    total[name] = (c["held"], total[name][1] + own if name in total else own)
-            if len(total) > 10_000:
-                yield packed(total)
+                sizes = np.array([c["n"] for c in classes], np.int64)
+                if len(wanted) == 1 and sizes.sum() <= 1000:
+                    each = rng.multivariate_hypergeometric(sizes, wanted[0], draws, method="count").T
+                else:
+                    each = one_by_one(rng, sizes, np.broadcast_to(np.array(wanted, np.int64), draws))
+                for c, own in zip(classes, each, strict=True):
+                    total[c["c"]] = total[c["c"]] + own if c["c"] in total else own
+            if len(total) > MOST_CLASSES:
+                yield class_sums(total)
                 total = {}
         if total:
-            yield packed(total)
+            yield class_sums(total)
 
-    def packed(total: dict) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([h for h, _ in total.values()], to_arrow_type(kind)), pa.array([x.astype("<i8").tobytes() for _, x in total.values()], pa.binary())], names=["held", "drawn"])
+    def one_by_one(rng: np.random.Generator, sizes: np.ndarray, left: np.ndarray) -> Iterator[np.ndarray]:
+        rest = int(sizes.sum())
+        for n in sizes.tolist():
+            own = rng.hypergeometric(n, rest - n, left) if rest else np.zeros(draws, np.int64)
+            rest, left = rest - n, left - own
+            yield own
 
-    kind = next(f.dataType for f in groups.select(F.col("classes")[0]["held"].alias("held")).schema)
-    return groups.mapInArrow(dealt, f"held {held}, drawn binary")
+    return groups.repartition(parts, "key").mapInArrow(dealt, "c string, drawn binary")
 
 
-def drawn_hits(dealt: DataFrame, pattern: str, kind: str, draws: int) -> DataFrame:
-    """(pattern, drawn): sums of the classes that hold the pattern, as one array of all draws."""
+def drawn_sums(each: DataFrame, by: str) -> DataFrame:
+    """(by, drawn): sums of each (by, drawn), as one array of all draws, still in bytes."""
+    kind = each.schema[by].dataType
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[object, np.ndarray]] = {}
         for batch in batches:
-            for p, own in zip(batch.column("pattern").to_pylist(), batch.column("drawn").to_pylist(), strict=True):
+            for p, own in zip(batch.column(by).to_pylist(), batch.column("drawn").to_pylist(), strict=True):
                 own = np.frombuffer(own, "<i8")
                 total[str(p)] = (p, total[str(p)][1] + own if str(p) in total else own)
         for p, own in total.values():
-            yield pa.record_batch([pa.array([p], arrow), pa.array([own.tolist()], pa.list_(pa.int64()))], names=["pattern", "drawn"])
+            yield pa.record_batch([pa.array([p], to_arrow_type(kind)), pa.array([own.tobytes()], pa.binary())], names=[by, "drawn"])
+
+    return each.select(by, "drawn").repartition(by).mapInArrow(summed, f"{by} {kind.simpleString()}, drawn binary")
+
+
+def total_drawn(dealt: DataFrame, draws: int) -> list[int]:
+    """Per draw the sum over all classes: one array on the driver."""
+    one = drawn_sums(drawn_sums(dealt.select("c", "drawn"), "c").select(F.lit(0).alias("all"), "drawn"), "all").first()
+    return np.frombuffer(one.drawn, "<i8").tolist() if one else [0] * draws
+
+
+def drawn_hits(dealt: DataFrame, held: DataFrame, pattern: str, draws: int) -> DataFrame:
+    """(pattern, drawn): sums of the classes that hold the pattern, as one array of all draws."""
+    found = drawn_sums(drawn_sums(dealt, "c").join(held, "c"), pattern)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(pattern), pa.array([np.frombuffer(x, "<i8").tolist() for x in batch.column("drawn").to_pylist()], pa.list_(pa.int64()))], names=[pattern, "drawn"])
+
+    return found.mapInArrow(opened, f"{pattern} {found.schema[pattern].dataType.simpleString()}, drawn array<long>")
 
-    each = dealt.select(F.explode("held").alias("pattern"), "drawn")
-    arrow = to_arrow_type(each.schema["pattern"].dataType)
-    return each.repartition("pattern").mapInArrow(summed, f"pattern {kind}, drawn array<long>").withColumnRenamed("pattern", pattern)
+
+def within_p(hits: DataFrame, null: DataFrame, pattern: str, draws: int) -> DataFrame:
+    real = hit_counts(hits, pattern).select(pattern, F.col("n_failure").alias("case_hits"))
+    drawn = F.coalesce("drawn", F.array_repeat(F.lit(0).cast("long"), draws))
+    return real.join(null, pattern, "left").select(pattern, "case_hits", ((1 + F.size(F.filter(drawn, lambda x: x >= F.col("case_hits")))) / (draws + 1)).alias("p_within"))
 
 
 def within_entity_counts(hits: DataFrame, windows: DataFrame, pattern: str, draws: int = 2000) -> DataFrame:
     """As within_entity_p, from counts: each entity deals its failures among its classes of windows that hold the same
     patterns. Rows are classes of entities, whatever the number of windows and draws."""
-    kind = dict(hits.dtypes)[pattern]
-    rows = hit_classes(hits, windows, pattern)
-    classes = rows.groupBy("entity_id", "held").agg(F.count("*").alias("n"), F.count_if("is_failure").alias("f"))
-    groups = classes.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("held", "n"))).alias("classes"), F.sum("f").alias("f"))
-    dealt = dealt_counts(groups.select(F.col("entity_id").cast("string").alias("key"), "classes", F.array_repeat("f", draws).alias("wanted")), draws, f"array<{kind}>")
-    null = drawn_hits(dealt, pattern, kind, draws)
-    real = hits.groupBy(pattern).agg(F.count_if("is_failure").alias("case_hits"))
-    return real.join(null, pattern).select(pattern, "case_hits", ((1 + F.size(F.filter("drawn", lambda x: x >= F.col("case_hits")))) / (draws + 1)).alias("p_within"))
+    rows, held = hit_classes(hits, windows, pattern)
+    classes = rows.groupBy("entity_id", "c").agg(F.count("*").alias("n"), F.count_if("is_failure").alias("f"))
+    groups = classes.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("classes"), F.sum("f").alias("f"))
+    groups = written(groups.where("f > 0").select(F.col("entity_id").cast("string").alias("key"), "classes", F.array("f").alias("wanted")), "entity-classes")
+    dealt = dealt_counts(groups, draws, parts_of(20 * groups.count() * draws, groups))
+    return within_p(hits, drawn_hits(dealt, held, pattern, draws), pattern, draws)
+
+
+def smallest_p(hits: DataFrame, null: DataFrame, sizes: DataFrame, pattern: str) -> DataFrame:
+    """pattern, p and p_adjusted from null (pattern, b, n_failure): the smallest p of each draw."""
+    real = hit_counts(hits, pattern)
+    own = real.select(pattern, (F.col("n_failure") + F.col("n_control")).alias("hits"))
+    both = null.join(own, pattern).select("b", "n_failure", (F.col("hits") - F.col("n_failure")).alias("n_control"))
+    tail = with_p(both.select("n_failure", "n_control").distinct().crossJoin(F.broadcast(sizes))).select("n_failure", "n_control", "p")  # once per pair of counts
+    least = both.join(tail, ["n_failure", "n_control"]).groupBy("b").agg(F.min("p").alias("least"))  # a row per draw
+    tested = with_p(real.crossJoin(F.broadcast(sizes)))
+    return tested.crossJoin(F.broadcast(least)).groupBy(pattern, "p").agg(F.avg((F.col("least") <= F.col("p") + 1e-12).cast("double")).alias("p_adjusted"))
 
 
 #: Groups that a whole table's classes are dealt to.
@@ -246,12 +377,11 @@ DEALT = 64
 def min_p_counts(hits: DataFrame, windows: DataFrame, pattern: str, draws: int = 500) -> DataFrame:
     """As min_p, from counts: all failures are dealt among DEALT groups of classes first (one small row), then each group
     deals its share among its classes in a task of its own."""
-    kind = dict(hits.dtypes)[pattern]
     sizes = windows.agg(F.count_if("is_failure").alias("all_failure"), F.count_if(~F.col("is_failure")).alias("all_control"))  # one row
-    rows = hit_classes(hits, windows, pattern)
-    classes = rows.groupBy("held").agg(F.count("*").alias("n")).withColumn("g", F.pmod(F.xxhash64("held"), F.lit(DEALT)).cast("int"))
-    groups = written(classes.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("held", "n"))).alias("classes"), F.sum("n").alias("n")), "class-groups")
-    number = windows.agg(F.count_if("is_failure")).first()[0] or 0
+    rows, held = hit_classes(hits, windows, pattern)
+    classes = rows.groupBy("c").agg(F.count("*").alias("n")).withColumn("g", F.pmod(F.xxhash64("c"), F.lit(DEALT)).cast("int"))
+    groups = written(classes.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("classes"), F.sum("n").alias("n")), "class-groups")
+    number = sizes.first()[0] or 0
     totals = [(r.g, r.n) for r in groups.select("g", "n").orderBy("g").collect()]  # DEALT rows
     rng, rest, left, shares = np.random.Generator(np.random.PCG64(11)), sum(n for _, n in totals), np.full(draws, number), []
     for g, n in totals:
@@ -259,10 +389,6 @@ def min_p_counts(hits: DataFrame, windows: DataFrame, pattern: str, draws: int =
         shares.append((g, own.tolist()))
         rest, left = rest - n, left - own
     wanted = windows.sparkSession.createDataFrame(shares, "g int, wanted array<long>")
-    dealt = dealt_counts(groups.join(F.broadcast(wanted), "g").select(F.col("g").cast("string").alias("key"), "classes", "wanted"), draws, f"array<{kind}>")
-    own = hits.groupBy(pattern).agg(F.count("*").alias("hits"))
-    null = drawn_hits(dealt, pattern, kind, draws).join(own, pattern).select(pattern, "hits", F.posexplode("drawn").alias("b", "n_failure")).withColumn("n_control", F.col("hits") - F.col("n_failure"))
-    tail = with_p(null.select("n_failure", "n_control").distinct().crossJoin(F.broadcast(sizes))).select("n_failure", "n_control", "p")  # once per pair of counts
-    least = null.join(tail, ["n_failure", "n_control"]).groupBy("b").agg(F.min("p").alias("least"))  # a row per draw
-    real = with_p(hits.groupBy(pattern).agg(F.count_if("is_failure").alias("n_failure"), F.count_if(~F.col("is_failure")).alias("n_control")).crossJoin(F.broadcast(sizes)))
-    return real.crossJoin(F.broadcast(least)).groupBy(pattern, "p").agg(F.avg((F.col("least") <= F.col("p") + 1e-12).cast("double")).alias("p_adjusted"))
+    dealt = dealt_counts(groups.join(F.broadcast(wanted), "g").select(F.col("g").cast("string").alias("key"), "classes", "wanted"), draws, DEALT)
+    null = drawn_hits(dealt, held, pattern, draws).select(pattern, F.posexplode("drawn").alias("b", "n_failure"))
+    return smallest_p(hits, null, sizes, pattern)

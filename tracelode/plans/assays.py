@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelode.operators import assays, evaluation, features, mining, models, stats, windows
 from tracelode.plans import sql as S
-from tracelode.plans.catalogue import CLEAN, DAY, SCORE, WINDOW_ROWS, all_hits, history, kept_windows, query, r6, stream, window_rows
+from tracelode.plans.catalogue import CLEAN, DAY, SCORE, WINDOW_ROWS, history, kept_windows, query, r6, stream, tallied_hits, window_rows
 from tracelode.sources import tables as T
 from tracelode.sources.shared import written
 
@@ -211,11 +211,11 @@ def landmark_design(words: list[str], patterns: list[tuple[str, ...]]) -> models
 def within_entity_counts(spark, d):
     """p of permutations within entities, as within_entity_perm, drawn as counts."""
     w = kept_windows(spark, d)
-    return r6(stats.within_entity_counts(all_hits(w), w, "itemset").withColumn("itemset", F.array_join("itemset", "|")), "p_within")
+    return r6(stats.within_entity_counts(tallied_hits(w), w, "itemset").withColumn("itemset", F.array_join("itemset", "|")), "p_within")
 
 
 @query("min_p_counts")
 def min_p_counts(spark, d):
     """Adjusted p by the smallest p of all itemsets, as min_p, drawn as counts."""
     w = kept_windows(spark, d)
-    return r6(stats.min_p_counts(all_hits(w), w, "itemset").withColumn("itemset", F.array_join("itemset", "|")), "p", "p_adjusted")
+    return r6(stats.min_p_counts(tallied_hits(w), w, "itemset").withColumn("itemset", F.array_join("itemset", "|")), "p", "p_adjusted")
