@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions.columns import draw
 from tracelode.operators.ordered import ranked, ranked_by_draw, running
+from tracelode.sources.shared import written
 
 
 def temporal_split(windows: DataFrame, share: float = 0.7) -> DataFrame:
@@ -157,22 +158,26 @@ def boosted(train: DataFrame, test: DataFrame, features: str = "features", label
 def bootstrap(scored: DataFrame, draws: int = 200) -> DataFrame:
     """Percentile interval of AUROC over resampled entities: each draw weighs an entity by how often a hash picks it.
 
-    As many picks as entities are made per draw; only (draw, entity, times) is joined to the scores."""
-    entities = scored.select("entity_id").distinct()
-    placed = ranked(entities, [F.col("entity_id")])
-    number = entities.agg(F.count("*").alias("n"))  # one row
-    picks = placed.crossJoin(F.broadcast(number)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("place", draw("b", "place") % F.col("n") + 1).groupBy("b", "place").agg(F.count("*").alias("times"))
-    weighted = scored.join(placed, "entity_id").join(picks, "place")
-    areas = auroc(weighted, "b", weight="times")
+    As many picks as entities are made per draw; an entity's picks in all draws are one array (see drawn_areas)."""
+    rows = scored.select(F.lit("").alias("model"), "entity_id", "label", F.col("score").cast("double").alias("score"))
+    areas = drawn_areas(rows, draws).where("b > 0")
     return areas.agg(F.count("*").alias("draws"), F.percentile("auroc", 0.025).alias("low"), F.percentile("auroc", 0.975).alias("high"))
 
 
+#: Picks of a bootstrap that one task makes.
+PICKS_OF_TASK = 1_000_000
+
+
 def picks(entities: DataFrame, draws: int) -> DataFrame:
-    """entity_id and times: how often each of the draws picks the entity, when it picks as many as there are."""
-    placed = ranked(entities.select("entity_id").distinct(), [F.col("entity_id")])
-    number = placed.agg(F.count("*").alias("n"))  # one row
-    drawn = placed.crossJoin(F.broadcast(number)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("place", draw("b", "place") % F.col("n") + 1)
-    times = drawn.groupBy("place", "b").agg(F.count("*").alias("t")).groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("b", "t"))).alias("m"))
+    """entity_id and times: how often each of the draws picks the entity, when it picks as many as there are.
+
+    Picks are dealt to a stated number of tasks, PICKS_OF_TASK each: entities are few bytes and would meet in one."""
+    placed = written(ranked(entities.select("entity_id").distinct(), [F.col("entity_id")]), "placed")
+    n = placed.count()
+    parts = -(-n * draws // PICKS_OF_TASK) or 1
+    drawn = placed.repartition(parts, "place").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select("b", (draw("b", "place") % n + 1).alias("place"))
+    spread = drawn.repartition(parts, "place")
+    times = spread.groupBy("place", "b").agg(F.count("*").alias("t")).groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("b", "t"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0).cast("long")))
     return placed.join(times, "place").select("entity_id", dense.alias("times"))
 
