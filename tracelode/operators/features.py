@@ -33,9 +33,10 @@ def multiset(windows: DataFrame, words: list[str]) -> DataFrame:
 
 
 def bigrams(windows: DataFrame, pairs: list[str]) -> DataFrame:
-    """Whether each of the adjacent pairs (a>b) occurs."""
-    own = pairs_of()
-    return windows.withColumn("features", F.transform(F.array(*map(F.lit, pairs)), lambda p: F.array_contains(own, p).cast("int")))
+    """Whether each of the adjacent pairs (a>b) occurs. A window's own pairs are made once, as the argument of a lambda,
+    not again for each pair that is looked for."""
+    tests = F.array(*map(F.lit, pairs))
+    return windows.withColumn("features", F.transform(F.array(pairs_of()), lambda own: F.transform(tests, lambda p: F.array_contains(own, p).cast("int")))[0])
 
 
 def top_bigrams(train: DataFrame, top: int = 200) -> list[str]:
