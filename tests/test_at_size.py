@@ -49,3 +49,18 @@ def test_permutations_of_tallied_hits(spark):
     every, tallied = mining.set_hits(w, sets), mining.set_hits(mining.tallied(w, "item_set"), sets)
     for test in (stats.within_entity_p, stats.min_p):
         assert sorted(map(tuple, test(tallied, w, "itemset", 20).collect())) == sorted(map(tuple, test(every, w, "itemset", 20).collect()))
+
+
+def test_residuals_are_not_gathered_by_group(spark):
+    """The rows of a group stay in many tasks, also where the planner wouldn't broadcast by itself."""
+    from tracelode.operators import features
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(100).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("x"), (2.0 * F.col("id") + 1).alias("y"))
+        found = features.residuals(rows, "y", ["x"], "g")
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert all(abs(r.residual) < 1e-6 for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

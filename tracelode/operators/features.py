@@ -157,7 +157,8 @@ def counter_features(readouts: DataFrame, value: str, share: float = 0.3) -> Dat
 def residuals(rows: DataFrame, y: str, xs: list[str], by: str) -> DataFrame:
     """rows with what is left of y after least squares on xs (and a constant) per group, by normal equations.
 
-    The sums of products are one aggregate with partial sums; each group solves a system of len(xs) + 1 unknowns."""
+    The sums of products are one aggregate with partial sums; each group solves a system of len(xs) + 1 unknowns. The
+    solutions, a row per group, go to the rows, which are never gathered by group: few groups may have all rows."""
     terms = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
     products = [F.sum(a * b).alias(f"a{i}_{j}") for i, a in enumerate(terms) for j, b in enumerate(terms)] + [F.sum(a * F.col(y)).alias(f"b{i}") for i, a in enumerate(terms)]
     sums = rows.groupBy(by).agg(*products)
@@ -169,7 +170,7 @@ def residuals(rows: DataFrame, y: str, xs: list[str], by: str) -> DataFrame:
 
     fitted = sums.select(by, solve(F.array(*[c for c in sums.columns if c != by])).alias("w"))
     predicted = sum((F.col("w")[i] * t for i, t in enumerate(terms)), F.lit(0.0))
-    return rows.join(fitted, by).withColumn("residual", F.col(y) - predicted).drop("w")
+    return rows.join(F.broadcast(fitted), by).withColumn("residual", F.col(y) - predicted).drop("w")
 
 
 def surprises(readouts: DataFrame, values: list[str], share: float = 0.9, places: int = 9) -> DataFrame:
