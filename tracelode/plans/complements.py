@@ -121,8 +121,8 @@ def pattern_scores(w, sets, runs, name: str):
     out = None
     for kind, rows, words, number in (("itemsets", from_sets, names[0], None), ("sequences", from_runs, names[1], None), ("combined", both, [*names[0], *[f">{x}" for x in names[1]]], "n_events")):
         if words or number:
-            scored = evaluation.logistic_on_names(written(rows.select("window_id", "label", "train", "n_events", "held"), "held"), words, number=number)
-            one = written(scored.select("label", "score", F.lit(kind).alias("feature_set")), f"scored-{name}")
+            scored = evaluation.logistic_on_names(written(rows.select("window_id", "label", "train", "n_events", "held", "weight"), "held"), words, number=number)
+            one = written(scored.select("label", "score", "weight", F.lit(kind).alias("feature_set")), f"scored-{name}")
             out = one if out is None else out.unionByName(one)
     return out
 
@@ -131,6 +131,13 @@ def cut_windows(spark, d):
     return written(evaluation.temporal_split(kept_windows(spark, d)).withColumn("label", F.col("is_failure").cast("int")), "temporal")
 
 
+def alike(w):
+    """Windows with the same items, class and side as one row with their number (weight): models can't tell them apart.
+    Their number is bounded by the vocabulary and the windows' length."""
+    rows = evaluation.tallied(w, ["items", "item_set", "n_events", "label", "train", "is_failure"])
+    return written(rows.withColumn("window_id", F.monotonically_increasing_id()), "alike")
+
+
 @query("lr_head_to_head")
 def lr_head_to_head(spark, d):
     """AUROC and average precision of logistic regression on counts alone, presence, multisets, order, and on all itemsets
@@ -138,10 +145,11 @@ def lr_head_to_head(spark, d):
     w = cut_windows(spark, d)
     train = w.where("train")
     words = features.vocabulary(train)
-    scored = pattern_scores(w, mining.itemsets(train), mining.sequences(train), "patterns")
+    w, sets, runs = alike(w), mining.itemsets(train), mining.sequences(train)
+    scored = pattern_scores(w, sets, runs, "patterns")
     for name, rows in {"event_count": w.withColumn("features", F.array("n_events")), "presence": features.presence(w, words), "multiset": features.multiset(w, words), "precedence": features.precedence(w, words[:20])}.items():
         scored = scored.unionByName(judged_by_model(rows, name, feature_set=name))
-    return r6(evaluation.auroc(scored, "feature_set").join(evaluation.average_precision(scored, "feature_set"), "feature_set"), "auroc", "average_precision")
+    return r6(evaluation.auroc(scored, "feature_set", weight="weight").join(evaluation.average_precision(scored, "feature_set", weight="weight"), "feature_set"), "auroc", "average_precision")
 
 
 SUPPORTS = ("0.02", "0.05", "0.10", "0.15")
@@ -154,14 +162,14 @@ def support_head_to_head(spark, d):
     train = w.where("train")
     sets, runs = written(mining.itemsets(train, float(SUPPORTS[0])), "sets"), written(mining.sequences(train, float(SUPPORTS[0])), "runs")
     every, full = train.agg(F.count_if("is_failure"), F.count_if(F.col("is_failure") & (F.size("items") > 0))).first()
-    out = None
+    w, out = alike(w), None
     for s in SUPPORTS:
         least = lambda n: F.ceil(F.lit(s).cast("decimal(4,2)") * n)  # noqa: B023, E731
         scored = pattern_scores(w, sets.where(F.col("n_failure") >= least(every)), runs.where(F.col("n_failure") >= least(full)), s)
         one = scored.withColumn("min_support", F.lit(float(s)))
         out = one if out is None else out.unionByName(one)
     by = ("min_support", "feature_set")
-    return r6(evaluation.auroc(out, *by).join(evaluation.average_precision(out, *by), [*by]), "auroc", "average_precision")
+    return r6(evaluation.auroc(out, *by, weight="weight").join(evaluation.average_precision(out, *by, weight="weight"), [*by]), "auroc", "average_precision")
 
 
 @query("sequence_invariants", f"select horizon, round(real, 6) as real, round(shuffled, 6) as shuffled, round((real - shuffled) / shuffled, 6) as gain, coalesce(case when horizon = 'last2' then abs((real - shuffled) / shuffled) < 0.05 else real > shuffled end, false) as holds from ({contrast_sql(2)} union all {contrast_sql(5)})")
