@@ -64,3 +64,80 @@ def test_residuals_are_not_gathered_by_group(spark):
         assert all(abs(r.residual) < 1e-6 for r in found.collect())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def drawn_plainly(times, wanted, clean, salt, tries=50, per=3):
+    """Controls of one entity by trying every draw against every failure."""
+    from hashlib import md5
+
+    us, fails = [u for u, _ in times], [u for u, bad in times if bad]
+    low, width, out = min(us) + clean, max(us) - min(us) - 2 * clean, []
+    for i in range(len(fails) * tries if width > 0 else 0):
+        name = "|".join(["1", str(i), *([salt] if salt else [])])
+        at = low + int(md5(name.encode()).hexdigest()[:8], 16) * 1_000_000 % width
+        if all(abs(at - f) > clean for f in fails):
+            out.append(at)
+    return sorted(set(out[: len(fails) * per]))
+
+
+def test_controls_need_few_draws(spark):
+    """Where failures leave little room, an entity makes about as many draws as that room asks for, and not all of its
+    tries; the anchors are those of all tries. Several margins go through one pass."""
+    from tracelode.operators import windows
+
+    hour = windows.HOUR
+    for n, gap in ((40, 3), (12, 40), (3, 200), (60, 1)):
+        times = [(i * gap * hour + (i * 7_919) % 1_000_000, i % 2 == 0 and 0 < i) for i in range(2 * n)]
+        s = spark.createDataFrame([(1, u, i, "fail" if bad else "a") for i, (u, bad) in enumerate(times)], "entity_id int, us long, ordinal long, event_type string")
+        fails = windows.failure_anchors(s, "fail")
+        cleans = {"x": hour, "y": 2 * hour, "z": 6 * hour, None: hour // 2}
+        rows = windows.controls_by_salt(s, fails, cleans).collect()
+        for salt, clean in cleans.items():
+            want = drawn_plainly(times, len(fails.collect()), clean, salt)
+            assert sorted(r.anchor for r in rows if r.salt == salt) == want
+            assert sorted(r.anchor for r in windows.control_anchors(s, fails, clean, salt=salt).collect()) == want
+        near = fails.select("entity_id", F.col("anchor").alias("us"))
+        for r in windows.needed_draws(s, fails, near, cleans, 3, 50).collect():
+            clear = sum(all(abs(r.low + k * r.width // 5_000 - u) > r.clean for u, bad in times if bad) for k in range(5_000)) / 5_000
+            assert r["first"] == r["limit"] or abs((r["wanted"] + 3 * (r["wanted"] * (1 - clear)) ** 0.5 + 3) / clear - r["first"]) <= 0.05 * r["first"] + 2
+
+
+def test_short_entities_draw_on(spark):
+    """Draws that fall badly: entities that are short after the first ones go on where those ended, and no time comes twice."""
+    from tracelode.operators import windows
+
+    hour = windows.HOUR
+    times = [(i * hour * 5, i % 3 == 1) for i in range(60)]
+    s = spark.createDataFrame([(1, u, i, "fail" if bad else "a") for i, (u, bad) in enumerate(times)], "entity_id int, us long, ordinal long, event_type string")
+    fails = windows.failure_anchors(s, "fail")
+    whole, needed = windows.needed_draws, []
+
+    def stingy(*given):
+        needed.append(whole(*given).withColumn("first", F.lit(7)))
+        return needed[0]
+
+    windows.needed_draws = stingy
+    try:
+        got = sorted(r.anchor for r in windows.control_anchors(s, fails, 2 * hour, salt="x").collect())
+    finally:
+        windows.needed_draws = whole
+    assert needed and got == drawn_plainly(times, 20, 2 * hour, "x")
+
+
+def test_time_windows_are_one_shuffle(spark):
+    """An anchor is one row, found in one shuffle, with events at both ends of its span and of a bucket; nothing is joined."""
+    from tracelode.operators import windows
+
+    hour = windows.HOUR
+    events = [(u, i, us, i * 10 + u) for u in (1, 2) for i, us in enumerate([-1, 0, 1, hour - 1, hour, hour, hour + 1, 5 * hour, 6 * hour - 1])]
+    s = spark.createDataFrame([(u, us, o, "a", str(i), f"a:{i}") for u, i, us, o in events], "entity_id int, us long, ordinal long, event_type string, event_subtype string, item string")
+    anchors = [(u, us, y) for u in (1, 2, 3) for us in (0, 1, hour, hour + 1, 2 * hour, 6 * hour, 9 * hour) for y in (True, False)]
+    w = windows.time_windows(s, spark.createDataFrame(anchors, "entity_id int, anchor long, is_failure boolean"), 1)
+    plan = w._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {(r.entity_id, r.anchor, r.is_failure): (list(r["items"]), r.n_events) for r in w.collect()}
+    want = {}
+    for u, a, y in anchors:
+        own = [f"a:{i}" for v, i, us, o in sorted(events, key=lambda e: (e[2], e[3])) if v == u and a - hour <= us < a]
+        want[u, a, y] = (own, len(own))
+    assert got == want and w.count() == len(anchors)

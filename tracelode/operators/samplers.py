@@ -24,10 +24,12 @@ def all_horizons(stream: DataFrame, history: DataFrame, kind: str, hours: tuple[
             raise ValueError(f"{n} seed times, {expected} expected")
         stream = windows.without_seeds(stream, kind, seeds)
     failures = windows.failure_anchors(stream, kind)
+    horizons = [(f"{h}h", h) for h in hours] + [(f"last{k}", k) for k in lasts]
+    controls = windows.controls_by_salt(stream, failures, {name: (n if name.endswith("h") else max(hours)) * HOUR for name, n in horizons})
     out = None
-    for name, n in [(f"{h}h", h) for h in hours] + [(f"last{k}", k) for k in lasts]:
+    for name, n in horizons:
         timed = name.endswith("h")
-        anchors = failures.unionByName(windows.control_anchors(stream, failures, (n if timed else max(hours)) * HOUR, salt=name))
+        anchors = failures.unionByName(controls.where(F.col("salt") == name).drop("salt"))
         rows = windows.time_windows(history, anchors, n) if timed else windows.count_windows(history, anchors, n)
         out = rows if out is None else out.unionByName(rows)
     return out.withColumn("target_type", F.when(F.col("is_failure"), kind))
