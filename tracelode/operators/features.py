@@ -55,10 +55,18 @@ def adjacent_pairs(windows: DataFrame) -> DataFrame:
 
 
 def precedence(windows: DataFrame, words: list[str]) -> DataFrame:
-    """For each two words, whether both occur and the first one's first place is before the other's."""
-    pairs = [(a, b) for i, a in enumerate(words) for b in words[i + 1 :]]
-    at = lambda w: F.array_position("items", w)
-    return windows.withColumn("features", F.array(*[((at(a) > 0) & (at(b) > 0) & (at(a) < at(b))).cast("int") for a, b in pairs]))
+    """held: of each two words, those that both occur with the first one's first place before the other's, as i<j of
+    their places in the vocabulary. A window has as many as its different items have pairs, whatever the vocabulary."""
+    known = F.array(*map(F.lit, words)).cast("array<string>")
+    codes = F.filter(F.transform(F.array_distinct("items"), lambda x: F.array_position(known, x) - 1), lambda c: c >= 0)
+    pairs = lambda own: F.flatten(F.transform(own, lambda a, k: F.transform(F.filter(own, lambda b, j: (j > k) & (b > a)), lambda b: F.concat_ws("<", a.cast("string"), b.cast("string")))))
+    return windows.withColumn("held", F.transform(F.array(codes), pairs)[0])
+
+
+def precedence_row(windows: DataFrame, words: list[str]) -> DataFrame:
+    """Precedence as a row of all pairs of the words."""
+    names = F.array(*[F.lit(f"{i}<{j}") for i in range(len(words)) for j in range(i + 1, len(words))]).cast("array<string>")
+    return precedence(windows, words).withColumn("features", F.transform(names, lambda p: F.array_contains("held", p).cast("int"))).drop("held")
 
 
 def held_sets(windows: DataFrame, patterns: list[list[str]]) -> DataFrame:

@@ -140,15 +140,20 @@ def alike(w):
 
 @query("lr_head_to_head")
 def lr_head_to_head(spark, d):
-    """AUROC and average precision of logistic regression on counts alone, presence, multisets, order, and on all itemsets
-    and sequences mined from the training windows, trained up to the cut."""
+    """AUROC and average precision of logistic regression on counts alone, presence, multisets, order (precedence of every
+    two items), and on all itemsets and sequences mined from the training windows, trained up to the cut."""
     w = cut_windows(spark, d)
     train = w.where("train")
     words = features.vocabulary(train)
     w, sets, runs = alike(w), mining.itemsets(train), mining.sequences(train)
     scored = pattern_scores(w, sets, runs, "patterns")
-    for name, rows in {"event_count": w.withColumn("features", F.array("n_events")), "presence": features.presence(w, words), "multiset": features.multiset(w, words), "precedence": features.precedence(w, words[:20])}.items():
+    for name, rows in {"event_count": w.withColumn("features", F.array("n_events")), "presence": features.presence(w, words), "multiset": features.multiset(w, words)}.items():
         scored = scored.unionByName(judged_by_model(rows, name, feature_set=name))
+    ordered = written(features.precedence(w, words).select("label", "train", "held", "weight"), "held-pairs")
+    # Pairs that no training window holds would have no coefficient.
+    if pairs := [r.pair for r in ordered.where("train").select(F.explode("held").alias("pair")).distinct().orderBy("pair").collect()]:
+        one = evaluation.logistic_on_names(ordered, pairs).select("label", "score", "weight", F.lit("precedence").alias("feature_set"))
+        scored = scored.unionByName(written(one, "scored-precedence"))
     return r6(evaluation.auroc(scored, "feature_set", weight="weight").join(evaluation.average_precision(scored, "feature_set", weight="weight"), "feature_set"), "auroc", "average_precision")
 
 
