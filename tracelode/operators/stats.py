@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tracelode.functions.columns import draw, erfc, hypergeometric_tail
+from tracelode.functions.draws import draws as drawn
 from tracelode.operators.evaluation import part_of
 from tracelode.operators.ordered import ranked_by_draw, running
 from tracelode.sources.shared import written
@@ -94,7 +95,7 @@ def within_entity_p(hits: DataFrame, windows: DataFrame, pattern: str, draws: in
     """p of a pattern's lift when labels are permuted within each entity.
 
     For a fixed set of hits the lift grows with the number of case hits, so only these are counted. A draw fails an
-    entity's windows with the smallest hashes; windows that hold the same patterns are one class, and a task sends one
+    entity's windows with the smallest hashes (made over arrays, see functions.draws); windows that hold the same patterns are one class, and a task sends one
     array of draws per class it has seen: no row is made of a window and a draw. An entity's windows meet in one task."""
     rows, held = hit_classes(hits, windows, pattern)
     parts = parts_of(rows.count() * draws, rows)
@@ -120,16 +121,15 @@ def within_entity_p(hits: DataFrame, windows: DataFrame, pattern: str, draws: in
         n, fails = len(own), sum(y for _, y, _ in own)
         if not fails:
             return
-        names, code = np.unique([c for *_, c in own], return_inverse=True)
-        member = np.zeros((n, len(names)), np.float32)
-        member[np.arange(n), code] = 1
-        prefixes, step = [w.encode() for w, *_ in own], max(1, 500_000 // n)
+        prefixes, step = [w.encode() for w, *_ in own], max(1, 4_000_000 // n)
         for at in range(0, draws, step):
-            some = suffixes[at : at + step]
-            key = hashes([p + s for s in some for p in prefixes]).reshape(len(some), n) * n + np.arange(n)  # ties by window_id
-            drawn = (key <= np.partition(key, fails - 1, axis=1)[:, fails - 1 :][:, :1]).astype(np.float32) @ member
-            for k, name in enumerate(names.tolist()):
-                total.setdefault(name, np.zeros(draws, np.int64))[at : at + step] += drawn[:, k].astype(np.int64)
+            d = drawn(prefixes, suffixes[at : at + step])
+            last = np.partition(np.ascontiguousarray(d.T), fails - 1, axis=1)[:, fails - 1]
+            falls = d <= last
+            for b in np.flatnonzero(falls.sum(0) > fails).tolist():  # ties by window_id
+                falls[np.argsort(d[:, b], kind="stable")[fails:], b] = False
+            for i, (*_, c) in enumerate(own):
+                total.setdefault(c, np.zeros(draws, np.int64))[at : at + step] += falls[i]
 
     entities = rows.repartition(parts, "entity_id").sortWithinPartitions("entity_id", "window_id")
     null = drawn_hits(entities.mapInArrow(dealt, "c string, drawn binary"), held, pattern, draws)
@@ -181,7 +181,7 @@ def min_p(hits: DataFrame, windows: DataFrame, pattern: str, draws: int = 500) -
                 for at in range(0, batch.num_rows, 1000):
                     some = batch.slice(at, 1000)
                     ids, names = some.column("window_id"), some.column("c").to_numpy(zero_copy_only=False)
-                    d = hashes([p + s for p in (w.encode() for w in ids.to_pylist()) for s in suffixes]).reshape(len(ids), draws)
+                    d = drawn([w.encode() for w in ids.to_pylist()], suffixes).astype(np.int64)
                     for name in np.unique(names).tolist():
                         own = (d[names == name] < low).sum(0)
                         total[name] = total[name] + own if name in total else own
@@ -246,11 +246,6 @@ def parts_of(work: int, rows: DataFrame) -> int:
     return max(rows.sparkSession.sparkContext.defaultParallelism, -(-work // DRAWS_OF_TASK))
 
 
-def hashes(texts: list[bytes]) -> np.ndarray:
-    """The draws (see columns.draw) of texts."""
-    return np.frombuffer(b"".join([md5(x).digest() for x in texts]), ">u4")[::4].astype(np.int64)
-
-
 def hit_counts(hits: DataFrame, pattern: str) -> DataFrame:
     """(pattern, n_failure, n_control) of hits: rows of windows, or of tallied ones."""
     own = (F.sum("n_f"), F.sum("n_c")) if "n_f" in hits.columns else (F.count_if("is_failure"), F.count_if(~F.col("is_failure")))

@@ -112,21 +112,31 @@ def feature_bigrams(spark, d):
     return features.bigrams(w, features.top_bigrams(w)).select("window_id", F.array_join("features", "").alias("features"))
 
 
-def pattern_scores(w, sets, runs, name: str):
-    """label, score and feature_set of the held-out windows, from all itemsets, all sequences, and both with the count."""
-    from_sets = features.held_names(w, mining.set_hits(w, sets), "itemset")
-    from_runs = features.held_names(w, mining.sequence_hits(w, runs), "sequence")
-    both = from_sets.join(from_runs.select("window_id", F.transform("held", lambda x: F.concat(F.lit(">"), x)).alias("__runs")), "window_id").withColumn("held", F.concat("held", "__runs")).drop("__runs")
-    names = [["|".join(r[0]) for r in p.collect()] for p in (sets.select("itemset"), runs.select("sequence"))]  # patterns of a closed vocabulary of items
+def pattern_scores(held, sets, runs, name: str):
+    """label, score and feature_set of the held-out windows, from all itemsets, all sequences (their names), and both with
+    the count. held: windows with the names of the itemsets (sets) and sequences (runs) that each holds; a model leaves
+    out those that aren't among its own."""
     out = None
-    for kind, rows, words, number in (("itemsets", from_sets, names[0], None), ("sequences", from_runs, names[1], None), ("combined", both, [*names[0], *[f">{x}" for x in names[1]]], "n_events")):
+    both = F.concat("sets", F.transform("runs", lambda x: F.concat(F.lit(">"), x)))
+    for kind, own, words, number in (("itemsets", F.col("sets"), sets, None), ("sequences", F.col("runs"), runs, None), ("combined", both, [*sets, *[f">{x}" for x in runs]], "n_events")):
         if words or number:
-            scored = evaluation.logistic_on_names(written(rows.select("window_id", "label", "train", "n_events", "held", "weight"), "held"), words, number=number)
+            rows = held.select("window_id", "label", "train", "n_events", own.alias("held"), "weight")
+            scored = evaluation.logistic_on_names(rows, words, number=number)
             one = written(scored.select("label", "score", "weight", F.lit(kind).alias("feature_set")), f"scored-{name}")
             out = one if out is None else out.unionByName(one)
     return out
 
 
+def held_patterns(w, sets: list[list[str]], runs: list[list[str]]):
+    """w with the names of the itemsets (sets) and sequences (runs) that each window holds."""
+    rows = mining.held_in(w.withColumn("item_set", F.array_sort("item_set")), "item_set", sets, "sets")
+    return written(mining.held_in(rows, "items", runs, "runs").select("window_id", "label", "train", "n_events", "weight", "sets", "runs"), "held")
+
+
+def names_of(patterns: list[list[str]]) -> list[str]:
+    return ["|".join(p) for p in patterns]
+
+
 def cut_windows(spark, d):
     return written(evaluation.temporal_split(kept_windows(spark, d)).withColumn("label", F.col("is_failure").cast("int")), "temporal")
 
@@ -145,8 +155,9 @@ def lr_head_to_head(spark, d):
     w = cut_windows(spark, d)
     train = w.where("train")
     words = features.vocabulary(train)
-    w, sets, runs = alike(w), mining.itemsets(train), mining.sequences(train)
-    scored = pattern_scores(w, sets, runs, "patterns")
+    w = alike(w)
+    sets, runs = ([r[0] for r in p.collect()] for p in (mining.itemsets(train), mining.sequences(train)))  # patterns of a closed vocabulary of items
+    scored = pattern_scores(held_patterns(w, sets, runs), names_of(sets), names_of(runs), "patterns")
     for name, rows in {"event_count": w.withColumn("features", F.array("n_events")), "presence": features.presence(w, words), "multiset": features.multiset(w, words)}.items():
         scored = scored.unionByName(judged_by_model(rows, name, feature_set=name))
     ordered = written(features.precedence(w, words).select("label", "train", "held", "weight"), "held-pairs")
@@ -162,16 +173,16 @@ SUPPORTS = ("0.02", "0.05", "0.10", "0.15")
 
 @query("support_head_to_head")
 def support_head_to_head(spark, d):
-    """The same for the mined patterns at four supports: one mining at the lowest serves all."""
+    """The same for the mined patterns at four supports: one mining at the lowest serves all, and a window's patterns are
+    looked up once."""
     w = cut_windows(spark, d)
     train = w.where("train")
-    sets, runs = written(mining.itemsets(train, float(SUPPORTS[0])), "sets"), written(mining.sequences(train, float(SUPPORTS[0])), "runs")
+    sets, runs = (p.collect() for p in (mining.itemsets(train, float(SUPPORTS[0])), mining.sequences(train, float(SUPPORTS[0]))))  # patterns of a closed vocabulary of items
     every, full = train.agg(F.count_if("is_failure"), F.count_if(F.col("is_failure") & (F.size("items") > 0))).first()
-    w, out = alike(w), None
+    held, out = held_patterns(alike(w), [r.itemset for r in sets], [r.sequence for r in runs]), None
     for s in SUPPORTS:
-        least = lambda n: F.ceil(F.lit(s).cast("decimal(4,2)") * n)  # noqa: B023, E731
-        scored = pattern_scores(w, sets.where(F.col("n_failure") >= least(every)), runs.where(F.col("n_failure") >= least(full)), s)
-        one = scored.withColumn("min_support", F.lit(float(s)))
+        few, some = (names_of([r[0] for r in p if r.n_failure >= mining.needed(n, float(s))]) for p, n in ((sets, every), (runs, full)))
+        one = pattern_scores(held, few, some, s).withColumn("min_support", F.lit(float(s)))
         out = one if out is None else out.unionByName(one)
     by = ("min_support", "feature_set")
     return r6(evaluation.auroc(out, *by, weight="weight").join(evaluation.average_precision(out, *by, weight="weight"), [*by]), "auroc", "average_precision")
